@@ -32,20 +32,49 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back with the same schema."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Spark then drops a query's shuffle files as soon as the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced."""
-    import gc
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back with the same schema.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    The shuffle files behind it go at once: the table, not they, is what later steps read.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing reads any more."""
+    jvm, path = table.sparkSession.sparkContext._jvm, table.written_to
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+#: Bits of the filter that ``likely_rows`` broadcasts, and how many one row of it holds.
+FILTER_BITS, WORD_BITS = 1 << 23, 64
+
+
+def likely_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids`` (doc_id), and a few others.
+
+    A bitmap of fixed size (2**17 rows of 64 bits) is broadcast; where the ids fill it, it
+    lets more rows pass. The caller's own join on doc_id decides.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    word, bit = F.floor(slot / WORD_BITS).cast("int"), F.pmod(slot, F.lit(WORD_BITS)).cast("int")
+    bits = ids.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("_word").agg(F.bit_or("b").alias("_bits"))
+    return docs.withColumn("_word", word).join(F.broadcast(bits), "_word").where(F.call_function("getbit", F.col("_bits"), bit) == 1).select(*docs.columns)
 
 
 def crc_mod(column: str, mod: int) -> Column:

@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, WordBatch, bytes_of, chunks, free_shuffles, materialize, mix64, record_batch, text_bytes
+from .common import SPACED, WordBatch, bytes_of, chunks, discard, materialize, mix64, record_batch, text_bytes
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 BUCKET_BYTES = 12 << 20
 CONTEXT_BUCKETS = 24
 EM_ROUNDS = 60
@@ -78,6 +78,19 @@ def _blocks(docs: DataFrame, training: Column) -> DataFrame:
     return packed.withColumn("block_id", F.xxhash64("block_id", F.monotonically_increasing_id()))
 
 
+def pack_keys(keys: np.ndarray, buckets: int) -> bytes:
+    """Ascending keys of one bucket (equal modulo ``buckets``) as byte planes of their gaps: the
+    upper planes are all zero, so that a shuffle's compression drops them."""
+    gaps = np.diff(keys // np.uint64(buckets), prepend=np.uint64(0))
+    return gaps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    """The packed keys, divided by the bucket count (as distinct as they were)."""
+    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
 class Tokens:
     """Token hashes of a block: unigram and bigram keys per token, and each text's first token."""
 
@@ -128,7 +141,7 @@ def _requests(blocks: DataFrame, buckets: int) -> DataFrame:
                     k, place, cut = _distinct(keys, buckets)
                     parts.append((k, np.bincount(place, weights=weight, minlength=len(k)).astype(np.int32), cut))
                 (uk, uc, ut), (bk, bc, bt) = parts
-                rows = [(b, block_id, uk[ut[b] : ut[b + 1]].tobytes(), uc[ut[b] : ut[b + 1]].tobytes(), bk[bt[b] : bt[b + 1]].tobytes(), bc[bt[b] : bt[b + 1]].tobytes()) for b in range(buckets)]
+                rows = [(b, block_id, pack_keys(uk[ut[b] : ut[b + 1]], buckets), uc[ut[b] : ut[b + 1]].tobytes(), pack_keys(bk[bt[b] : bt[b + 1]], buckets), bc[bt[b] : bt[b + 1]].tobytes()) for b in range(buckets)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=names)
 
     return blocks.select("block_id", "flags", "sizes", "texts").mapInArrow(run, "bucket int, block_id long, uk binary, uc binary, bk binary, bc binary")
@@ -139,7 +152,7 @@ def _answer(table: pa.Table) -> pa.Table:
     out: dict[str, list] = {}
     tokens = types = 0
     for kind in "ub":
-        keys = [np.frombuffer(x, np.uint64) for x in table.column(f"{kind}k").to_pylist()]
+        keys = [unpack_keys(x) for x in table.column(f"{kind}k").to_pylist()]
         counts = np.concatenate([np.frombuffer(x, np.int32) for x in table.column(f"{kind}c").to_pylist()])
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
@@ -217,13 +230,13 @@ def score_documents(docs: DataFrame, training: Column, bucket_bytes: int = BUCKE
     blocks = materialize(_blocks(docs, training), "lm-blocks")
     buckets = max(12, -(-text_bytes(docs) // bucket_bytes))
     answers = materialize(_requests(blocks, buckets).groupBy("bucket").applyInArrow(_answer, "block_id long, bucket int, u binary, b binary, tokens long, types long"), "lm-counts")
-    free_shuffles(spark)
     sums = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     n, v = sums["n"], sums["v"]
     ends = docs.where(training).count()  # each training text has one end token, and one start
     per_block = answers.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "u", "b")).alias("answers"))
     counted = materialize(_counted(blocks.join(per_block, "block_id"), n, ends), "lm-counted")
-    free_shuffles(spark)
+    discard(blocks)
+    discard(answers)
     grid = counted.select(F.explode(F.arrays_zip("cells", "mass")).alias("x")).groupBy(F.col("x.cells").alias("cell")).agg(F.sum("x.mass").alias("mass"))
     weights = learn_weights({r["cell"]: float(r["mass"]) for r in grid.collect()}, v)  # at most buckets * cells rows
     floor = n + 0.5 * (v + 1)
