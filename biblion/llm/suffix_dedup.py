@@ -39,12 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, chunks, materialize, mix64, record_batch, text_bytes
+from .common import bytes_of, chunks, discard, materialize, mix64, record_batch, text_bytes
 from .deepshallow import classes, order_with_lcp
 
 LENGTH = 100
 KMER = 32
-BUCKET_BYTES = 20 << 20
+BUCKET_BYTES = 8 << 20
 #: Border contexts of one k-mer beyond which its group is split by the bytes beside it.
 REFINE_OVER = 4096
 
@@ -367,6 +367,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, buck
     found = materialize(first, "repeats-found")
     per_doc = found.groupBy("doc_id").agg(F.collect_list("covered").alias("covered"), F.collect_list("borders").alias("borders"))
     partial = materialize(_partial(docs.join(per_doc, "doc_id", "left"), length, kmer), "repeats-partial")
+    discard(found)
     done, pending = partial.where("keys is null"), partial.where("keys is not null")
     more = materialize(_send_borders(pending, buckets, length, kmer).groupBy("bucket").applyInArrow(_settle_borders(length, kmer, refine_over), _FOUND_DDL), "repeats-borders")
     extra = more.groupBy("doc_id").agg(F.flatten(F.collect_list("covered")).alias("extra"))
