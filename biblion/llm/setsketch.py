@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACED, WordBatch, bytes_of, chunks, fold_windows, materialize, mix64, ranges, record_batch, signed
+from .common import SPACED, WordBatch, bytes_of, chunks, fold_windows, likely_rows, materialize, mix64, ranges, record_batch, signed
 from .components import components
 
 BANDS, ROWS = 24, 3
@@ -165,7 +165,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         for rb in batches:
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(bytes_of(rb.column("text")))], pa.binary())], names=["doc_id", "shingles"])
 
-    full = materialize(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id long, shingles binary"), "shingle-sets")
+    full = materialize(likely_rows(docs, ids).mapInArrow(sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "shingle-sets")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -204,14 +204,15 @@ def _block_links(docs: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
     cluster = components(stars).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
     members = hot.groupBy(F.col("rep").alias("doc_id"), "component").agg(F.min("key").alias("key")).join(cluster, "doc_id")
     place = F.floor((F.row_number().over(W.partitionBy("cluster").orderBy("key", "doc_id")) - 1) / BLOCK)
-    members = members.select("doc_id", "component", F.xxhash64("cluster", place).alias("block"))
+    members = materialize(members.select("doc_id", "component", F.xxhash64("cluster", place).alias("block")), "hot-members")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             found = [s.tobytes() for s in shingle_sets(bytes_of(rb.column("text")))]
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("component"), rb.column("block"), pa.array(found, pa.binary())], names=["rep", "component", "block", "shingles"])
+            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
 
-    sets = materialize(docs.join(members, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(sets_of, "rep long, component long, block long, shingles binary"), "hot-sets")
+    sets = likely_rows(docs, members).mapInArrow(sets_of, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    sets = materialize(members.join(sets, "doc_id").select(F.col("doc_id").alias("rep"), "component", "block", "shingles"), "hot-sets")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
