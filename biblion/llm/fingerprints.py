@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 SHINGLE_WORDS = 5
 #: The retained part of the hash range: one in so many.
 SCALE = 4
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 2_000
 
 
 def sketch(text: Column, n: int = SHINGLE_WORDS, scale: int = SCALE) -> Column:
@@ -62,38 +62,36 @@ def show(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.hex(h)), ".")
 
 
-def with_next(docs: DataFrame, columns: tuple[str, ...], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Adds ``next_<c>`` of the following document (descending doc_id, cyclic) for each column."""
+def with_next(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """doc_id, text and ``next_text``, the text of the following document (descending doc_id, cyclic)."""
+    docs = docs.select("doc_id", "text")
     span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
     if not span["n"]:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    ranges = max(1, -(-span["n"] // rows_per_range))
-    width = max(1, -(-(span["hi"] - span["lo"] + 1) // ranges))
-    own = F.struct(*columns)
+        return docs.withColumn("next_text", F.col("text"))
+    count = max(1, -(-span["n"] // rows_per_range))
+    width = max(1, -(-(span["hi"] - span["lo"] + 1) // count))
     cut = docs.withColumn("_range", F.floor((F.col("doc_id") - F.lit(span["lo"])) / F.lit(width)).cast("long"))
-    order = [F.col("doc_id"), F.col("text")]
-    tops = cut.groupBy("_range").agg(F.max_by(own, F.struct("doc_id", "text")).alias("_top"))
-    by_range = W.orderBy("_range")  # one row for each range that has documents
-    borders = tops.select("_range", F.coalesce(F.lag("_top").over(by_range), F.max_by("_top", "_range").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_border"))
-    inside = F.lag(own).over(W.partitionBy("_range").orderBy(*order))
-    found = cut.withColumn("_inside", inside)
-    first = found.where("_inside is null").join(borders, "_range").withColumn("_next", F.col("_border")).drop("_border")
-    rest = found.where("_inside is not null").withColumn("_next", F.col("_inside"))
-    together = rest.unionByName(first)
-    return together.select(*docs.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
+    # a range's first document is followed by the last one of the range below that has any
+    filled = cut.select("_range").distinct()
+    top = filled.agg(F.max("_range")).first()[0]
+    below = filled.select("_range", F.coalesce(F.lag("_range").over(W.orderBy("_range")), F.lit(top)).alias("_below"))
+    lasts = cut.groupBy("_range").agg(F.max_by("text", F.struct("doc_id", "text")).alias("_border")).withColumnRenamed("_range", "_below")
+    borders = below.join(lasts, "_below").select("_range", "_border")
+    inside = F.lag(F.struct("text")).over(W.partitionBy("_range").orderBy("doc_id", "text"))
+    found = cut.withColumn("_inside", inside).join(borders, "_range", "left")
+    return found.select("doc_id", "text", F.when(F.col("_inside").isNull(), F.col("_border")).otherwise(F.col("_inside.text")).alias("next_text"))
 
 
 def edited_fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS, scale: int = SCALE) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sketched = texts.withColumn("sketch", sketch(F.col("text"), n, scale))
-    pairs = with_next(sketched, ("text", "sketch"))
+    pairs = with_next(texts)
     chars = F.length("text")
     half = F.floor(chars / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), chars - half), F.substring(F.col("next_text"), F.lit(1), half))
-    edited_too = pairs.withColumn("edited", edited)
-    edited_too = edited_too.withColumn("edited_sketch", sketch(F.col("edited"), n, scale))
-    return edited_too.select(
+    # sketches are made after the shuffle, which moves each text once and nothing else
+    made = pairs.withColumn("edited", edited).withColumns({f"{c}sketch": sketch(F.col(t), n, scale) for c, t in (("", "text"), ("next_", "next_text"), ("edited_", "edited"))})
+    return made.select(
         "doc_id",
         chars.cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
