@@ -222,4 +222,5 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def record_batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+    made = [c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, type=f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(made, schema=schema)

@@ -12,7 +12,7 @@ rows at range borders are fetched through a table of one row per range.
 
 Defined cases: null text is empty; an empty text has one shingle (of no words), so its
 fingerprint is defined; two empty sketches are alike (1.0) if their texts' fingerprints are
-equal; a single document is its own next; documents that share a doc_id follow one
+equal; a single document, and one without doc_id, is its own next; documents that share a doc_id follow one
 another in the order of their texts; extra columns are ignored.
 """
 
@@ -66,7 +66,7 @@ def with_next(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFram
     """doc_id, text and ``next_text``, the text of the following document (descending doc_id, cyclic)."""
     docs = docs.select("doc_id", "text")
     span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    if not span["n"]:
+    if span["lo"] is None:
         return docs.withColumn("next_text", F.col("text"))
     count = max(1, -(-span["n"] // rows_per_range))
     width = max(1, -(-(span["hi"] - span["lo"] + 1) // count))
@@ -79,7 +79,7 @@ def with_next(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFram
     borders = below.join(lasts, "_below").select("_range", "_border")
     inside = F.lag(F.struct("text")).over(W.partitionBy("_range").orderBy("doc_id", "text"))
     found = cut.withColumn("_inside", inside).join(borders, "_range", "left")
-    return found.select("doc_id", "text", F.when(F.col("_inside").isNull(), F.col("_border")).otherwise(F.col("_inside.text")).alias("next_text"))
+    return found.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.col("text")).when(F.col("_inside").isNull(), F.col("_border")).otherwise(F.col("_inside.text")).alias("next_text"))
 
 
 def edited_fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS, scale: int = SCALE) -> DataFrame:

@@ -50,7 +50,7 @@ def _expand(blob: bytes) -> bytes:
 
 
 def _blocks(docs: DataFrame, training: Column) -> DataFrame:
-    """Rows of many documents each: block_id, ids, flags (1: training), text sizes, texts."""
+    """Rows of many documents each: block_id, ids, flags (1: training, 2: no doc_id), text sizes, texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, flags, texts, size = [], [], [], 0
@@ -62,8 +62,8 @@ def _blocks(docs: DataFrame, training: Column) -> DataFrame:
 
         for rb in batches:
             for i, f, t in zip(rb.column("doc_id").to_pylist(), rb.column("training").to_pylist(), bytes_of(rb.column("text")), strict=True):
-                ids.append(i)
-                flags.append(bool(f))
+                ids.append(i or 0)
+                flags.append(bool(f) + 2 * (i is None))
                 texts.append(t)
                 size += len(t) + 8
                 if size >= BLOCK_BYTES:
@@ -135,7 +135,7 @@ def _requests(blocks: DataFrame, buckets: int) -> DataFrame:
         for rb in batches:
             for block_id, flags, sizes, texts in zip(*(rb.column(c).to_pylist() for c in ("block_id", "flags", "sizes", "texts")), strict=True):
                 t = Tokens(sizes, texts)
-                weight = np.frombuffer(flags, np.uint8)[t.text_of].astype(float)
+                weight = (np.frombuffer(flags, np.uint8) & 1)[t.text_of].astype(float)
                 parts = []
                 for keys in (t.unigram, t.bigram):
                     k, place, cut = _distinct(keys, buckets)
@@ -212,7 +212,7 @@ def _counted(joined: DataFrame, n: int, ends: int) -> DataFrame:
                 context = np.empty_like(word)
                 context[1:] = word[:-1]
                 context[t.first[:-1]] = ends
-                own = np.frombuffer(flags, np.uint8)[t.text_of] > 0
+                own = (np.frombuffer(flags, np.uint8) & 1)[t.text_of] > 0
                 cell, mass = np.unique(_cell(context[own] - 1, pair[own] - 1, word[own] - 1, max(n - 1, 1)), return_counts=True)
                 columns = (ids, flags, t.first.tobytes(), _squeeze(word.tobytes()), _squeeze(pair.tobytes()), cell.tolist(), mass.tolist())
                 yield pa.RecordBatch.from_arrays([pa.array([c], x) for c, x in zip(columns, (*[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=names)
@@ -253,8 +253,8 @@ def score_documents(docs: DataFrame, training: Column, bucket_bytes: int = BUCKE
                 p = w[:, 0] * (pair / np.maximum(context, 1)) + w[:, 1] * (word / max(n, 1)) + w[:, 2] / (v + 1)
                 begin = at[:-1]
                 columns = {
-                    "doc_id": np.frombuffer(ids, np.int64),
-                    "held_out": np.frombuffer(flags, np.uint8) == 0,
+                    "doc_id": pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(flags, np.uint8) > 1),
+                    "held_out": np.frombuffer(flags, np.uint8) & 1 == 0,
                     "n_tokens": np.diff(at),
                     "n_known": np.add.reduceat((word > 0).astype(np.int64), begin),
                     "train_tokens": np.full(len(begin), n),

@@ -20,7 +20,8 @@ without words the set is empty and linked with nothing. Documents are linked if
   shingle hashes.
 
 Defined cases: null, empty and wordless texts give n_shingles 0, component_id = doc_id,
-kept; repeated rows of one doc_id stay one node; empty tables give empty results; extra
+kept; rows without doc_id are linked with nothing (component_id null, kept); repeated rows of
+one doc_id stay one node; empty tables give empty results; extra
 columns are ignored.
 """
 
@@ -272,7 +273,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     """Per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = materialize(sketches(docs, bands, rows), "sketches")
-    full = sketched.where("n_shingles > 0")
+    full = sketched.where("n_shingles > 0 and doc_id is not null")
     size_ok = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
     classes = materialize(full.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "classes")
     row = classes.select(F.col("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
@@ -306,14 +307,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
         edges = edges.unionByName(links(pairs.where(size_ok).select("a", "b").distinct()))
     groups = classes.select("set_hash", F.col("rep").alias("node")).join(label, "node", "left").select("set_hash", F.coalesce("component", "node").alias("group_id"))
     found = sketched.select("doc_id", "n_shingles", "set_hash").join(groups, "set_hash", "left")
-    least = F.coalesce("group_id", "doc_id")
-    return found.select("doc_id", "n_shingles", least.alias("component_id"), (F.col("doc_id") == least).alias("kept"))
+    least = F.when(F.col("doc_id").isNotNull(), F.coalesce("group_id", "doc_id"))
+    return found.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that stay: the one of least doc_id of each near-duplicate group."""
-    kept = near_duplicates(docs, percent).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 ORACLE_SQL = r"""

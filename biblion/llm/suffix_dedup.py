@@ -25,8 +25,8 @@ a window holds ``margin // 2`` bytes on one side of its anchor at least, so the
 key still brings equal windows together.
 
 Defined cases: null text counts as empty; texts under ``length`` bytes lose nothing; rows
-repeated with one doc_id are ordered arbitrarily among themselves; empty tables give
-empty results; extra columns are ignored by ``repeated_spans`` and kept by ``remove_repeats``.
+that share a doc_id are one document (no earlier than itself) and share what is found;
+rows without doc_id are not searched and lose nothing; empty tables give empty results; extra columns are ignored by ``repeated_spans`` and kept by ``remove_repeats``.
 """
 
 from __future__ import annotations
@@ -148,6 +148,8 @@ def _find_anchors(docs: DataFrame, buckets: int, length: int, kmer: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
+            if not rb.num_rows:
+                continue
             ids = np.asarray(rb.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
             by = np.argsort(ids, kind="stable")
             ids = ids[by]
@@ -159,10 +161,11 @@ def _find_anchors(docs: DataFrame, buckets: int, length: int, kmer: int) -> Data
             doc, pos, key, context = (np.concatenate(x) for x in zip(*parts, strict=True))
             if not len(doc):
                 continue
-            _, first = np.unique(context, return_index=True)
+            _, first, place = np.unique(context, return_index=True, return_inverse=True)
             is_first = np.zeros(len(doc), bool)
             is_first[first] = True
-            again = ~is_first
+            twin = first[place]  # a repeated row is no earlier occurrence of itself
+            again = ~is_first & ((ids[doc] != ids[doc[twin]]) | (pos != pos[twin]))
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))[doc]
             at = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(at[is_first], kind="stable")
@@ -202,6 +205,7 @@ def _settle_contexts(length: int, kmer: int):
             key, context, doc, pos, room = (np.concatenate(x) for x in zip(*fields, strict=True))
             del fields, blobs
             by = np.lexsort((pos, doc, context, key))
+            by = by[np.concatenate(([True], np.any([x[by[1:]] != x[by[:-1]] for x in (key, context, doc, pos)], axis=0)))]  # repeated rows
             key, context, doc, pos, room = key[by], context[by], doc[by], pos[by].astype(np.int64), room[by].astype(np.int64)
             new_key = np.concatenate(([True], key[1:] != key[:-1]))
             new = new_key | np.concatenate(([True], context[1:] != context[:-1]))
@@ -308,6 +312,8 @@ def _settle_borders(length: int, kmer: int, refine_over: int):
         key, doc, pos, size = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("ids", np.int64), ("pos", np.int32), ("sizes", np.int64)))
         context = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, width) for x in table.column("contexts").to_pylist()])
         by = np.lexsort((pos, doc, key))
+        same = (key[by[1:]] == key[by[:-1]]) & (doc[by[1:]] == doc[by[:-1]]) & (pos[by[1:]] == pos[by[:-1]])
+        by = by[np.concatenate(([True], ~same))]  # repeated rows
         key, doc, pos, size, context = key[by], doc[by], pos[by].astype(np.int64), size[by], context[by]
         cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         found_doc, found_lo, found_hi = [], [], []
@@ -363,7 +369,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, buck
     """Per document: doc_id, text, n_bytes, spans (flat lo, hi byte offsets of the bytes to remove)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = max(12, -(-text_bytes(docs) // bucket_bytes))
-    first = _find_anchors(docs, buckets, length, kmer).groupBy("bucket").applyInArrow(_settle_contexts(length, kmer), _FOUND_DDL)
+    first = _find_anchors(docs.where("doc_id is not null"), buckets, length, kmer).groupBy("bucket").applyInArrow(_settle_contexts(length, kmer), _FOUND_DDL)
     found = materialize(first, "repeats-found")
     per_doc = found.groupBy("doc_id").agg(F.collect_list("covered").alias("covered"), F.collect_list("borders").alias("borders"))
     partial = materialize(_partial(docs.join(per_doc, "doc_id", "left"), length, kmer), "repeats-partial")
@@ -399,21 +405,27 @@ def digest(spans: DataFrame) -> DataFrame:
     return spans.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, min_chars: int = 1) -> DataFrame:
-    """Documents without their repeated bytes (a split character goes whole); texts that end
-    up shorter than ``min_chars`` though they were not are dropped. Other columns stay."""
-    spans = repeated_spans(docs, length)
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Documents without their repeated bytes (a split character goes whole); texts that lose
+    every byte are dropped. Other columns stay; n_chars follows the text."""
+    spans = repeated_spans(docs, length).where(F.size("spans") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("__spans"))
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            new = [_cut(t, s.values.to_numpy())[0].decode("utf-8", "ignore") for t, s in zip(bytes_of(rb.column("text")), rb.column("spans"), strict=True)]
-            new = [x if len(s) else t for x, s, t in zip(new, rb.column("spans"), rb.column("text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(new, pa.string()), rb.column("n_bytes")], names=["doc_id", "text", "n_bytes"])
-
-    cut = spans.mapInArrow(run, "doc_id long, text string, n_bytes long").where((F.length(F.coalesce("text", F.lit(""))) >= min_chars) | (F.col("n_bytes") < min_chars)).drop("n_bytes")
-    rest = docs.drop("text").join(cut, "doc_id")
-    rest = rest.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rest
-    return rest.select(*docs.columns)
+            old, keep, new = rb.column("text").to_pylist(), [], []
+            for i, (text, found) in enumerate(zip(old, rb.column("__spans"), strict=True)):
+                if found.is_valid and text:
+                    text = _cut(text.encode(), found.values.to_numpy())[0].decode("utf-8", "ignore")
+                    if not text:
+                        continue
+                keep.append(i)
+                new.append(text)
+            kept = rb.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(new, rb.schema.field("text").type) if c == "text" else kept.column(c) for c in names], names=names)
+
+    out = docs.join(spans, docs["doc_id"] == spans["doc_id"], "left").select(*[docs[c] for c in names], "__spans").mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
 
 
 ORACLE_SQL = """
