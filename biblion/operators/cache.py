@@ -102,7 +102,7 @@ class Snapshots:
         return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
     def version(self) -> int:
-        path, fs = self._path("_CURRENT")
+        path, fs = self._path("CURRENT")
         return int(self.spark.read.text(str(path)).first()[0]) if fs.exists(path) else 0
 
     def read(self, table: str) -> DataFrame | None:
@@ -115,11 +115,11 @@ class Snapshots:
         n = self.version() + 1
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.root}/v={n}/{name}")
-        new, fs = self._path("_NEXT")
+        new, fs = self._path("NEXT")
         out = fs.create(new, True)
         out.write(bytearray(str(n).encode()))
         out.close()
-        current, _ = self._path("_CURRENT")
+        current, _ = self._path("CURRENT")
         if fs.exists(current):
             fs.delete(current, False)
         fs.rename(new, current)
