@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import LETTERS, WordBatch, chunks, folded_bytes, mix64, record_batch
 
-SAMPLE_ROWS = 1500
+SAMPLE_ROWS = 1000
 CHAIN = 48
 SLOT_BITS = 18
 ORDERS = (1, 2, 3, 4)
@@ -35,7 +35,7 @@ EPOCHS = 30
 SPLICED = 0.3
 UNDETERMINED = "und"
 #: Chains of one training pass at most; more are thinned at random.
-MAX_CHAINS = 20_000
+MAX_CHAINS = 8_000
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -156,15 +156,16 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) -> C
     chains: list[np.ndarray] = []
     tags: list[np.ndarray] = []
     vocabulary: dict[bytes, int] = {}
+    share = MAX_CHAINS * CHAIN / max(1, sum(text.count(" ") + CHAIN for _, text in rows))
     for lang, text in rows:
         batch = WordBatch([text.lower().encode()], LETTERS)
-        ids = np.array([vocabulary.setdefault(batch.word(i), len(vocabulary)) for i in range(len(batch.hashes))], np.int64)
-        for k in range(0, len(ids), CHAIN):
-            chains.append(ids[k : k + CHAIN])
-            tags.append(np.full(len(chains[-1]), code[lang]))
-    if len(chains) > MAX_CHAINS:
-        pick = rng.choice(len(chains), MAX_CHAINS, replace=False)
-        chains, tags = [chains[i] for i in pick], [tags[i] for i in pick]
+        for k in range(0, len(batch.hashes), CHAIN):
+            if rng.random() < share:
+                words = [batch.word(i) for i in range(k, min(k + CHAIN, len(batch.hashes)))]
+                chains.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words]))
+                tags.append(np.full(len(words), code[lang]))
+    if not chains:
+        return Crf(languages, weights, np.ones((labels, labels)))
     for i in np.flatnonzero(rng.random(len(chains)) < SPLICED).tolist():
         j = int(rng.integers(len(chains)))
         cut = int(rng.integers(1, max(2, min(len(chains[i]), len(chains[j])))))
@@ -179,21 +180,22 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) -> C
     used = used[used < 1 << SLOT_BITS]
     compact = np.full((1 << SLOT_BITS) + 1, len(used))
     compact[used] = np.arange(len(used))
-    slots = compact[slots]
+    slots = compact[slots].astype(np.int32)
     keep = slots < len(used)
-    owner = np.repeat(np.arange(len(vocabulary)), per_word)[keep]
+    owner = np.repeat(np.arange(len(vocabulary), dtype=np.int32), per_word)[keep]
     slots = slots[keep]
+    del compact, keep, per_word
     w, trans = np.zeros((len(used), labels)), np.eye(labels)
     squares = [np.full_like(w, 1e-2), np.full_like(trans, 1.0)]
     pair_gold = np.zeros((labels, labels))
     both = mask[1:]
     np.add.at(pair_gold, (gold[:-1][both], gold[1:][both]), 1)
-    one_hot = np.eye(labels)[gold]
+    one_hot = np.eye(labels, dtype=np.float32)[gold]
     flat_word, flat_mask = word[mask], mask
     total = mask.sum()
     for _ in range(epochs):
         scores = np.stack([np.bincount(owner, weights=w[slots, k], minlength=len(vocabulary)) for k in range(labels)], 1)
-        psi = np.exp(scores - scores.max(1, keepdims=True))
+        psi = np.exp(scores - scores.max(1, keepdims=True)).astype(np.float32)
         post, pairs = forward_backward(np.maximum(psi, 1e-30)[word], np.exp(trans), mask)
         miss = (one_hot - post)[flat_mask]
         by_word = np.stack([np.bincount(flat_word, weights=miss[:, k], minlength=len(vocabulary)) for k in range(labels)], 1)
