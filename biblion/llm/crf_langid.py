@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, WordBatch, chunks, folded_bytes, mix64, record_batch
+from .common import LETTERS, WordBatch, chunks, folded_bytes, mix64, record_batch, tidied
 
 SAMPLE_ROWS = 1000
 CHAIN = 48
@@ -230,7 +230,7 @@ def predict(docs: DataFrame, model: Crf) -> DataFrame:
             found = list(decide(folded_bytes(rb.column("text")), shared.value))
             yield record_batch({"doc_id": rb.column("doc_id"), "lang_pred": [x for x, _, _ in found], "score": [x for _, x, _ in found], "n_words": [x for _, _, x in found]}, _SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, n_words long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, lang_pred string, score double, n_words long")
 
 
 def identify(docs: DataFrame, training: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -247,4 +247,4 @@ def keep_identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, least: floa
             found = decide(folded_bytes(rb.column("text")), shared.value)
             yield rb.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, WordBatch, bytes_of, chunks, fold_windows
+from .common import ALNUM, WordBatch, bytes_of, chunks, fold_windows, tidied
 
 WINDOW_WORDS = 10
 MAX_WINDOWS = 2_000_000
@@ -122,7 +122,7 @@ def scan(docs: DataFrame, grams: NgramSet) -> DataFrame:
                 names=["doc_id", "n_words", "span_lo", "span_hi", "items"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SPANS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), _SPANS)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -178,7 +178,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_
                 columns = [pa.array(new, rb.schema.field("text").type) if c == "text" else kept.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(tidied(run), schema)
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else docs
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, WordBatch, bytes_of, chunks, discard, materialize, mix64, record_batch, text_bytes
+from .common import SPACED, WordBatch, bytes_of, chunks, discard, materialize, mix64, record_batch, text_bytes, tidied, tidied_group
 
 BLOCK_BYTES = 12 << 20
 BUCKET_BYTES = 12 << 20
@@ -73,7 +73,7 @@ def _blocks(docs: DataFrame, training: Column) -> DataFrame:
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    packed = rows.mapInArrow(run, "block_id long, ids binary, flags binary, sizes binary, texts binary")
+    packed = rows.mapInArrow(tidied(run), "block_id long, ids binary, flags binary, sizes binary, texts binary")
     # repeated blocks of equal documents need names of their own
     return packed.withColumn("block_id", F.xxhash64("block_id", F.monotonically_increasing_id()))
 
@@ -144,7 +144,7 @@ def _requests(blocks: DataFrame, buckets: int) -> DataFrame:
                 rows = [(b, block_id, pack_keys(uk[ut[b] : ut[b + 1]], buckets), uc[ut[b] : ut[b + 1]].tobytes(), pack_keys(bk[bt[b] : bt[b + 1]], buckets), bc[bt[b] : bt[b + 1]].tobytes()) for b in range(buckets)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=names)
 
-    return blocks.select("block_id", "flags", "sizes", "texts").mapInArrow(run, "bucket int, block_id long, uk binary, uc binary, bk binary, bc binary")
+    return blocks.select("block_id", "flags", "sizes", "texts").mapInArrow(tidied(run), "bucket int, block_id long, uk binary, uc binary, bk binary, bc binary")
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -217,7 +217,7 @@ def _counted(joined: DataFrame, n: int, ends: int) -> DataFrame:
                 columns = (ids, flags, t.first.tobytes(), _squeeze(word.tobytes()), _squeeze(pair.tobytes()), cell.tolist(), mass.tolist())
                 yield pa.RecordBatch.from_arrays([pa.array([c], x) for c, x in zip(columns, (*[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=names)
 
-    return joined.mapInArrow(run, "ids binary, flags binary, first binary, words binary, pairs binary, cells array<long>, mass array<long>")
+    return joined.mapInArrow(tidied(run), "ids binary, flags binary, first binary, words binary, pairs binary, cells array<long>, mass array<long>")
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -229,7 +229,7 @@ def score_documents(docs: DataFrame, training: Column, bucket_bytes: int = BUCKE
     spark = docs.sparkSession
     blocks = materialize(_blocks(docs, training), "lm-blocks")
     buckets = max(12, -(-text_bytes(docs) // bucket_bytes))
-    answers = materialize(_requests(blocks, buckets).groupBy("bucket").applyInArrow(_answer, "block_id long, bucket int, u binary, b binary, tokens long, types long"), "lm-counts")
+    answers = materialize(_requests(blocks, buckets).groupBy("bucket").applyInArrow(tidied_group(_answer), "block_id long, bucket int, u binary, b binary, tokens long, types long"), "lm-counts")
     sums = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     n, v = sums["n"], sums["v"]
     ends = docs.where(training).count()  # each training text has one end token, and one start
@@ -263,4 +263,4 @@ def score_documents(docs: DataFrame, training: Column, bucket_bytes: int = BUCKE
                 }
                 yield record_batch(columns, _SCORED)
 
-    return counted.select("ids", "flags", "first", "words", "pairs").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return counted.select("ids", "flags", "first", "words", "pairs").mapInArrow(tidied(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, record_batch
+from .common import materialize, record_batch, tidied
 
 CAPACITY = 2048
 END_ID = 0
@@ -56,9 +56,7 @@ class ByteBpe:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(path)
+        self.path, self.exact = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -70,6 +68,10 @@ class ByteBpe:
 
     def ids(self, text: str) -> list[int]:
         if any(s in text for s in self.special):
+            if self.exact is None:  # rarely needed, and large
+                from tokenizers import Tokenizer
+
+                self.exact = Tokenizer.from_file(self.path)
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -109,7 +111,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
             yield record_batch(rows, schema)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), ddl)
 
 
 Pattern = tuple[int, ...]
@@ -262,7 +264,7 @@ def pack(piece_rows: DataFrame, capacity: int = CAPACITY, rows_per_salt: int = R
             yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in columns), pa.array(p.sequence[at] + bin_), pa.array(p.offset[at] + slot * length)], names=[*columns, "sequence_id", "offset"])
 
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in piece_rows.schema.fields)
-    return numbered.mapInArrow(run, f"{ddl}, sequence_id long, offset long")
+    return numbered.mapInArrow(tidied(run), f"{ddl}, sequence_id long, offset long")
 
 
 def best_fit(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, keep_ids: bool = False) -> DataFrame:

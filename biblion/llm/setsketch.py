@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACED, WordBatch, bytes_of, chunks, fold_windows, likely_rows, materialize, mix64, ranges, record_batch, signed
+from .common import SPACED, WordBatch, bytes_of, chunks, fold_windows, likely_rows, materialize, mix64, ranges, record_batch, signed, tidied, tidied_group
 from .components import components
 
 BANDS, ROWS = 24, 3
@@ -128,7 +128,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                 out["registers"].append(r.tobytes())
             yield record_batch({"doc_id": rb.column("doc_id"), **out}, _SKETCH)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>, registers binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, n_shingles long, set_hash binary, bands array<long>, registers binary")
 
 
 def fold_rows(wide: np.ndarray) -> np.ndarray:
@@ -155,7 +155,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, m: int, least: float) -> DataF
                 keep[k] = likely_jaccard(r_a[k], r_b[k], n_a[k], n_b[k]) >= least
             yield rb.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(tidied(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -166,7 +166,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         for rb in batches:
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(bytes_of(rb.column("text")))], pa.binary())], names=["doc_id", "shingles"])
 
-    full = materialize(likely_rows(docs, ids).mapInArrow(sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "shingle-sets")
+    full = materialize(likely_rows(docs, ids).mapInArrow(tidied(sets), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "shingle-sets")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -180,7 +180,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     one = full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s_a"))
     two = full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("s_b"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(confirm, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(tidied(confirm), "a long, b long")
 
 
 def _cross(rows: DataFrame, key: str, percent: int) -> DataFrame:
@@ -212,7 +212,7 @@ def _block_links(docs: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
             found = [s.tobytes() for s in shingle_sets(bytes_of(rb.column("text")))]
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
 
-    sets = likely_rows(docs, members).mapInArrow(sets_of, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    sets = likely_rows(docs, members).mapInArrow(tidied(sets_of), "doc_id long, shingles binary").dropDuplicates(["doc_id"])
     sets = materialize(members.join(sets, "doc_id").select(F.col("doc_id").alias("rep"), "component", "block", "shingles"), "hot-sets")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +224,7 @@ def _block_links(docs: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
 
     often = np.zeros(SLOTS, np.int64)  # of fixed size, whatever the input
-    for r in sets.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in sets.mapInArrow(tidied(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
         often[r["slot"]] = r["n"]
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
@@ -239,7 +239,7 @@ def _block_links(docs: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
                 blocks = np.repeat(rb.column("block").to_numpy(), np.array([len(k) for k in parts], np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(parts))), pa.array(blocks)], names=["shingle", "block"])
 
-    in_block = sets.select("block", "shingles").mapInArrow(prefixes, "shingle long, block long").distinct()
+    in_block = sets.select("block", "shingles").mapInArrow(tidied(prefixes), "shingle long, block long").distinct()
     one, two = in_block.select("shingle", F.col("block").alias("i")), in_block.select("shingle", F.col("block").alias("j"))
     tasks = one.join(two, (one["shingle"] == two["shingle"]) & (F.col("i") <= F.col("j"))).select("i", "j").distinct()
     left = sets.join(tasks, sets["block"] == tasks["i"]).withColumn("side", F.lit(0))
@@ -266,7 +266,7 @@ def _block_links(docs: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     columns = ("i", "j", "side", "rep", "component", "shingles")
-    return left.select(*columns).unionByName(right.select(*columns)).groupBy("i", "j").applyInArrow(compare, "a long, b long")
+    return left.select(*columns).unionByName(right.select(*columns)).groupBy("i", "j").applyInArrow(tidied_group(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

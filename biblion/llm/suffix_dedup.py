@@ -39,12 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, chunks, discard, materialize, mix64, record_batch, text_bytes
+from .common import bytes_of, chunks, discard, materialize, mix64, record_batch, text_bytes, tidied, tidied_group
 from .deepshallow import classes, order_with_lcp
 
 LENGTH = 100
 KMER = 32
 BUCKET_BYTES = 8 << 20
+#: Rows whose anchors are combined before they are sent.
+SLICE_ROWS = 3000
 #: Border contexts of one k-mer beyond which its group is split by the bytes beside it.
 REFINE_OVER = 4096
 
@@ -147,9 +149,7 @@ def _find_anchors(docs: DataFrame, buckets: int, length: int, kmer: int) -> Data
     margin = length - kmer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            if not rb.num_rows:
-                continue
+        for rb in (part.slice(i, SLICE_ROWS) for part in batches for i in range(0, part.num_rows, SLICE_ROWS)):
             ids = np.asarray(rb.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
             by = np.argsort(ids, kind="stable")
             ids = ids[by]
@@ -186,7 +186,7 @@ def _find_anchors(docs: DataFrame, buckets: int, length: int, kmer: int) -> Data
                 rows.append((int(ids[0] % buckets), None, sink.getvalue().to_pybytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "entries", "settled"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, entries binary, settled binary")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "bucket int, entries binary, settled binary")
 
 
 def _settle_contexts(length: int, kmer: int):
@@ -258,7 +258,7 @@ def _partial(docs_with_found: DataFrame, length: int, kmer: int) -> DataFrame:
                 rows["text"].append(kept_text[i])
             yield pa.RecordBatch.from_arrays([pa.array(rows[f], t) for f, t in zip(fields, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.string()), strict=True)], names=fields)
 
-    return docs_with_found.mapInArrow(run, _PARTIAL)
+    return docs_with_found.mapInArrow(tidied(run), _PARTIAL)
 
 
 def repeated_windows(contexts: np.ndarray, room: np.ndarray, length: int, kmer: int) -> np.ndarray:
@@ -302,7 +302,7 @@ def _send_borders(pending: DataFrame, buckets: int, length: int, kmer: int) -> D
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "keys", "ids", "pos", "sizes", "contexts"])
 
-    return pending.select("doc_id", "n_bytes", "borders", "keys", "contexts").mapInArrow(run, "bucket int, keys binary, ids binary, pos binary, sizes binary, contexts binary")
+    return pending.select("doc_id", "n_bytes", "borders", "keys", "contexts").mapInArrow(tidied(run), "bucket int, keys binary, ids binary, pos binary, sizes binary, contexts binary")
 
 
 def _settle_borders(length: int, kmer: int, refine_over: int):
@@ -369,13 +369,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, buck
     """Per document: doc_id, text, n_bytes, spans (flat lo, hi byte offsets of the bytes to remove)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = max(12, -(-text_bytes(docs) // bucket_bytes))
-    first = _find_anchors(docs.where("doc_id is not null"), buckets, length, kmer).groupBy("bucket").applyInArrow(_settle_contexts(length, kmer), _FOUND_DDL)
+    first = _find_anchors(docs.where("doc_id is not null"), buckets, length, kmer).groupBy("bucket").applyInArrow(tidied_group(_settle_contexts(length, kmer)), _FOUND_DDL)
     found = materialize(first, "repeats-found")
     per_doc = found.groupBy("doc_id").agg(F.collect_list("covered").alias("covered"), F.collect_list("borders").alias("borders"))
     partial = materialize(_partial(docs.join(per_doc, "doc_id", "left"), length, kmer), "repeats-partial")
     discard(found)
     done, pending = partial.where("keys is null"), partial.where("keys is not null")
-    more = materialize(_send_borders(pending, buckets, length, kmer).groupBy("bucket").applyInArrow(_settle_borders(length, kmer, refine_over), _FOUND_DDL), "repeats-borders")
+    more = materialize(_send_borders(pending, buckets, length, kmer).groupBy("bucket").applyInArrow(tidied_group(_settle_borders(length, kmer, refine_over)), _FOUND_DDL), "repeats-borders")
     extra = more.groupBy("doc_id").agg(F.flatten(F.collect_list("covered")).alias("extra"))
     rest = pending.join(extra, "doc_id", "left").select("doc_id", "text", "n_bytes", F.concat("cuts", F.coalesce("extra", F.array().cast("array<int>"))).alias("spans"))
     return done.select("doc_id", "text", "n_bytes", F.col("cuts").alias("spans")).unionByName(rest)
@@ -402,7 +402,7 @@ def digest(spans: DataFrame) -> DataFrame:
                 schema,
             )
 
-    return spans.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return spans.mapInArrow(tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -424,7 +424,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kept = rb.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(new, rb.schema.field("text").type) if c == "text" else kept.column(c) for c in names], names=names)
 
-    out = docs.join(spans, docs["doc_id"] == spans["doc_id"], "left").select(*[docs[c] for c in names], "__spans").mapInArrow(run, docs.schema)
+    out = docs.join(spans, docs["doc_id"] == spans["doc_id"], "left").select(*[docs[c] for c in names], "__spans").mapInArrow(tidied(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, WordBatch, chunks, folded_bytes, record_batch
+from .common import LETTERS, WordBatch, chunks, folded_bytes, record_batch, tidied
 
 SAMPLE_ROWS = 3000
 #: A term needs so many toxic documents, so large a share of them, and log-odds of so much, to enter the lexicon.
@@ -286,7 +286,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             s = shared.value.scores(folded_bytes(rb.column("text")))
             yield record_batch({"doc_id": rb.column("doc_id"), "score": s, "predicted": [int(x >= 0.5) for x in s]}, _SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

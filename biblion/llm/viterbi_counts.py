@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch
+from .common import record_batch, tidied
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -130,4 +130,4 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for rb in batches:
             yield record_batch({"doc_id": rb.column("doc_id"), "n_tokens": [counts.count(t.as_py() or "") for t in rb.column("text")]}, _SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, n_tokens long")
