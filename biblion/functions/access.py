@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 # Access vocabularies.
 OPEN_STATUSES = ["diamond", "gold", "hybrid", "green", "bronze", "open"]
-TRUE_WORDS = ["true", "1", "1.0", "yes", "y", "t", "open"]
-FALSE_WORDS = ["false", "0", "0.0", "no", "n", "f", "closed"]
-OPEN_MARKS = r"openaccess|open access|creativecommons|cc[ -]by|cc0|public domain"
-CLOSED_MARKS = r"closedaccess|closed access|restricted|embargo|metadata only"
+TRUE_WORDS = ["1", "true", "yes", "y", "t"]
+FALSE_WORDS = ["0", "false", "no", "n", "f"]
+ITEM_OPEN_MARKS = ["cc-by", "cc by", "creative commons", "openaccess", "open access"]
+ITEM_CLOSED_MARKS = ["closedaccess", "closed access"]
+OAI_OPEN_MARKS = ["openaccess", "open access", "creativecommons.org/licenses/", "creativecommons.org/publicdomain/"]
+OAI_CLOSED_MARKS = ["closedaccess", "closed access", "restrictedaccess"]
+OAI_OPEN_SET = "open_access"
 STATUS_ORDER = ["diamond", "gold", "hybrid", "green", "bronze", "open", "closed", "unknown"]
 # End of the fixed values.
 
@@ -24,16 +27,25 @@ def reconciled(is_oa: Column, status: Column) -> Column:
 
 
 def flag_label(c: Column) -> Column:
-    """Open, Closed or Unknown from any spelling of a flag."""
+    """Open access, Closed or Unknown from any spelling of a flag."""
     s = F.lower(F.trim(F.coalesce(c.cast("string"), F.lit(""))))
-    return F.when(s.isin(TRUE_WORDS), "Open").when(s.isin(FALSE_WORDS), "Closed").otherwise("Unknown")
+    return F.when(s.isin(TRUE_WORDS), "Open access").when(s.isin(FALSE_WORDS), "Closed").otherwise("Unknown")
 
 
-def from_rights(rights: Column, closed_first: bool = True) -> Column:
-    """true, false or null from a rights statement; which side wins a mixed one is a parameter."""
+def _holds(c: Column, marks: list[str]) -> Column:
+    return F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(c, m))
+
+
+def item_rights(rights: Column) -> Column:
+    """true, false or null from a repository item's rights; a closed mark wins a mixed statement."""
+    s = F.lower(F.coalesce(rights, F.lit("")))
+    return F.when(_holds(s, ITEM_CLOSED_MARKS), False).when(_holds(s, ITEM_OPEN_MARKS), True)
+
+
+def oai_rights(rights: Column, sets: Column) -> Column:
+    """true, false or null from a harvested record's rights and sets; an open mark wins."""
     s = F.lower(F.coalesce(rights, F.lit("")))
-    is_open, is_closed = s.rlike(OPEN_MARKS), s.rlike(CLOSED_MARKS)
-    return F.when(is_closed, False).when(is_open, True) if closed_first else F.when(is_open, True).when(is_closed, False)
+    return F.when(F.array_contains(sets, OAI_OPEN_SET) | _holds(s, OAI_OPEN_MARKS), True).when(_holds(s, OAI_CLOSED_MARKS), False)
 
 
 def status_rank(status: Column) -> Column:

@@ -44,10 +44,14 @@ def _fold(text: str) -> str:
     return "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
 
 
+def fold_key(text: str) -> str:
+    return re.sub(r"[^a-z0-9]+", " ", _fold(text).lower()).strip()
+
+
 @F.pandas_udf(StringType())
 def match_key(s: pd.Series) -> pd.Series:
     """Comparison form: accents off, lower case, other than a-z and 0-9 one space."""
-    return s.fillna("").map(lambda x: re.sub(r"[^a-z0-9]+", " ", _fold(x).lower()).strip())
+    return s.fillna("").map(fold_key)
 
 
 @F.pandas_udf(StringType())
@@ -56,6 +60,12 @@ def compact_key(s: pd.Series) -> pd.Series:
     return s.fillna("").map(lambda x: re.sub(r"\s+", "", re.sub(r"[^\w\s]", " ", _fold(x)).lower()))
 
 
+@F.pandas_udf(StringType())
+def word_fold(s: pd.Series) -> pd.Series:
+    """Accents off, lower case, punctuation and white space as single spaces."""
+    return s.fillna("").map(lambda x: re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", _fold(x)).lower()))
+
+
 @F.pandas_udf(BooleanType())
 def similar(a: pd.Series, b: pd.Series) -> pd.Series:
     """Equal compact forms, or a matching-blocks ratio of 0.9; the length bound comes first."""
@@ -113,8 +123,8 @@ def abbreviated(authors: Column) -> Column:
 
 
 def without_orcid(c: Column) -> Column:
-    """A trailing ORCID, bare, labelled or as a link, goes."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)[\s;,(\[]*(?:orcid:?\s*)?(?:https?://orcid\.org/)?\d{4}-\d{4}-\d{4}-\d{3}[\dX][)\]]*\s*$", ""))
+    """A trailing ORCID link after a semicolon goes."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)\s*;\s*https?://orcid\.org/[0-9X-]+\s*$", ""))
 
 
 def slug(c: Column) -> Column:
@@ -130,12 +140,18 @@ def too_short(c: Column, least: int) -> Column:
 
 
 def is_ror(c: Column) -> Column:
-    return F.coalesce(F.trim(c).rlike(r"(?i)^https?://ror\.org/[0-9a-z]+/?$"), F.lit(False))
+    return F.coalesce(F.trim(c).rlike(r"(?i)^https?://ror\.org/[0-9a-z]{9}$"), F.lit(False))
 
 
 def institution_id(c: Column) -> Column:
-    """The bare identifier I<digits> at the end of a path, or null."""
-    return nullify(F.regexp_extract(F.upper(F.trim(c)), r"(?:^|/)(I\d+)/?$", 1))
+    """The bare identifier of an institution's link; other texts as they are, trimmed."""
+    return F.regexp_replace(F.trim(c), r"(?i)^https?://openalex\.org/(I[A-Z0-9]+)$", "$1")
+
+
+def author_token(name: Column) -> Column:
+    """Folded surname of one author: the first word of a comma form, or else the last."""
+    words = F.split(F.trim(word_fold(name)), " +")
+    return F.when(F.contains(name, F.lit(",")), F.get(words, F.lit(0))).otherwise(F.element_at(words, -1))
 
 
 def text_hash(c: Column) -> Column:

@@ -24,7 +24,8 @@ def with_share(rows: DataFrame, value: str, share: str = "share", digits: int =
 def goal_share(rows: DataFrame, formatted: str, order: str, least: float = LEAST_PERCENT) -> DataFrame:
     """code, label, total and share of the percentages at or above ``least``."""
     one = rows.select(F.col(order).alias("_ord"), F.posexplode(goals.lines(F.col(formatted))).alias("_i", "g")).select("_ord", "_i", "g.*").where(F.col("pct") >= least)
-    sums = one.groupBy("code").agg(F.sum("pct").alias("total"), F.min_by("name", F.struct("_ord", "_i")).alias("label"))
+    label = F.concat(F.lit("SDG "), "code", F.when(F.col("name") != "", F.concat(F.lit(" ("), "name", F.lit(")"))).otherwise(""))
+    sums = one.groupBy("code").agg(F.sum("pct").alias("total"), F.min_by(label, F.struct("_ord", "_i")).alias("label"))
     return with_share(sums, "total")
 
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import records as lists
 from ..functions import text
-from ..functions.access import OPEN_STATUSES, reconciled
+from ..functions.access import OPEN_STATUSES
 
 REPLACED = ("record_url", "openalex_id", "publication_date", "doi", "type", "language")
 LONGEST = ("title", "abstract", "authors")
@@ -40,6 +41,9 @@ def merge_canonical(current: DataFrame, incoming: DataFrame) -> DataFrame:
     open_ = F.coalesce(F.col("n.is_oa"), F.lit(False)) | F.coalesce(F.col("o.is_oa"), F.lit(False))
     closed = (F.col("n.is_oa") == F.lit(False)) | (F.col("o.is_oa") == F.lit(False))
     specific = [F.when(F.col(f"{s}.oa_status").isin([x for x in OPEN_STATUSES if x != "open"]) & F.col(f"{s}.is_oa"), F.col(f"{s}.oa_status")) for s in ("o", "n")]
+    update = {"institution_affiliations_json": lists.updated_affiliations, "source_provenance_json": lists.updated_provenance}
+    kept = {c: f(*reversed(sides(c))) for c, f in update.items() if c in current.columns and c in incoming.columns}
+    kept |= {c: text.merged(*reversed(sides(c))) for c in ("source", "source_record_id", "source_record_keys", "record_urls") if c in current.columns and c in incoming.columns}
     return both.select(
         F.coalesce(*sides("publication_key")).alias("publication_key"),
         *[filled(*sides(c)).alias(c) for c in REPLACED],
@@ -47,12 +51,17 @@ def merge_canonical(current: DataFrame, incoming: DataFrame) -> DataFrame:
         *[text.merged(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c) for c in UNITED],
         F.when(open_, True).when(closed, False).alias("is_oa"),
         F.when(open_, F.coalesce(*specific, F.lit("open"))).when(closed, "closed").otherwise("unknown").alias("oa_status"),
-        F.greatest(*sides("source_count")).alias("source_count"),
+        *[made.alias(c) for c, made in kept.items()],
+        F.greatest(*sides("source_count"), F.lit(1)).alias("source_count"),
     )
 
 
-def upsert_latest(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``incoming`` replace those of equal keys (last wins, re-pointing included)."""
+def upsert_latest(current: DataFrame, incoming: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Rows of ``incoming`` replace those of equal keys (re-pointing included). Where it may hold
+    a key twice, ``order`` names the column whose greatest value wins."""
+    if order:
+        rest = [c for c in incoming.columns if c not in keys]
+        incoming = incoming.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
     return current.join(incoming.select(*keys).distinct(), keys, "left_anti").unionByName(incoming)
 
 
@@ -75,9 +84,11 @@ def provenance(records: DataFrame) -> DataFrame:
 
 
 def repair_access(rows: DataFrame) -> DataFrame:
-    """Flag and status of stored rows made consistent."""
-    pair = reconciled(F.col("is_oa").cast("boolean"), F.col("oa_status"))
-    return rows.withColumn("_p", pair).withColumns({"is_oa": F.col("_p.is_oa"), "oa_status": F.col("_p.oa_status")}).drop("_p")
+    """Contradictory flags and statuses of stored rows repaired; what agrees, or says nothing, stays as it is."""
+    told, flag = F.lower(F.trim(F.coalesce("oa_status", F.lit("")))), F.col("is_oa").cast("boolean")
+    status = F.when(flag & ~told.isin(OPEN_STATUSES), "open").when(~flag & (told != "closed"), "closed").otherwise(F.col("oa_status"))
+    made = F.when(flag.isNotNull(), flag).when(told.isin(OPEN_STATUSES), True).when(told == "closed", False)
+    return rows.withColumns({"is_oa": made, "oa_status": status})
 
 
 def add_missing(current: DataFrame, legacy: DataFrame, keys: list[str]) -> DataFrame:

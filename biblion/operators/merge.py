@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates, text
+from ..functions import dates, records, text
 from ..functions.access import OPEN_STATUSES, reconciled
 
 # Preference of publication types.
@@ -49,13 +49,13 @@ def ordered(c: Column, order: str = "_ord") -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), c.alias("v")))), lambda x: x["v"])
 
 
-def merge_publications(records: DataFrame) -> DataFrame:
+def merge_publications(source_records: DataFrame) -> DataFrame:
     """Source records with ``publication_key`` and arrival ordinal ``_ord`` -> canonical rows.
 
     Records without a key go. Repeated records count once per occurrence in the provenance.
     """
     pair = reconciled(F.col("is_oa"), F.col("oa_status"))
-    rows = records.where(F.coalesce("publication_key", F.lit("")) != "").withColumns({"_flag": pair["is_oa"], "_status": pair["oa_status"]})
+    rows = source_records.where(F.coalesce("publication_key", F.lit("")) != "").withColumns({"_flag": pair["is_oa"], "_status": pair["oa_status"]})
     named = (F.col("_status").isin([s for s in OPEN_STATUSES if s != "open"])) & F.col("_flag")
     fields = ["source", "source_label", "source_record_id", "source_record_key", "record_url"]
     out = rows.groupBy("publication_key").agg(
@@ -70,16 +70,18 @@ def merge_publications(records: DataFrame) -> DataFrame:
         first_filled("record_url"),
         F.bool_or("_flag").alias("is_oa"),
         F.min_by(F.when(named, F.col("_status")), F.when(named, F.col("_ord"))).alias("_named"),
-        *[F.array_join(F.array_distinct(F.flatten(ordered(text.parts(F.col(c))))), "; ").alias(c) for c in LISTS],
+        *[F.when(F.count("*") > 1, F.array_join(F.array_distinct(F.flatten(ordered(text.parts(F.col(c))))), "; ")).otherwise(F.first(F.coalesce(c, F.lit("")))).alias(c) for c in LISTS],
+        F.min_by(F.coalesce("source_label", F.lit("")), "_ord").alias("source_label"),
+        ordered(F.coalesce("institution_affiliations_json", F.lit("[]"))).alias("_aff"),
         *[F.array_join(F.array_distinct(F.filter(ordered(F.coalesce(F.col(c), F.lit(""))), lambda x: x != "")), "; ").alias(n) for c, n in (("source", "source"), ("source_record_id", "source_record_id"), ("source_record_key", "source_record_keys"), ("record_url", "record_urls"))],
         F.count_distinct("source").cast("int").alias("source_count"),
         F.to_json(ordered(F.struct(*fields))).alias("source_provenance_json"),
     )
     status = F.when(F.col("is_oa"), F.coalesce("_named", F.lit("open"))).when(~F.col("is_oa"), "closed").otherwise("unknown")
-    return out.withColumn("oa_status", status).drop("_named")
+    return out.withColumns({"oa_status": status, "institution_affiliations_json": records.united_affiliations("_aff")}).drop("_named", "_aff")
 
 
-def duplicates_removed(records: DataFrame) -> DataFrame:
+def duplicates_removed(source_records: DataFrame) -> DataFrame:
     """One row: records less groups (keyless records count as removed)."""
     key = F.nullif(F.col("publication_key"), F.lit(""))
-    return records.agg((F.count("*") - F.count_distinct(key)).alias("duplicates_removed"))
+    return source_records.agg((F.count("*") - F.count_distinct(key)).alias("duplicates_removed"))

@@ -121,7 +121,7 @@ def match_normalized_text(table):
 
 
 @query("""
-WITH c AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'Open' WHEN 'O' THEN 'Closed' ELSE 'Unknown' END AS access, count(*) AS n FROM orders GROUP BY 1)
+WITH c AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'Open access' WHEN 'O' THEN 'Closed' ELSE 'Unknown' END AS access, count(*) AS n FROM orders GROUP BY 1)
 SELECT access, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 6) AS share FROM c""")
 def access_ring(table):
     flag = F.when(F.col("o_orderstatus") == "F", "yes").when(F.col("o_orderstatus") == "O", "FALSE ")
@@ -137,7 +137,7 @@ def type_distribution(table):
 
 @query("""
 WITH r AS (SELECT event_id, CAST(round_even(value % 1.0 * 100, 0) AS BIGINT) AS pct, CAST(user_id % 17 + 1 AS VARCHAR) AS code FROM events),
-k AS (SELECT code, CAST(sum(pct) AS DOUBLE) AS total, 'Goal ' || code AS label FROM r WHERE pct >= 3 GROUP BY 1)
+k AS (SELECT code, CAST(sum(pct) AS DOUBLE) AS total, 'SDG ' || code || ' (Goal ' || code || ')' AS label FROM r WHERE pct >= 3 GROUP BY 1)
 SELECT code, total, label, round(total * 100.0 / sum(total) OVER (), 6) AS share FROM k""")
 def sdg_share(table):
     code = (F.col("user_id") % 17 + 1).cast("string")
@@ -226,7 +226,7 @@ def names_and_flags(table):
 @query("""
 WITH x AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS f, CASE o_orderstatus WHEN 'F' THEN 'gold' WHEN 'O' THEN 'closed' ELSE '' END AS s FROM orders),
 y AS (SELECT o_orderkey, s, coalesce(f, CASE s WHEN 'gold' THEN TRUE WHEN 'closed' THEN FALSE END) AS is_oa FROM x)
-SELECT o_orderkey, CAST(is_oa AS VARCHAR) AS is_oa, CASE WHEN is_oa THEN CASE s WHEN 'gold' THEN 'gold' ELSE 'open' END WHEN NOT is_oa THEN 'closed' ELSE 'unknown' END AS oa_status FROM y""")
+SELECT o_orderkey, CAST(is_oa AS VARCHAR) AS is_oa, CASE WHEN is_oa THEN CASE s WHEN 'gold' THEN 'gold' ELSE 'open' END WHEN NOT is_oa THEN 'closed' ELSE s END AS oa_status FROM y""")
 def oa_repair(table):
     flag = F.when(F.col("o_orderkey") % 3 == 0, True).when(F.col("o_orderkey") % 3 == 1, False)
     status = F.when(F.col("o_orderstatus") == "F", "gold").when(F.col("o_orderstatus") == "O", "closed").otherwise("")

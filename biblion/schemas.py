@@ -13,15 +13,56 @@ SOURCE_RECORD = T.StructType([T.StructField(f, T.BooleanType() if f == "is_oa" e
 
 # Export columns, in order.
 EXPORT_COLUMNS = (
-    "publication_key source source_record_id source_record_keys record_url record_urls openalex_id title publication_date doi type language is_oa oa_status"
-    " authors institutions institution_ids institution_countries institution_names_raw institution_affiliations_json abstract source_count source_provenance_json"
-    " sdg_model sdg_formatted sdg_note"
+    "publication_key source source_count source_record_id source_record_keys record_url record_urls openalex_id authors title publication_date doi type language"
+    " is_oa oa_status institutions institution_ids institution_countries institution_names_raw abstract"
+    " sdg_model sdg_response sdg_formatted sdg_note source_provenance_json"
 ).split()
 # Types that repositories name in other words.
 OAI_TYPES = {
-    "bookpart": "book-chapter", "phdthesis": "dissertation", "doctoralthesis": "dissertation", "masterthesis": "dissertation", "bachelorthesis": "dissertation", "conferenceobject": "proceedings-article",
-    "conferencepaper": "proceedings-article", "workingpaper": "report", "article": "article", "journalarticle": "article", "book": "book", "report": "report", "preprint": "preprint", "review": "review", "dataset": "dataset",
-}
-DSPACE_TYPES = {"journalarticle": "article", "article": "article", "book": "book", "bookchapter": "book-chapter", "bookpart": "book-chapter", "conferencepaper": "proceedings-article", "artisticwork": "artistic-work", "artistic": "artistic-work"}
+    "article": "article",
+    "journalarticle": "article",
+    "contributiontoperiodical": "article",
+    "book": "book",
+    "monograph": "book",
+    "monography": "book",
+    "editedcollection": "book",
+    "bookpart": "book-chapter",
+    "bookchapter": "book-chapter",
+    "monographchapter": "book-chapter",
+    "conferenceobject": "proceedings-article",
+    "conferencepaper": "proceedings-article",
+    "proceedingsarticle": "proceedings-article",
+    "workingpaper": "report",
+    "report": "report",
+    "phdthesis": "dissertation",
+    "doctoralthesis": "dissertation",
+    "masterthesis": "dissertation",
+    "bachelorthesis": "dissertation",
+    "researchdata": "dataset",
+    "dataset": "dataset",
+    "recension": "review",
+    "review": "review",
+    "preprint": "preprint",
+    "other": "other",
+    "periodical": "other",
+    "periodicalpart": "other",
+}
+DSPACE_TYPES = {
+    "journalarticle": "article",
+    "article": "article",
+    "monography": "book",
+    "monograph": "book",
+    "book": "book",
+    "monographychapter": "book-chapter",
+    "monographchapter": "book-chapter",
+    "bookchapter": "book-chapter",
+}
+ENTITY_KINDS = {"artistic": "artistic-work", "article": "article", "book": "book"}
 ENTITY_TYPES = {"article": "Article", "book": "Book", "book-chapter": "Book", "artistic-work": "Artistic"}
+DEFAULT_ENTITIES = ("Article", "Book", "Artistic")
+# Publication types that sources offer.
+WORK_TYPES = "article book book-chapter proceedings-article proceedings reference-entry report dissertation dataset software review editorial letter standard other".split()
+OAI_WORK_TYPES = "article book book-chapter proceedings-article report dissertation dataset review preprint other".split()
+# Fields that the works API is asked for.
+WORK_FIELDS = "id display_name title publication_date doi abstract_inverted_index type language open_access authorships".split()
 # End of the fixed values.

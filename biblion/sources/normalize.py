@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pandas as pd
@@ -9,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions import access, text
+from ..functions import access, records, text
 from ..operators.merge import publication_key
-from ..schemas import DSPACE_TYPES, OAI_TYPES, SOURCE_FIELDS
+from ..schemas import DSPACE_TYPES, ENTITY_KINDS, OAI_TYPES, SOURCE_FIELDS
 
 WORK = """id string, display_name string, title string, publication_date string, doi string, type string, language string,
 open_access struct<is_oa:boolean,oa_status:string>,
@@ -50,10 +51,26 @@ def _words(a: Column) -> Column:
     return text.joined(F.array_distinct(F.filter(cleaned, lambda x: x != "")))
 
 
-def _mapped(values: Column, table: dict[str, str], default: str) -> Column:
-    lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    found = F.filter(F.transform(values, lambda x: F.try_element_at(lookup, F.regexp_replace(F.lower(x), "[^a-z]", ""))), lambda x: x.isNotNull())
-    return F.coalesce(F.get(found, F.lit(0)), F.lit(default))
+def _packed(a: Column) -> Column:
+    """Trimmed, non-empty texts of an array, repeats included, as a semicolon list."""
+    return text.joined(F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != ""))
+
+
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+def _mapped(values: Column, table: dict[str, str]) -> Column:
+    """The first of the values that the table knows, compared without marks and case; null if none."""
+    found = F.transform(values, lambda x: _lookup(table, F.regexp_replace(F.lower(x), "[^a-z0-9]", "")))
+    return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
+
+
+def _doi_link(token: Column) -> Column:
+    return F.when(token != "", F.concat(F.lit("https://doi.org/"), token)).otherwise("")
+
+
+AFFILIATIONS = "array<struct<id:string,name:string,country:string>>"
 
 
 def _records(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
@@ -67,28 +84,32 @@ def _records(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
 
 def works(raw: DataFrame) -> DataFrame:
     """raw (source, label, payload, _ord) of works as JSON; those without an id go."""
-    rows = raw.withColumn("w", F.from_json("payload", WORK)).where("w.id is not null and w.id <> ''")
+    rows = raw.withColumn("w", F.from_json("payload", WORK)).where("trim(w.id) <> ''")
     w = F.col("w")
-    tail = F.element_at(F.split(w["id"], "/"), -1)
+    tail = F.element_at(F.split(F.regexp_replace(F.trim(w["id"]), "/+$", ""), "/"), -1)
     places = F.flatten(F.transform(F.coalesce(w["authorships"], F.array()), lambda a: F.coalesce(a["institutions"], F.array())))
+    told = F.transform(places, lambda p: F.struct(*[F.trim(F.coalesce(c, F.lit(""))).alias(n) for n, c in (("id", p["id"]), ("name", p["display_name"]), ("country", F.upper(p["country_code"])))]))
+    rows = rows.withColumn("_aff", records.united_affiliations(F.array(F.coalesce(F.to_json(told), F.lit("[]")))))
+    seen = F.from_json("_aff", AFFILIATIONS)
     index = F.get_json_object("payload", "$.abstract_inverted_index")
     return _records(rows, {
         "source_record_id": tail,
         "source_record_key": F.concat(F.lit("openalex:"), tail),
         "record_url": w["id"],
         "openalex_id": w["id"],
-        "title": text.clean_html(F.coalesce(text.nullify(w["display_name"]), w["title"])),
+        "title": F.coalesce(text.nullify(w["display_name"]), w["title"], F.lit("")),
         "publication_date": F.coalesce(w["publication_date"], F.lit("")),
-        "doi": text.doi(w["doi"]),
+        "doi": _doi_link(text.doi(w["doi"])),
         "type": F.coalesce(w["type"], F.lit("")),
         "language": F.coalesce(w["language"], F.lit("")),
         "is_oa": w["open_access"]["is_oa"],
         "oa_status": w["open_access"]["oa_status"],
-        "authors": _words(F.transform(w["authorships"], lambda a: a["author"]["display_name"])),
-        "institutions": _words(F.transform(places, lambda p: p["display_name"])),
-        "institution_ids": _words(F.transform(places, lambda p: p["id"])),
-        "institution_countries": _words(F.transform(places, lambda p: p["country_code"])),
-        "institution_affiliations_json": F.to_json(F.array_distinct(F.transform(places, lambda p: F.struct(p["id"].alias("id"), p["display_name"].alias("name"), p["country_code"].alias("country"))))),
+        "authors": _packed(F.transform(w["authorships"], lambda a: a["author"]["display_name"])),
+        "institutions": text.joined(F.array_distinct(F.filter(seen["name"], lambda x: x != ""))),
+        "institution_ids": text.joined(F.filter(seen["id"], lambda x: x != "")),
+        "institution_countries": text.joined(seen["country"]),
+        "institution_names_raw": text.joined(seen["name"]),
+        "institution_affiliations_json": F.col("_aff"),
         "abstract": abstract_of_index(index),
     })
 
@@ -106,30 +127,54 @@ def _longest(a: Column) -> Column:
     return F.aggregate(a, F.lit(""), lambda s, x: F.when(F.length(x) > F.length(s), x).otherwise(s))
 
 
+@F.pandas_udf(StringType())
+def stable_affiliations(source: pd.Series, names: pd.Series) -> pd.Series:
+    """JSON list of affiliations of a source's institution names; ids come from the folded names."""
+
+    def one(s: str, found) -> str:
+        ids = [hashlib.sha256(text.fold_key(n).encode()).hexdigest()[:16] for n in found]
+        return json.dumps([{"id": f"dspace-affiliation:{s}:{i}", "name": n, "country": ""} for i, n in zip(ids, found, strict=True)], ensure_ascii=False)
+
+    return pd.Series([one(s, [] if n is None else n) for s, n in zip(source, names, strict=True)], dtype=object)
+
+
 def items(raw: DataFrame) -> DataFrame:
     """raw (source, label, payload, _ord) of repository search objects as JSON; those without an id go."""
     o = F.col("o")
     rows = raw.withColumn("o", F.from_json("payload", ITEM)["_embedded"]["indexableObject"]).withColumn("rid", F.coalesce(text.nullify(o["uuid"]), text.nullify(o["id"]))).where("rid is not null")
     m = F.coalesce(o["metadata"], F.create_map().cast("map<string,array<struct<value:string,language:string>>>"))
-    spoken = _first(_values(m, "dc.language", "dc.language.iso"))
+    spoken = _first(_values(m, "dc.language"))
     prefixes = ("dc.abstract", "dc.description.abstract")
     found = [_longest(_values(m, f"{p}.{k}")) for k in ("en", "pl", "author") for p in prefixes]
-    own = [_longest(F.transform(F.coalesce(F.try_element_at(m, F.concat(F.lit(f"{p}."), spoken)), F.array()), lambda v: F.coalesce(v["value"], F.lit("")))) for p in prefixes]
+    own = [_longest(F.transform(F.coalesce(F.try_element_at(m, F.concat(F.lit(f"{p}."), F.lower(spoken))), F.array()), lambda v: F.coalesce(v["value"], F.lit("")))) for p in prefixes]
     bare = [_longest(_values(m, p)) for p in prefixes]
-    rights = F.array_join(_values(m, "dc.rights", "dc.rights.uri"), " ")
+    other = F.filter(F.array_sort(F.map_keys(m)), lambda k: F.startswith(k, F.lit(f"{prefixes[0]}.")) | F.startswith(k, F.lit(f"{prefixes[1]}.")))
+    rest = F.get(F.filter(F.transform(other, lambda k: _longest(F.transform(F.coalesce(m[k], F.array()), lambda v: F.coalesce(v["value"], F.lit(""))))), lambda x: x != ""), F.lit(0))
+    rights = F.array_join(_values(m, "dc.rights"), " ")
+    entity = F.trim(F.coalesce(o["entityType"], F.lit("")))
+    kind = F.coalesce(_mapped(F.slice(F.filter(_values(m, "dc.type"), lambda x: F.trim(x) != ""), 1, 1), DSPACE_TYPES), _lookup(ENTITY_KINDS, F.lower(entity)), text.nullify(text.slug(entity)), F.lit("other"))
+    places = F.array_distinct(F.filter(F.transform(_values(m, "dc.affiliation"), text.collapse), lambda x: x != ""))
+    known = [c for c in ("home",) if c in raw.columns]  # public address of the repository, where the reader gives it
+    handle = F.when(F.trim(F.coalesce(o["handle"], F.lit(""))) != "", F.concat(*[F.col(c) for c in known], F.lit("/handle/"), F.trim(o["handle"]))) if known else F.lit(None).cast("string")
+    rows = rows.withColumn("_aff", stable_affiliations(F.col("source"), places))
+    named = F.from_json("_aff", AFFILIATIONS)
     return _records(rows, {
         "source_record_id": F.col("rid"),
         "source_record_key": F.concat(F.lit("dspace:"), F.col("source"), F.lit(":"), F.col("rid")),
-        "record_url": _first(_values(m, "dc.identifier.uri", "dc.identifier.weblink")),
-        "title": text.clean_html(F.coalesce(text.nullify(_first(_values(m, "dc.title"))), o["name"])),
+        "record_url": F.coalesce(text.nullify(_first(_values(m, "dc.identifier.uri"))), handle, F.lit("")),
+        "title": text.clean_html(F.coalesce(text.nullify(F.trim(o["name"])), _first(_values(m, "dc.title")))),
         "publication_date": _first(_values(m, "dc.date.issued")),
-        "doi": text.first_doi(_values(m, "dc.identifier.doi", "dc.identifier.uri", "dc.identifier.weblink")),
-        "type": _mapped(F.concat(_values(m, "dc.type"), F.array(F.coalesce(o["entityType"], F.lit("")))), DSPACE_TYPES, "other"),
+        "doi": _doi_link(text.first_doi(_values(m, "dc.identifier.doi", "dc.identifier.uri", "dc.identifier.weblink"))),
+        "type": kind,
         "language": spoken,
-        "is_oa": access.from_rights(rights, closed_first=True),
-        "authors": _words(_values(m, "dc.contributor.author")),
-        "institution_names_raw": _words(_values(m, "dc.affiliation")),
-        "abstract": text.clean_html(F.coalesce(*[text.nullify(c) for c in (*own, *found, *bare)], F.lit(""))),
+        "is_oa": access.item_rights(rights),
+        "authors": _packed(_values(m, "dc.contributor.author")),
+        "institutions": text.joined(named["name"]),
+        "institution_ids": text.joined(named["id"]),
+        "institution_countries": text.joined(named["country"]),
+        "institution_names_raw": text.joined(named["name"]),
+        "institution_affiliations_json": F.col("_aff"),
+        "abstract": text.clean_html(F.coalesce(*[text.nullify(c) for c in (*own, *found, *bare)], rest, F.lit(""))),
     })
 
 
@@ -147,24 +192,26 @@ def oai(raw: DataFrame) -> DataFrame:
     header = F.get(F.xpath("payload", F.lit("//*[local-name()='header']/*[local-name()='identifier']/text()")), F.lit(0))
     gone = F.coalesce(F.get(F.xpath("payload", F.lit("//*[local-name()='header']/@status")), F.lit(0)), F.lit("")) == "deleted"
     rows = safe_xml(raw).withColumn("rid", F.trim(header)).where((F.col("rid") != "") & ~gone)
-    ids, rights = _xpath("identifier"), F.array_join(F.concat(_xpath("rights"), _xpath("setSpec")), " ")
-    links = F.filter(ids, lambda x: x.rlike("^https?://"))
-    plain = F.filter(links, lambda x: ~x.rlike("(?i)doi\\.org|nbn-resolving|/files/"))
-    url = F.coalesce(F.get(F.filter(links, lambda x: F.contains(x, F.lit("/frontdoor/"))), F.lit(0)), F.get(plain, F.lit(0)), F.get(links, F.lit(0)), F.lit(""))
-    english = F.xpath("payload", F.lit("//*[local-name()='description'][starts-with(@*[local-name()='lang'],'en')]/text()"))
+    ids = _xpath("identifier", "text()[not(ancestor::*[local-name()='header'])]")
+    sets, rights = F.transform(_xpath("setSpec"), lambda x: F.trim(x)), F.array_join(_xpath("rights"), " ")
+    links = F.filter(ids, lambda x: x.rlike("(?i)^https?://"))
+    plain = F.filter(links, lambda x: ~x.rlike("(?i)doi\\.org/|nbn-resolving\\.org/|/files/"))
+    url = F.coalesce(F.get(F.filter(links, lambda x: F.contains(F.lower(x), F.lit("/frontdoor/"))), F.lit(0)), F.get(plain, F.lit(0)), F.get(links, F.lit(0)), F.lit(""))
+    english = F.xpath("payload", F.lit("//*[local-name()='description'][@*[local-name()='lang' and (.='en' or .='eng' or .='EN' or .='ENG' or .='En' or .='Eng')]]/text()"))
     abstract = F.when(F.size(english) > 0, _longest(english)).otherwise(_longest(_xpath("description")))
-    kinds = F.concat(_xpath("type"), F.transform(F.filter(_xpath("setSpec"), lambda x: x.startswith("doc-type:")), lambda x: F.regexp_replace(x, "^doc-type:", "")))
+    kinds = F.concat(_xpath("type"), F.transform(F.filter(sets, lambda x: x.startswith("doc-type:")), lambda x: F.regexp_replace(x, "^doc-type:", "")))
     return _records(rows, {
         "source_record_id": F.col("rid"),
         "source_record_key": F.concat(F.lit("oai:"), F.col("source"), F.lit(":"), F.col("rid")),
         "record_url": url,
         "title": text.clean_html(_first(_xpath("title"))),
         "publication_date": _first(_xpath("date")),
-        "doi": text.first_doi(ids),
-        "type": _mapped(kinds, OAI_TYPES, "other"),
+        "doi": _doi_link(text.first_doi(ids)),
+        "type": F.coalesce(_mapped(F.transform(kinds, lambda x: F.regexp_replace(F.lower(x), "^doc-type:", "")), OAI_TYPES), F.lit("other")),
         "language": _first(_xpath("language")),
-        "is_oa": access.from_rights(rights, closed_first=False),
+        "is_oa": access.oai_rights(rights, sets),
         "authors": _words(F.transform(_xpath("creator"), text.without_orcid)),
+        "institution_affiliations_json": F.lit("[]"),
         "abstract": text.clean_html(abstract),
     })
 

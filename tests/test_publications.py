@@ -17,9 +17,9 @@ def one(spark, *columns):
 
 
 def test_text_functions(spark):
-    r = one(spark, text.doi(F.lit("https://doi.org/10.1234/AbC.5.,")), text.first_doi(F.array(F.lit("x"), F.lit("DOI: 10.1000/Q"))), text.without_orcid(F.lit("Doe, Jo 0000-0001-2345-678X")), text.slug(F.lit("  A & b! ")), text.merged(F.lit("b; a"), F.lit("a; c;")), text.abbreviated(F.lit("A B; C D")))
+    r = one(spark, text.doi(F.lit("https://doi.org/10.1234/AbC.5.,")), text.first_doi(F.array(F.lit("x"), F.lit("DOI: 10.1000/Q"))), text.without_orcid(F.lit("Doe, Jo; https://orcid.org/0000-0001-2345-678X")), text.slug(F.lit("  A & b! ")), text.merged(F.lit("b; a"), F.lit("a; c;")), text.abbreviated(F.lit("A B; C D")))
     assert list(r) == ["10.1234/abc.5", "10.1000/q", "Doe, Jo", "a-b", "b; a; c", "A B et al."]
-    r = one(spark, text.match_key(F.lit("Éa  — ß!")), text.compact_key(F.lit("Żó łć")), text.similar(F.lit("abcdefghij"), F.lit("abcdefghix")), text.clean_html(F.lit("a &amp; <b>b</b>")), text.too_short(F.lit("a b"), 3), text.institution_id(F.lit("https://x.org/I12/")))
+    r = one(spark, text.match_key(F.lit("Éa  — ß!")), text.compact_key(F.lit("Żó łć")), text.similar(F.lit("abcdefghij"), F.lit("abcdefghix")), text.clean_html(F.lit("a &amp; <b>b</b>")), text.too_short(F.lit("a b"), 3), text.institution_id(F.lit(" https://openalex.org/I12")))
     assert list(r) == ["ea", "zołc", True, "a & b", True, "I12"]
 
 
@@ -29,21 +29,21 @@ def test_dates(spark):
 
 
 def test_access_and_goals(spark):
-    r = one(spark, access.reconciled(F.lit(None).cast("boolean"), F.lit("Gold")), access.reconciled(F.lit(False), F.lit("gold")), access.flag_label(F.lit(" TRUE ")), access.from_rights(F.lit("openAccess, restricted")), access.from_rights(F.lit("openAccess, restricted"), False))
-    assert tuple(r[0]) == (True, "gold") and tuple(r[1]) == (False, "closed") and list(r)[2:] == ["Open", False, True]
+    r = one(spark, access.reconciled(F.lit(None).cast("boolean"), F.lit("Gold")), access.reconciled(F.lit(False), F.lit("gold")), access.flag_label(F.lit(" TRUE ")), access.item_rights(F.lit("openAccess, closed access")), access.oai_rights(F.lit("openAccess, restrictedAccess"), F.array(F.lit("x"))), access.oai_rights(F.lit(""), F.array(F.lit("open_access"))))
+    assert tuple(r[0]) == (True, "gold") and tuple(r[1]) == (False, "closed") and list(r)[2:] == ["Open access", False, True, True]
     body = json.dumps({"predictions": [{"prediction": 0.845, "sdg": {"code": "4", "name": "Q (x)"}}, None, {"prediction": "bad", "sdg": {"code": "1"}}, {"prediction": 0.9, "sdg": {"code": "2", "name": ""}}]})
     r = one(spark, goals.ranked_text(F.lit(body)), goals.lines(F.lit("84% SDG 4 (Quality)\nnoise")), goals.ranked_text(F.lit("[]")))
     assert r[0].split("\n") == ["90% SDG 2", "84% SDG 4 (Q (x))"] and [tuple(x) for x in r[1]] == [(84.0, "4", "Quality")] and r[2] == ""
 
 
-WORK = {"id": "https://api.org/W1", "display_name": "A <i>title</i>", "publication_date": "2024-01-02", "doi": "https://doi.org/10.1/X", "type": "article", "language": "en", "open_access": {"is_oa": True, "oa_status": "gold"}, "abstract_inverted_index": {"b": [1], "a": [0, 2], "bad": "x", "c": [1]}, "authorships": [{"author": {"display_name": "Jo Doe"}, "institutions": [{"id": "I1", "display_name": "U", "country_code": "PL"}]}]}
-RECORD = """<record><header><identifier>oai:x:1</identifier><setSpec>doc-type:bookPart</setSpec></header><metadata><dc><title xml:lang="de">Titel</title><creator>Doe, Jo 0000-0001-2345-6789</creator>
+WORK = {"id": "https://api.org/W1", "display_name": "A <i>title</i>", "publication_date": "2024-01-02", "doi": "https://doi.org/10.1234/X", "type": "article", "language": "en", "open_access": {"is_oa": True, "oa_status": "gold"}, "abstract_inverted_index": {"b": [1], "a": [0, 2], "bad": "x", "c": [1]}, "authorships": [{"author": {"display_name": "Jo Doe"}, "institutions": [{"id": "I1", "display_name": "U", "country_code": "PL"}]}]}
+RECORD = """<record><header><identifier>oai:x:1</identifier><setSpec>doc-type:bookPart</setSpec></header><metadata><dc><title xml:lang="de">Titel</title><creator>Doe, Jo; https://orcid.org/0000-0001-2345-6789</creator>
 <description xml:lang="de">ein langer Text hier</description><description xml:lang="en">short text</description><date>2023-05</date><identifier>https://doi.org/10.5555/AB</identifier><identifier>https://r.org/frontdoor/1</identifier><rights>info:eu-repo/semantics/openAccess</rights></dc></metadata></record>"""
 
 
 def test_normalize_works(spark):
     r = normalize.works(spark.createDataFrame([("api", "API", json.dumps(WORK), 0), ("api", "API", "{}", 1)], RAW)).collect()
-    assert len(r) == 1 and (r[0]["title"], r[0]["abstract"], r[0]["publication_key"], r[0]["is_oa"], r[0]["oa_status"]) == ("A title", "a b c a", "doi:10.1/x" if r[0]["doi"] else r[0]["publication_key"], True, "gold")
+    assert len(r) == 1 and (r[0]["title"], r[0]["abstract"], r[0]["publication_key"], r[0]["is_oa"], r[0]["oa_status"]) == ("A <i>title</i>", "a b c a", "doi:10.1234/x", True, "gold")
     assert r[0]["source_record_key"] == "openalex:W1" and r[0]["authors"] == "Jo Doe" and r[0]["institution_countries"] == "PL"
 
 
@@ -52,14 +52,15 @@ def test_normalize_oai(spark):
     r = normalize.oai(spark.createDataFrame([("o", "O", RECORD, 0), ("o", "O", gone, 1), ("o", "O", "<!DOCTYPE x>" + RECORD, 2)], RAW)).collect()
     assert len(r) == 1
     got = r[0].asDict()
-    assert (got["doi"], got["record_url"], got["authors"], got["abstract"], got["type"], got["is_oa"], got["publication_key"]) == ("10.5555/ab", "https://r.org/frontdoor/1", "Doe, Jo", "short text", "book-chapter", True, "doi:10.5555/ab")
+    assert (got["doi"], got["record_url"], got["authors"], got["abstract"], got["type"], got["is_oa"], got["publication_key"]) == ("https://doi.org/10.5555/ab", "https://r.org/frontdoor/1", "Doe, Jo", "short text", "book-chapter", True, "doi:10.5555/ab")
 
 
 def test_normalize_items(spark):
-    meta = {"dc.abstract.pl": [{"value": "dlugi opis tekstu"}], "dc.abstract.en": [{"value": "an abstract"}], "dc.type": [{"value": "JournalArticle"}], "dc.rights": [{"value": "restricted"}], "dc.identifier.uri": [{"value": "https://doi.org/10.7777/Z"}], "dc.contributor.author": [{"value": "A"}, {"value": "A"}, {"value": "B"}], "dc.date.issued": [{"value": "2022"}]}
+    meta = {"dc.abstract.pl": [{"value": "dlugi opis tekstu"}], "dc.abstract.en": [{"value": "an abstract"}], "dc.type": [{"value": "JournalArticle"}], "dc.rights": [{"value": "closed access"}], "dc.affiliation": [{"value": "Uni Łódź"}], "dc.identifier.uri": [{"value": "https://doi.org/10.7777/Z"}], "dc.contributor.author": [{"value": "A"}, {"value": "A"}, {"value": "B"}], "dc.date.issued": [{"value": "2022"}]}
     body = json.dumps({"_embedded": {"indexableObject": {"uuid": "u1", "name": "N", "metadata": meta}}})
     r = normalize.items(spark.createDataFrame([("d", "D", body, 0)], RAW)).first()
-    assert (r["abstract"], r["type"], r["doi"], r["authors"], r["is_oa"], r["source_record_key"]) == ("an abstract", "article", "10.7777/z", "A; B", False, "dspace:d:u1")
+    assert (r["abstract"], r["type"], r["doi"], r["authors"], r["is_oa"], r["source_record_key"]) == ("an abstract", "article", "https://doi.org/10.7777/z", "A; A; B", False, "dspace:d:u1")
+    assert r["institution_ids"] == "dspace-affiliation:d:" + hashlib.sha256(b"uni odz").hexdigest()[:16] and r["institutions"] == "Uni Łódź" and r["title"] == "N"
 
 
 def test_merge_ignores_partitioning(spark):
