@@ -47,3 +47,8 @@ def year_anywhere(c: Column) -> Column:
 
 def leading_year(c: Column) -> Column:
     return F.regexp_extract(F.coalesce(c, F.lit("")), r"^(\d{4})", 1)
+
+
+def months(begin: Column, end: Column) -> Column:
+    """First days of the months from one date to another; reversed bounds are swapped."""
+    return F.sequence(F.trunc(F.least(begin, end), "month"), F.trunc(F.greatest(begin, end), "month"), F.expr("interval 1 month"))

@@ -78,8 +78,35 @@ def weighted_degree(edge: DataFrame) -> DataFrame:
     return edge.select(F.explode(F.array("a", "b")).alias("label"), "w").groupBy("label").agg(F.sum("w").alias("degree"))
 
 
-def top_nodes(edge: DataFrame, k: int = TOP_NODES) -> DataFrame:
-    return weighted_degree(edge).orderBy(F.desc("degree"), "label").limit(k)
+def top_nodes(edge: DataFrame, k: int = TOP_NODES, query: str = "", origins: list[str] | None = None) -> DataFrame:
+    """The ``k`` labels of greatest degree among those that match ``query``, and the origins in any case."""
+    degree = weighted_degree(edge)
+    kept = F.col("label").isin(origins or [])
+    top = degree.where(labels_matching(F.col("label"), query) | (kept if query.strip() else F.lit(False))).orderBy(F.desc("degree"), "label").limit(k)
+    return top.unionByName(degree.where(kept)).distinct() if origins else top
+
+
+def between(edge: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends among ``nodes`` (label), which are few."""
+    few = F.broadcast(nodes.select("label"))
+    return edge.join(few, edge["a"] == few["label"], "left_semi").join(few, F.col("b") == few["label"], "left_semi")
+
+
+def coverage(rows: DataFrame, ids: str) -> DataFrame:
+    """One row: publications with at least two distinct institutions, and all."""
+    return rows.agg(F.count_if(F.size(F.array_distinct(ids)) >= 2).alias("eligible"), F.count("*").alias("total"))
+
+
+def first_named(rows: DataFrame, identifier: str, name: str, order: str) -> DataFrame:
+    """id, label: the first non-empty name that each id has."""
+    told = F.trim(F.coalesce(name, F.lit(""))) != ""
+    return rows.groupBy(F.col(identifier).alias("id")).agg(F.min_by(F.when(told, F.col(name)), F.when(told, F.col(order))).alias("label"))
+
+
+def pub_day(day: str, year: str | None = None) -> Column:
+    """A row's date, whole or partial from its start; where there is none, the start of its year."""
+    whole = dates.lower_bound(F.col(day))
+    return F.coalesce(whole, F.try_to_date(F.col(year).cast("string"), "yyyy")) if year else whole
 
 
 def labels_matching(labels: Column, query: str) -> Column:

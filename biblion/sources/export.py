@@ -1,11 +1,14 @@
-"""Sinks: one CSV with fixed columns, deterministic names."""
+"""Sinks: CSV and XLSX with fixed columns, deterministic names."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zipfile
+from collections.abc import Iterable
+from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import EXPORT_COLUMNS
@@ -19,7 +22,48 @@ def export_rows(rows: DataFrame) -> DataFrame:
 def write_csv(rows: DataFrame, path: str, files: int | None = None) -> None:
     """CSV with header and doubled quotes; ``files`` asks for so many files, else one per partition."""
     out = export_rows(rows)
-    (out.coalesce(files) if files else out).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    (out.coalesce(files) if files else out).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV of ``write_csv`` as text columns, line breaks within fields included; empty is the empty text."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return rows.na.fill("")
+
+
+_BOOK = {
+    "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+    "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+}
+#: Rows of one sheet, and characters of one cell, that the format allows.
+SHEET_ROWS, CELL_CHARS = 1_048_576, 32_767
+
+
+def write_xlsx(rows: DataFrame, path: str, columns: list[str] | None = None) -> int:
+    """One sheet, written row by row through the driver; returns the rows. Every cell is inline text, so
+    nothing in it is ever a formula. More rows than a sheet holds are an error: take the CSV then.
+    Cells are cut to what the format allows."""
+    made = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]) if columns else export_rows(rows)
+    blank = re.compile("[^\t\n\r\x20-\uD7FF\uE000-\uFFFD\U00010000-\U0010FFFF]")
+
+    def line(cells: Iterable[str]) -> str:
+        return "<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(blank.sub("", c[:CELL_CHARS]))}</t></is></c>' for c in cells) + "</row>"
+
+    n = 0
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in _BOOK.items():
+            z.writestr(name, f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>{body}')
+        with z.open("xl/worksheets/sheet1.xml", "w") as sheet:
+            sheet.write(('<?xml version="1.0" encoding="UTF-8" standalone="yes"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>' + line(made.columns)).encode())
+            for row in made.toLocalIterator():
+                n += 1
+                if n >= SHEET_ROWS:
+                    raise ValueError("too many rows for one sheet")
+                sheet.write(line(row).encode())
+            sheet.write(b"</sheetData></worksheet>")
+    return n
 
 
 def file_name(*parts: str, suffix: str = "csv") -> str:

@@ -16,29 +16,45 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from datetime import date, datetime, timedelta, timezone
+from email.utils import parsedate_to_datetime
 from pathlib import Path
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+from ..schemas import WORK_FIELDS
 
 # Statuses worth another try, and the limits of waiting.
 RETRYABLE = (429, 500, 502, 503, 504)
 ATTEMPTS, BASE_S, CAP_S = 3, 0.5, 15.0
+PAGE_SIZE, PAUSE_S = 200, 0.2
+MAX_BYTES = 25 << 20
 # End of the fixed values.
-SCHEMA = "source string, label string, payload string, _ord long"
+SCHEMA = "source string, label string, payload string, home string, _ord long"
 
 
 def backoff(attempt: int, retry_after: str | None = None, draw: Callable[[float, float], float] = random.uniform) -> float:
     """Seconds to wait before a further attempt: what the server says, or full jitter, capped."""
     if retry_after and retry_after.strip().isdigit():
         return min(float(retry_after), CAP_S)
+    if retry_after:
+        try:
+            return min(max(0.0, parsedate_to_datetime(retry_after).timestamp() - time.time()), CAP_S)
+        except ValueError:
+            pass
     return draw(0, min(CAP_S, BASE_S * 2 ** (attempt - 1)))
 
 
-def http(url: str, sleep: Callable[[float], None] = time.sleep) -> str:
+def http(
+    url: str, headers: dict[str, str] | None = None, body: str | None = None, before: Callable[[], None] = lambda: None, timeout: float = 60, sleep: Callable[[float], None] = time.sleep
+) -> str:
+    """Text of a URL (of a POST where there is a body). ``before`` runs ahead of every attempt, retries too."""
+    request = urllib.request.Request(url, body.encode() if body is not None else None, headers or {})
     for attempt in range(1, ATTEMPTS + 1):
+        before()
         try:
-            with urllib.request.urlopen(url, timeout=60) as r:
-                return r.read().decode("utf-8")
+            with urllib.request.urlopen(request, timeout=timeout) as r:
+                return r.read(MAX_BYTES + 1).decode("utf-8", "replace")
         except urllib.error.HTTPError as e:
             if e.code not in RETRYABLE or attempt == ATTEMPTS:
                 raise
@@ -51,7 +67,10 @@ def recorded(folder: str) -> Callable[[str], str]:
 
 
 def transport(options: dict[str, str]) -> Callable[[str], str]:
-    return recorded(options["folder"]) if options.get("transport") == "files" else http
+    if options.get("transport") == "files":
+        return recorded(options["folder"])
+    agent = {"User-Agent": options["useragent"]} if options.get("useragent") else {}
+    return lambda url: http(url, agent)
 
 
 def with_query(base: str, **query: object) -> str:
@@ -79,25 +98,31 @@ class _Reader(DataSourceReader):
     def read(self, partition: Chain) -> Iterator[tuple]:
         source, label = self.options.get("id", ""), self.options.get("label", self.options.get("id", ""))
         limit = int(self.options.get("rowlimit", 0))
-        for i, payload in enumerate(self.pages(transport(self.options), partition.values)):
-            if limit and i >= limit:
-                break
-            yield source, label, payload, partition.number * 1_000_000_000 + i
+        try:
+            for i, payload in enumerate(self.pages(transport(self.options), partition.values)):
+                if limit and i >= limit:
+                    break
+                yield source, label, payload, self.options.get("home", ""), partition.number * 1_000_000_000 + i
+        except urllib.error.HTTPError as e:
+            if e.code not in RETRYABLE or self.options.get("isolate") != "true":
+                raise  # with "isolate", a source that stays unavailable ends here and keeps what it gave
 
 
 class _Works(_Reader):
-    """Works by cursor; one chain per group of identifiers (option ``filters``, separated by |)."""
+    """Works by cursor; one chain per group of identifiers (option ``filters``, separated by ;;)."""
 
     def chains(self) -> list[dict[str, str]]:
-        return [{"filter": f} for f in self.options.get("filters", "").split("|") if f]
+        return [{"filter": f} for f in self.options.get("filters", "").split(";;") if f]
 
     def pages(self, get, chain):
         cursor = "*"
         while cursor:
-            page = json.loads(get(with_query(self.options["url"], filter=chain["filter"], cursor=cursor, **{"per-page": 200})))
+            page = json.loads(get(with_query(self.options["url"], filter=chain["filter"], select=self.options.get("fields", ",".join(WORK_FIELDS)), cursor=cursor, **{"per-page": PAGE_SIZE})))
             for work in page.get("results", []):
                 yield json.dumps(work, ensure_ascii=False)
             cursor = (page.get("meta") or {}).get("next_cursor") if page.get("results") else None
+            if cursor and self.options.get("transport") != "files":
+                time.sleep(PAUSE_S)
 
 
 class _Items(_Reader):
@@ -111,21 +136,23 @@ class _Items(_Reader):
         size = min(100, max(1, int(self.options.get("pagesize", 100))))
         while number < total:
             q = {"configuration": self.options.get("configuration"), "scope": self.options.get("scope"), "f.entityType": f"{chain['entity']},equals", "f.dateIssued": self.options.get("dates"), "page": number, "size": size, "sort": "dc.date.issued,DESC"}
-            found = json.loads(get(with_query(self.options["url"], **q)))["_embedded"]["searchResult"]
-            total, number = int(found["page"]["totalPages"]), number + 1
-            for item in found["_embedded"]["objects"]:
+            found = (json.loads(get(with_query(self.options["url"], **q))).get("_embedded") or {}).get("searchResult") or {}
+            objects = (found.get("_embedded") or {}).get("objects") or []
+            total, number = int((found.get("page") or {}).get("totalPages") or 0) if objects else 0, number + 1
+            for item in objects:
                 yield json.dumps(item, ensure_ascii=False)
 
 
 class _Oai(_Reader):
-    """OAI-PMH records by resumption token. Dates mean changes of metadata there, so no date filter is sent."""
+    """OAI-PMH records by resumption token. Dates mean changes of metadata there, so a query of
+    publication dates sends none; a stream's chain has those of its batch."""
 
     def pages(self, get, chain):
         url, seen = self.options["url"], set()
-        at = with_query(url, verb="ListRecords", metadataPrefix="oai_dc", set=self.options.get("set"))
+        at = with_query(url, verb="ListRecords", metadataPrefix=self.options.get("prefix", "oai_dc"), set=self.options.get("set"), **{k: chain[k] for k in ("from", "until") if k in chain})
         while at:
             body = get(at)
-            if len(body.encode()) > 25 << 20 or re.search("<!DOCTYPE|<!ENTITY", body, re.I):
+            if len(body.encode()) > MAX_BYTES or re.search("<!DOCTYPE|<!ENTITY", body, re.I):
                 raise ValueError("response too large, or with a document type")
             if m := re.search(r'<error[^>]*code="(\w+)"', body):
                 if m[1] == "noRecordsMatch":
@@ -166,9 +193,39 @@ class ItemsSource(_Source):
         return "repository_search"
 
 
+class _OaiStream(DataSourceStreamReader):
+    """Offsets are days of metadata change; a batch is all records changed from one to another.
+
+    The repository's granularity is a day, so a batch ends with yesterday: a day is read once it is over.
+    Records that change again come again, and the sink's upsert makes that harmless.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.inner = _Oai(options)
+        self.first = date.fromisoformat(options.get("start", "1970-01-01"))
+        self.today = lambda: date.fromisoformat(options["today"]) if "today" in options else datetime.now(timezone.utc).date()
+
+    def initialOffset(self) -> dict:
+        return {"day": self.first.isoformat()}
+
+    def latestOffset(self) -> dict:
+        return {"day": max(self.today(), self.first).isoformat()}
+
+    def partitions(self, start: dict, end: dict) -> list[Chain]:
+        if start["day"] >= end["day"]:
+            return []
+        return [Chain(0, **{"from": start["day"], "until": (date.fromisoformat(end["day"]) - timedelta(days=1)).isoformat()})]
+
+    def read(self, partition: Chain) -> Iterator[tuple]:
+        return self.inner.read(partition)
+
+
 class OaiSource(_Source):
     kind = _Oai
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _OaiStream({k.lower(): v for k, v in self.options.items()})
+
     @classmethod
     def name(cls) -> str:
         return "oai_pmh"
@@ -179,8 +236,3 @@ def register(spark) -> None:
         spark.dataSource.register(source)
 
 
-def entity_types(kinds: list[str]) -> list[str]:
-    """Entity types to ask for, each once, for selected publication types."""
-    from ..schemas import ENTITY_TYPES
-
-    return list(dict.fromkeys(ENTITY_TYPES[k] for k in kinds if k in ENTITY_TYPES))

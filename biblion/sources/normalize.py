@@ -155,7 +155,7 @@ def items(raw: DataFrame) -> DataFrame:
     kind = F.coalesce(_mapped(F.slice(F.filter(_values(m, "dc.type"), lambda x: F.trim(x) != ""), 1, 1), DSPACE_TYPES), _lookup(ENTITY_KINDS, F.lower(entity)), text.nullify(text.slug(entity)), F.lit("other"))
     places = F.array_distinct(F.filter(F.transform(_values(m, "dc.affiliation"), text.collapse), lambda x: x != ""))
     known = [c for c in ("home",) if c in raw.columns]  # public address of the repository, where the reader gives it
-    handle = F.when(F.trim(F.coalesce(o["handle"], F.lit(""))) != "", F.concat(*[F.col(c) for c in known], F.lit("/handle/"), F.trim(o["handle"]))) if known else F.lit(None).cast("string")
+    handle = F.when((F.trim(F.coalesce(o["handle"], F.lit(""))) != "") & (F.col("home") != ""), F.concat(*[F.col(c) for c in known], F.lit("/handle/"), F.trim(o["handle"]))) if known else F.lit(None).cast("string")
     rows = rows.withColumn("_aff", stable_affiliations(F.col("source"), places))
     named = F.from_json("_aff", AFFILIATIONS)
     return _records(rows, {

@@ -113,7 +113,6 @@ def test_readers_and_backoff():
     with pytest.raises(ValueError, match="repeats"):
         list(twice.pages(lambda url: "<x><resumptionToken>t</resumptionToken></x>", {}))
     assert harvest.backoff(3, "99") == 15.0 and harvest.backoff(2, draw=lambda a, b: b) == 1.0
-    assert harvest.entity_types(["book", "book-chapter", "article", "x"]) == ["Book", "Article"]
 
 
 def test_export(spark, tmp_path):
