@@ -118,14 +118,16 @@ class Tokens:
         self.text_of = np.repeat(np.arange(len(count)), count + 1)
 
 
-def _distinct(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys ordered by bucket, each token's place among them, and the bucket bounds."""
+def _distinct(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, dict[int, slice]]:
+    """Distinct keys ordered by bucket, each token's place among them, and where each bucket that has any lies."""
     distinct, place = np.unique(keys, return_inverse=True)
     at = (distinct % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(at, kind="stable")
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
-    return distinct[order], back[place], np.searchsorted(at[order], np.arange(buckets + 1))
+    own, begin = np.unique(at[order], return_index=True)
+    bounds = [*begin.tolist(), len(order)]
+    return distinct[order], back[place], {b: slice(lo, hi) for b, lo, hi in zip(own.tolist(), bounds, bounds[1:])}
 
 
 def _requests(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -141,7 +143,8 @@ def _requests(blocks: DataFrame, buckets: int) -> DataFrame:
                     k, place, cut = _distinct(keys, buckets)
                     parts.append((k, np.bincount(place, weights=weight, minlength=len(k)).astype(np.int32), cut))
                 (uk, uc, ut), (bk, bc, bt) = parts
-                rows = [(b, block_id, pack_keys(uk[ut[b] : ut[b + 1]], buckets), uc[ut[b] : ut[b + 1]].tobytes(), pack_keys(bk[bt[b] : bt[b + 1]], buckets), bc[bt[b] : bt[b + 1]].tobytes()) for b in range(buckets)]
+                none = slice(0, 0)  # buckets without a key of the block get no row, so rows never outgrow the tokens
+                rows = [(b, block_id, pack_keys(uk[u], buckets), uc[u].tobytes(), pack_keys(bk[p], buckets), bc[p].tobytes()) for b in sorted(ut.keys() | bt.keys()) for u, p in [(ut.get(b, none), bt.get(b, none))]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=names)
 
     return blocks.select("block_id", "flags", "sizes", "texts").mapInArrow(tidied(run), "bucket int, block_id long, uk binary, uc binary, bk binary, bc binary")
@@ -195,7 +198,7 @@ def learn_weights(cells: dict[int, float], types: int, rounds: int = EM_ROUNDS)
     return weights
 
 
-def _counted(joined: DataFrame, n: int, ends: int) -> DataFrame:
+def _counted(joined: DataFrame, n: int, ends: int, buckets: int) -> DataFrame:
     """Per block: corpus counts of its tokens and bigrams, and EM cells of its training tokens."""
     names = ["ids", "flags", "first", "words", "pairs", "cells", "mass"]
 
@@ -207,7 +210,7 @@ def _counted(joined: DataFrame, n: int, ends: int) -> DataFrame:
                 found = []
                 for kind, keys in (("u", t.unigram), ("b", t.bigram)):
                     total = np.concatenate([np.frombuffer(_expand(a[kind]), np.int64) for a in answers])
-                    found.append(total[_distinct(keys, len(answers))[1]])
+                    found.append(total[_distinct(keys, buckets)[1]])
                 word, pair = found
                 context = np.empty_like(word)
                 context[1:] = word[:-1]
@@ -234,7 +237,7 @@ def score_documents(docs: DataFrame, training: Column, bucket_bytes: int = BUCKE
     n, v = sums["n"], sums["v"]
     ends = docs.where(training).count()  # each training text has one end token, and one start
     per_block = answers.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "u", "b")).alias("answers"))
-    counted = materialize(_counted(blocks.join(per_block, "block_id"), n, ends), "lm-counted")
+    counted = materialize(_counted(blocks.join(per_block, "block_id"), n, ends, buckets), "lm-counted")
     discard(blocks)
     discard(answers)
     grid = counted.select(F.explode(F.arrays_zip("cells", "mass")).alias("x")).groupBy(F.col("x.cells").alias("cell")).agg(F.sum("x.mass").alias("mass"))

@@ -189,3 +189,15 @@ def test_lm_scores(spark, texts):
         assert (out.n_tokens[i], out.n_known[i], out.train_tokens[i]) == (len(ws), sum(count[w] > 0 for w in ws), n)
     held = out[out.held_out]
     assert held.score.sum() > held.base_score.sum()
+
+
+def test_lm_scores_do_not_depend_on_buckets(spark):
+    """Far more buckets than keys: blocks send and get rows only where they have keys."""
+    from biblion.llm import interpolated_lm
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a b c a b d"), (2, "a b c a b d"), (3, ""), (4, None), (5, "z " * 40 + "a b"), (6, "c a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = (sorted(interpolated_lm.score_documents(docs, F.col("doc_id") != 6, b).collect()) for b in (1 << 20, 1))
+    assert few == many and len(few) == 6
+    assert few[5]["n_tokens"] == 4 and few[5]["n_known"] == 4 and few[0]["score"] == few[1]["score"]
