@@ -9,8 +9,9 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import access, dates, goals, text
-from ..operators import analytics, cache, classify, merge
+from ..functions import access, dates, goals, network, text
+from ..operators import analytics, cache, classify, enrich, merge
+from . import fetch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -269,3 +270,71 @@ SELECT c_custkey, v FROM o UNION ALL SELECT c_custkey, 'legacy' FROM customer WH
 def additive_migration(table):
     c = table("customer").select("c_custkey")
     return cache.add_missing(c.where("c_custkey % 2 = 0").withColumn("v", F.lit("old")), c.withColumn("v", F.lit("legacy")), ["c_custkey"])
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1)
+SELECT count(*) FILTER (n >= 2) AS eligible, count(*) AS total FROM s""")
+def coaffiliation_coverage(table):
+    return analytics.coverage(table("lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("ids")), "ids")
+
+
+@query(f"""WITH {_LABEL_SQL}
+SELECT a, b, round(least(10.0, 4.0 + 2.0 * log2(greatest(w, 1))), 6) AS width, round(least(0.96, 0.82 + 0.05 * log2(greatest(w, 1))), 6) AS alpha FROM g""")
+def edge_scales(table):
+    return _label_edges(table).select("a", "b", F.round(network.edge_width(F.col("w")), 6).alias("width"), F.round(network.edge_alpha(F.col("w")), 6).alias("alpha"))
+
+
+@query(f"""WITH {_LABEL_SQL}, d AS (SELECT label, CAST(sum(w) AS BIGINT) AS degree FROM (SELECT a AS label, w FROM g UNION ALL SELECT b, w FROM g) GROUP BY 1),
+t AS (SELECT label FROM (SELECT label FROM d WHERE contains(lower(label), 'an') OR contains(lower(label), 'ru') OR label = 'KENYA' ORDER BY degree DESC, label LIMIT 5) UNION SELECT label FROM d WHERE label = 'KENYA')
+SELECT a, b, w FROM g WHERE a IN (FROM t) AND b IN (FROM t)""")
+def filtered_network(table):
+    edge = _label_edges(table)
+    return analytics.between(edge, analytics.top_nodes(edge, 5, "AN, ru", ["KENYA"])).select("a", "b", "w")
+
+
+@query("""
+SELECT s_nationkey AS id, arg_min(s_name, s_suppkey) AS label FROM supplier WHERE s_suppkey % 3 <> 0 GROUP BY 1
+UNION ALL SELECT s_nationkey, NULL FROM supplier GROUP BY 1 HAVING count(*) FILTER (s_suppkey % 3 <> 0) = 0""")
+def first_named_label(table):
+    rows = table("supplier").withColumn("name", F.when(F.col("s_suppkey") % 3 == 0, " ").otherwise(F.col("s_name")))
+    return analytics.first_named(rows, "s_nationkey", "name", "s_suppkey")
+
+
+@query("""SELECT DISTINCT n_name AS label FROM nation WHERE n_nationkey IN (1, 2, 3)""")
+def resolved_labels(table):
+    nations = table("nation").select(F.concat(F.lit("https://x.org/I"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("label"))
+    spelled = F.when(F.col("n_nationkey") == 1, "I1").when(F.col("n_nationkey") == 2, "https://x.org/I2/").otherwise("https://x.org/I3")
+    return fetch.resolved_labels(nations, table("nation").where("n_nationkey in (1, 2, 3)").select(spelled.alias("id")))
+
+
+@query("""
+SELECT c_custkey, 'I' || c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'PL' END AS country FROM customer
+UNION ALL SELECT c_custkey, 'J', c_mktsegment, NULL FROM customer""")
+def zipped_affiliations(table):
+    ids = F.concat(F.lit("I"), F.col("c_custkey").cast("string"), F.lit("; J"))
+    country = F.when(F.col("c_custkey") % 2 == 0, "PL").otherwise("")
+    c = table("customer").select("c_custkey", ids.alias("institution_ids"), F.concat_ws("; ", "c_name", "c_mktsegment").alias("institution_names_raw"), country.alias("institution_countries"))
+    one = c.select("c_custkey", F.explode(fetch.zipped_affiliations()).alias("x"))
+    return one.select("c_custkey", "x.id", "x.name", text.nullify(F.col("x.country")).alias("country"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE trim(p_type) END AS own, CASE WHEN p_partkey % 2 = 0 THEN trim(p_name) ELSE '' END AS old FROM part)
+SELECT 'k' || p_partkey AS publication_key, CASE WHEN length(old) > length(own) THEN old ELSE own END AS abstract, 'skipped: user selected ''skip''' AS sdg_note FROM p""")
+def enriched_from_cache(table):
+    part, blank = table("part"), F.lit("")
+    key = F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("publication_key")
+    abstract = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_type")).alias("abstract")
+    pubs = part.select(key, F.lit("openalex").alias("source"), blank.alias("source_record_keys"), F.col("p_name").alias("title"), blank.alias("authors"), blank.alias("doi"), blank.alias("publication_date"), abstract)
+    cached = part.where("p_partkey % 2 = 0").select(key, F.col("p_name").alias("abstract"), blank.alias("source_record_keys"))
+    stored = pubs.sparkSession.createDataFrame([], "publication_key string, model string, sdg_response string, sdg_formatted string, sdg_note string, text_hash string")
+    return enrich.enrich(pubs, cached, stored, classify.SKIP).rows.select("publication_key", "abstract", "sdg_note")
+
+
+@query("""
+WITH b AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)
+SELECT o_orderkey, CAST(unnest(generate_series(CAST(date_trunc('month', d) AS DATE), CAST(date_trunc('month', d + INTERVAL 70 DAY) AS DATE), INTERVAL 1 MONTH)) AS DATE) AS month FROM b""")
+def month_ranges(table):
+    day = F.col("o_orderdate").cast("date")
+    return table("orders").select("o_orderkey", F.explode(dates.months(F.date_add(day, 70), day)).alias("month"))
