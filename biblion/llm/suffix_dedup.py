@@ -234,11 +234,7 @@ def _partial(docs_with_found: DataFrame, length: int, kmer: int) -> DataFrame:
                 at = np.unique(np.concatenate([x.values.to_numpy() for x in borders.values if x.is_valid] or [np.zeros(0, np.int32)])).astype(np.int64) if borders.is_valid else np.zeros(0, np.int64)
                 text = texts[i]
                 keys = contexts = None
-                if len(at):
-                    if len(lo):  # a border inside a covered span can add nothing
-                        slot = np.searchsorted(lo, np.maximum(at - margin, 0), side="right") - 1
-                        at = at[(slot < 0) | (hi[np.maximum(slot, 0)] < np.minimum(at + length, len(text)))]
-                if len(at):
+                if len(at):  # all of them: a covered border too may hold a window's first occurrence
                     flat = np.frombuffer(b"\xff" * margin + text + b"\xff" * margin, np.uint8)
                     around = np.lib.stride_tricks.sliding_window_view(flat, length + margin)[at]
                     contexts = around.tobytes()
