@@ -6,8 +6,8 @@ some, is one window. Each document's token windows are looked up in the hash set
 hit is verified word by word, and the words inside verified windows are hit.
 
 The set that is broadcast never exceeds ``max_windows`` windows: a larger benchmark is
-cut into slices of that size, each slice scans the documents, and the hit word spans of
-all slices are merged per document.
+cut into slices of that size, each slice scans the documents as given, and the hit word
+spans of all slices are merged per row, by a row number written with the documents.
 
 Defined cases: null or wordless texts have no words and are clean; items that are null
 or wordless have no window; repeated items count by their item_id; empty tables give
@@ -20,17 +20,21 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, WordBatch, bytes_of, chunks, fold_windows, tidied
+from .common import ALNUM, WordBatch, bytes_of, chunks, fold_windows, materialize, tidied
 
 WINDOW_WORDS = 10
 MAX_WINDOWS = 2_000_000
 
+#: The row number that keeps rows of one doc_id, or of none, apart while slices are merged.
+ROW = "__decontaminate_row"
+
 _SPANS = "doc_id long, n_words long, span_lo array<long>, span_hi array<long>, items array<string>"
 
 
@@ -40,6 +44,7 @@ class NgramSet:
 
     n: int
     size: int = 0
+    last: bool = False  # no slice follows
     windows: dict[int, dict[int, dict[bytes, set[str]]]] = field(default_factory=dict)
     sorted_hashes: dict[int, np.ndarray] = field(default_factory=dict)
 
@@ -69,6 +74,7 @@ def ngram_sets(benchmark: DataFrame, n: int, max_windows: int) -> Iterator[Ngram
             yield current.close()
             current = NgramSet(n)
         current.add(row["item_id"], row["text"])
+    current.last = True
     yield current.close()
 
 
@@ -127,9 +133,24 @@ def scan(docs: DataFrame, grams: NgramSet) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Per document: doc_id, n_words, hit spans (word ranges) and the items that occur."""
-    parts = [scan(docs, g) for g in ngram_sets(benchmark, n, max_windows)]
-    if len(parts) == 1:
-        return parts[0]
+    slices = ngram_sets(benchmark, n, max_windows)
+    grams = next(slices)
+    if grams.last:
+        return scan(docs, grams)
+    return scan_slices(docs.select("doc_id", "text"), chain([grams], slices))[1].select("doc_id", "n_words", "span_lo", "span_hi", "items")
+
+
+def scan_slices(docs: DataFrame, slices: Iterator[NgramSet]) -> tuple[DataFrame, DataFrame]:
+    """``docs`` written with a row number, and what ``scan`` finds in each row with all slices.
+
+    One slice is held at a time; of all but the first only rows with a hit are kept.
+    """
+    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "decontaminate-rows")
+    numbers = rows.select(F.col(ROW).alias("doc_id"), "text")
+    parts = []
+    for grams in slices:
+        found = scan(numbers, grams)
+        parts.append(materialize(found.where(F.size("items") > 0) if parts else found, "decontaminate-slice"))
     together = reduce(DataFrame.unionByName, parts)
     spans = F.sort_array(F.flatten(F.collect_list(F.arrays_zip("span_lo", "span_hi"))))
     merged = F.aggregate(
@@ -143,8 +164,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS,
             ),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    rows = together.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return rows.select("doc_id", "n_words", F.col("spans.span_lo").alias("span_lo"), F.col("spans.span_hi").alias("span_hi"), "items")
+    by_row = together.groupBy(F.col("doc_id").alias(ROW)).agg(F.max("n_words").alias("n_words"), merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = by_row.select(ROW, "n_words", F.col("spans.span_lo").alias("span_lo"), F.col("spans.span_hi").alias("span_hi"), "items")
+    return rows, found.join(rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id")), ROW)
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, max_hit_share: float = 0.5, max_windows: int = MAX_WINDOWS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from biblion.llm import suffix_dedup
+from biblion.llm import decontaminate, suffix_dedup
 
 
 def test_repeats_across_a_seam_of_two_earlier_documents(spark):
@@ -28,3 +28,20 @@ def test_repeats_across_a_seam_of_two_earlier_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.digest(suffix_dedup.repeated_spans(docs)).collect()}
     assert got == want
+
+
+ITEMS = "item_id long, text string"
+WORDS = [f"w{i}" for i in range(200)]
+
+
+def run_of(a, b):
+    return " ".join(WORDS[a:b])
+
+
+def test_slices_keep_rows_apart(spark):
+    """Repeated and null doc_ids: one row out per row in, however many slices."""
+    items = spark.createDataFrame([(1, run_of(0, 12)), (2, run_of(20, 32)), (3, run_of(40, 44))], ITEMS)
+    rows = [(1, f"x {run_of(0, 12)} y"), (1, f"x {run_of(20, 32)}"), (1, "clean"), (None, run_of(0, 12)), (None, f"a b {run_of(40, 44)}"), (None, None), (2, f"{run_of(0, 12)} {run_of(20, 32)}"), (2, f"{run_of(0, 12)} {run_of(20, 32)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (sorted(map(str, decontaminate.digest(decontaminate.contamination(docs, items, max_windows=m)).collect())) for m in (1000, 1))
+    assert len(one) == len(rows) and many == one
