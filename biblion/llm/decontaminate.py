@@ -172,36 +172,60 @@ def scan_slices(docs: DataFrame, slices: Iterator[NgramSet]) -> tuple[DataFrame,
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, max_hit_share: float = 0.5, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Documents without the hit spans; a document of which more than ``max_hit_share`` of
     the words is hit goes as a whole. Columns of ``docs`` are kept; n_chars follows the text.
+    With several slices the spans of all are found on the texts as given, then cut at once.
     """
-    spark, schema = docs.sparkSession, docs.schema
-    names = schema.names
-    for grams in ngram_sets(benchmark, n, max_windows):
-        shared = spark.sparkContext.broadcast(grams)
+    schema, names = docs.schema, docs.columns
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def cut(rb: pa.RecordBatch, texts: list[bytes], found: Iterator[tuple[int, list[tuple[int, int]], WordBatch, int]]) -> pa.RecordBatch:
+        keep, new = [], []
+        for i, (total, spans, batch, doc) in enumerate(found):
+            hit = sum(b - a for a, b in spans)
+            if hit > max_hit_share * total:
+                continue
+            keep.append(i)
+            if not spans:
+                new.append(rb.column("text")[i].as_py())
+                continue
+            first, base = int(batch.first[doc]), int(batch.text_at[doc])
+            text, out, at = texts[i], [], 0
+            for a, b in spans:
+                out.append(text[at : int(batch.starts[first + a]) - base])
+                at = int(batch.ends[first + b - 1]) - base
+            new.append(b"".join([*out, text[at:]]).decode("utf-8", "ignore"))
+        kept = rb.take(pa.array(keep, pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(new, rb.schema.field("text").type) if c == "text" else kept.column(c) for c in names], names=names)
+
+    slices = ngram_sets(benchmark, n, max_windows)
+    grams = next(slices)
+    if grams.last:
+        shared = docs.sparkSession.sparkContext.broadcast(grams)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rb in batches:
-                keep, new = [], []
                 texts = bytes_of(rb.column("text"))
-                for i, (total, spans, _, batch, doc) in enumerate(hit_spans(texts, shared.value)):
-                    hit = sum(b - a for a, b in spans)
-                    if hit > max_hit_share * total:
-                        continue
-                    keep.append(i)
-                    if not spans:
-                        new.append(rb.column("text")[i].as_py())
-                        continue
-                    first, base = int(batch.first[doc]), int(batch.text_at[doc])
-                    text, out, at = texts[i], [], 0
-                    for a, b in spans:
-                        out.append(text[at : int(batch.starts[first + a]) - base])
-                        at = int(batch.ends[first + b - 1]) - base
-                    new.append(b"".join([*out, text[at:]]).decode("utf-8", "ignore"))
-                kept = rb.take(pa.array(keep, pa.int64()))
-                columns = [pa.array(new, rb.schema.field("text").type) if c == "text" else kept.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-        docs = docs.mapInArrow(tidied(run), schema)
-    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else docs
+                yield cut(rb, texts, ((total, spans, batch, doc) for total, spans, _, batch, doc in hit_spans(texts, shared.value)))
+
+        out = docs.mapInArrow(tidied(run), schema)
+    else:
+        rows, found = scan_slices(docs, chain([grams], slices))
+
+        def run_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rb in batches:
+                texts = bytes_of(rb.column("text"))
+                spans = [list(zip(a or (), b or (), strict=True)) for a, b in zip(rb.column("__lo").to_pylist(), rb.column("__hi").to_pylist(), strict=True)]
+                yield cut(rb, texts, _with_words(texts, spans))
+
+        hits = found.where(F.size("span_lo") > 0).select(ROW, F.col("span_lo").alias("__lo"), F.col("span_hi").alias("__hi"))
+        out = rows.join(hits, ROW, "left").select(*[rows[c] for c in names], "__lo", "__hi").mapInArrow(tidied(run_found), schema)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
+
+
+def _with_words(texts: list[bytes], spans: list[list[tuple[int, int]]]) -> Iterator[tuple[int, list[tuple[int, int]], WordBatch, int]]:
+    """For each text: its word count, the given word ranges, and its words."""
+    for lo, hi in chunks(texts):
+        batch = WordBatch(texts[lo:hi], ALNUM)
+        for doc in range(hi - lo):
+            yield int(batch.first[doc + 1] - batch.first[doc]), spans[lo + doc], batch, doc
 
 
 def digest(found: DataFrame) -> DataFrame:

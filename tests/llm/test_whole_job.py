@@ -45,3 +45,21 @@ def test_slices_keep_rows_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     one, many = (sorted(map(str, decontaminate.digest(decontaminate.contamination(docs, items, max_windows=m)).collect())) for m in (1000, 1))
     assert len(one) == len(rows) and many == one
+
+
+def test_slices_cut_once_on_the_text_as_given(spark):
+    """Overlapping items, words that meet only over a cut, and a share that two slices reach together."""
+    items = spark.createDataFrame([(1, run_of(0, 12)), (2, run_of(8, 22)), (3, run_of(60, 64) + " " + run_of(70, 76)), (4, run_of(100, 110))], ITEMS)
+    rest = run_of(120, 160)
+    rows = [
+        (1, f"{rest} {run_of(0, 22)} end"),  # item 2 overlaps item 1
+        (2, f"{rest} {run_of(60, 64)} {run_of(0, 12)} {run_of(70, 76)} end"),  # item 3 only once item 1 is cut
+        (3, f"{run_of(0, 10)} {run_of(100, 110)} {run_of(120, 135)}"),  # 10 and 10 of 35 words
+        (3, "clean Text"),
+        (None, None),
+        (None, f"{rest}, {run_of(0, 12)}."),
+    ]
+    docs = spark.createDataFrame([(i, t, "s", 0) for i, t in rows], "doc_id long, text string, source string, n_chars long")
+    one, many = (sorted(map(str, decontaminate.remove_contamination(docs, items, max_windows=m).collect())) for m in (1000, 1))
+    assert many == one and len(one) == 5
+    assert any(run_of(70, 76) in r for r in one)
