@@ -27,15 +27,20 @@ from pyspark.sql import functions as F
 
 from .common import LETTERS, WordBatch, chunks, folded_bytes, mix64, record_batch, tidied
 
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 1500
 CHAIN = 48
 SLOT_BITS = 18
 ORDERS = (1, 2, 3, 4)
 EPOCHS = 30
 SPLICED = 0.3
 UNDETERMINED = "und"
-#: Chains of one training pass at most; more are thinned at random.
-MAX_CHAINS = 8_000
+#: Chains of one training pass at most (or one per sampled row, if those are more); more are
+#: thinned at random, long documents of languages with many chains first.
+MAX_CHAINS = 20_000
+#: Potentials that forward-backward of a training pass holds at once; bounds its temporaries.
+BLOCK_CELLS = 1 << 20
+#: Words whose feature slots are made at once in training.
+BLOCK_WORDS = 1 << 14
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -101,6 +106,30 @@ def lay_chains(count: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.where(mask, begin[None, :] + at, 0), mask, text
 
 
+def fair_shares(sizes: np.ndarray, total: int) -> np.ndarray:
+    """``sizes`` cut to one common level so that their sum is ``total`` at most; where even ones exceed it, ones."""
+    if sizes.sum() <= total:
+        return sizes
+    low, high = 1, int(sizes.max())
+    while low < high:  # the largest level that fits
+        level = (low + high + 1) // 2
+        if np.minimum(sizes, level).sum() <= total:
+            low = level
+        else:
+            high = level - 1
+    return np.minimum(sizes, low)
+
+
+def chains_kept(chains: np.ndarray, code: np.ndarray, total: int) -> np.ndarray:
+    """How many of its chains each row keeps: ``total`` shared between languages, then between
+    a language's rows; one at least where a row has any."""
+    kept = chains.copy()
+    quota = fair_shares(np.bincount(code, weights=chains).astype(np.int64), total)
+    for k, most in enumerate(quota.tolist()):
+        kept[code == k] = fair_shares(chains[code == k], most)
+    return kept
+
+
 @dataclass
 class Crf:
     languages: list[str]
@@ -156,14 +185,14 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) -> C
     chains: list[np.ndarray] = []
     tags: list[np.ndarray] = []
     vocabulary: dict[bytes, int] = {}
-    share = MAX_CHAINS * CHAIN / max(1, sum(text.count(" ") + CHAIN for _, text in rows))
-    for lang, text in rows:
+    size = np.array([-(-len(WordBatch([text.lower().encode()], LETTERS).hashes) // CHAIN) for _, text in rows], np.int64)
+    keep = chains_kept(size, np.array([code[lang] for lang, _ in rows]), MAX_CHAINS)
+    for (lang, text), have, take in zip(rows, size.tolist(), keep.tolist(), strict=True):
         batch = WordBatch([text.lower().encode()], LETTERS)
-        for k in range(0, len(batch.hashes), CHAIN):
-            if rng.random() < share:
-                words = [batch.word(i) for i in range(k, min(k + CHAIN, len(batch.hashes)))]
-                chains.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words]))
-                tags.append(np.full(len(words), code[lang]))
+        for k in (np.sort(rng.choice(have, take, replace=False)) * CHAIN).tolist() if take < have else range(0, have * CHAIN, CHAIN):
+            words = [batch.word(i) for i in range(k, min(k + CHAIN, len(batch.hashes)))]
+            chains.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32))
+            tags.append(np.full(len(words), code[lang], np.int16))
     if not chains:
         return Crf(languages, weights, np.ones((labels, labels)))
     for i in np.flatnonzero(rng.random(len(chains)) < SPLICED).tolist():
@@ -171,34 +200,48 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) -> C
         cut = int(rng.integers(1, max(2, min(len(chains[i]), len(chains[j])))))
         chains[i], tags[i] = np.concatenate((chains[i][:cut], chains[j][cut:])), np.concatenate((tags[i][:cut], tags[j][cut:]))
     n = len(chains)
-    word, gold, mask = np.zeros((CHAIN, n), np.int64), np.zeros((CHAIN, n), np.int64), np.zeros((CHAIN, n), bool)
+    word, gold, mask = np.zeros((CHAIN, n), np.int32), np.zeros((CHAIN, n), np.int16), np.zeros((CHAIN, n), bool)
     for i, (c, g) in enumerate(zip(chains, tags, strict=True)):
         word[: len(c), i], gold[: len(c), i], mask[: len(c), i] = c, g, True
-    slots, starts = word_slots(list(vocabulary))
-    per_word = np.diff(np.concatenate((starts, [len(slots)])))
-    used = np.unique(slots)
-    used = used[used < 1 << SLOT_BITS]
-    compact = np.full((1 << SLOT_BITS) + 1, len(used))
+    del chains, tags
+    spelled = list(vocabulary)
+    pieces, lengths = [], []
+    for k in range(0, len(spelled), BLOCK_WORDS):
+        part, starts = word_slots(spelled[k : k + BLOCK_WORDS])
+        lengths.append(np.diff(np.concatenate((starts, [len(part)]))))
+        pieces.append(part.astype(np.int32))
+    slots, per_word = np.concatenate(pieces), np.concatenate(lengths)
+    del pieces, lengths, spelled
+    seen = np.zeros((1 << SLOT_BITS) + 1, bool)
+    seen[slots] = True
+    used = np.flatnonzero(seen[:-1])
+    compact = np.full((1 << SLOT_BITS) + 1, len(used), np.int32)
     compact[used] = np.arange(len(used))
-    slots = compact[slots].astype(np.int32)
+    slots = compact[slots]
     keep = slots < len(used)
     owner = np.repeat(np.arange(len(vocabulary), dtype=np.int32), per_word)[keep]
     slots = slots[keep]
-    del compact, keep, per_word
+    del compact, keep, per_word, seen
     w, trans = np.zeros((len(used), labels)), np.eye(labels)
     squares = [np.full_like(w, 1e-2), np.full_like(trans, 1.0)]
     pair_gold = np.zeros((labels, labels))
     both = mask[1:]
     np.add.at(pair_gold, (gold[:-1][both], gold[1:][both]), 1)
-    one_hot = np.eye(labels, dtype=np.float32)[gold]
-    flat_word, flat_mask = word[mask], mask
+    one_hot = np.eye(labels, dtype=np.float32)
+    step = max(1, BLOCK_CELLS // (CHAIN * labels))  # chains are independent: a block at a time
     total = mask.sum()
     for _ in range(epochs):
         scores = np.stack([np.bincount(owner, weights=w[slots, k], minlength=len(vocabulary)) for k in range(labels)], 1)
         psi = np.exp(scores - scores.max(1, keepdims=True)).astype(np.float32)
-        post, pairs = forward_backward(np.maximum(psi, 1e-30)[word], np.exp(trans), mask)
-        miss = (one_hot - post)[flat_mask]
-        by_word = np.stack([np.bincount(flat_word, weights=miss[:, k], minlength=len(vocabulary)) for k in range(labels)], 1)
+        psi = np.maximum(psi, 1e-30)
+        by_word, pairs = np.zeros((len(vocabulary), labels)), np.zeros((labels, labels))
+        for i in range(0, n, step):
+            at, on = word[:, i : i + step], mask[:, i : i + step]
+            post, joint = forward_backward(psi[at], np.exp(trans), on)
+            miss = (one_hot[gold[:, i : i + step]] - post)[on]
+            for k in range(labels):
+                by_word[:, k] += np.bincount(at[on], weights=miss[:, k], minlength=len(vocabulary))
+            pairs += joint
         grads = [np.stack([np.bincount(slots, weights=by_word[owner, k], minlength=len(used)) for k in range(labels)], 1) / total * 1e3 - 1e-3 * w, (pair_gold - pairs) / total * 10 - 1e-3 * trans]
         for x, g, s, rate in zip((w, trans), grads, squares, (0.25, 0.3), strict=True):
             s += g * g

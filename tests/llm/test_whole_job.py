@@ -2,7 +2,8 @@
 
 import random
 
-from biblion.llm import decontaminate, suffix_dedup
+import numpy as np
+from biblion.llm import crf_langid, decontaminate, suffix_dedup
 
 
 def test_repeats_across_a_seam_of_two_earlier_documents(spark):
@@ -63,3 +64,21 @@ def test_slices_cut_once_on_the_text_as_given(spark):
     one, many = (sorted(map(str, decontaminate.remove_contamination(docs, items, max_windows=m).collect())) for m in (1000, 1))
     assert many == one and len(one) == 5
     assert any(run_of(70, 76) in r for r in one)
+
+
+def test_long_documents_do_not_starve_a_rare_language(monkeypatch):
+    assert (crf_langid.SAMPLE_ROWS, crf_langid.MAX_CHAINS) == (1500, 20_000)
+    monkeypatch.setattr(crf_langid, "MAX_CHAINS", 60)
+    rng = random.Random(1)
+    texts = {k: [" ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n)) for n in sizes] for k, letters, sizes in (("a", "abcdef", [20_000] * 5), ("b", "uvwxyz", [10] * 3))}
+    model = crf_langid.train([(k, t) for k, ts in texts.items() for t in ts], epochs=10)
+    labelled = [x for x, _, _ in crf_langid.decide([t.encode() for t in texts["b"]], model)]
+    assert labelled == ["b"] * 3
+
+
+def test_each_row_keeps_a_chain():
+    sizes, code = np.array([2000, 1, 300, 0, 1, 5]), np.array([0, 0, 0, 0, 1, 2])
+    kept = crf_langid.chains_kept(sizes, code, 100)
+    assert kept.sum() <= 100 and (kept[sizes > 0] >= 1).all() and kept.tolist()[3:] == [0, 1, 5]
+    assert crf_langid.chains_kept(sizes, code, 3000).tolist() == sizes.tolist()
+    assert crf_langid.chains_kept(sizes, code, 2).tolist() == [1, 1, 1, 0, 1, 1]
