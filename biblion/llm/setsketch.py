@@ -2,14 +2,15 @@
 their similarity, full shingle sets confirm it.
 
 Words are runs of non-white-space characters of the text with A-Z lower-cased. A document's
-set holds its distinct three-word shingles; a text of one or two words is one shingle;
+set holds its distinct shingles of ``n`` words (three by default); a text of fewer words is one shingle;
 without words the set is empty and linked with nothing. Documents are linked if
 100 * |A and B| >= ``percent`` * |A or B|; near-duplicate groups are the connected components.
 
 * Register i of a SetSketch is floor(1 - log_b(min x_i)) of exponential variables x_i, cut
   to 0..q+1. Sketches merge by maximum. With b = 1.001 two registers agree with about the
   Jaccard similarity; ``bands`` of ``rows`` registers miss a pair at 0.85 with
-  (1 - 0.85**3)**24, 1e-10, at the defaults.
+  (1 - 0.85**3)**24, 1e-10, at the defaults. ``keep_one`` takes five words at 0.8, and 32
+  bands, which miss as few: (1 - 0.8**3)**32, 1e-10.
 * Documents of equal sets form one class (one sketch, one candidate); copies are never paired.
 * A band bucket is first linked through its least member only (a star, linear in its size).
   A link can hide only between members of different components after that: small buckets
@@ -43,6 +44,8 @@ BANDS, ROWS = 24, 3
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 SHINGLE_WORDS = 3
 PERCENT = 85
+#: The rule of the pipeline's stage.
+STAGE_WORDS, STAGE_PERCENT, STAGE_BANDS = 5, 80, 32
 #: Candidates whose likely similarity is lower than the threshold by this much (over five
 #: standard errors of 72 registers) are not verified.
 SLACK = 0.25
@@ -108,14 +111,14 @@ def likely_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("bands", pa.list_(pa.int64())), ("registers", pa.binary())])
 
 
-def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, n_shingles, set_hash, band keys and registers; nulls where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(bands, dtype=np.uint64)
         for rb in batches:
             out: dict[str, list] = {"n_shingles": [], "set_hash": [], "bands": [], "registers": []}
-            for s in shingle_sets(bytes_of(rb.column("text"))):
+            for s in shingle_sets(bytes_of(rb.column("text")), n):
                 out["n_shingles"].append(len(s))
                 if not len(s):
                     for k in ("set_hash", "bands", "registers"):
@@ -158,13 +161,13 @@ def _likely(pairs: DataFrame, classes: DataFrame, m: int, least: float) -> DataF
     return pairs.join(one, "a").join(two, "b").mapInArrow(tidied(run), "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(bytes_of(rb.column("text")))], pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(bytes_of(rb.column("text")), n)], pa.binary())], names=["doc_id", "shingles"])
 
     full = materialize(likely_rows(docs, ids).mapInArrow(tidied(sets), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "shingle-sets")
 
@@ -191,7 +194,7 @@ def _cross(rows: DataFrame, key: str, percent: int) -> DataFrame:
     return one.join(two, (one[key] == two[key]) & (F.col("c_a") < F.col("c_b")) & similar).select("a", "b", "n_a", "n_b")
 
 
-def _block_links(docs: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+def _block_links(docs: DataFrame, hot: DataFrame, percent: int, n: int) -> DataFrame:
     """Links between different components among members of large buckets, found in blocks.
 
     Members that large buckets connect are laid out in blocks of ``BLOCK`` sets. Two blocks
@@ -209,7 +212,7 @@ def _block_links(docs: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            found = [s.tobytes() for s in shingle_sets(bytes_of(rb.column("text")))]
+            found = [s.tobytes() for s in shingle_sets(bytes_of(rb.column("text")), n)]
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
 
     sets = likely_rows(docs, members).mapInArrow(tidied(sets_of), "doc_id long, shingles binary").dropDuplicates(["doc_id"])
@@ -269,10 +272,10 @@ def _block_links(docs: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
     return left.select(*columns).unionByName(right.select(*columns)).groupBy("i", "j").applyInArrow(tidied_group(compare), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE_WORDS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = materialize(sketches(docs, bands, rows), "sketches")
+    sketched = materialize(sketches(docs, bands, rows, n), "sketches")
     full = sketched.where("n_shingles > 0 and doc_id is not null")
     size_ok = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
     classes = materialize(full.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "classes")
@@ -282,7 +285,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
 
     def links(pairs: DataFrame) -> DataFrame:
         likely = materialize(_likely(pairs, classes, bands * rows, percent / 100 - SLACK), "likely")
-        return materialize(_verified(likely, docs, percent), "links")
+        return materialize(_verified(likely, docs, percent, n), "links")
 
     edges = links(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
     turn, before = 0, None
@@ -302,7 +305,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
         else:
             pairs = _cross(still.where(F.col("size") <= SMALL_BUCKET), "key", percent)
             if n_hot:
-                edges = edges.unionByName(materialize(_block_links(docs, hot, percent), "block-links"))
+                edges = edges.unionByName(materialize(_block_links(docs, hot, percent, n), "block-links"))
             turn = -1
         edges = edges.unionByName(links(pairs.where(size_ok).select("a", "b").distinct()))
     groups = classes.select("set_hash", F.col("rep").alias("node")).join(label, "node", "left").select("set_hash", F.coalesce("component", "node").alias("group_id"))
@@ -311,9 +314,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     return found.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = STAGE_PERCENT, bands: int = STAGE_BANDS, n: int = STAGE_WORDS) -> DataFrame:
     """The documents that stay: the one of least doc_id of each near-duplicate group."""
-    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
+    gone = near_duplicates(docs, percent, bands, n=n).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

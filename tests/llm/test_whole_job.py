@@ -3,7 +3,7 @@
 import random
 
 import numpy as np
-from biblion.llm import crf_langid, decontaminate, suffix_dedup
+from biblion.llm import crf_langid, decontaminate, setsketch, suffix_dedup
 
 
 def test_repeats_across_a_seam_of_two_earlier_documents(spark):
@@ -82,3 +82,34 @@ def test_each_row_keeps_a_chain():
     assert kept.sum() <= 100 and (kept[sizes > 0] >= 1).all() and kept.tolist()[3:] == [0, 1, 5]
     assert crf_langid.chains_kept(sizes, code, 3000).tolist() == sizes.tolist()
     assert crf_langid.chains_kept(sizes, code, 2).tolist() == [1, 1, 1, 0, 1, 1]
+
+
+def test_stage_takes_five_words_at_four_fifths(spark):
+    """A 200-word text with 44 words appended: 196 / 240 five-word shingles, 198 / 242 of three words."""
+    words = [f"x{i}" for i in range(5000)]
+    rows = [(2 * k + i, " ".join(words[300 * k : 300 * k + size])) for k in range(10) for i, size in enumerate((200, 244))]
+    rows += [(100, " ".join(words[4000:4200])), (101, " ".join(words[4000:4255]))]  # 196 / 251: not near
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in setsketch.keep_one(docs).collect()) == [*range(0, 20, 2), 100, 101]
+    assert setsketch.near_duplicates(docs).where("kept").count() == 22
+
+
+def test_stage_links_in_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for k in range(60):
+        base = [f"b{k // 20}_{i}" for i in range(120)]
+        for _ in range(rng.randrange(7)):
+            base[rng.randrange(120)] = f"e{rng.random()}"
+        rows.append((k, " ".join(base)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for _, t in rows]
+    least = list(range(60))
+    for _ in range(60):
+        for a in range(60):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for small in (24, 1):
+        monkeypatch.setattr(setsketch, "SMALL_BUCKET", small)
+        assert sorted(r["doc_id"] for r in setsketch.keep_one(docs).collect()) == sorted(set(least))
