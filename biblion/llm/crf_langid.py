@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LETTERS, WordBatch, chunks, folded_bytes, mix64, record_batch, tidied
@@ -160,18 +161,22 @@ class Crf:
 
 
 def sample(rows: DataFrame, limit: int) -> list[tuple[str, str]]:
-    """At most ``limit`` (lang, text) of the rows, all languages alike where there are enough."""
-    spread = F.xxhash64(F.col("doc_id"), F.lit(1))
-    known = rows.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    """At most ``limit`` (lang, text) of the rows, all languages alike where there are enough.
+
+    Each language has a row at least; only beyond ``limit`` languages the rarest have none.
+    """
+    known = rows.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang", "text")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(limit).collect()}
     if not sizes:
         return []
     each = max(1, limit // len(sizes))
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, each / n)).otherwise(share)
-    chosen = known.where(F.pmod(spread, F.lit(1 << 30)) < share * (1 << 30)).select("doc_id", spread.alias("h")).orderBy("h").limit(limit)
-    return [(r["lang"], r["text"]) for r in known.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text", spread.alias("h")).orderBy("h", "text").limit(limit).select("lang", "text").collect()]
+    # by hash more than are needed of each language, then the first of these
+    shares = rows.sparkSession.createDataFrame([(lang, min(1.0, (4 * each + 64) / n)) for lang, n in sizes.items()], "lang string, _share double")
+    spread = F.xxhash64(F.col("doc_id"), F.lit(1))
+    near = known.drop("text").join(F.broadcast(shares), "lang").where(F.pmod(spread, F.lit(1 << 30)) < F.col("_share") * (1 << 30)).select("doc_id", "lang").distinct()
+    chosen = near.withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy(spread, "doc_id"))).where(F.col("_rank") <= each).select("doc_id", "lang")
+    found = known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    return [(r["lang"], r["text"]) for r in found.orderBy(spread, "doc_id", "lang").limit(limit).select("lang", "text").collect()]
 
 
 def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) -> Crf:

@@ -113,3 +113,11 @@ def test_stage_links_in_blocks(spark, monkeypatch):
     for small in (24, 1):
         monkeypatch.setattr(setsketch, "SMALL_BUCKET", small)
         assert sorted(r["doc_id"] for r in setsketch.keep_one(docs).collect()) == sorted(set(least))
+
+
+def test_sample_holds_every_language(spark):
+    rows = [(i, f"lang{i % 250}", f"text {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = crf_langid.sample(docs, 1500)
+    assert len({lang for lang, _ in got}) == 250 and len(got) == 1500
+    assert len(crf_langid.sample(docs, 100)) == 100
