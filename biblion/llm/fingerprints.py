@@ -11,8 +11,8 @@ without a global sort: ids fall into equal ranges, each range is a window, and t
 rows at range borders are fetched through a table of one row per range.
 
 Defined cases: null text is empty; an empty text has one shingle (of no words), so its
-fingerprint is defined; two empty sketches are alike (1.0) if their texts' fingerprints are
-equal; a single document, and one without doc_id, is its own next; documents that share a doc_id follow one
+fingerprint is defined; where two sketches are empty (short texts), the likeness is that of
+all their shingles, so 1.0 only if these are equal; a single document, and one without doc_id, is its own next; documents that share a doc_id follow one
 another in the order of their texts; extra columns are ignored.
 """
 
@@ -47,6 +47,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
+def text_likeness(a: Column, b: Column, text_a: Column, text_b: Column, n: int = SHINGLE_WORDS) -> Column:
+    """``likeness`` of two texts' sketches; where both are empty, that of all shingles of the texts."""
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), likeness(sketch(text_a, n, 1), sketch(text_b, n, 1))).otherwise(likeness(a, b))
+
+
 def containment(a: Column, b: Column) -> Column:
     """Estimated share of a's shingles that b has too; null for an empty sketch."""
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
@@ -97,6 +102,6 @@ def edited_fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS, scale: int = SC
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         show(F.col("sketch")).alias("fingerprint"),
         show(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        text_likeness(F.col("sketch"), F.col("edited_sketch"), F.col("text"), F.col("edited"), n).alias("near_edited"),
+        text_likeness(F.col("sketch"), F.col("next_sketch"), F.col("text"), F.col("next_text"), n).alias("near_next"),
     )

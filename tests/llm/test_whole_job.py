@@ -3,7 +3,7 @@
 import random
 
 import numpy as np
-from biblion.llm import crf_langid, decontaminate, setsketch, suffix_dedup
+from biblion.llm import crf_langid, decontaminate, fingerprints, setsketch, suffix_dedup
 
 
 def test_repeats_across_a_seam_of_two_earlier_documents(spark):
@@ -121,3 +121,10 @@ def test_sample_holds_every_language(spark):
     got = crf_langid.sample(docs, 1500)
     assert len({lang for lang, _ in got}) == 250 and len(got) == 1500
     assert len(crf_langid.sample(docs, 100)) == 100
+
+
+def test_empty_sketches_of_unlike_texts(spark):
+    docs = spark.createDataFrame([(i, f"short text {i // 2}") for i in range(80)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(docs).collect()}
+    assert any(rows[i]["fingerprint"] == rows[i - 1]["fingerprint"] == "" for i in range(2, 80, 2))
+    assert [rows[i]["near_next"] for i in range(1, 80)] == [float(i % 2) for i in range(1, 80)]
