@@ -9,9 +9,11 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +23,18 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; bounds the temporaries of a task.
 CHUNK_BYTES = 1 << 19
-MASK64 = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, without a trailing slash."""
+    """The folder that driver and executors share, without a trailing slash.
+
+    Without ``spark.checkpoint.dir`` a local session gets a temporary one; a cluster has no
+    folder that would serve, so there it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="biblion-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -52,14 +59,42 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
+    if _scopes:
+        _scopes[-1].append(table)
     return table
 
 
-def discard(table: DataFrame) -> None:
-    """Delete a table of ``materialize`` that nothing reads any more."""
-    jvm, path = table.sparkSession.sparkContext._jvm, table.written_to
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for table in tables:
+        jvm, path = table.sparkSession.sparkContext._jvm, table.written_to
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within the block, tables of ``materialize`` are temporary: they go at its end, but for
+    those that were given to the yielded function."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    _scopes.append(made)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(made)
+        stay = {t.written_to for t in kept}
+        discard(*(t for t in made if t.written_to not in stay))
+        if _scopes:
+            _scopes[-1].extend(kept)
 
 
 #: Bits of the filter that ``likely_rows`` broadcasts, and how many one row of it holds.
@@ -150,29 +185,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
+#: Words longer than this are hashed one by one.
+LONG_WORD = 256
+_KEYS = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base modulo 2**64, and of its inverse, at least ``n`` of each."""
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 2))
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
+def hash_ranges(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of the byte ranges of ``flat``, which has eight bytes more than any range needs.
+
+    Eight bytes at a time are mixed into the state, so ranges of up to eight bytes never
+    collide with one of their length; long ranges go through BLAKE2b.
+    """
+    words = np.ndarray((len(flat) - 7,), "<u8", flat, strides=(1,))
+    key = _KEYS[seed]
+    state = mix64(sizes.astype(np.uint64) + key)
+    active = np.flatnonzero((sizes > 0) & (sizes <= LONG_WORD))
+    done = 0
+    while len(active):
+        left = sizes[active] - done
+        part = words[starts[active] + done] & _LOW_BYTES[np.minimum(left, 8)]
+        state[active] = mix64((state[active] ^ part) * key + part)
+        active, done = active[left > 8], done + 8
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        digest = hashlib.blake2b(flat[starts[i] : starts[i] + sizes[i]].tobytes(), digest_size=8, salt=bytes([seed])).digest()
+        state[i] = int.from_bytes(digest, "little")
+    return state
 
 
 def byte_table(separators: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(is-word per byte, folded byte + 1 as uint64); A-Z are lower-cased if asked."""
+    """(is-word per byte, folded byte); A-Z are lower-cased if asked."""
     word = np.ones(256, bool)
     word[list(separators)] = False
     folded = np.arange(256)
     if lower:
         folded[65:91] += 32
-    return word, (folded + 1).astype(np.uint64)
+    return word, folded.astype(np.uint8)
 
 
 #: Words between ASCII white space: [^\x20\x09-\x0D]+
@@ -186,13 +234,13 @@ LETTERS = byte_table(bytes([*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B,
 
 
 class WordBatch:
-    """Words of some texts: hashes, byte ranges in ``flat``, and each text's word range."""
+    """Words of some texts: hashes, byte ranges in ``flat`` (folded), and each text's word range."""
 
-    __slots__ = ("flat", "hashes", "starts", "ends", "first", "text_at", "_sums", "_terms", "_down")
+    __slots__ = ("flat", "hashes", "starts", "ends", "first", "text_at")
 
     def __init__(self, texts: list[bytes], table: tuple[np.ndarray, np.ndarray]):
         is_word, value = table
-        flat = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        flat = np.frombuffer(b" ".join(texts) + b" " * 9, np.uint8)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         at = np.concatenate(([0], np.cumsum(lengths + 1)))
         inside = is_word[flat]
@@ -203,21 +251,21 @@ class WordBatch:
         edge[0] = False
         np.less(inside[1:], inside[:-1], out=edge[1:])
         ends = np.flatnonzero(edge)
-        up, down = powers(len(flat))
-        terms = value[flat] * up[: len(flat)]
-        sums = np.cumsum(terms, dtype=np.uint64)
-        self.hashes = mix64((sums[ends - 1] - sums[starts] + terms[starts]) * down[starts]) if len(starts) else np.zeros(0, np.uint64)
-        self.flat, self.starts, self.ends, self.text_at = flat, starts, ends, at
+        self.flat, self.starts, self.ends, self.text_at = value[flat], starts, ends, at
+        self.hashes = hash_ranges(self.flat, starts, ends - starts)
         self.first = np.searchsorted(starts, at)
-        self._sums, self._terms, self._down = sums, terms, down
+
+    def other_hashes(self) -> np.ndarray:
+        """Hashes that are independent of ``hashes``."""
+        return hash_ranges(self.flat, self.starts, self.ends - self.starts, 1)
 
     def prefix_hashes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(word numbers, hashes) of the first ``n`` bytes of words that have as many."""
         long = np.flatnonzero(self.ends - self.starts >= n)
-        a = self.starts[long]
-        return long, mix64((self._sums[a + n - 1] - self._sums[a] + self._terms[a]) * self._down[a])
+        return long, hash_ranges(self.flat, self.starts[long], np.full(len(long), n))
 
     def word(self, i: int) -> bytes:
+        """The folded word."""
         return self.flat[self.starts[i] : self.ends[i]].tobytes()
 
 
@@ -233,6 +281,15 @@ def fold_windows(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix64(total)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Ascending distinct values; by sorting, which is faster than ``np.unique``'s hash table."""
+    x = np.sort(x)
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Concatenated ``arange(s, s + c)`` of each pair."""
     total = int(counts.sum())

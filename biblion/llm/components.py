@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,15 +26,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (u, v) -> one row (node, component) for each node that has an edge; component is
+    """edges (u, v) -> a table (node, component) with a row for each node that has an edge; component is
     the least node reachable. Loops and repeated edges are harmless, no edges give no rows."""
     edges = materialize(edges.select("u", "v").where("u <> v").distinct(), "edges")
     before = None
     while True:
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        old, edges = edges, materialize(_small_star(_large_star(edges)), "edges")
+        discard(old)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             break
         before = state
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    labels = nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    labels = materialize(labels, "labels")
+    discard(edges)
+    return labels

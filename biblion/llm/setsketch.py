@@ -11,33 +11,36 @@ without words the set is empty and linked with nothing. Documents are linked if
   Jaccard similarity; ``bands`` of ``rows`` registers miss a pair at 0.85 with
   (1 - 0.85**3)**24, 1e-10, at the defaults. ``keep_one`` takes five words at 0.8, and 32
   bands, which miss as few: (1 - 0.8**3)**32, 1e-10.
-* Documents of equal sets form one class (one sketch, one candidate); copies are never paired.
+* Documents of equal sets (a 128-bit digest of two independent hashes) form one class: one
+  sketch, one candidate; copies are never paired.
 * A band bucket is first linked through its least member only (a star, linear in its size).
   A link can hide only between members of different components after that: small buckets
   compare those pair by pair; members of large ones meet by more stars with other centres
   while that helps, then in blocks that share prefix shingles (``_block_links``). So no
   link is lost, and neither copies nor texts around a common passage make all their pairs.
-* Verification reads the texts of candidates again and intersects full sets of 64-bit
-  shingle hashes.
+* Verification reads the texts of candidates again and intersects their full sets of
+  shingles, word by word, no hashes.
 
 Defined cases: null, empty and wordless texts give n_shingles 0, component_id = doc_id,
-kept; rows without doc_id are linked with nothing (component_id null, kept); repeated rows of
-one doc_id stay one node; empty tables give empty results; extra
-columns are ignored.
+kept; rows without doc_id are linked with nothing (component_id null, kept). Rows count
+by their text: rows of one doc_id with different texts are linked by their own texts only,
+rows repeated whole are copies of each other with one component_id. ``keep_one`` keeps one
+row of each group, the least by doc_id, then by a hash of the text; wordless rows and rows
+without doc_id stay. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, WordBatch, bytes_of, chunks, fold_windows, likely_rows, materialize, mix64, ranges, record_batch, signed, tidied, tidied_group
+from .common import SPACED, WordBatch, bytes_of, chunks, distinct, fold_windows, likely_rows, materialize, mix64, ranges, record_batch, scratch, signed, tidied, tidied_group
 from .components import components
 
 BANDS, ROWS = 24, 3
@@ -61,16 +64,27 @@ _XOR = _rng.integers(0, 1 << 63, (512, 1), dtype=np.uint64) * np.uint64(2) + np.
 _MUL = _rng.integers(0, 1 << 63, (512, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(texts: list[bytes], n: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
+def shingle_sets(texts: list[bytes], n: int = SHINGLE_WORDS) -> Iterator[tuple[np.ndarray, bytes | None]]:
+    """Sorted distinct shingle hashes of each text, and the set's digest (none if it is empty)."""
     for lo, hi in chunks(texts):
         batch = WordBatch(texts[lo:hi], SPACED)
-        whole = fold_windows(batch.hashes, n)
+        both = batch.hashes, batch.other_hashes()
+        whole = [fold_windows(h, n) for h in both]
         for a, b in zip(batch.first[:-1].tolist(), batch.first[1:].tolist(), strict=True):
             if b - a >= n:
-                yield np.unique(whole[a : b - n + 1])
+                one, two = (distinct(w[a : b - n + 1]) for w in whole)
+            elif b > a:
+                one, two = (fold_windows(h[a:b], b - a) for h in both)
             else:
-                yield fold_windows(batch.hashes[a:b], b - a) if b > a else np.zeros(0, np.uint64)
+                yield np.zeros(0, np.uint64), None
+                continue
+            yield one, hashlib.blake2b(one.tobytes() + two.tobytes(), digest_size=16).digest()
+
+
+def word_shingles(text: bytes, n: int) -> set[tuple[bytes, ...]]:
+    """The set itself: ASCII letters folded, split at ASCII white space."""
+    words = text.lower().split()
+    return set(zip(*(words[k:] for k in range(n)), strict=False)) if len(words) >= n else {tuple(words)} - {()}
 
 
 def registers(hashes: np.ndarray, m: int) -> np.ndarray:
@@ -108,30 +122,36 @@ def likely_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
     return j[np.arange(len(best)), best]
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("bands", pa.list_(pa.int64())), ("registers", pa.binary())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("bands", pa.list_(pa.int64())), ("registers", pa.binary())])
+
+
+def text_key() -> Column:
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n_shingles, set_hash, band keys and registers; nulls where the set is empty."""
+    """doc_id, text_key, n_shingles, set_hash, band keys and registers; nulls where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(bands, dtype=np.uint64)
         for rb in batches:
             out: dict[str, list] = {"n_shingles": [], "set_hash": [], "bands": [], "registers": []}
-            for s in shingle_sets(bytes_of(rb.column("text")), n):
+            for s, digest in shingle_sets(bytes_of(rb.column("text")), n):
                 out["n_shingles"].append(len(s))
+                out["set_hash"].append(digest)
                 if not len(s):
-                    for k in ("set_hash", "bands", "registers"):
+                    for k in ("bands", "registers"):
                         out[k].append(None)
                     continue
                 r = registers(s, bands * rows)
-                out["set_hash"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 wide = r.reshape(bands, rows).astype(np.uint64)
                 out["bands"].append(signed(mix64(fold_rows(wide) + salt * np.uint64(0x9E3779B97F4A7C15))))
                 out["registers"].append(r.tobytes())
-            yield record_batch({"doc_id": rb.column("doc_id"), **out}, _SKETCH)
+            yield record_batch({"doc_id": rb.column("doc_id"), "text_key": rb.column("text_key"), **out}, _SKETCH)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, n_shingles long, set_hash binary, bands array<long>, registers binary")
+    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
+    return rows_.mapInArrow(tidied(run), "doc_id long, text_key long, n_shingles long, set_hash binary, bands array<long>, registers binary")
 
 
 def fold_rows(wide: np.ndarray) -> np.ndarray:
@@ -161,28 +181,48 @@ def _likely(pairs: DataFrame, classes: DataFrame, m: int, least: float) -> DataF
     return pairs.join(one, "a").join(two, "b").mapInArrow(tidied(run), "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _members(docs: DataFrame, classes: DataFrame, reps: DataFrame, n: int, texts: bool) -> DataFrame:
+    """(rep, value) of the classes ``reps`` (rep): the text of the class's first document, or
+    its sorted shingle hashes. Documents are found through a bitmap of fixed size."""
+    wanted = classes.join(reps, "rep", "left_semi").select("rep", "set_hash", F.col("first.doc_id").alias("doc_id"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(bytes_of(rb.column("text")), n)], pa.binary())], names=["doc_id", "shingles"])
+            data = bytes_of(rb.column("text"))
+            found = list(shingle_sets(data, n))
+            values = data if texts else [s.tobytes() for s, _ in found]
+            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array([d for _, d in found], pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "set_hash", "value"])
+
+    read = likely_rows(docs, wanted.select("doc_id").distinct()).mapInArrow(tidied(run), "doc_id long, set_hash binary, value binary")
+    return read.join(wanted, ["doc_id", "set_hash"]).select("rep", "value").dropDuplicates(["rep"])
+
 
-    full = materialize(likely_rows(docs, ids).mapInArrow(tidied(sets), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "shingle-sets")
+#: Words whose sets a verifying task keeps for the next pairs.
+KEPT_WORDS = 1 << 21
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, n: int) -> DataFrame:
+    """The pairs whose full sets of word shingles reach the threshold."""
+    full = materialize(_members(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), n, True), "candidate-texts")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, set] = {}
+        size = 0
         for rb in batches:
             keep = []
-            for x, y in zip(rb.column("s_a"), rb.column("s_b"), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate((s, t)), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(s) + len(t) - common))
+            for a, b, x, y in zip(rb.column("a").to_pylist(), rb.column("b").to_pylist(), rb.column("t_a"), rb.column("t_b"), strict=True):
+                if size > KEPT_WORDS:
+                    sets, size = {}, 0
+                for rep, t in ((a, x), (b, y)):
+                    if rep not in sets:
+                        sets[rep] = word_shingles(t.as_py(), n)
+                        size += len(sets[rep])
+                common = len(sets[a] & sets[b])
+                keep.append(100 * common >= percent * (len(sets[a]) + len(sets[b]) - common))
             yield rb.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s_a"))
-    two = full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("s_b"))
+    one = full.select(F.col("rep").alias("a"), F.col("value").alias("t_a"))
+    two = full.select(F.col("rep").alias("b"), F.col("value").alias("t_b"))
     return pairs.join(one, "a").join(two, "b").mapInArrow(tidied(confirm), "a long, b long")
 
 
@@ -194,10 +234,11 @@ def _cross(rows: DataFrame, key: str, percent: int) -> DataFrame:
     return one.join(two, (one[key] == two[key]) & (F.col("c_a") < F.col("c_b")) & similar).select("a", "b", "n_a", "n_b")
 
 
-def _block_links(docs: DataFrame, hot: DataFrame, percent: int, n: int) -> DataFrame:
+def _block_links(docs: DataFrame, classes: DataFrame, hot: DataFrame, percent: int, n: int) -> DataFrame:
     """Links between different components among members of large buckets, found in blocks.
 
-    Members that large buckets connect are laid out in blocks of ``BLOCK`` sets. Two blocks
+    Members that large buckets connect are laid out in blocks of about ``BLOCK`` sets, those
+    of one bucket together; a bucket beyond that is dealt to several blocks. Two blocks
     are compared if a set of one shares a prefix shingle with a set of the other: in any
     common order of all shingles, sets with 100 * |A and B| >= percent * |A or B| share
     one of their first n - ceil(n * percent / 100) + 1, and here rare ones come first, so
@@ -205,18 +246,19 @@ def _block_links(docs: DataFrame, hot: DataFrame, percent: int, n: int) -> DataF
     and returns, for each set, one link to each component it reaches.
     """
     stars = hot.join(hot.groupBy("key").agg(F.min("rep").alias("u")), "key").select("u", F.col("rep").alias("v"))
-    cluster = components(stars).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
-    members = hot.groupBy(F.col("rep").alias("doc_id"), "component").agg(F.min("key").alias("key")).join(cluster, "doc_id")
-    place = F.floor((F.row_number().over(W.partitionBy("cluster").orderBy("key", "doc_id")) - 1) / BLOCK)
-    members = materialize(members.select("doc_id", "component", F.xxhash64("cluster", place).alias("block")), "hot-members")
+    cluster = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    members = hot.groupBy("rep", "component").agg(F.min("key").alias("key")).join(cluster, "rep")
+    by_key = members.groupBy("cluster", "key").agg(F.count("*").alias("of_key"))
+    by_cluster = by_key.groupBy("cluster").agg(F.sum("of_key").alias("of_cluster"))
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            found = [s.tobytes() for s in shingle_sets(bytes_of(rb.column("text")), n)]
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
+    def part(value: Column, size: str) -> Column:
+        return F.pmod(value, F.ceil(F.col(size) / BLOCK).cast("long"))
 
-    sets = likely_rows(docs, members).mapInArrow(tidied(sets_of), "doc_id long, shingles binary").dropDuplicates(["doc_id"])
-    sets = materialize(members.join(sets, "doc_id").select(F.col("doc_id").alias("rep"), "component", "block", "shingles"), "hot-sets")
+    sizes = by_key.join(by_cluster, "cluster")
+    block = F.when(F.col("of_key") > BLOCK, F.xxhash64("cluster", "key", part(F.xxhash64("rep"), "of_key"))).otherwise(F.xxhash64("cluster", part(F.xxhash64("key"), "of_cluster")))
+    members = materialize(members.join(sizes, ["cluster", "key"]).select("rep", "component", block.alias("block")), "hot-members")
+    sets = _members(docs, classes, members.select("rep"), n, False).withColumnRenamed("value", "shingles")
+    sets = materialize(members.join(sets, "rep"), "hot-sets")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
@@ -272,52 +314,77 @@ def _block_links(docs: DataFrame, hot: DataFrame, percent: int, n: int) -> DataF
     return left.select(*columns).unionByName(right.select(*columns)).groupBy("i", "j").applyInArrow(tidied_group(compare), "a long, b long")
 
 
+def _grouped(docs: DataFrame, percent: int, bands: int, rows: int, n: int) -> DataFrame:
+    """Per row: doc_id, text_key, n_shingles and ``chosen``, the (doc_id, text_key) that stands for its
+    group; null where the row is linked with nothing."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with scratch() as keep:
+        sketched = keep(materialize(sketches(docs, bands, rows, n), "sketches"))
+        full = sketched.where("n_shingles > 0 and doc_id is not null")
+        size_ok = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
+        made = full.groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
+        classes = keep(materialize(made.withColumn("rep", F.monotonically_increasing_id()), "classes"))
+        row = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+        hubs = row.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
+        shared = materialize(row.join(hubs, "key"), "buckets")  # rows of buckets with several classes
+
+        def links(pairs: DataFrame) -> DataFrame:
+            with scratch() as hold:
+                likely = materialize(_likely(pairs, classes, bands * rows, percent / 100 - SLACK), "likely")
+                return hold(materialize(_verified(likely, docs, classes, percent, n), "links"))
+
+        edges = [links(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())]
+        turn, before, label = 0, None, None
+        while True:
+            # what earlier links have joined goes on as labels; only new links are added to them
+            new = [e.select(F.col("a").alias("u"), F.col("b").alias("v")) for e in edges]
+            joined = new if label is None else [*new, label.select(F.col("node").alias("u"), F.col("component").alias("v"))]
+            label = components(reduce(DataFrame.unionByName, joined))
+            if turn < 0:
+                break
+            labelled = shared.drop("hub").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+            mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
+            still = materialize(labelled.join(mixed, "key"), "mixed")
+            hot = still.where(F.col("size") > SMALL_BUCKET)
+            n_hot = hot.count()
+            edges = []
+            if n_hot and (before is None or n_hot * 2 < before):
+                centre = hot.groupBy("key").agg(F.min_by(F.struct("rep", "component", "n"), F.xxhash64("rep", F.lit(turn))).alias("h"))
+                pairs = hot.join(centre, "key").where(F.col("component") != F.col("h.component")).select(F.col("h.rep").alias("a"), F.col("rep").alias("b"), F.col("h.n").alias("n_a"), F.col("n").alias("n_b"))
+                turn, before = turn + 1, n_hot
+            else:
+                pairs = _cross(still.where(F.col("size") <= SMALL_BUCKET), "key", percent)
+                if n_hot:
+                    found = materialize(_block_links(docs, classes, hot, percent, n).distinct(), "block-links")
+                    edges.append(materialize(_verified(found, docs, classes, percent, n), "links"))
+                turn = -1
+            edges.append(links(pairs.where(size_ok).select("a", "b").distinct()))
+        keep(label)
+    least = label.join(classes.select(F.col("rep").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
+    chosen = label.join(least, "component").select(F.col("node").alias("rep"), "least")
+    groups = classes.select("set_hash", "rep", "first").join(chosen, "rep", "left").select("set_hash", F.coalesce("least", "first").alias("chosen"))
+    found = sketched.select("doc_id", "text_key", "n_shingles", "set_hash").join(groups, "set_hash", "left")
+    return found.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("chosen")).alias("chosen"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE_WORDS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = materialize(sketches(docs, bands, rows, n), "sketches")
-    full = sketched.where("n_shingles > 0 and doc_id is not null")
-    size_ok = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-    classes = materialize(full.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "classes")
-    row = classes.select(F.col("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    hubs = row.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    shared = materialize(row.join(hubs, "key"), "buckets")  # rows of buckets with several classes
-
-    def links(pairs: DataFrame) -> DataFrame:
-        likely = materialize(_likely(pairs, classes, bands * rows, percent / 100 - SLACK), "likely")
-        return materialize(_verified(likely, docs, percent, n), "links")
-
-    edges = links(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-    turn, before = 0, None
-    while True:
-        label = materialize(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
-        if turn < 0:
-            break
-        labelled = shared.drop("hub").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-        still = materialize(labelled.join(mixed, "key"), "mixed")
-        hot = still.where(F.col("size") > SMALL_BUCKET)
-        n_hot = hot.count()
-        if n_hot and (before is None or n_hot * 2 < before):
-            centre = hot.groupBy("key").agg(F.min_by(F.struct("rep", "component", "n"), F.xxhash64("rep", F.lit(turn))).alias("h"))
-            pairs = hot.join(centre, "key").where(F.col("component") != F.col("h.component")).select(F.col("h.rep").alias("a"), F.col("rep").alias("b"), F.col("h.n").alias("n_a"), F.col("n").alias("n_b"))
-            turn, before = turn + 1, n_hot
-        else:
-            pairs = _cross(still.where(F.col("size") <= SMALL_BUCKET), "key", percent)
-            if n_hot:
-                edges = edges.unionByName(materialize(_block_links(docs, hot, percent, n), "block-links"))
-            turn = -1
-        edges = edges.unionByName(links(pairs.where(size_ok).select("a", "b").distinct()))
-    groups = classes.select("set_hash", F.col("rep").alias("node")).join(label, "node", "left").select("set_hash", F.coalesce("component", "node").alias("group_id"))
-    found = sketched.select("doc_id", "n_shingles", "set_hash").join(groups, "set_hash", "left")
-    least = F.when(F.col("doc_id").isNotNull(), F.coalesce("group_id", "doc_id"))
-    return found.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"))
+    least = F.coalesce("chosen.doc_id", "doc_id")
+    return _grouped(docs, percent, bands, rows, n).select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = STAGE_PERCENT, bands: int = STAGE_BANDS, n: int = STAGE_WORDS) -> DataFrame:
-    """The documents that stay: the one of least doc_id of each near-duplicate group."""
-    gone = near_duplicates(docs, percent, bands, n=n).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows that stay: one of each near-duplicate group."""
+    ident = {"__near_doc_id": F.col("doc_id").cast("long"), "__near_text_key": text_key()}
+    grouped = _grouped(docs, percent, bands, ROWS, n).where("chosen is not null")
+    own = (F.col("doc_id") == F.col("chosen.doc_id")) & (F.col("text_key") == F.col("chosen.text_key"))
+    by_row = grouped.groupBy(*[F.col(c).alias(k) for c, k in zip(("doc_id", "text_key"), ident, strict=True)]).agg(F.bool_and(own).alias("stays"), F.count("*").alias("n"))
+    marked = materialize(by_row.where("not stays or n > 1"), "near-decisions")
+    keys = list(ident)
+    rows = docs.withColumns(ident).join(marked.where("not stays").select(*keys), keys, "left_anti")
+    if not (again := marked.where("stays").select(*keys)).isEmpty():  # rows repeated whole
+        rows = rows.join(again, keys, "left_anti").unionByName(rows.join(again, keys, "left_semi").dropDuplicates(keys))
+    return rows.select(*docs.columns)
 
 
 ORACLE_SQL = r"""
