@@ -1,16 +1,18 @@
 """Deep-shallow sorting of fixed-width strings, with the LCP of neighbours.
 
-``order_with_lcp`` sorts the rows of a byte matrix: a multikey quicksort over eight-byte
-characters orders them to a shallow depth; groups that still agree there (long common
-prefixes) are ordered by a blind trie, which looks at single branching bytes only and
-compares one full string per insertion.
+``order_with_lcp`` sorts the rows of a byte matrix: a multikey quicksort (ternary partition by
+one eight-byte character at a time, all segments of a round in one numpy pass) orders them to a
+shallow depth; groups that still agree there (long common prefixes) are ordered by a blind
+trie, which looks at single branching bytes only and compares one full string per insertion.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-SHALLOW_BYTES = 40
+from .common import ranges
+
+SHALLOW_BYTES = 48
 
 
 def _characters(rows: np.ndarray) -> np.ndarray:
@@ -77,44 +79,68 @@ class BlindTrie:
         return out, lcp
 
 
-def order_with_lcp(rows: np.ndarray, shallow: int = SHALLOW_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order of the byte rows, and each row's LCP with its predecessor in that order."""
+def multikey_quicksort(chars: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+    """Order of the rows by group, then by their first ``depth`` characters.
+
+    ``group`` is ascending. A round partitions every unfinished segment into the rows whose
+    character is less than, equal to or greater than its pivot, the median of three; the
+    equal ones go on with the next character.
+    """
+    order = np.arange(len(chars))
+    cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+    lo, size, at = cuts[:-1], np.diff(cuts), np.zeros(len(cuts) - 1, np.int64)
+    while True:
+        open_ = (size > 1) & (at < depth)
+        lo, size, at = lo[open_], size[open_], at[open_]
+        if not len(lo):
+            return order
+        place = ranges(lo, size)
+        segment = np.repeat(np.arange(len(lo)), size)
+        key = chars[order[place], at[segment]]
+        begin = np.cumsum(size) - size
+        three = np.sort(key[np.stack((begin, begin + size // 2, begin + size - 1))], axis=0)
+        pivot = three[1][segment]
+        side = segment * 3 + (key >= pivot) + (key > pivot)
+        order[place] = order[place[np.argsort(side, kind="stable")]]
+        size = np.bincount(side, minlength=3 * len(lo))
+        at = np.repeat(at, 3) + np.tile([0, 1, 0], len(lo))
+        lo = np.repeat(lo, 3) + size.reshape(-1, 3).cumsum(1).reshape(-1) - size
+
+
+def order_with_lcp(rows: np.ndarray, shallow: int = SHALLOW_BYTES, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted order of the byte rows, and each row's LCP with its predecessor in that order.
+
+    With ``group`` (ascending numbers) rows are sorted within their groups; a group's first row has LCP -1.
+    """
     n, width = rows.shape
-    order, lcp = np.arange(n), np.zeros(n, np.int64)
-    if n < 2:
-        return order, lcp
+    group = np.zeros(n, np.int64) if group is None else group
+    lcp = np.zeros(n, np.int64)
+    if n < 2 or not width:
+        lcp[np.flatnonzero(group[1:] != group[:-1]) + 1] = -1
+        return np.arange(n), lcp
     chars = _characters(rows)
-    group = np.zeros(n, np.int64)  # by place in ``order``: which unfinished group it is in
-    active = np.arange(n)  # places whose group is not settled yet
-    depth = 0
-    while len(active) and depth < min(chars.shape[1], shallow // 8):
-        key = chars[order[active], depth]
-        by = np.lexsort((key, group[active]))
-        order[active], key, g = order[active][by], key[by], group[active][by]
-        same = g[1:] == g[:-1]
-        equal = same & (key[1:] == key[:-1])
-        split = np.flatnonzero(same & ~equal) + 1
-        differ = (key[split] ^ key[split - 1]).astype(">u8").view(np.uint8).reshape(-1, 8)
-        lcp[active[split]] = np.minimum(depth * 8 + np.argmax(differ != 0, axis=1), width)
-        label = np.concatenate(([0], np.cumsum(~equal)))
-        group[active] = label
-        tied = np.concatenate(([False], equal)) | np.concatenate((equal, [False]))
-        active = active[tied]
-        depth += 1
-    if len(active):
-        g = group[active]
-        cuts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            places = active[lo:hi]
-            members = order[places]
-            found, shared = BlindTrie([rows[m].tobytes() for m in members.tolist()]).ordered()
-            order[places] = members[found]
-            lcp[places[1:]] = shared[1:]
+    depth = min(chars.shape[1], -(-shallow // 8))
+    order = multikey_quicksort(chars, group, depth)
+    one, two = chars[order[1:], :depth], chars[order[:-1], :depth]
+    differ = one != two
+    first = np.argmax(differ, axis=1)
+    pick = np.arange(n - 1)
+    byte = (one[pick, first] ^ two[pick, first]).astype(">u8").view(np.uint8).reshape(-1, 8) != 0
+    lcp[1:] = np.minimum(first * 8 + np.argmax(byte, axis=1), width)
+    border = group[order[1:]] != group[order[:-1]]
+    lcp[1:][border] = -1
+    tied = ~differ.any(axis=1) & ~border  # with the row before
+    cuts = np.flatnonzero(np.diff(np.concatenate(([False], tied, [False])).astype(np.int8)))
+    for lo, hi in zip(cuts[0::2].tolist(), (cuts[1::2] + 1).tolist(), strict=True):
+        members = order[lo:hi]
+        found, shared = BlindTrie([rows[m].tobytes() for m in members.tolist()]).ordered()
+        order[lo:hi] = members[found]
+        lcp[lo + 1 : hi] = shared[1:]
     return order, lcp
 
 
 def classes(order: np.ndarray, lcp: np.ndarray, depth: int) -> np.ndarray:
     """For each row, the id of its class of rows that agree in the first ``depth`` bytes."""
     out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(lcp < depth) if depth else 0
+    out[order] = np.cumsum(lcp < depth)
     return out

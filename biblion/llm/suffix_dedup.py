@@ -9,55 +9,55 @@ whose ``kmer``-byte hash is the least in some window of ``length`` bytes. The ch
 depends on the window alone, so equal windows hold equal anchors at equal places, and
 every repeated string has an anchor in common with its earlier occurrence.
 
-1. Anchors (about one in 35 bytes) go to buckets by k-mer, combined on the map side:
-   equal contexts (all windows around an anchor, 168 bytes) of a batch are settled
-   there. In a bucket, an anchor whose context occurred earlier is covered on its whole
-   context; one whose k-mer has several contexts is a *border*, to be settled by bytes.
-2. Documents join what was found about them. Those without borders are finished; others
-   send the bytes around their borders to the k-mer's bucket.
-3. There the right and left contexts are put in suffix order by deep-shallow sorting
-   (``deepshallow``). For every split of a window into a left and a right part, the LCP
-   arrays give classes of equal parts, hence exact classes of equal windows; all but
-   the first of a class are covered.
-
-A k-mer with very many distinct contexts is split by the bytes beside it (``refine``):
-a window holds ``margin // 2`` bytes on one side of its anchor at least, so the larger
-key still brings equal windows together.
-
-Defined cases: null text counts as empty; texts under ``length`` bytes lose nothing; rows
-that share a doc_id are one document (no earlier than itself) and share what is found;
-rows without doc_id are not searched and lose nothing; empty tables give empty results; extra columns are ignored by ``repeated_spans`` and kept by ``remove_repeats``.
+1. Texts are written once as blocks of a few MB. A block asks for the corpus counts of its
+   anchors' k-mers (``tally``); anchors of unique k-mers (most) are done.
+2. Of the others, the block sends the bytes around them (168: all windows that hold the
+   anchor) to the k-mer's bucket. Of byte-equal contexts of a block only the first is sent.
+3. A bucket puts the right and left contexts of each k-mer in suffix order by deep-shallow
+   sorting (``deepshallow``). For every split of a window into a left and a right part, the
+   LCP arrays give classes of equal parts, hence exact classes of equal windows; all but the
+   first of a class are covered. Hashes only bring strings together, bytes decide.
+4. A k-mer with more than ``hot_over`` different contexts is not sent. The splits of its
+   windows are halved: all windows with d to e bytes before the anchor share the bytes that
+   lie in each of them, a longer string than the k-mer, which is counted anew. In the end
+   that string is one whole window, of which a block sends one occurrence.
+
+Defined cases: null text counts as empty; texts under ``length`` bytes lose nothing. Rows
+count by themselves: those of one doc_id follow one another in the order of a hash of
+their texts, so of a row repeated whole only one keeps its bytes, and spans of one text never
+cut another. Rows without doc_id are not searched and lose nothing; empty tables give empty
+results; extra columns are ignored by ``repeated_spans`` and kept by ``remove_repeats``.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, chunks, discard, materialize, mix64, record_batch, text_bytes, tidied, tidied_group
+from . import tally
+from .common import CHUNK_BYTES, bytes_of, hash_ranges, materialize, mix64, record_batch, scratch, tidied, tidied_group
 from .deepshallow import classes, order_with_lcp
 
 LENGTH = 100
 KMER = 32
-BUCKET_BYTES = 8 << 20
-#: Rows whose anchors are combined before they are sent.
-SLICE_ROWS = 3000
-#: Border contexts of one k-mer beyond which its group is split by the bytes beside it.
-REFINE_OVER = 4096
+BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 4 << 20
+#: Different contexts of one k-mer beyond which its windows are told apart before they are sent.
+HOT_OVER = 20_000
+#: Contexts that are compared at once in a bucket, where one k-mer has no more.
+COMPARE = 4096
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = [np.uint64(int(x) | 1) for x in _rng.integers(1, 1 << 63, 8, dtype=np.uint64)]
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("covered", pa.list_(pa.int32())), ("borders", pa.list_(pa.int32()))])
-_FOUND_DDL = "doc_id long, covered array<int>, borders array<int>"
-_PARTIAL = "doc_id long, n_bytes long, cuts array<int>, borders array<int>, keys binary, contexts binary, text string"
-
 
 def _slide(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
     """f over x[i : i + width] for every i that has so many."""
@@ -68,24 +68,49 @@ def _slide(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
     return f(out[: len(x) - width + 1], out[width - reach : width - reach + len(x) - width + 1]) if reach < width else out
 
 
-def _lay_out(texts: list[bytes], margin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts in one array with ``margin`` bytes that no UTF-8 has around each; starts and ends."""
-    gap = b"\xff" * margin
-    flat = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = margin + np.concatenate(([0], np.cumsum(lengths + margin)[:-1])) if len(texts) else np.zeros(0, np.int64)
-    return flat, starts, starts + lengths
+def _segments(texts: list[bytes], length: int, margin: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Lists of (text index, first and last + 1 start of windows), each of about CHUNK_BYTES; a long
+    text is cut into several ranges of window starts."""
+    batch: list[tuple[int, int, int]] = []
+    size = 0
+    for i, t in enumerate(texts):
+        for lo in range(0, len(t) - length + 1, CHUNK_BYTES):
+            hi = min(lo + CHUNK_BYTES, len(t) - length + 1)
+            if batch and size + hi - lo + length + 2 * margin > CHUNK_BYTES:
+                yield batch
+                batch, size = [], 0
+            batch.append((i, lo, hi))
+            size += hi - lo + length + 2 * margin
+    if batch:
+        yield batch
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, position, k-mer hash, context hash) of the anchors of each text."""
+    """(text index, position, k-mer hash, context hash) of the anchors of each text, in order."""
     margin = length - kmer
-    flat, starts, ends = _lay_out(texts, margin)
-    n = len(flat)
-    usable = ends - starts >= length
-    none = np.zeros(0, np.int64)
-    if not usable.any():
+    found = [_anchors(texts, batch, length, kmer) for batch in _segments(texts, length, margin)]
+    if not found:
+        none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
+    doc, pos, key, context = (np.concatenate(x) for x in zip(*found, strict=True))
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1])))  # ranges of one text may share anchors
+    if not new.all():
+        by = np.lexsort((pos, doc))
+        by = by[np.concatenate(([True], (doc[by[1:]] != doc[by[:-1]]) | (pos[by[1:]] != pos[by[:-1]])))]
+        return doc[by], pos[by], key[by], context[by]
+    return doc, pos, key, context
+
+
+def _anchors(texts: list[bytes], batch: list[tuple[int, int, int]], length: int, kmer: int) -> tuple[np.ndarray, ...]:
+    margin = length - kmer
+    gap = b"\xff" * margin  # bytes that no UTF-8 has
+    shift = [max(0, lo - margin) for _, lo, _ in batch]
+    parts = [texts[i][a : hi + length - 1 + margin] for (i, _, hi), a in zip(batch, shift, strict=True)]
+    flat = np.frombuffer(gap + gap.join(parts) + gap, np.uint8)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    starts = margin + np.concatenate(([0], np.cumsum(sizes + margin)[:-1]))
+    base = np.array(shift, np.int64)
+    n = len(flat)
     h, reach, level = _BYTE[flat], 1, 0
     while reach < kmer:
         h = h[:-reach] * _STEP[level] + h[reach:]
@@ -93,10 +118,9 @@ def anchors(texts: list[bytes], length: int = LENGTH, kmer: int = KMER) -> tuple
         reach, level = reach * 2, level + 1
     assert reach == kmer, "kmer must be a power of two"
     low = _slide(h, margin + 1, np.minimum)
-    # windows that start in [start, end - length] of their text count
-    flag = np.zeros(n + 1, np.int8)
-    flag[starts[usable]] = 1
-    np.add.at(flag, ends[usable] - length + 1, -1)
+    flag = np.zeros(n + 1, np.int8)  # window starts that count
+    flag[starts + np.array([lo for _, lo, _ in batch]) - base] = 1
+    np.add.at(flag, starts + np.array([hi for _, _, hi in batch]) - base, -1)
     low[np.cumsum(flag[: len(low)], dtype=np.int8) == 0] = 0
     top = np.zeros(len(low) + margin, np.uint64)
     top[margin:] = low
@@ -109,8 +133,8 @@ def anchors(texts: list[bytes], length: int = LENGTH, kmer: int = KMER) -> tuple
         reach, level = reach * 2, level + 1
     left, right = half[at - margin], half[at + length - reach]
     context = mix64(left * _STEP[6] + right * _STEP[7] + mix64(right))
-    doc = np.searchsorted(starts, at, side="right") - 1
-    return doc, at - starts[doc], mix64(h[at]), context
+    part = np.searchsorted(starts, at, side="right") - 1
+    return np.array([i for i, _, _ in batch], np.int64)[part], at - starts[part] + base[part], mix64(h[at]), context
 
 
 def merge_spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,267 +147,306 @@ def merge_spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return lo[new], hi[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(hi) - 1]))]
 
 
-def _by_document(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, bdoc: np.ndarray, bpos: np.ndarray) -> pa.RecordBatch:
-    """A row per document with its merged covered spans (flat lo, hi) and border positions."""
-    ids = np.unique(np.concatenate((doc, bdoc)))
-    by = np.lexsort((lo, doc))
-    doc, lo, hi = doc[by], lo[by], hi[by]
-    if len(doc):  # merge within documents: shift each document beyond the one before
-        rank = np.searchsorted(ids, doc)
-        shift = rank * (int(hi.max()) + 2)
-        a, b = merge_spans(lo + shift, hi + shift)
-        rank = np.searchsorted(shift, a, side="right") - 1
-        doc, back = doc[rank], shift[rank]
-        lo, hi = a - back, b - back
-    pairs = np.stack((lo, hi), 1).reshape(-1).astype(np.int32)
-    at = np.concatenate((np.searchsorted(doc, ids), [len(doc)])) * 2
-    by = np.lexsort((bpos, bdoc))
-    bdoc, bpos = bdoc[by], bpos[by].astype(np.int32)
-    bat = np.concatenate((np.searchsorted(bdoc, ids), [len(bdoc)]))
-    covered = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(pairs))
-    borders = pa.ListArray.from_arrays(pa.array(bat.astype(np.int32)), pa.array(bpos))
-    return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), covered, borders], schema=_FOUND)
-
-
-def _find_anchors(docs: DataFrame, buckets: int, length: int, kmer: int) -> DataFrame:
-    margin = length - kmer
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Rows of many documents each: block_id, n_bytes, payload (an Arrow stream of all their columns)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in (part.slice(i, SLICE_ROWS) for part in batches for i in range(0, part.num_rows, SLICE_ROWS)):
-            ids = np.asarray(rb.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
-            by = np.argsort(ids, kind="stable")
-            ids = ids[by]
-            texts = bytes_of(rb.column("text").take(pa.array(by)))
-            parts = []
-            for lo, hi in chunks(texts):
-                doc, pos, key, context = anchors(texts[lo:hi], length, kmer)
-                parts.append((doc + lo, pos, key, context))
-            doc, pos, key, context = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if not len(doc):
-                continue
-            _, first, place = np.unique(context, return_index=True, return_inverse=True)
-            is_first = np.zeros(len(doc), bool)
-            is_first[first] = True
-            twin = first[place]  # a repeated row is no earlier occurrence of itself
-            again = ~is_first & ((ids[doc] != ids[doc[twin]]) | (pos != pos[twin]))
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))[doc]
-            at = (key % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(at[is_first], kind="stable")
-            kept = np.flatnonzero(is_first)[order]
-            cuts = np.searchsorted(at[kept], np.arange(buckets + 1))
-            rows: list[tuple[int, bytes | None, bytes | None]] = []
-            for b in range(buckets):
-                if len(x := kept[cuts[b] : cuts[b + 1]]):
-                    ends = np.minimum(sizes[x], pos[x] + length) - pos[x]
-                    rows.append((b, b"".join((key[x].tobytes(), context[x].tobytes(), ids[doc[x]].tobytes(), pos[x].astype(np.int32).tobytes(), ends.astype(np.uint8).tobytes())), None))
-            if again.any():
-                x = np.flatnonzero(again)
-                lo, hi = np.maximum(pos[x] - margin, 0), np.minimum(pos[x] + length, sizes[x])
-                spans = _by_document(ids[doc[x]], lo, hi, np.zeros(0, np.int64), np.zeros(0, np.int64))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, _FOUND) as w:
-                    w.write_batch(spans)
-                rows.append((int(ids[0] % buckets), None, sink.getvalue().to_pybytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "entries", "settled"])
-
-    return docs.select("doc_id", "text").mapInArrow(tidied(run), "bucket int, entries binary, settled binary")
-
-
-def _settle_contexts(length: int, kmer: int):
-    margin = length - kmer
+        held: list[pa.RecordBatch] = []
+        size = 0
 
-    def run(table: pa.Table) -> pa.Table:
-        blobs = [x for x in table.column("entries").to_pylist() if x]
-        fields = []
-        for x in blobs:
-            n = len(x) // 29
-            cut = np.cumsum([0, 8 * n, 8 * n, 8 * n, 4 * n, n]).tolist()
-            fields.append([np.frombuffer(x[a:b], t) for a, b, t in zip(cut[:-1], cut[1:], (np.uint64, np.uint64, np.int64, np.int32, np.uint8), strict=True)])
-        out = [pa.ipc.open_stream(x).read_all().to_batches() for x in table.column("settled").to_pylist() if x]
-        out = [b for x in out for b in x]
-        if fields:
-            key, context, doc, pos, room = (np.concatenate(x) for x in zip(*fields, strict=True))
-            del fields, blobs
-            by = np.lexsort((pos, doc, context, key))
-            by = by[np.concatenate(([True], np.any([x[by[1:]] != x[by[:-1]] for x in (key, context, doc, pos)], axis=0)))]  # repeated rows
-            key, context, doc, pos, room = key[by], context[by], doc[by], pos[by].astype(np.int64), room[by].astype(np.int64)
-            new_key = np.concatenate(([True], key[1:] != key[:-1]))
-            new = new_key | np.concatenate(([True], context[1:] != context[:-1]))
-            group = np.cumsum(new_key) - 1
-            several = np.bincount(group, weights=new)[group] > 1
-            again, border = np.flatnonzero(~new), np.flatnonzero(new & several)
-            if len(again) or len(border):
-                out.append(_by_document(doc[again], np.maximum(pos[again] - margin, 0), pos[again] + room[again], doc[border], pos[border]))
-        return pa.Table.from_batches(out, schema=_FOUND)
+        def row() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for x in held:
+                    w.write_batch(x)
+            return pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["n_bytes", "payload"])
 
-    return run
+        for rb in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(rb.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8)
+            at = 0
+            while at < rb.num_rows:
+                done = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, done + BLOCK_BYTES - size, side="right")))
+                held.append(rb.slice(at, to - at))
+                size += int(ends[to - 1]) - done
+                at = to
+                if size >= BLOCK_BYTES or at < rb.num_rows:
+                    yield row()
+                    held, size = [], 0
+        if held:
+            yield row()
+
+    return docs.mapInArrow(tidied(run), "n_bytes long, payload binary").withColumn("block_id", F.monotonically_increasing_id())
+
+
+@dataclass
+class Node:
+    """Windows with ``lo`` to ``hi`` bytes before an anchor."""
+
+    lo: int
+    hi: int
+
+    def halves(self) -> list[Node]:
+        mid = (self.lo + self.hi) // 2
+        return [Node(self.lo, mid), Node(mid + 1, self.hi)]
+
+
+class Texts:
+    """The texts of a block, their order in the corpus, and the anchors that are still open."""
+
+    def __init__(self, payload: bytes, length: int, kmer: int):
+        self.length, self.margin = length, length - kmer
+        self.table = pa.ipc.open_stream(payload).read_all()
+        self.texts = bytes_of(self.table.column("text"))
+        ids = pc.cast(self.table.column("doc_id"), pa.int64())
+        self.known = ids.is_valid().to_numpy()
+        self.ids = ids.fill_null(0).to_numpy()
+        self.texts_searched = [t if k else b"" for t, k in zip(self.texts, self.known.tolist(), strict=True)]
+
+    def ties(self) -> np.ndarray:
+        return np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in self.texts], np.uint64)
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All texts with a margin of bytes that no UTF-8 has around each, their starts and sizes."""
+        gap = b"\xff" * (self.margin + 8)
+        data = np.frombuffer(gap + gap.join(self.texts_searched) + gap, np.uint8)
+        sizes = np.fromiter(map(len, self.texts_searched), np.int64, len(self.texts))
+        return data, len(gap) + np.concatenate(([0], np.cumsum(sizes + len(gap))[:-1])), sizes
+
+
+def _open(texts: Texts, pending: list[bytes] | None, length: int, kmer: int) -> list[tuple[Node, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(node, text index, position, key, context hash) of the block's open anchors, by node."""
+    if pending is None:
+        return [(Node(0, length - kmer), *anchors(texts.texts_searched, length, kmer))]
+    flat, starts, sizes = texts.flat()
+    rows = np.concatenate([np.frombuffer(p, np.int32).reshape(-1, 4) for p in pending])
+    out = []
+    for lo, hi in sorted(set(map(tuple, rows[:, 2:].tolist()))):
+        mine = rows[(rows[:, 2] == lo) & (rows[:, 3] == hi)]
+        doc, pos = mine[:, 0].astype(np.int64), mine[:, 1].astype(np.int64)
+        room = (pos >= lo) & (pos + length - hi <= sizes[doc])  # some window of the node lies in the text
+        doc, pos = doc[room], pos[room]
+        by = np.lexsort((pos, doc))
+        doc, pos = doc[by], pos[by]
+        at = starts[doc] + pos
+        key = hash_ranges(flat, at - lo, np.full(len(at), length - hi + lo)) ^ mix64(np.array([lo << 8 | hi], np.uint64))
+        out.append((Node(lo, hi), doc, pos, key, hash_ranges(flat, at - hi, np.full(len(at), length - lo + hi))))
+    return out
+
+
+def _requests(blocks: DataFrame, buckets: int, parts: int, length: int, kmer: int) -> DataFrame:
+    """Counts of each key: how often it stands, and in how many different contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for block_id, payload, pending in zip(*(rb.column(c).to_pylist() for c in ("block_id", "payload", "pending")), strict=True):
+                rows = _open(Texts(payload, length, kmer), pending, length, kmer)
+                key, context = (np.concatenate([r[k] for r in rows]) for k in (3, 4))
+                keys = tally.Keys(key, buckets)
+                often = np.bincount(keys.place, minlength=len(keys))
+                by = np.lexsort((context, keys.place))
+                new = np.ones(len(by), bool)
+                new[1:] = (keys.place[by[1:]] != keys.place[by[:-1]]) | (context[by[1:]] != context[by[:-1]])
+                several = np.bincount(keys.place[by[new]], minlength=len(keys))
+                yield tally.request_batch(keys.requests(block_id, [often, several], parts))
 
+    return blocks.mapInArrow(tidied(run), tally.REQUEST)
+
+
+_SENT = "bucket int, kind int, block_id long, lo int, hi int, keys binary, ids binary, ties binary, docs binary, pos binary, sizes binary, contexts binary"
+_FOUND = "block_id long, kind int, payload binary"
+CONTEXTS, COVERED, PENDING = 0, 1, 2
 
-def _partial(docs_with_found: DataFrame, length: int, kmer: int) -> DataFrame:
-    margin = length - kmer
-    fields = ["doc_id", "n_bytes", "cuts", "borders", "keys", "contexts", "text"]
+
+def _span_payload(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> bytes:
+    """Spans merged within each text, as (text index, lo, hi) numbers."""
+    if not len(doc):
+        return b""
+    by = np.lexsort((lo, doc))
+    doc, lo, hi = doc[by], lo[by], hi[by]
+    ids = np.unique(doc)
+    shift = np.searchsorted(ids, doc) * (int(hi.max()) + 2)  # each text beyond the one before
+    a, b = merge_spans(lo + shift, hi + shift)
+    first = np.concatenate(([0], np.flatnonzero(doc[1:] != doc[:-1]) + 1))
+    rank = np.searchsorted(shift[first], a, side="right") - 1
+    back = shift[first][rank]
+    return np.stack((ids[rank], a - back, b - back), 1).astype(np.int32).tobytes()
+
+
+def _send(blocks: DataFrame, buckets: int, length: int, kmer: int, hot_over: int) -> DataFrame:
+    """Contexts of repeated keys by bucket, spans settled within the block, and anchors of hot keys."""
+    names = [f.split(" ")[0] for f in _SENT.split(", ")]
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            texts = bytes_of(rb.column("text"))
-            rows: dict[str, list] = {f: [] for f in fields}
-            kept_text = rb.column("text").to_pylist()
-            for i, (doc_id, covered, borders) in enumerate(zip(rb.column("doc_id").to_pylist(), rb.column("covered"), rb.column("borders"), strict=True)):
-                spans = np.concatenate([x.values.to_numpy() for x in covered.values if x.is_valid] or [np.zeros(0, np.int32)]) if covered.is_valid else np.zeros(0, np.int32)
-                lo, hi = merge_spans(spans[0::2].astype(np.int64), spans[1::2].astype(np.int64))
-                at = np.unique(np.concatenate([x.values.to_numpy() for x in borders.values if x.is_valid] or [np.zeros(0, np.int32)])).astype(np.int64) if borders.is_valid else np.zeros(0, np.int64)
-                text = texts[i]
-                keys = contexts = None
-                if len(at):  # all of them: a covered border too may hold a window's first occurrence
-                    flat = np.frombuffer(b"\xff" * margin + text + b"\xff" * margin, np.uint8)
-                    around = np.lib.stride_tricks.sliding_window_view(flat, length + margin)[at]
-                    contexts = around.tobytes()
-                    h = _BYTE[around[:, margin : margin + kmer]]
-                    level = 0
-                    while h.shape[1] > 1:  # the same hash as the anchors', by halves
-                        h = h[:, 0::2] * _STEP[level] + h[:, 1::2]
-                        h ^= h >> np.uint64(29)
-                        level += 1
-                    keys = mix64(h[:, 0]).tobytes()
-                rows["doc_id"].append(doc_id)
-                rows["n_bytes"].append(len(text))
-                rows["cuts"].append(np.stack((lo, hi), 1).reshape(-1).astype(np.int32))
-                rows["borders"].append(at.astype(np.int32))
-                rows["keys"].append(keys)
-                rows["contexts"].append(contexts)
-                rows["text"].append(kept_text[i])
-            yield pa.RecordBatch.from_arrays([pa.array(rows[f], t) for f, t in zip(fields, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.string()), strict=True)], names=fields)
-
-    return docs_with_found.mapInArrow(tidied(run), _PARTIAL)
-
-
-def repeated_windows(contexts: np.ndarray, room: np.ndarray, length: int, kmer: int) -> np.ndarray:
-    """covered[i, d]: the window with ``d`` bytes before anchor i also occurs at an earlier row.
-
-    ``contexts`` rows are in document order; ``room`` is the (left, right) bytes that a row's
-    document has around the anchor, which bound its windows.
+            for block_id, payload, pending, answers in zip(*(rb.column(c).to_pylist() for c in ("block_id", "payload", "pending", "answers")), strict=True):
+                texts = Texts(payload, length, kmer)
+                opened = _open(texts, pending, length, kmer)
+                keys = tally.Keys(np.concatenate([r[3] for r in opened]), buckets)
+                if not len(keys):
+                    continue
+                often, several = keys.totals(answers or [], 2)[:, keys.place]
+                flat, starts, sizes = texts.flat()
+                ties = texts.ties()
+                rank = np.empty(len(ties), np.int64)
+                rank[np.lexsort((ties, texts.ids))] = np.arange(len(ties))
+                rows, covered, left, done = [], [], [], 0
+                for node, doc, pos, key, context in opened:
+                    mine = slice(done, done + len(doc))
+                    done += len(doc)
+                    again = np.flatnonzero(often[mine] > 1)
+                    if not len(again):
+                        continue
+                    again = again[np.lexsort((pos[again], rank[doc[again]], context[again]))]
+                    doc, pos, key, context, many = doc[again], pos[again], key[again], context[again], several[mine][again]
+                    width = length + node.hi - node.lo
+                    around = np.lib.stride_tricks.sliding_window_view(flat, width)[starts[doc] + pos - node.hi]
+                    new = np.concatenate(([True], context[1:] != context[:-1]))
+                    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+                    new |= (around != around[head]).any(axis=1)  # equal hashes of unlike bytes
+                    twin = np.flatnonzero(~new)
+                    covered.append((doc[twin], np.maximum(pos[twin] - node.hi, 0), np.minimum(pos[twin] + length - node.lo, sizes[doc[twin]])))
+                    hot = new & (many > hot_over) & (node.hi > node.lo)
+                    left += [np.stack((doc[hot], pos[hot], np.full(hot.sum(), h.lo), np.full(hot.sum(), h.hi)), 1).astype(np.int32) for h in node.halves()] if hot.any() else []
+                    sent = np.flatnonzero(new & ~hot)
+                    at = (key[sent] % np.uint64(buckets)).astype(np.int64)
+                    sent = sent[np.argsort(at, kind="stable")]
+                    own, begin = np.unique(np.sort(at), return_index=True)
+                    for b, x in zip(own.tolist(), np.split(sent, begin[1:]), strict=True):
+                        rows.append((b, CONTEXTS, block_id, node.lo, node.hi, *(v.tobytes() for v in (key[x], texts.ids[doc[x]], ties[doc[x]], doc[x].astype(np.int32), pos[x].astype(np.int32), sizes[doc[x]], around[x]))))
+                home = block_id % buckets
+                if covered and (spans := _span_payload(*(np.concatenate(x) for x in zip(*covered, strict=True)))):
+                    rows.append((home, COVERED, block_id, 0, 0, spans, *[None] * 6))
+                if left:
+                    rows.append((home, PENDING, block_id, 0, 0, np.concatenate(left).tobytes(), *[None] * 6))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return blocks.mapInArrow(tidied(run), _SENT)
+
+
+def repeated_windows(contexts: np.ndarray, room: np.ndarray, length: int, node: Node, group: np.ndarray) -> np.ndarray:
+    """covered[i, d]: the window with node.lo + d bytes before anchor i also occurs at an earlier row of its group.
+
+    ``contexts`` rows are ordered by group (ascending numbers), then as their documents are; ``room`` is the
+    (left, right) bytes that a row's document has around the anchor, which bound its windows.
     """
-    n, margin = len(contexts), length - kmer
-    right_order, right_lcp = order_with_lcp(np.ascontiguousarray(contexts[:, margin:]))
-    left_order, left_lcp = order_with_lcp(np.ascontiguousarray(contexts[:, :margin][:, ::-1]), shallow=16)
-    covered = np.zeros((n, margin + 1), bool)
-    for d in range(margin + 1):
+    n = len(contexts)
+    right_order, right_lcp = order_with_lcp(np.ascontiguousarray(contexts[:, node.hi :]), group=group)
+    left_order, left_lcp = order_with_lcp(np.ascontiguousarray(contexts[:, : node.hi][:, ::-1]), shallow=16, group=group)
+    covered = np.zeros((n, node.hi - node.lo + 1), bool)
+    for d in range(node.lo, node.hi + 1):
         inside = np.flatnonzero((room[:, 0] >= d) & (room[:, 1] >= length - d))
         if len(inside) < 2:
             continue
         both = (classes(right_order, right_lcp, length - d) * (n + 1) + classes(left_order, left_lcp, d))[inside]
-        _, first = np.unique(both, return_index=True)
-        again = np.ones(len(inside), bool)
-        again[first] = False
-        covered[inside[again], d] = True
+        by = np.argsort(both, kind="stable")
+        again = np.zeros(len(by), bool)
+        again[by[1:]] = both[by[1:]] == both[by[:-1]]
+        covered[inside[again], d - node.lo] = True
     return covered
 
 
-def _send_borders(pending: DataFrame, buckets: int, length: int, kmer: int) -> DataFrame:
-    """Contexts by bucket of their k-mer, laid out as columns of bytes."""
-    width = 2 * length - kmer
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            ids, pos, size = [], [], []
-            for doc_id, n, at in zip(rb.column("doc_id").to_pylist(), rb.column("n_bytes").to_pylist(), rb.column("borders").to_pylist(), strict=True):
-                ids += [doc_id] * len(at)
-                pos += at
-                size += [n] * len(at)
-            key = np.frombuffer(b"".join(rb.column("keys").to_pylist()), np.uint64)
-            context = np.frombuffer(b"".join(rb.column("contexts").to_pylist()), np.uint8).reshape(-1, width)
-            ids, pos, size = np.array(ids, np.int64), np.array(pos, np.int32), np.array(size, np.int64)
-            at = (key % np.uint64(buckets)).astype(np.int64)
-            rows = [(b, key[x].tobytes(), ids[x].tobytes(), pos[x].tobytes(), size[x].tobytes(), context[x].tobytes()) for b in np.unique(at).tolist() for x in [np.flatnonzero(at == b)]]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "keys", "ids", "pos", "sizes", "contexts"])
-
-    return pending.select("doc_id", "n_bytes", "borders", "keys", "contexts").mapInArrow(tidied(run), "bucket int, keys binary, ids binary, pos binary, sizes binary, contexts binary")
-
-
-def _settle_borders(length: int, kmer: int, refine_over: int):
-    margin, width = length - kmer, 2 * length - kmer
-
+def _settle(length: int):
     def run(table: pa.Table) -> pa.Table:
-        key, doc, pos, size = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("ids", np.int64), ("pos", np.int32), ("sizes", np.int64)))
-        context = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, width) for x in table.column("contexts").to_pylist()])
-        by = np.lexsort((pos, doc, key))
-        same = (key[by[1:]] == key[by[:-1]]) & (doc[by[1:]] == doc[by[:-1]]) & (pos[by[1:]] == pos[by[:-1]])
-        by = by[np.concatenate(([True], ~same))]  # repeated rows
-        key, doc, pos, size, context = key[by], doc[by], pos[by].astype(np.int64), size[by], context[by]
-        cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        found_doc, found_lo, found_hi = [], [], []
-        lo = 0
-        while lo < len(cuts) - 1:  # whole k-mer groups, as many as make a block
-            hi = lo + 1
-            while hi < len(cuts) - 1 and cuts[hi + 1] - cuts[lo] <= refine_over:
-                hi += 1
-            for rows in _blocks(context, int(cuts[lo]), int(cuts[hi]), margin, kmer, refine_over):
-                by = np.lexsort((pos[rows], doc[rows]))
-                rows = rows[by]
-                room = np.stack((pos[rows], size[rows] - pos[rows]), 1)
-                i, d = np.nonzero(repeated_windows(context[rows], room, length, kmer))
-                found_doc.append(doc[rows[i]])
-                found_lo.append(pos[rows[i]] - d)
-                found_hi.append(pos[rows[i]] - d + length)
-            lo = hi
-        none = np.zeros(0, np.int64)
-        batch = _by_document(*(np.concatenate([none, *x]) for x in (found_doc, found_lo, found_hi)), none, none)
-        return pa.Table.from_batches([batch], schema=_FOUND)
+        kind = table.column("kind").to_numpy()
+        through = table.filter(pa.array(kind != CONTEXTS))
+        out = list(zip(*(through.column(c).to_pylist() for c in ("block_id", "kind", "keys")), strict=True))
+        sent = table.filter(pa.array(kind == CONTEXTS))
+        nodes = np.stack([sent.column(c).to_numpy() for c in ("lo", "hi")], 1) if sent.num_rows else np.zeros((0, 2), int)
+        for lo, hi in sorted(set(map(tuple, nodes.tolist()))):
+            out += _settle_node(sent.filter(pa.array((nodes == (lo, hi)).all(axis=1))), length, Node(lo, hi))
+        return pa.table({"block_id": pa.array([b for b, _, _ in out], pa.int64()), "kind": pa.array([k for _, k, _ in out], pa.int32()), "payload": pa.array([p for _, _, p in out], pa.binary())})
 
     return run
 
 
-def _blocks(context: np.ndarray, lo: int, hi: int, margin: int, kmer: int, refine_over: int) -> Iterator[np.ndarray]:
-    """Row blocks in which all equal windows of rows [lo, hi) meet; a large k-mer group is
-    split by half a margin of bytes to its left, and again by half a margin to its right."""
-    rows = np.arange(lo, hi)
-    if hi - lo <= refine_over:
-        yield rows
-        return
-    half = margin // 2
-    for a, b in ((margin - half, margin), (margin + kmer, margin + kmer + half)):
-        side = np.ascontiguousarray(context[lo:hi, a:b])
-        _, label, n = np.unique(side.view(f"V{half}").reshape(-1), return_inverse=True, return_counts=True)
-        order = np.argsort(label, kind="stable")
-        ends, start = np.cumsum(n), 0
-        block: list[np.ndarray] = []
-        total = 0
-        for end, many in zip(ends.tolist(), n.tolist(), strict=True):
-            if many > 1:
-                block.append(rows[order[start:end]])
-                total += many
-            start = end
-            if total >= refine_over:
-                yield np.concatenate(block)
-                block, total = [], 0
-        if block:
-            yield np.concatenate(block)
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, bucket_bytes: int = BUCKET_BYTES, refine_over: int = REFINE_OVER) -> DataFrame:
-    """Per document: doc_id, text, n_bytes, spans (flat lo, hi byte offsets of the bytes to remove)."""
+def _settle_node(table: pa.Table, length: int, node: Node) -> list[tuple[int, int, bytes]]:
+    blobs = {c: table.column(c).to_pylist() for c in ("keys", "ids", "ties", "docs", "pos", "sizes", "contexts")}
+    key, ids, ties, doc, pos, size = (np.concatenate([np.frombuffer(x, t) for x in blobs[c]]) for c, t in (("keys", np.uint64), ("ids", np.int64), ("ties", np.uint64), ("docs", np.int32), ("pos", np.int32), ("sizes", np.int64)))
+    block = np.repeat(table.column("block_id").to_numpy(), [len(x) // 8 for x in blobs["keys"]])
+    contexts = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, length + node.hi - node.lo) for x in blobs["contexts"]])
+    del blobs
+    by = np.lexsort((pos, doc, block, ties, ids, key))
+    key, doc, pos, size, block, contexts = key[by], doc[by].astype(np.int64), pos[by].astype(np.int64), size[by], block[by], contexts[by]
+    cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    found: list[tuple[np.ndarray, ...]] = []
+    lo = 0
+    while lo < len(cuts) - 1:  # whole groups, as many as make a block
+        hi = lo + 1
+        while hi < len(cuts) - 1 and cuts[hi + 1] - cuts[lo] <= COMPARE:
+            hi += 1
+        x = slice(int(cuts[lo]), int(cuts[hi]))
+        room = np.stack((pos[x], size[x] - pos[x]), 1)
+        i, d = np.nonzero(repeated_windows(contexts[x], room, length, node, group[x]))
+        i, d = i + x.start, d + node.lo
+        found.append((block[i], doc[i], pos[i] - d, pos[i] - d + length))
+        lo = hi
+    block, doc, lo_, hi_ = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.argsort(block, kind="stable")
+    own, begin = np.unique(block[by], return_index=True)
+    return [(int(b), COVERED, _span_payload(doc[x], lo_[x], hi_[x])) for b, x in zip(own, np.split(by, begin[1:]), strict=True)] if len(own) else []
+
+
+def _searched(docs: DataFrame, length: int, kmer: int, bucket_bytes: int, hot_over: int) -> DataFrame:
+    """Blocks of the rows of ``docs`` with ``found``, the spans to remove."""
+    with scratch() as keep:
+        blocks = keep(materialize(_blocks(docs), "repeats-blocks"))
+        size = blocks.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()
+        buckets, parts = max(12, -(-size["b"] // bucket_bytes)), tally.parts_for(size["n"])
+        open_ = blocks.select("block_id", "payload", F.lit(None).cast("array<binary>").alias("pending"))
+        covered = None
+        while True:
+            answers = materialize(tally.totals(_requests(open_, buckets, parts, length, kmer), buckets, parts, 2), "repeats-counts")
+            per_block = answers.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "totals")).alias("answers"))
+            sent = _send(open_.join(per_block, "block_id"), buckets, length, kmer, hot_over)
+            settled = keep(materialize(sent.groupBy("bucket").applyInArrow(tidied_group(_settle(length)), _FOUND), "repeats-settled"))
+            spans = settled.where(F.col("kind") == COVERED)
+            covered = spans if covered is None else covered.unionByName(spans)
+            pending = settled.where(F.col("kind") == PENDING)
+            if pending.isEmpty():  # the windows of a node halve in each turn, so there are few
+                break
+            open_ = blocks.join(pending.groupBy("block_id").agg(F.collect_list("payload").alias("pending")), "block_id").select("block_id", "payload", "pending")
+    found = covered.groupBy("block_id").agg(F.collect_list("payload").alias("found"))
+    return blocks.join(found, "block_id", "left").select("payload", "found")
+
+
+def _spans(texts: Texts, found: list[bytes] | None) -> list[np.ndarray]:
+    """Flat lo, hi of the merged spans of each text."""
+    out = [np.zeros(0, np.int64)] * len(texts.texts)
+    if found:
+        rows = np.concatenate([np.frombuffer(p, np.int32).reshape(-1, 3) for p in found]).astype(np.int64)
+        rows = np.frombuffer(_span_payload(*rows.T), np.int32).reshape(-1, 3).astype(np.int64)
+        own, begin = np.unique(rows[:, 0], return_index=True)
+        for i, part in zip(own.tolist(), np.split(rows[:, 1:], begin[1:]), strict=True):
+            out[i] = part.reshape(-1)
+    return out
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, bucket_bytes: int = BUCKET_BYTES, hot_over: int = HOT_OVER) -> DataFrame:
+    """Per row: doc_id, text, n_bytes, spans (flat lo, hi byte offsets of the bytes to remove)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = max(12, -(-text_bytes(docs) // bucket_bytes))
-    first = _find_anchors(docs.where("doc_id is not null"), buckets, length, kmer).groupBy("bucket").applyInArrow(tidied_group(_settle_contexts(length, kmer)), _FOUND_DDL)
-    found = materialize(first, "repeats-found")
-    per_doc = found.groupBy("doc_id").agg(F.collect_list("covered").alias("covered"), F.collect_list("borders").alias("borders"))
-    partial = materialize(_partial(docs.join(per_doc, "doc_id", "left"), length, kmer), "repeats-partial")
-    discard(found)
-    done, pending = partial.where("keys is null"), partial.where("keys is not null")
-    more = materialize(_send_borders(pending, buckets, length, kmer).groupBy("bucket").applyInArrow(tidied_group(_settle_borders(length, kmer, refine_over)), _FOUND_DDL), "repeats-borders")
-    extra = more.groupBy("doc_id").agg(F.flatten(F.collect_list("covered")).alias("extra"))
-    rest = pending.join(extra, "doc_id", "left").select("doc_id", "text", "n_bytes", F.concat("cuts", F.coalesce("extra", F.array().cast("array<int>"))).alias("spans"))
-    return done.select("doc_id", "text", "n_bytes", F.col("cuts").alias("spans")).unionByName(rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for payload, found in zip(rb.column("payload").to_pylist(), rb.column("found").to_pylist(), strict=True):
+                texts = Texts(payload, length, kmer)
+                spans = pa.array(_spans(texts, found), pa.list_(pa.int64()))
+                n_bytes = pa.array([len(t) for t in texts.texts], pa.int64())
+                columns = [texts.table.column(c).combine_chunks() for c in ("doc_id", "text")]
+                yield pa.RecordBatch.from_arrays([*columns, n_bytes, spans], names=["doc_id", "text", "n_bytes", "spans"])
+
+    return _searched(docs, length, kmer, bucket_bytes, hot_over).mapInArrow(tidied(run), "doc_id long, text string, n_bytes long, spans array<long>")
 
 
 def _cut(text: bytes, flat: np.ndarray) -> tuple[bytes, int, int]:
-    lo, hi = merge_spans(flat[0::2].astype(np.int64), flat[1::2].astype(np.int64))
     at, out = 0, []
-    for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+    for a, b in flat.reshape(-1, 2).tolist():
         out.append(text[at:a])
         at = b
-    return b"".join([*out, text[at:]]), int((hi - lo).sum()), len(lo)
+    return b"".join([*out, text[at:]]), int((flat[1::2] - flat[0::2]).sum()), len(flat) // 2
 
 
 def digest(spans: DataFrame) -> DataFrame:
@@ -401,26 +464,28 @@ def digest(spans: DataFrame) -> DataFrame:
     return spans.mapInArrow(tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, hot_over: int = HOT_OVER) -> DataFrame:
     """Documents without their repeated bytes (a split character goes whole); texts that lose
     every byte are dropped. Other columns stay; n_chars follows the text."""
-    spans = repeated_spans(docs, length).where(F.size("spans") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("__spans"))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            old, keep, new = rb.column("text").to_pylist(), [], []
-            for i, (text, found) in enumerate(zip(old, rb.column("__spans"), strict=True)):
-                if found.is_valid and text:
-                    text = _cut(text.encode(), found.values.to_numpy())[0].decode("utf-8", "ignore")
-                    if not text:
-                        continue
-                keep.append(i)
-                new.append(text)
-            kept = rb.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(new, rb.schema.field("text").type) if c == "text" else kept.column(c) for c in names], names=names)
-
-    out = docs.join(spans, docs["doc_id"] == spans["doc_id"], "left").select(*[docs[c] for c in names], "__spans").mapInArrow(tidied(run), docs.schema)
+            for payload, found in zip(rb.column("payload").to_pylist(), rb.column("found").to_pylist(), strict=True):
+                texts = Texts(payload, length, kmer)
+                old, keep, new = texts.table.column("text").to_pylist(), [], []
+                for i, spans in enumerate(_spans(texts, found)):
+                    text = old[i]
+                    if len(spans):
+                        text = _cut(texts.texts[i], spans)[0].decode("utf-8", "ignore")
+                        if not text:
+                            continue
+                    keep.append(i)
+                    new.append(text)
+                kept = texts.table.take(pa.array(keep, pa.int64())).combine_chunks()
+                yield pa.RecordBatch.from_arrays([pa.array(new, kept.schema.field("text").type) if c == "text" else kept.column(c).combine_chunks() for c in names], names=names)
+
+    out = _searched(docs, length, kmer, BUCKET_BYTES, hot_over).mapInArrow(tidied(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
 
 
