@@ -7,13 +7,15 @@ follow from the shared part, however unequal their lengths.
 
 ``edited_fingerprints`` compares each document with an edited copy of it and with the next
 document (descending doc_id, the last followed by the first). Neighbours are found
-without a global sort: ids fall into equal ranges, each range is a window, and the few
-rows at range borders are fetched through a table of one row per range.
+without a global sort: ids fall into ranges of about as many rows (approximate quantiles,
+at most ``MAX_RANGES``), each range is a window, and the few rows at range borders are
+fetched through a table of one row per range. The borders only deal out the work.
 
 Defined cases: null text is empty; an empty text has one shingle (of no words), so its
-fingerprint is defined; where two sketches are empty (short texts), the likeness is that of
-all their shingles, so 1.0 only if these are equal; a single document, and one without doc_id, is its own next; documents that share a doc_id follow one
-another in the order of their texts; extra columns are ignored.
+fingerprint is defined; where two sketches hold fewer than ``LEAST_UNION`` hashes together
+(short texts), the likeness is that of all shingles of the two texts, so 1.0 only if these
+are equal; a single document, and one without doc_id, is its own next; documents that share
+a doc_id follow one another in the order of their texts; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,11 @@ from pyspark.sql import functions as F
 SHINGLE_WORDS = 5
 #: The retained part of the hash range: one in so many.
 SCALE = 4
+#: Hashes that two sketches hold together, below which they are too few for an estimate.
+LEAST_UNION = 32
 ROWS_PER_RANGE = 2_000
+#: Ranges at most, whose borders are part of the plan; beyond it they hold more rows each.
+MAX_RANGES = 1 << 16
 
 
 def sketch(text: Column, n: int = SHINGLE_WORDS, scale: int = SCALE) -> Column:
@@ -48,8 +54,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def text_likeness(a: Column, b: Column, text_a: Column, text_b: Column, n: int = SHINGLE_WORDS) -> Column:
-    """``likeness`` of two texts' sketches; where both are empty, that of all shingles of the texts."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), likeness(sketch(text_a, n, 1), sketch(text_b, n, 1))).otherwise(likeness(a, b))
+    """``likeness`` of two texts' sketches; where these are small, that of all shingles of the texts."""
+    few = F.size(F.array_union(a, b)) < LEAST_UNION
+    return F.when(few, likeness(sketch(text_a, n, 1), sketch(text_b, n, 1))).otherwise(likeness(a, b))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -67,23 +74,38 @@ def show(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.hex(h)), ".")
 
 
+def _range_of(key: Column, borders: list[int]) -> Column:
+    """How many of the ascending ``borders`` are not above ``key``, by binary search."""
+    if not borders:
+        return F.lit(0).cast("long")
+    table, steps = F.array(*[F.lit(x) for x in borders]), len(borders).bit_length()
+    sizes = F.array(*[F.lit(1 << k) for k in reversed(range(steps))])
+
+    def step(found: Column, size: Column) -> Column:
+        at = found + size
+        return F.when((at <= len(borders)) & (F.get(table, at - 1) <= key), at).otherwise(found)
+
+    return F.aggregate(sizes, F.lit(0), step).cast("long")
+
+
 def with_next(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """doc_id, text and ``next_text``, the text of the following document (descending doc_id, cyclic)."""
     docs = docs.select("doc_id", "text")
-    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    if span["lo"] is None:
-        return docs.withColumn("next_text", F.col("text"))
-    count = max(1, -(-span["n"] // rows_per_range))
-    width = max(1, -(-(span["hi"] - span["lo"] + 1) // count))
-    cut = docs.withColumn("_range", F.floor((F.col("doc_id") - F.lit(span["lo"])) / F.lit(width)).cast("long"))
+    known = docs.where("doc_id is not null")
+    count = min(MAX_RANGES, -(-known.count() // rows_per_range))
+    shares = [k / count for k in range(1, count)]
+    quantiles = known.agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * count)).alias("q")).first()["q"] if shares else []
+    cut = docs.withColumn("_range", F.when(F.col("doc_id").isNotNull(), _range_of(F.col("doc_id"), sorted(set(quantiles or [])))))
     # a range's first document is followed by the last one of the range below that has any
-    filled = cut.select("_range").distinct()
-    top = filled.agg(F.max("_range")).first()[0]
-    below = filled.select("_range", F.coalesce(F.lag("_range").over(W.orderBy("_range")), F.lit(top)).alias("_below"))
-    lasts = cut.groupBy("_range").agg(F.max_by("text", F.struct("doc_id", "text")).alias("_border")).withColumnRenamed("_range", "_below")
-    borders = below.join(lasts, "_below").select("_range", "_border")
-    inside = F.lag(F.struct("text")).over(W.partitionBy("_range").orderBy("doc_id", "text"))
-    found = cut.withColumn("_inside", inside).join(borders, "_range", "left")
+    filled = cut.where("_range is not null").select("_range").distinct()
+    top = F.lit(filled.agg(F.max("_range")).first()[0]).cast("long")
+    below = filled.select("_range", F.coalesce(F.lag("_range").over(W.orderBy("_range")), top).alias("_below"))  # numbers of ranges only
+    lasts = cut.where("_range is not null").groupBy("_range").agg(F.max_by("text", F.struct("doc_id", "text")).alias("_border"))
+    borders = below.join(lasts.withColumnRenamed("_range", "_below"), "_below").select("_range", "_border")
+    # rows without doc_id are dealt out, so that they do not meet in one window
+    window = F.coalesce("_range", -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 16)))
+    inside = F.lag(F.struct("text")).over(W.partitionBy("_window").orderBy("doc_id", "text"))
+    found = cut.withColumn("_window", window).withColumn("_inside", inside).join(borders, "_range", "left")
     return found.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.col("text")).when(F.col("_inside").isNull(), F.col("_border")).otherwise(F.col("_inside.text")).alias("next_text"))
 
 
