@@ -5,13 +5,15 @@ window is ``n`` consecutive words of a benchmark item; an item with fewer words,
 some, is one window. Each document's token windows are looked up in the hash set, every
 hit is verified word by word, and the words inside verified windows are hit.
 
-The set that is broadcast never exceeds ``max_windows`` windows: a larger benchmark is
-cut into slices of that size, each slice scans the documents as given, and the hit word
-spans of all slices are merged per row, by a row number written with the documents.
+The set that is broadcast never exceeds ``max_windows`` windows nor ``max_bytes`` (16 bytes a
+window and the items' words): a larger benchmark is cut into slices of that size, each slice
+scans the documents as given, and the hit word spans of all slices are merged per row, by a
+row number written with the documents. A slice is freed before the next one is read.
 
 Defined cases: null or wordless texts have no words and are clean; items that are null
-or wordless have no window; repeated items count by their item_id; empty tables give
-empty results; extra columns of either input are ignored or kept untouched.
+or wordless have no window; repeated items count by their item_id; an item without item_id
+hits words, but is neither listed nor counted; empty tables give empty results; extra columns
+of either input are ignored or kept untouched.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,7 @@ from .common import ALNUM, WordBatch, bytes_of, chunks, fold_windows, materializ
 
 WINDOW_WORDS = 10
 MAX_WINDOWS = 2_000_000
+MAX_BYTES = 64 << 20
 
 #: The row number that keeps rows of one doc_id, or of none, apart while slices are merged.
 ROW = "__decontaminate_row"
@@ -40,51 +44,75 @@ _SPANS = "doc_id long, n_words long, span_lo array<long>, span_hi array<long>, i
 
 @dataclass
 class NgramSet:
-    """Window hashes by window length, and for each window its words and item."""
+    """Hashes of the windows by window length, and where each window's words stand."""
 
     n: int
-    size: int = 0
     last: bool = False  # no slice follows
-    windows: dict[int, dict[int, dict[bytes, set[str]]]] = field(default_factory=dict)
-    sorted_hashes: dict[int, np.ndarray] = field(default_factory=dict)
-
-    def add(self, item_id: object, text: str | None) -> None:
-        folded = (text or "").encode()
-        batch = WordBatch([folded], ALNUM)
-        total = len(batch.hashes)
-        if not total:
-            return
-        words = [batch.word(i).lower() for i in range(total)]
-        length = min(total, self.n)
-        table = self.windows.setdefault(length, {})
-        for i, h in enumerate(fold_windows(batch.hashes, length).tolist()):
-            table.setdefault(h, {}).setdefault(b" ".join(words[i : i + length]), set()).add(str(item_id))
-            self.size += 1
+    windows: int = 0
+    size: int = 0  # bytes
+    names: list[str | None] = field(default_factory=list)  # by piece of an item
+    words: list[bytes] = field(default_factory=list)  # joined by spaces
+    ends: list[np.ndarray] = field(default_factory=list)  # where each word ends in them
+    parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = field(default_factory=dict)
+    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+
+    def add(self, name: str | None, batch: WordBatch, lo: int, hi: int) -> None:
+        """The windows of words lo to hi, a piece of an item."""
+        words = [batch.word(i) for i in range(lo, hi)]
+        length = min(hi - lo, self.n)
+        hashes = fold_windows(batch.hashes[lo:hi], length)
+        piece = len(self.names)
+        self.names.append(name)
+        self.words.append(b" ".join(words))
+        self.ends.append(np.cumsum([len(w) + 1 for w in words]).astype(np.int32) - 1)
+        self.parts.setdefault(length, []).append((hashes, np.full(len(hashes), piece, np.int32), np.arange(len(hashes), dtype=np.int32)))
+        self.windows += len(hashes)
+        self.size += 16 * len(hashes) + len(self.words[-1]) + 4 * len(words)
 
     def close(self) -> NgramSet:
-        self.sorted_hashes = {k: np.sort(np.fromiter(t, np.uint64, len(t))) for k, t in self.windows.items()}
+        for length, parts in self.parts.items():
+            hashes, piece, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            by = np.argsort(hashes, kind="stable")
+            self.tables[length] = hashes[by], piece[by], at[by]
+        self.parts = {}
         return self
 
+    def items(self, length: int, h: np.uint64, words: bytes) -> set[str | None]:
+        """Names of the items of which a window of this hash has these very words."""
+        hashes, piece, at = self.tables[length]
+        found = set()
+        for k in range(int(np.searchsorted(hashes, h, "left")), int(np.searchsorted(hashes, h, "right"))):
+            p, i = int(piece[k]), int(at[k])
+            begin = int(self.ends[p][i - 1]) + 1 if i else 0
+            if self.words[p][begin : int(self.ends[p][i + length - 1])] == words:
+                found.add(self.names[p])
+        return found
+
 
-def ngram_sets(benchmark: DataFrame, n: int, max_windows: int) -> Iterator[NgramSet]:
-    """Slices of the benchmark, each of about ``max_windows`` windows at most."""
+def ngram_sets(benchmark: DataFrame, n: int, max_windows: int, max_bytes: int) -> Iterator[NgramSet]:
+    """Slices of the benchmark; an item larger than what a slice may hold is cut into overlapping pieces."""
     current = NgramSet(n)
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        if current.size >= max_windows:
-            yield current.close()
-            current = NgramSet(n)
-        current.add(row["item_id"], row["text"])
+        batch = WordBatch([(row["text"] or "").encode()], ALNUM)
+        total = len(batch.hashes)
+        name = None if row["item_id"] is None else str(row["item_id"])
+        step = max(1, min(max_windows, max_bytes // 256))
+        for lo in range(0, max(total - n + 1, min(total, 1)), step):
+            if current.windows >= max_windows or current.size >= max_bytes:
+                yield current.close()
+                current = NgramSet(n)
+            current.add(name, batch, lo, min(lo + step + n - 1, total))
     current.last = True
     yield current.close()
 
 
-def hit_spans(texts: list[bytes], grams: NgramSet) -> Iterator[tuple[int, list[tuple[int, int]], set[str], WordBatch, int]]:
+def hit_spans(texts: list[bytes], grams: NgramSet) -> Iterator[tuple[int, list[tuple[int, int]], set[str | None], WordBatch, int]]:
     """For each text: its word count, merged hit word ranges, hit items, and its words."""
     for lo, hi in chunks(texts):
         batch = WordBatch(texts[lo:hi], ALNUM)
         owner_end = batch.first[1:]
-        hits: dict[int, list[tuple[int, int, set[str]]]] = {}
-        for length, known in grams.sorted_hashes.items():
+        hits: dict[int, list[tuple[int, int, set[str | None]]]] = {}
+        for length, (known, _, _) in grams.tables.items():
             seen = fold_windows(batch.hashes, length)
             if not len(seen):
                 continue
@@ -94,13 +122,13 @@ def hit_spans(texts: list[bytes], grams: NgramSet) -> Iterator[tuple[int, list[t
                 doc = int(np.searchsorted(owner_end, i, side="right"))
                 if i + length > owner_end[doc]:
                     continue
-                words = b" ".join(batch.word(j).lower() for j in range(i, i + length))
-                if items := grams.windows[length][int(seen[i])].get(words):
+                words = b" ".join(batch.word(j) for j in range(i, i + length))
+                if items := grams.items(length, seen[i], words):
                     hits.setdefault(doc, []).append((i, i + length, items))
         for doc in range(hi - lo):
             first = int(batch.first[doc])
             spans: list[tuple[int, int]] = []
-            items: set[str] = set()
+            items: set[str | None] = set()
             for a, b, names in sorted(hits.get(doc, ()), key=lambda x: x[:2]):
                 items |= names
                 if spans and a - first <= spans[-1][1]:
@@ -110,13 +138,12 @@ def hit_spans(texts: list[bytes], grams: NgramSet) -> Iterator[tuple[int, list[t
             yield int(batch.first[doc + 1]) - first, spans, items, batch, doc
 
 
-def scan(docs: DataFrame, grams: NgramSet) -> DataFrame:
+def scan(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """doc_id, n_words, hit word ranges (merged, ascending) and hit items of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(grams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            found = [(n, s, sorted(items)) for n, s, items, _, _ in hit_spans(bytes_of(rb.column("text")), shared.value)]
+            found = [(n, s, sorted(items - {None})) for n, s, items, _, _ in hit_spans(bytes_of(rb.column("text")), shared.value)]
             yield pa.RecordBatch.from_arrays(
                 [
                     rb.column("doc_id"),
@@ -131,12 +158,12 @@ def scan(docs: DataFrame, grams: NgramSet) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), _SPANS)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, hit spans (word ranges) and the items that occur."""
-    slices = ngram_sets(benchmark, n, max_windows)
+    slices = ngram_sets(benchmark, n, max_windows, max_bytes)
     grams = next(slices)
     if grams.last:
-        return scan(docs, grams)
+        return scan(docs, docs.sparkSession.sparkContext.broadcast(grams))
     return scan_slices(docs.select("doc_id", "text"), chain([grams], slices))[1].select("doc_id", "n_words", "span_lo", "span_hi", "items")
 
 
@@ -149,8 +176,11 @@ def scan_slices(docs: DataFrame, slices: Iterator[NgramSet]) -> tuple[DataFrame,
     numbers = rows.select(F.col(ROW).alias("doc_id"), "text")
     parts = []
     for grams in slices:
-        found = scan(numbers, grams)
-        parts.append(materialize(found.where(F.size("items") > 0) if parts else found, "decontaminate-slice"))
+        shared = docs.sparkSession.sparkContext.broadcast(grams)
+        found = scan(numbers, shared)
+        parts.append(materialize(found.where(F.size("span_lo") > 0) if parts else found, "decontaminate-slice"))
+        shared.destroy()
+        del grams
     together = reduce(DataFrame.unionByName, parts)
     spans = F.sort_array(F.flatten(F.collect_list(F.arrays_zip("span_lo", "span_hi"))))
     merged = F.aggregate(
@@ -169,7 +199,7 @@ def scan_slices(docs: DataFrame, slices: Iterator[NgramSet]) -> tuple[DataFrame,
     return rows, found.join(rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id")), ROW)
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, max_hit_share: float = 0.5, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, max_hit_share: float = 0.5, max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Documents without the hit spans; a document of which more than ``max_hit_share`` of
     the words is hit goes as a whole. Columns of ``docs`` are kept; n_chars follows the text.
     With several slices the spans of all are found on the texts as given, then cut at once.
@@ -195,7 +225,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_
         kept = rb.take(pa.array(keep, pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(new, rb.schema.field("text").type) if c == "text" else kept.column(c) for c in names], names=names)
 
-    slices = ngram_sets(benchmark, n, max_windows)
+    slices = ngram_sets(benchmark, n, max_windows, max_bytes)
     grams = next(slices)
     if grams.last:
         shared = docs.sparkSession.sparkContext.broadcast(grams)
@@ -252,7 +282,7 @@ dw AS (SELECT doc_id, m, i, array_to_string(list_slice(ws, i, i + m - 1), ' ') A
 hit AS (SELECT doc_id, m, i, item_id FROM dw JOIN bw USING (m, g)),
 pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + m)) AS p FROM hit),
 h1 AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY doc_id),
-h2 AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY doc_id)
+h2 AS (SELECT doc_id, count(x) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h1 USING (doc_id) LEFT JOIN h2 USING (doc_id)
