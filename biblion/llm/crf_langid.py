@@ -6,22 +6,23 @@ itself (a lexicon); transitions between word labels are learned. Forward-backwar
 each word's label posteriors, so words of code-switched text are labelled one by one; a
 document's language is the label with the largest mean posterior, its score that mean.
 
-Training uses a bounded sample (``sample_rows``, chosen by a hash of doc_id) of the rows given,
-chains of ``CHAIN`` words, some spliced from two languages so that switches are seen.
-Prediction reads whole texts, chain by chain, vectorised over all chains of a batch.
+Training uses a bounded sample (``sample_rows``, chosen by a hash of doc_id, and ``SAMPLE_BYTES``)
+of the rows given, chains of ``CHAIN`` words, some spliced from two languages so that switches
+are seen. Prediction reads whole texts, chain by chain, vectorised over all chains of a batch.
 
-Defined cases: null text, or text without a letter: ``und``, score 0; no training rows: ``und``
-for all; repeated rows get equal results; extra columns are ignored.
+Defined cases: null text, or text without a letter (Unicode category L): ``und``, score 0; no
+training rows: ``und`` for all; rows without doc_id are never learned from, and count as held
+out; repeated rows get equal results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,6 +30,9 @@ from pyspark.sql import functions as F
 from .common import LETTERS, WordBatch, chunks, folded_bytes, mix64, record_batch, tidied
 
 SAMPLE_ROWS = 1500
+#: Bytes of text in the sample, shared evenly between languages, and of one row, unless a
+#: language has no shorter one: then one of its rows is taken whatever its size.
+SAMPLE_BYTES, ROW_BYTES = 32 << 20, 1 << 20
 CHAIN = 48
 SLOT_BITS = 18
 ORDERS = (1, 2, 3, 4)
@@ -43,7 +47,7 @@ BLOCK_CELLS = 1 << 20
 #: Words whose feature slots are made at once in training.
 BLOCK_WORDS = 1 << 14
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def word_slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -173,8 +177,12 @@ def sample(rows: DataFrame, limit: int) -> list[tuple[str, str]]:
     # by hash more than are needed of each language, then the first of these
     shares = rows.sparkSession.createDataFrame([(lang, min(1.0, (4 * each + 64) / n)) for lang, n in sizes.items()], "lang string, _share double")
     spread = F.xxhash64(F.col("doc_id"), F.lit(1))
-    near = known.drop("text").join(F.broadcast(shares), "lang").where(F.pmod(spread, F.lit(1 << 30)) < F.col("_share") * (1 << 30)).select("doc_id", "lang").distinct()
-    chosen = near.withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy(spread, "doc_id"))).where(F.col("_rank") <= each).select("doc_id", "lang")
+    sized = known.select("doc_id", "lang", F.octet_length("text").cast("long").alias("_bytes"))
+    near = sized.join(F.broadcast(shares), "lang").where(F.pmod(spread, F.lit(1 << 30)) < F.col("_share") * (1 << 30)).groupBy("doc_id", "lang").agg(F.max("_bytes").alias("_bytes"))
+    order = W.partitionBy("lang").orderBy(F.col("_bytes") > ROW_BYTES, spread, "doc_id")
+    ranked = near.withColumns({"_rank": F.row_number().over(order), "_sum": F.sum("_bytes").over(order.rowsBetween(W.unboundedPreceding, 0))})
+    fits = (F.col("_bytes") <= ROW_BYTES) & (F.col("_sum") <= SAMPLE_BYTES // len(sizes))
+    chosen = ranked.where((F.col("_rank") == 1) | (F.col("_rank") <= each) & fits).select("doc_id", "lang")
     found = known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     return [(r["lang"], r["text"]) for r in found.orderBy(spread, "doc_id", "lang").limit(limit).select("lang", "text").collect()]
 
@@ -256,7 +264,7 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) -> C
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_words", pa.int64())])
-_ASCII_LETTER = re.compile(rb"[a-z]")
+_ASCII_LETTER = regex.compile(rb"[a-z]")
 
 
 def decide(texts: list[bytes], crf: Crf) -> Iterator[tuple[str, float, int]]:

@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held_out = crc_mod("doc_id", 3) == 1
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(True))
     found = crf_langid.identify(docs, docs.where(~held_out & F.col("lang").isNotNull()))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_words")
 
@@ -36,7 +36,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = crc_mod("doc_id", 5) == 0
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(True))
     labels = _table(spark, sf_dir, "labels").where(~held_out)
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), labels).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dedup": setsketch.ORACLE_SQL, "op8_decontamination": decontaminate.ORACLE_SQL, "op10_suffix_dedup": suffix_dedup.ORACLE_SQL}
+    return {"op3_sharding": sharding.oracle_sql(), "op4_near_dedup": setsketch.ORACLE_SQL, "op8_decontamination": decontaminate.ORACLE_SQL, "op10_suffix_dedup": suffix_dedup.ORACLE_SQL}

@@ -59,12 +59,18 @@ def assign_shards(rows: DataFrame, key: str = "doc_id", shards: tuple[str, ...]
     """``rows`` with the name of each row's shard in ``column``."""
     table = lookup_table(shards, size)
     spark = rows.sparkSession
-    slots = spark.createDataFrame(list(enumerate(table)), "_slot int, _shard int")
+    taken = {c.lower() for c in rows.columns}
+    slot, shard = (next(n for k in range(len(taken) + 1) if (n := f"_{name}{k}") not in taken) for name in ("slot", "shard"))
+    slots = spark.createDataFrame(list(enumerate(table)), f"{slot} int, {shard} int")
     names = F.array(*[F.lit(s) for s in shards])
-    found = rows.drop(column).withColumn("_slot", slot_of(F.col(key), size)).join(F.broadcast(slots), "_slot", "left")  # ``size`` rows of two numbers
-    return found.withColumn(column, F.element_at(names, F.col("_shard") + 1)).drop("_slot", "_shard")
+    found = rows.withColumn(slot, slot_of(F.col(key), size)).join(F.broadcast(slots), slot, "left")  # ``size`` rows of two numbers
+    return found.withColumn(column, F.element_at(names, F.col(shard) + 1)).drop(slot, shard)
 
 
-ORACLE_SLOTS_SQL = """
-SELECT doc_id, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT % 65537 AS INTEGER) AS slot FROM documents
-"""
+def oracle_sql(shards: tuple[str, ...] = SHARDS, size: int = TABLE_SIZE) -> str:
+    """Slots and shards of ``documents``; the table itself comes in as a list (tests fill it by brute force)."""
+    table = ", ".join(map(str, lookup_table(shards, size)))
+    names = ", ".join(f"'{s}'" for s in shards)
+    return f"""
+WITH s AS (SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT % {size} AS INTEGER) AS slot FROM documents)
+SELECT doc_id, slot, list_extract([{names}], list_extract([{table}], slot + 1) + 1) AS shard FROM s"""

@@ -8,13 +8,14 @@ clauses, not isolated words, make a document's features; a logistic layer turns
 a score.
 
 The insult lexicon (words and word beginnings, with log-odds weights) and the logistic
-layer are learned from a bounded sample of labelled rows (``sample_rows`` per label, chosen
-by a hash of doc_id). The other classes are fixed values. Scoring reads whole texts; the
+layer are learned from a bounded sample of labelled rows (``sample_rows`` and half of
+``SAMPLE_BYTES`` per label, chosen by a hash of doc_id; texts over ``ROW_BYTES`` are not
+learned from). The other classes are fixed values. Scoring reads whole texts; the
 automata run on the clauses that hold an insult or a threat only, as others score zero.
 
 Defined cases: null and empty texts get the score of a text without matches; without
-labelled rows of both kinds the score is 0 for all; repeated rows get equal scores; extra
-columns are ignored.
+labelled rows of both kinds the score is 0 for all; rows without doc_id are never learned from,
+and count as held out; repeated rows get equal scores; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LETTERS, WordBatch, chunks, folded_bytes, record_batch, tidied
 
 SAMPLE_ROWS = 3000
+SAMPLE_BYTES, ROW_BYTES = 48 << 20, 256 << 10
 #: A term needs so many toxic documents, so large a share of them, and log-odds of so much, to enter the lexicon.
 LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 5, 0.02, 3.0
 PREFIX_BYTES = (4, 5, 6, 7, 8)
@@ -270,8 +273,10 @@ def sample(docs: DataFrame, labels: DataFrame, limit: int) -> list[tuple[str, in
     for toxic in (0, 1):
         part = marked.where(F.col("toxic") == toxic).withColumn("h", spread).orderBy("h", "doc_id").limit(limit)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").orderBy("h", "doc_id").limit(2 * limit)
-    return [(r["text"], r["toxic"]) for r in rows.select("text", "toxic").collect()]
+    texts = docs.select("doc_id", "text", F.octet_length("text").cast("long").alias("bytes")).where(F.col("bytes") <= ROW_BYTES)
+    so_far = F.sum("bytes").over(W.partitionBy("toxic").orderBy("h", "doc_id", "text").rowsBetween(W.unboundedPreceding, 0))
+    rows = texts.join(F.broadcast(chosen), "doc_id").withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES // 2)  # ``chosen``: 2 * limit rows
+    return [(r["text"], r["toxic"]) for r in rows.orderBy("h", "doc_id", "text").limit(2 * limit).select("text", "toxic").collect()]
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
