@@ -16,7 +16,7 @@ from .common import discard, materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -25,18 +25,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, to a node that has none."""
+    if not edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return False
+    return edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v) -> a table (node, component) with a row for each node that has an edge; component is
     the least node reachable. Loops and repeated edges are harmless, no edges give no rows."""
     edges = materialize(edges.select("u", "v").where("u <> v").distinct(), "edges")
-    before = None
     while True:
         old, edges = edges, materialize(_small_star(_large_star(edges)), "edges")
         discard(old)
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
+        if _settled(edges):
             break
-        before = state
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     labels = nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
     labels = materialize(labels, "labels")
