@@ -310,6 +310,8 @@ def _send(blocks: DataFrame, buckets: int, length: int, kmer: int, hot_over: int
                     hot = new & (many > hot_over) & (node.hi > node.lo)
                     left += [np.stack((doc[hot], pos[hot], np.full(hot.sum(), h.lo), np.full(hot.sum(), h.hi)), 1).astype(np.int32) for h in node.halves()] if hot.any() else []
                     sent = np.flatnonzero(new & ~hot)
+                    if not len(sent):
+                        continue
                     at = (key[sent] % np.uint64(buckets)).astype(np.int64)
                     sent = sent[np.argsort(at, kind="stable")]
                     own, begin = np.unique(np.sort(at), return_index=True)

@@ -52,10 +52,10 @@ def test_likelihood_estimate():
     assert abs(got - 1400 / 2200) < 0.08
 
 
-def test_repeats_refined(spark, texts, monkeypatch):
+def test_repeats_of_hot_kmers(spark, texts, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     a = suffix_dedup.digest(suffix_dedup.repeated_spans(docs)).toPandas().sort_values("doc_id")
-    b = suffix_dedup.digest(suffix_dedup.repeated_spans(docs, refine_over=2)).toPandas().sort_values("doc_id")
+    b = suffix_dedup.digest(suffix_dedup.repeated_spans(docs, hot_over=2)).toPandas().sort_values("doc_id")
     assert a.reset_index(drop=True).equals(b.reset_index(drop=True))
 
 
