@@ -1,9 +1,10 @@
 """The corpus pipeline: each stage takes all documents that the one before kept.
 
 A stage is ``f(spark, docs, sf_dir) -> DataFrame``; its result is written as Parquet in the
-shared folder and read back as the next one's ``docs``. All but the last return the columns
-of ``documents``. Null texts and texts without a letter go in the first stage; an empty table
-passes through all stages.
+shared folder and read back as the next one's ``docs``; a stage's own tables, and the result
+before, are deleted then. All but the last return the columns of ``documents``. Null texts and
+texts without a letter go in the first stage; rows repeated whole go in the second; an empty
+table passes through all stages.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from biblion.llm import crf_langid, decontaminate, packing, setsketch, suffix_dedup
-from biblion.llm.common import materialize
+from biblion.llm.common import discard, materialize, scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +48,16 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: The model stages and the packing are beyond SQL; tests hold the stages against brute force.
+#: The model stages and the packing are beyond SQL; tests/llm/test_stages.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
