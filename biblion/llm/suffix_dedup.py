@@ -32,8 +32,8 @@ results; extra columns are ignored by ``repeated_spans`` and kept by ``remove_re
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,8 @@ BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
 #: Different contexts of one k-mer beyond which its windows are told apart before they are sent.
 HOT_OVER = 20_000
+#: Rows of one batch on the way to the buckets.
+SEND_ROWS = 4096
 #: Contexts that are compared at once in a bucket, where one k-mer has no more.
 COMPARE = 4096
 
@@ -191,8 +193,19 @@ class Node:
         return [Node(self.lo, mid), Node(mid + 1, self.hi)]
 
 
+_codec = pa.Codec("zstd", compression_level=1)
+
+
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + _codec.compress(raw, asbytes=True)
+
+
+def _expand(blob: bytes) -> bytes:
+    return _codec.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), asbytes=True)
+
+
 class Texts:
-    """The texts of a block, their order in the corpus, and the anchors that are still open."""
+    """The texts of a block and their order in the corpus: by doc_id, then by a hash of the text."""
 
     def __init__(self, payload: bytes, length: int, kmer: int):
         self.length, self.margin = length, length - kmer
@@ -201,47 +214,79 @@ class Texts:
         ids = pc.cast(self.table.column("doc_id"), pa.int64())
         self.known = ids.is_valid().to_numpy()
         self.ids = ids.fill_null(0).to_numpy()
-        self.texts_searched = [t if k else b"" for t, k in zip(self.texts, self.known.tolist(), strict=True)]
+        self.searched = [t if k else b"" for t, k in zip(self.texts, self.known.tolist(), strict=True)]
 
     def ties(self) -> np.ndarray:
         return np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in self.texts], np.uint64)
 
-    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All texts with a margin of bytes that no UTF-8 has around each, their starts and sizes."""
-        gap = b"\xff" * (self.margin + 8)
-        data = np.frombuffer(gap + gap.join(self.texts_searched) + gap, np.uint8)
-        sizes = np.fromiter(map(len, self.texts_searched), np.int64, len(self.texts))
-        return data, len(gap) + np.concatenate(([0], np.cumsum(sizes + len(gap))[:-1])), sizes
 
+#: What an anchor is known by: text index, position, size of the text, doc_id and tie of the text.
+_PLACE = (("docs", np.int32), ("pos", np.int32), ("sizes", np.int64), ("ids", np.int64), ("ties", np.uint64))
+
+
+@dataclass
+class Open:
+    """Anchors of a block whose windows in ``node`` are not settled yet."""
+
+    node: Node
+    key: np.ndarray  # hash of the bytes that all windows of the node share
+    context: np.ndarray  # hash of the bytes of all windows
+    place: dict[str, np.ndarray]
+    around: Callable[[np.ndarray], np.ndarray]  # rows of bytes of all windows, of some anchors
+
+    def pack(self, rows: np.ndarray, around: np.ndarray) -> bytes:
+        head = np.array([self.node.lo, self.node.hi, len(rows)], np.int64).tobytes()
+        return _squeeze(head + b"".join(self.place[n][rows].astype(t).tobytes() for n, t in _PLACE) + around.tobytes())
 
-def _open(texts: Texts, pending: list[bytes] | None, length: int, kmer: int) -> list[tuple[Node, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(node, text index, position, key, context hash) of the block's open anchors, by node."""
-    if pending is None:
-        return [(Node(0, length - kmer), *anchors(texts.texts_searched, length, kmer))]
-    flat, starts, sizes = texts.flat()
-    rows = np.concatenate([np.frombuffer(p, np.int32).reshape(-1, 4) for p in pending])
+
+def _anchored(texts: Texts) -> Open:
+    """All anchors of a block's texts."""
+    length, margin = texts.length, texts.margin
+    doc, pos, key, context = anchors(texts.searched, length, length - margin)
+    sizes = np.fromiter(map(len, texts.searched), np.int64, len(texts.searched))
+
+    def around(rows: np.ndarray) -> np.ndarray:
+        gap = b"\xff" * margin
+        flat = np.frombuffer(gap + gap.join(texts.searched) + gap, np.uint8)
+        starts = margin + np.concatenate(([0], np.cumsum(sizes + margin)[:-1]))
+        return np.lib.stride_tricks.sliding_window_view(flat, length + margin)[starts[doc[rows]] + pos[rows] - margin]
+
+    return Open(Node(0, margin), key, context, {"docs": doc, "pos": pos, "sizes": sizes[doc], "ids": texts.ids[doc], "ties": texts.ties()[doc]}, around)
+
+
+def _pending(payloads: list[bytes], length: int) -> list[Open]:
+    """Anchors of hot keys, whose bytes came along; those go that have no window in the text."""
     out = []
-    for lo, hi in sorted(set(map(tuple, rows[:, 2:].tolist()))):
-        mine = rows[(rows[:, 2] == lo) & (rows[:, 3] == hi)]
-        doc, pos = mine[:, 0].astype(np.int64), mine[:, 1].astype(np.int64)
-        room = (pos >= lo) & (pos + length - hi <= sizes[doc])  # some window of the node lies in the text
-        doc, pos = doc[room], pos[room]
-        by = np.lexsort((pos, doc))
-        doc, pos = doc[by], pos[by]
-        at = starts[doc] + pos
-        key = hash_ranges(flat, at - lo, np.full(len(at), length - hi + lo)) ^ mix64(np.array([lo << 8 | hi], np.uint64))
-        out.append((Node(lo, hi), doc, pos, key, hash_ranges(flat, at - hi, np.full(len(at), length - lo + hi))))
+    for blob in payloads:
+        raw = _expand(blob)
+        lo, hi, n = np.frombuffer(raw, np.int64, 3).tolist()
+        at, place = 24, {}
+        for name, t in _PLACE:
+            place[name] = np.frombuffer(raw, t, n, at)
+            at += place[name].nbytes
+        width = length + hi - lo
+        around = np.frombuffer(raw, np.uint8, n * width, at).reshape(n, width)
+        room = (place["pos"] >= lo) & (place["pos"] + length - hi <= place["sizes"])
+        place, around = {k: v[room] for k, v in place.items()}, np.ascontiguousarray(around[room])
+        flat = np.concatenate((around.reshape(-1), np.zeros(8, np.uint8)))
+        begin = np.arange(len(around)) * width
+        key = hash_ranges(flat, begin + hi - lo, np.full(len(around), length - hi + lo)) ^ mix64(np.array([lo << 8 | hi], np.uint64))
+        out.append(Open(Node(lo, hi), key, hash_ranges(flat, begin, np.full(len(around), width)), place, around.__getitem__))
     return out
 
 
+def _opened(payload: bytes | None, pending: list[bytes] | None, length: int, kmer: int) -> list[Open]:
+    return _pending(pending, length) if payload is None else [_anchored(Texts(payload, length, kmer))]
+
+
 def _requests(blocks: DataFrame, buckets: int, parts: int, length: int, kmer: int) -> DataFrame:
     """Counts of each key: how often it stands, and in how many different contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for block_id, payload, pending in zip(*(rb.column(c).to_pylist() for c in ("block_id", "payload", "pending")), strict=True):
-                rows = _open(Texts(payload, length, kmer), pending, length, kmer)
-                key, context = (np.concatenate([r[k] for r in rows]) for k in (3, 4))
+                opened = _opened(payload, pending, length, kmer)
+                key, context = (np.concatenate([getattr(o, k) for o in opened]) for k in ("key", "context"))
                 keys = tally.Keys(key, buckets)
                 often = np.bincount(keys.place, minlength=len(keys))
                 by = np.lexsort((context, keys.place))
@@ -253,7 +298,7 @@ def _requests(blocks: DataFrame, buckets: int, parts: int, length: int, kmer: in
     return blocks.mapInArrow(tidied(run), tally.REQUEST)
 
 
-_SENT = "bucket int, kind int, block_id long, lo int, hi int, keys binary, ids binary, ties binary, docs binary, pos binary, sizes binary, contexts binary"
+_SENT = "bucket int, kind int, block_id long, lo int, hi int, keys binary, docs binary, pos binary, sizes binary, ids binary, ties binary, contexts binary"
 _FOUND = "block_id long, kind int, payload binary"
 CONTEXTS, COVERED, PENDING = 0, 1, 2
 
@@ -281,49 +326,45 @@ def _send(blocks: DataFrame, buckets: int, length: int, kmer: int, hot_over: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for block_id, payload, pending, answers in zip(*(rb.column(c).to_pylist() for c in ("block_id", "payload", "pending", "answers")), strict=True):
-                texts = Texts(payload, length, kmer)
-                opened = _open(texts, pending, length, kmer)
-                keys = tally.Keys(np.concatenate([r[3] for r in opened]), buckets)
+                opened = _opened(payload, pending, length, kmer)
+                keys = tally.Keys(np.concatenate([o.key for o in opened]), buckets)
                 if not len(keys):
                     continue
                 often, several = keys.totals(answers or [], 2)[:, keys.place]
-                flat, starts, sizes = texts.flat()
-                ties = texts.ties()
-                rank = np.empty(len(ties), np.int64)
-                rank[np.lexsort((ties, texts.ids))] = np.arange(len(ties))
-                rows, covered, left, done = [], [], [], 0
-                for node, doc, pos, key, context in opened:
-                    mine = slice(done, done + len(doc))
-                    done += len(doc)
+                rows, covered, done = [], [], 0
+                home = block_id % buckets
+                for o in opened:
+                    mine = slice(done, done + len(o.key))
+                    done += len(o.key)
                     again = np.flatnonzero(often[mine] > 1)
                     if not len(again):
                         continue
-                    again = again[np.lexsort((pos[again], rank[doc[again]], context[again]))]
-                    doc, pos, key, context, many = doc[again], pos[again], key[again], context[again], several[mine][again]
-                    width = length + node.hi - node.lo
-                    around = np.lib.stride_tricks.sliding_window_view(flat, width)[starts[doc] + pos - node.hi]
+                    order = [o.place[n][again] for n in ("pos", "docs", "ties", "ids")]
+                    again = again[np.lexsort((*order, o.context[again]))]
+                    around, context = o.around(again), o.context[again]
                     new = np.concatenate(([True], context[1:] != context[:-1]))
                     head = np.flatnonzero(new)[np.cumsum(new) - 1]
                     new |= (around != around[head]).any(axis=1)  # equal hashes of unlike bytes
-                    twin = np.flatnonzero(~new)
-                    covered.append((doc[twin], np.maximum(pos[twin] - node.hi, 0), np.minimum(pos[twin] + length - node.lo, sizes[doc[twin]])))
-                    hot = new & (many > hot_over) & (node.hi > node.lo)
-                    left += [np.stack((doc[hot], pos[hot], np.full(hot.sum(), h.lo), np.full(hot.sum(), h.hi)), 1).astype(np.int32) for h in node.halves()] if hot.any() else []
+                    doc, pos, size = (o.place[n][again].astype(np.int64) for n in ("docs", "pos", "sizes"))
+                    covered.append(tuple(x[~new] for x in (doc, np.maximum(pos - o.node.hi, 0), np.minimum(pos + length - o.node.lo, size))))
+                    hot = new & (several[mine][again] > hot_over) & (o.node.hi > o.node.lo)
+                    if hot.any():
+                        for half in o.node.halves():
+                            cut = slice(o.node.hi - half.hi, o.node.hi - half.lo + length)
+                            rows.append((home, PENDING, block_id, 0, 0, replace(o, node=half).pack(again[hot], around[hot][:, cut]), *[None] * 6))
                     sent = np.flatnonzero(new & ~hot)
                     if not len(sent):
                         continue
-                    at = (key[sent] % np.uint64(buckets)).astype(np.int64)
-                    sent = sent[np.argsort(at, kind="stable")]
-                    own, begin = np.unique(np.sort(at), return_index=True)
-                    for b, x in zip(own.tolist(), np.split(sent, begin[1:]), strict=True):
-                        rows.append((b, CONTEXTS, block_id, node.lo, node.hi, *(v.tobytes() for v in (key[x], texts.ids[doc[x]], ties[doc[x]], doc[x].astype(np.int32), pos[x].astype(np.int32), sizes[doc[x]], around[x]))))
-                home = block_id % buckets
+                    at = (o.key[again[sent]] % np.uint64(buckets)).astype(np.int64)
+                    by = np.argsort(at, kind="stable")
+                    own, begin = np.unique(at[by], return_index=True)
+                    for b, x in zip(own.tolist(), np.split(sent[by], begin[1:]), strict=True):
+                        place = [o.place[n][again[x]].astype(t).tobytes() for n, t in _PLACE]
+                        rows.append((b, CONTEXTS, block_id, o.node.lo, o.node.hi, o.key[again[x]].tobytes(), *place, _squeeze(around[x].tobytes())))
                 if covered and (spans := _span_payload(*(np.concatenate(x) for x in zip(*covered, strict=True)))):
                     rows.append((home, COVERED, block_id, 0, 0, spans, *[None] * 6))
-                if left:
-                    rows.append((home, PENDING, block_id, 0, 0, np.concatenate(left).tobytes(), *[None] * 6))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                for i in range(0, len(rows), SEND_ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + SEND_ROWS], strict=True), types, strict=True)], names=names)
 
     return blocks.mapInArrow(tidied(run), _SENT)
 
@@ -368,7 +409,7 @@ def _settle_node(table: pa.Table, length: int, node: Node) -> list[tuple[int, in
     blobs = {c: table.column(c).to_pylist() for c in ("keys", "ids", "ties", "docs", "pos", "sizes", "contexts")}
     key, ids, ties, doc, pos, size = (np.concatenate([np.frombuffer(x, t) for x in blobs[c]]) for c, t in (("keys", np.uint64), ("ids", np.int64), ("ties", np.uint64), ("docs", np.int32), ("pos", np.int32), ("sizes", np.int64)))
     block = np.repeat(table.column("block_id").to_numpy(), [len(x) // 8 for x in blobs["keys"]])
-    contexts = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, length + node.hi - node.lo) for x in blobs["contexts"]])
+    contexts = np.concatenate([np.frombuffer(_expand(x), np.uint8).reshape(-1, length + node.hi - node.lo) for x in blobs["contexts"]])
     del blobs
     by = np.lexsort((pos, doc, block, ties, ids, key))
     key, doc, pos, size, block, contexts = key[by], doc[by].astype(np.int64), pos[by].astype(np.int64), size[by], block[by], contexts[by]
@@ -410,7 +451,8 @@ def _searched(docs: DataFrame, length: int, kmer: int, bucket_bytes: int, hot_ov
             pending = settled.where(F.col("kind") == PENDING)
             if pending.isEmpty():  # the windows of a node halve in each turn, so there are few
                 break
-            open_ = blocks.join(pending.groupBy("block_id").agg(F.collect_list("payload").alias("pending")), "block_id").select("block_id", "payload", "pending")
+            # the bytes of hot anchors came along: blocks are not read again
+            open_ = pending.groupBy("block_id").agg(F.collect_list("payload").alias("pending")).select("block_id", F.lit(None).cast("binary").alias("payload"), "pending")
     found = covered.groupBy("block_id").agg(F.collect_list("payload").alias("found"))
     return blocks.join(found, "block_id", "left").select("payload", "found")
 
