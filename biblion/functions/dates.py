@@ -40,6 +40,11 @@ def month_in(c: Column, begin: Column, end: Column) -> Column:
     return F.trunc(c, "month").between(F.trunc(F.least(begin, end), "month"), F.trunc(F.greatest(begin, end), "month"))
 
 
+def day_in(day: Column, begin: Column, end: Column) -> Column:
+    """Window on the day itself, bounds as they are: reversed ones hold nothing."""
+    return F.coalesce((day >= begin) & (day <= end), F.lit(False))
+
+
 def year_anywhere(c: Column) -> Column:
     """The first year from 1800 to 2199 that stands alone among digits."""
     return F.regexp_extract(F.coalesce(c, F.lit("")), r"(?<!\d)((?:18|19|20|21)\d{2})(?!\d)", 1)

@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 SPACE = r"(?U)\s+"
+# Shapes of DOIs (lenient and registered), of a DOI's prefixes, of ORCID, ROR and institution links.
+DOI, STRICT_DOI = r"(10\.\d{4,9}/\S+)", r"(?i)(10\.\d{4,9}/[-._;()/:A-Z0-9]+)"
+DOI_PREFIX = r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)"
+ORCID_TAIL = r"(?i)\s*;\s*https?://orcid\.org/[0-9X-]+\s*$"
+ROR = r"(?i)^https?://ror\.org/[0-9a-z]{9}$"
+INSTITUTION = r"(?i)^https?://openalex\.org/(I[A-Z0-9]+)$"
+# End of the fixed values.
 
 
 def nullify(c: Column) -> Column:
@@ -35,6 +42,11 @@ def unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
+def cleaned(text: str) -> str:
+    """``clean_html`` of one Python text."""
+    return re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", html.unescape(text))).strip()
+
+
 def clean_html(c: Column) -> Column:
     """Entities are decoded, then tags go."""
     return strip_tags(unescape(F.coalesce(c, F.lit(""))))
@@ -82,13 +94,13 @@ def similar(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def doi(c: Column) -> Column:
     """A DOI in its lower-case bare form, or the empty string."""
-    bare = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)", "")
-    return F.lower(F.regexp_replace(F.regexp_extract(bare, r"(10\.\d{4,9}/\S+)", 1), r"[.,;)]+$", ""))
+    bare = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), DOI_PREFIX, "")
+    return F.lower(F.regexp_replace(F.regexp_extract(bare, DOI, 1), r"[.,;)]+$", ""))
 
 
 def strict_doi(c: Column) -> Column:
     """As ``doi`` with the registered character set and more trailing marks cut."""
-    found = F.regexp_extract(F.coalesce(c, F.lit("")), r"(?i)(10\.\d{4,9}/[-._;()/:A-Z0-9]+)", 1)
+    found = F.regexp_extract(F.coalesce(c, F.lit("")), STRICT_DOI, 1)
     return F.lower(F.regexp_replace(found, r"[.,;:)\]}]+$", ""))
 
 
@@ -124,7 +136,7 @@ def abbreviated(authors: Column) -> Column:
 
 def without_orcid(c: Column) -> Column:
     """A trailing ORCID link after a semicolon goes."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)\s*;\s*https?://orcid\.org/[0-9X-]+\s*$", ""))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), ORCID_TAIL, ""))
 
 
 def slug(c: Column) -> Column:
@@ -140,12 +152,12 @@ def too_short(c: Column, least: int) -> Column:
 
 
 def is_ror(c: Column) -> Column:
-    return F.coalesce(F.trim(c).rlike(r"(?i)^https?://ror\.org/[0-9a-z]{9}$"), F.lit(False))
+    return F.coalesce(F.trim(c).rlike(ROR), F.lit(False))
 
 
 def institution_id(c: Column) -> Column:
     """The bare identifier of an institution's link; other texts as they are, trimmed."""
-    return F.regexp_replace(F.trim(c), r"(?i)^https?://openalex\.org/(I[A-Z0-9]+)$", "$1")
+    return F.regexp_replace(F.trim(c), INSTITUTION, "$1")
 
 
 def author_token(name: Column) -> Column:

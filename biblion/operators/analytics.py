@@ -44,8 +44,8 @@ def status_by_month(rows: DataFrame, day: str, status: str, begin: date, end: da
     begin, end = sorted((begin, end))
     window = rows.where(dates.month_in(F.col(day), F.lit(begin), F.lit(end)))
     found = window.groupBy(dates.month(F.col(day)).alias("month"), F.coalesce(text.nullify(F.trim(F.col(status))), F.lit("unknown")).alias("status")).agg(F.count("*").alias("n"))
-    months = rows.sparkSession.range(1).select(F.explode(F.sequence(F.lit(begin.replace(day=1)), F.lit(end.replace(day=1)), F.expr("interval 1 month"))).alias("month"))
-    grid = months.crossJoin(F.broadcast(found.select("status").distinct()))  # months x statuses, both few
+    months = F.sequence(F.lit(begin.replace(day=1)), F.lit(end.replace(day=1)), F.expr("interval 1 month"))
+    grid = found.select("status").distinct().select("status", F.explode(months).alias("month"))
     return grid.join(found, ["month", "status"], "left").select("month", "status", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -57,15 +57,17 @@ def author_access(rows: DataFrame, authors: Column, flag: Column, k: int = TOP_A
     return counts.join(F.broadcast(top.select("author")), "author", "left_semi")  # k rows
 
 
-def pairs(ids: Column) -> Column:
-    """All unordered pairs a < b of a distinct array; arrays of one give none."""
-    s = F.array_sort(F.array_distinct(ids))
-    return F.flatten(F.transform(s, lambda a, i: F.transform(F.slice(s, i + 2, F.greatest(F.size(s) - i - 1, F.lit(0))), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+def pairs(rows: DataFrame, ids: str) -> DataFrame:
+    """a, b: the unordered pairs a < b of each row's distinct ids. Two generators in turn, so a row's pairs
+    stream out and are never held as one array."""
+    several = rows.select(F.array_sort(F.array_distinct(ids)).alias("_s")).where(F.size("_s") >= 2)
+    left = several.select("_s", F.posexplode(F.slice("_s", F.lit(1), F.size("_s") - 1)).alias("_i", "a"))
+    return left.select("a", F.explode(F.slice("_s", F.col("_i") + 2, F.size("_s") - F.col("_i") - 1)).alias("b"))
 
 
 def edges(rows: DataFrame, ids: str) -> DataFrame:
     """a, b, w: in how many rows both ids occur."""
-    return rows.where(F.size(F.array_distinct(ids)) >= 2).select(F.explode(pairs(F.col(ids))).alias("e")).groupBy("e.a", "e.b").agg(F.count("*").alias("w"))
+    return pairs(rows, ids).groupBy("a", "b").agg(F.count("*").alias("w"))
 
 
 def relabelled(edge: DataFrame, labels: DataFrame) -> DataFrame:
@@ -87,9 +89,8 @@ def top_nodes(edge: DataFrame, k: int = TOP_NODES, query: str = "", origins: lis
 
 
 def between(edge: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with both ends among ``nodes`` (label), which are few."""
-    few = F.broadcast(nodes.select("label"))
-    return edge.join(few, edge["a"] == few["label"], "left_semi").join(few, F.col("b") == few["label"], "left_semi")
+    """Edges with both ends among ``nodes`` (label)."""
+    return edge.join(nodes.select(F.col("label").alias("a")), "a", "left_semi").join(nodes.select(F.col("label").alias("b")), "b", "left_semi")
 
 
 def coverage(rows: DataFrame, ids: str) -> DataFrame:
@@ -103,10 +104,11 @@ def first_named(rows: DataFrame, identifier: str, name: str, order: str) -> Data
     return rows.groupBy(F.col(identifier).alias("id")).agg(F.min_by(F.when(told, F.col(name)), F.when(told, F.col(order))).alias("label"))
 
 
-def pub_day(day: str, year: str | None = None) -> Column:
-    """A row's date, whole or partial from its start; where there is none, the start of its year."""
-    whole = dates.lower_bound(F.col(day))
-    return F.coalesce(whole, F.try_to_date(F.col(year).cast("string"), "yyyy")) if year else whole
+def with_days(rows: DataFrame, day: str, year: str, to: str = "pub_day") -> DataFrame:
+    """Rows with their day; only where no row at all has a date, the starts of their years instead."""
+    told = F.broadcast(rows.agg(F.count(dates.lower_bound(F.col(day))).alias("_dated")))  # one row
+    start = F.try_to_date(F.col(year).cast("string"), "yyyy")
+    return rows.crossJoin(told).withColumn(to, F.when(F.col("_dated") > 0, dates.lower_bound(F.col(day))).otherwise(start)).drop("_dated")
 
 
 def labels_matching(labels: Column, query: str) -> Column:

@@ -2,26 +2,27 @@
 
 Calls go out only for the rows that need them, at most ``PARALLEL`` tasks at a time, and their
 answers are written once in the shared folder, so no later action calls again. Clients are
-injected: a client maker gives each task one function of a row.
+injected: a client maker gives each task one function of a row. Rows are asked for in growing
+waves, the first of about one row; a refusal ends the asking for the run.
 """
 
 from __future__ import annotations
 
 import json
-import tempfile
 import time
 import urllib.error
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import quote, urlencode
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, goals, text
 from . import cache, classify
+from .shared import discard, written
 
 # Provider addresses, pacing.
 ABSTRACT_URL = "https://api.semanticscholar.org/graph/v1/paper/DOI:{doi}?fields=abstract"
@@ -32,13 +33,29 @@ SHORT_NOTE = "skipped: {model} requires >={least} words"
 # End of the fixed values.
 CANDIDATE = "array<struct<title:string,doi:string,link:string,snippet:string,year:string,publication_year:string,publication_info:struct<doi:string,year:string,summary:string>,resources:array<struct<doi:string,link:string>>>>"
 Ask = Callable[[dict], str | None]
+#: Each wave of rows is larger than the one before by this factor.
+WAVE = 64
+_TASKS = "biblion.calling.tasks"
+
+
+def tasks(rows: DataFrame) -> int:
+    """Calling tasks that can run at once; the tasks themselves read it to share the rate."""
+    n = max(1, min(PARALLEL, rows.sparkSession.sparkContext.defaultParallelism))
+    rows.sparkSession.sparkContext.setLocalProperty(_TASKS, str(n))
+    return n
+
+
+def _share() -> int:
+    context = TaskContext.get()
+    return int((context and context.getLocalProperty(_TASKS)) or PARALLEL)
 
 
 class Spaced:
-    """Starts of calls at least ``interval`` seconds apart within a process; ``share`` processes split the rate."""
+    """Starts of calls at least ``interval`` seconds apart within a process; ``share`` processes (the calling
+    tasks, if not told) split the rate."""
 
-    def __init__(self, interval: float = INTERVAL_S, share: int = PARALLEL, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.gap, self.next, self.clock, self.sleep = interval * share, 0.0, clock, sleep
+    def __init__(self, interval: float = INTERVAL_S, share: int | None = None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.gap, self.next, self.clock, self.sleep = interval * (share or _share()), 0.0, clock, sleep
 
     def wait(self) -> None:
         now = self.clock()
@@ -48,24 +65,23 @@ class Spaced:
 
 
 def abstract_client(get: Callable[..., str], api_key: str | None = None) -> Callable[[], Ask]:
-    """Abstract by DOI. A refusal (401, 403) ends the asking of its task; other failures give nothing."""
+    """Abstract by DOI. A refusal (401, 403) ends the asking; other failures give nothing."""
 
     def client() -> Ask:
-        refused = False
-
         def ask(row: dict) -> str | None:
-            nonlocal refused
-            if refused or not row["doi"]:
+            if ask.refused or not row["doi"]:
                 return None
             try:
                 body = get(ABSTRACT_URL.format(doi=quote(row["doi"].replace("https://doi.org/", ""), safe="/")), {"Accept": "application/json"} | ({"x-api-key": api_key} if api_key else {}))
-                return json.loads(body).get("abstract")
+                found = json.loads(body)
+                return found.get("abstract") if isinstance(found, dict) else None
             except urllib.error.HTTPError as e:
-                refused = e.code in (401, 403)
+                ask.refused = e.code in (401, 403)
             except (OSError, ValueError):
                 pass
             return None
 
+        ask.refused = False
         return ask
 
     return client
@@ -77,7 +93,8 @@ def search_client(get: Callable[..., str], api_key: str) -> Callable[[], Ask]:
     def ask(row: dict) -> str | None:
         try:
             query = {"engine": "google_scholar", "q": f"{row['title']} {row['authors']}".strip(), "api_key": api_key, "hl": "en", "num": CANDIDATES}
-            return json.dumps(json.loads(get(f"{SEARCH_URL}?{urlencode(query)}")).get("organic_results") or [])
+            found = json.loads(get(f"{SEARCH_URL}?{urlencode(query)}"))
+            return json.dumps((found.get("organic_results") if isinstance(found, dict) else None) or [])
         except (OSError, ValueError):
             return None
 
@@ -108,28 +125,27 @@ def classifier_client(post: Callable[..., str], base_url: str | None, model: str
     return client
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in the session's shared folder."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="biblion-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def answers(rows: DataFrame, client: Callable[[], Ask], columns: list[str], tag: str) -> DataFrame:
-    """publication_key, answer of the rows; asked once each."""
+    """publication_key, answer of the rows (a table), asked once each; after a refusal no wave follows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = client()
         for f in frames:
-            yield pd.DataFrame({"publication_key": f["publication_key"], "answer": [ask(r) for r in f[columns].fillna("").to_dict("records")]})
-
-    asked = rows.select("publication_key", *columns).repartition(PARALLEL).mapInPandas(run, "publication_key string, answer string")
-    return written(asked, tag)
+            got = [ask(r) for r in f[columns].fillna("").to_dict("records")]
+            yield pd.DataFrame({"publication_key": f["publication_key"], "answer": got, "refused": bool(getattr(ask, "refused", False))})
+
+    rows = written(rows.select("publication_key", *columns).withColumn("_at", F.pmod(F.xxhash64("publication_key"), F.lit(1 << 40))), f"{tag}-rows")
+    n, lo, size, found = rows.count(), 0, 1, None
+    while lo < 1 << 40:
+        hi = (1 << 40) if size >= n else max(lo + 1, min(1 << 40, (1 << 40) * size // n))
+        wave = rows.where((F.col("_at") >= lo) & (F.col("_at") < hi)).select("publication_key", *columns)
+        asked = written(wave.repartition(tasks(rows)).mapInPandas(run, "publication_key string, answer string, refused boolean"), tag)
+        found = asked if found is None else found.unionByName(asked)
+        if not asked.where("refused").isEmpty():
+            break
+        lo, size = hi, size * WAVE
+    discard(rows)
+    return found.select("publication_key", "answer")
 
 
 def matching_snippet(rows: DataFrame) -> DataFrame:
@@ -199,7 +215,7 @@ def classified(rows: DataFrame, stored: DataFrame, model: str, client: Callable[
         got = rows.sparkSession.createDataFrame([], "publication_key string, response string, note string")
     else:
         calls = rows.where("decision = 'call'").select(F.col("publication_key").alias("key"), "_text")
-        got = written(classify.call_rows(calls, client, "_text", PARALLEL), "calls").withColumnRenamed("key", "publication_key")
+        got = written(classify.call_rows(calls, client, "_text", tasks(rows)), "calls").withColumnRenamed("key", "publication_key")
     rows = rows.join(got, "publication_key", "left")
     reuse, short = F.col("decision") == "reuse", F.col("decision") == "too_short"
     response = F.coalesce(F.when(reuse, F.col("_old_sdg_response")).otherwise(F.col("response")), F.lit(""))

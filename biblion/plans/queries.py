@@ -3,32 +3,15 @@ the SQL that must give the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import access, dates, goals, network, text
 from ..operators import analytics, cache, classify, enrich, merge
 from . import fetch
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Callable], Callable]:
-    """Registers f(table) under its name; ``table`` reads a driver table by name."""
-
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import query
 
 @query("""
 WITH c AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderstatus AS status, count(*) AS n FROM orders
@@ -56,6 +39,12 @@ g AS (SELECT least(p.label, q.label) AS a, greatest(p.label, q.label) AS b, CAST
       FROM e JOIN n p ON p.id = e.a JOIN n q ON q.id = e.b WHERE p.label <> q.label GROUP BY 1, 2)"""
 
 
+def origins(table, *suppliers: int) -> list[str]:
+    """Names of the suppliers' nations."""
+    chosen = table("supplier").where(F.col("s_suppkey").isin(list(suppliers)))
+    return sorted({r[0] for r in chosen.join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_name").collect()})
+
+
 def _label_edges(table) -> DataFrame:
     names = table("supplier").join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.col("n_name").alias("label"))
     return analytics.relabelled(coaffiliation_edges(table), names)
@@ -66,20 +55,24 @@ def label_edges(table):
     return _label_edges(table)
 
 
-@query(f"WITH {_LABEL_SQL}, d AS (SELECT a AS label, w FROM g UNION ALL SELECT b, w FROM g) SELECT label, CAST(sum(w) AS BIGINT) AS degree FROM d GROUP BY 1 ORDER BY degree DESC, label LIMIT 30")
+@query("""
+WITH s AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS id FROM lineitem),
+e AS (SELECT x.id AS a, y.id AS b, count(*) AS w FROM s x JOIN s y ON x.k = y.k AND x.id < y.id GROUP BY 1, 2),
+g AS (SELECT least(p.s_name, q.s_name) AS a, greatest(p.s_name, q.s_name) AS b, w FROM e JOIN supplier p ON p.s_suppkey = e.a JOIN supplier q ON q.s_suppkey = e.b)
+SELECT label, CAST(sum(w) AS BIGINT) AS degree FROM (SELECT a AS label, w FROM g UNION ALL SELECT b, w FROM g) GROUP BY 1 ORDER BY degree DESC, label LIMIT 30""")
 def weighted_degree_top30(table):
-    return analytics.top_nodes(_label_edges(table))
+    names = table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"))
+    return analytics.top_nodes(analytics.relabelled(coaffiliation_edges(table), names))
 
 
 @query(f"""WITH {_LABEL_SQL},
-o AS (SELECT n_name AS x FROM nation WHERE n_nationkey IN (1, 2)),
+o AS (SELECT n_name AS x FROM nation JOIN supplier ON n_nationkey = s_nationkey WHERE s_suppkey IN (0, 1)),
 p AS (SELECT * FROM g WHERE a IN (FROM o) OR b IN (FROM o)),
 h AS (SELECT DISTINCT x FROM (SELECT a AS x FROM p UNION ALL SELECT b FROM p) WHERE x NOT IN (SELECT x FROM o)),
 z AS (SELECT * FROM g WHERE a IN (FROM h) AND b IN (FROM h) AND w >= 2 ORDER BY w DESC, a, b LIMIT 20)
 SELECT a, b, w, 'primary' AS kind FROM p UNION ALL SELECT a, b, w, 'secondary' FROM z""")
 def primary_secondary_edges(table):
-    origins = [r[0] for r in table("nation").where("n_nationkey in (1, 2)").select("n_name").collect()]
-    return analytics.edge_groups(_label_edges(table), origins, least=2)
+    return analytics.edge_groups(_label_edges(table), origins(table, 0, 1), least=2)
 
 
 @query("""
@@ -286,11 +279,12 @@ def edge_scales(table):
 
 
 @query(f"""WITH {_LABEL_SQL}, d AS (SELECT label, CAST(sum(w) AS BIGINT) AS degree FROM (SELECT a AS label, w FROM g UNION ALL SELECT b, w FROM g) GROUP BY 1),
-t AS (SELECT label FROM (SELECT label FROM d WHERE contains(lower(label), 'an') OR contains(lower(label), 'ru') OR label = 'KENYA' ORDER BY degree DESC, label LIMIT 5) UNION SELECT label FROM d WHERE label = 'KENYA')
+o AS (SELECT n_name FROM nation JOIN supplier ON n_nationkey = s_nationkey WHERE s_suppkey = 0),
+t AS (SELECT label FROM (SELECT label FROM d WHERE contains(lower(label), 'n_1') OR contains(lower(label), '2') OR label IN (FROM o) ORDER BY degree DESC, label LIMIT 5) UNION SELECT label FROM d WHERE label IN (FROM o))
 SELECT a, b, w FROM g WHERE a IN (FROM t) AND b IN (FROM t)""")
 def filtered_network(table):
     edge = _label_edges(table)
-    return analytics.between(edge, analytics.top_nodes(edge, 5, "AN, ru", ["KENYA"])).select("a", "b", "w")
+    return analytics.between(edge, analytics.top_nodes(edge, 5, "N_1, 2", origins(table, 0))).select("a", "b", "w")
 
 
 @query("""

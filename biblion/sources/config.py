@@ -15,10 +15,11 @@ from ..schemas import DEFAULT_ENTITIES, ENTITY_TYPES, OAI_WORK_TYPES, WORK_TYPES
 # Spellings of settings, domains that are no contact.
 YES, NO, NOTHING = {"1", "true", "yes", "on"}, {"0", "false", "no", "off"}, {"", "none", "null"}
 PLACEHOLDER_DOMAINS = {"example.com", "example.org", "example.net"}
-# End of the fixed values.
+# Shapes of identifiers.
 INSTITUTION = re.compile(r"(?:https?://openalex\.org/)?I[A-Z0-9]+", re.I)
 ROR = re.compile(r"https?://ror\.org/[0-9a-z]{9}", re.I)
 SOURCE_ID = re.compile(r"[a-z0-9][a-z0-9_-]*")
+# End of the fixed values.
 
 
 @dataclass(frozen=True)

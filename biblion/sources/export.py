@@ -43,13 +43,16 @@ SHEET_ROWS, CELL_CHARS = 1_048_576, 32_767
 
 def write_xlsx(rows: DataFrame, path: str, columns: list[str] | None = None) -> int:
     """One sheet, written row by row through the driver; returns the rows. Every cell is inline text, so
-    nothing in it is ever a formula. More rows than a sheet holds are an error: take the CSV then.
-    Cells are cut to what the format allows."""
+    nothing in it is ever a formula. More rows than a sheet holds are an error: take the CSV then. Texts
+    longer than a cell may be go on in further columns (name, name 2, …), so nothing is lost."""
     made = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]) if columns else export_rows(rows)
+    longest = made.agg(*[F.max(F.length(c)).alias(c) for c in made.columns]).first()
+    cells = {c: max(1, -(-(longest[c] or 0) // CELL_CHARS)) for c in made.columns}
+    made = made.select(*[F.substring(c, 1 + k * CELL_CHARS, CELL_CHARS).alias(f"{c} {k + 1}" if k else c) for c, n in cells.items() for k in range(n)])
     blank = re.compile("[^\t\n\r\x20-\uD7FF\uE000-\uFFFD\U00010000-\U0010FFFF]")
 
     def line(cells: Iterable[str]) -> str:
-        return "<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(blank.sub("", c[:CELL_CHARS]))}</t></is></c>' for c in cells) + "</row>"
+        return "<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(blank.sub("", c))}</t></is></c>' for c in cells) + "</row>"
 
     n = 0
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:

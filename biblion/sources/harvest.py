@@ -18,6 +18,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from datetime import date, datetime, timedelta, timezone
 from email.utils import parsedate_to_datetime
+from http.client import HTTPException
 from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -26,10 +27,12 @@ from ..schemas import WORK_FIELDS
 
 # Statuses worth another try, and the limits of waiting.
 RETRYABLE = (429, 500, 502, 503, 504)
-ATTEMPTS, BASE_S, CAP_S = 3, 0.5, 15.0
+ATTEMPTS, SOURCE_ATTEMPTS, BASE_S, CAP_S = 4, 3, 0.5, 15.0
 PAGE_SIZE, PAUSE_S = 200, 0.2
 MAX_BYTES = 25 << 20
 # End of the fixed values.
+#: Failures of the connection rather than answers.
+UNREACHABLE = (urllib.error.URLError, TimeoutError, ConnectionError, HTTPException)
 SCHEMA = "source string, label string, payload string, home string, _ord long"
 
 
@@ -46,22 +49,34 @@ def backoff(attempt: int, retry_after: str | None = None, draw: Callable[[float,
 
 
 def http(
-    url: str, headers: dict[str, str] | None = None, body: str | None = None, before: Callable[[], None] = lambda: None, timeout: float = 60, sleep: Callable[[float], None] = time.sleep
-) -> str:
-    """Text of a URL (of a POST where there is a body). ``before`` runs ahead of every attempt, retries too."""
+    url: str, headers: dict[str, str] | None = None, body: str | None = None, before: Callable[[], None] = lambda: None, timeout: float = 60, sleep: Callable[[float], None] = time.sleep,
+    attempts: int = ATTEMPTS, connect: Callable = urllib.request.urlopen,
+) -> str:
+    """Text of a URL (of a POST where there is a body). Statuses worth it and failures of the connection are
+    tried again; ``before`` runs ahead of every attempt."""
+    if attempts < 1:
+        raise ValueError("at least one attempt")
     request = urllib.request.Request(url, body.encode() if body is not None else None, headers or {})
-    for attempt in range(1, ATTEMPTS + 1):
+    for attempt in range(1, attempts + 1):
         before()
         try:
-            with urllib.request.urlopen(request, timeout=timeout) as r:
+            with connect(request, timeout=timeout) as r:
                 return r.read(MAX_BYTES + 1).decode("utf-8", "replace")
-        except urllib.error.HTTPError as e:
-            if e.code not in RETRYABLE or attempt == ATTEMPTS:
+        except UNREACHABLE as e:
+            told = e if isinstance(e, urllib.error.HTTPError) else None
+            if attempt == attempts or (told and told.code not in RETRYABLE):
                 raise
-            sleep(backoff(attempt, e.headers.get("Retry-After")))
+            sleep(backoff(attempt, told.headers.get("Retry-After") if told and told.headers else None))
     raise AssertionError("unreachable")
 
 
+def json_object(text: str) -> dict:
+    found = json.loads(text)
+    if not isinstance(found, dict):
+        raise ValueError("the response is not a JSON object")
+    return found
+
+
 def recorded(folder: str) -> Callable[[str], str]:
     return lambda url: (Path(folder) / hashlib.sha256(url.encode()).hexdigest()).read_text(encoding="utf-8")
 
@@ -70,7 +85,7 @@ def transport(options: dict[str, str]) -> Callable[[str], str]:
     if options.get("transport") == "files":
         return recorded(options["folder"])
     agent = {"User-Agent": options["useragent"]} if options.get("useragent") else {}
-    return lambda url: http(url, agent)
+    return lambda url: http(url, agent, attempts=SOURCE_ATTEMPTS)
 
 
 def with_query(base: str, **query: object) -> str:
@@ -103,8 +118,8 @@ class _Reader(DataSourceReader):
                 if limit and i >= limit:
                     break
                 yield source, label, payload, self.options.get("home", ""), partition.number * 1_000_000_000 + i
-        except urllib.error.HTTPError as e:
-            if e.code not in RETRYABLE or self.options.get("isolate") != "true":
+        except UNREACHABLE as e:
+            if self.options.get("isolate") != "true" or (isinstance(e, urllib.error.HTTPError) and e.code not in RETRYABLE):
                 raise  # with "isolate", a source that stays unavailable ends here and keeps what it gave
 
 
@@ -117,7 +132,7 @@ class _Works(_Reader):
     def pages(self, get, chain):
         cursor = "*"
         while cursor:
-            page = json.loads(get(with_query(self.options["url"], filter=chain["filter"], select=self.options.get("fields", ",".join(WORK_FIELDS)), cursor=cursor, **{"per-page": PAGE_SIZE})))
+            page = json_object(get(with_query(self.options["url"], filter=chain["filter"], select=self.options.get("fields", ",".join(WORK_FIELDS)), cursor=cursor, **{"per-page": PAGE_SIZE})))
             for work in page.get("results", []):
                 yield json.dumps(work, ensure_ascii=False)
             cursor = (page.get("meta") or {}).get("next_cursor") if page.get("results") else None
@@ -136,7 +151,7 @@ class _Items(_Reader):
         size = min(100, max(1, int(self.options.get("pagesize", 100))))
         while number < total:
             q = {"configuration": self.options.get("configuration"), "scope": self.options.get("scope"), "f.entityType": f"{chain['entity']},equals", "f.dateIssued": self.options.get("dates"), "page": number, "size": size, "sort": "dc.date.issued,DESC"}
-            found = (json.loads(get(with_query(self.options["url"], **q))).get("_embedded") or {}).get("searchResult") or {}
+            found = (json_object(get(with_query(self.options["url"], **q))).get("_embedded") or {}).get("searchResult") or {}
             objects = (found.get("_embedded") or {}).get("objects") or []
             total, number = int((found.get("page") or {}).get("totalPages") or 0) if objects else 0, number + 1
             for item in objects:

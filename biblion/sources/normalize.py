@@ -8,7 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, MapType, StringType
 
 from ..functions import access, records, text
 from ..operators.merge import publication_key
@@ -17,8 +17,7 @@ from ..schemas import DSPACE_TYPES, ENTITY_KINDS, OAI_TYPES, SOURCE_FIELDS
 WORK = """id string, display_name string, title string, publication_date string, doi string, type string, language string,
 open_access struct<is_oa:boolean,oa_status:string>,
 authorships array<struct<author:struct<display_name:string>,institutions:array<struct<id:string,display_name:string,country_code:string>>>>"""
-ITEM = """_embedded struct<indexableObject:struct<id:string,uuid:string,name:string,handle:string,entityType:string,
-metadata:map<string,array<struct<value:string,language:string>>>>>"""
+ITEM = "_embedded struct<indexableObject:struct<id:string,uuid:string,name:string,handle:string,entityType:string,metadata:string>>"
 MAX_XML_BYTES = 25 << 20
 
 
@@ -114,9 +113,33 @@ def works(raw: DataFrame) -> DataFrame:
     })
 
 
+@F.pandas_udf(MapType(StringType(), ArrayType(StringType())))
+def metadata_values(s: pd.Series) -> pd.Series:
+    """Cleaned, non-empty values of each key of a metadata object (JSON text). A key may have a list or one
+    value, a value may be an object that holds it or stand by itself."""
+
+    def values(found: object) -> list[str]:
+        entries = found if isinstance(found, list) else [found] if found else []
+        told = (e.get("value") if isinstance(e, dict) else e for e in entries)
+        return [t for t in (text.cleaned("" if v is None else str(v)) for v in told) if t]
+
+    def one(raw: str | None) -> dict[str, list[str]]:
+        try:
+            found = json.loads(raw or "{}")
+        except ValueError:
+            return {}
+        return {k: values(v) for k, v in found.items()} if isinstance(found, dict) else {}
+
+    return s.map(one)
+
+
 def _values(m: Column, *keys: str) -> Column:
-    """Cleaned values of the keys of a metadata multimap, in the keys' order."""
-    return F.flatten(F.array(*[F.transform(F.coalesce(F.try_element_at(m, F.lit(k)), F.array()), lambda v: F.coalesce(v["value"], F.lit(""))) for k in keys]))
+    """Values of the keys of a metadata multimap, in the keys' order."""
+    return F.flatten(F.array(*[_of(m, F.lit(k)) for k in keys]))
+
+
+def _of(m: Column, key: Column) -> Column:
+    return F.coalesce(F.try_element_at(m, key), F.array().cast("array<string>"))
 
 
 def _first(a: Column) -> Column:
@@ -142,14 +165,14 @@ def items(raw: DataFrame) -> DataFrame:
     """raw (source, label, payload, _ord) of repository search objects as JSON; those without an id go."""
     o = F.col("o")
     rows = raw.withColumn("o", F.from_json("payload", ITEM)["_embedded"]["indexableObject"]).withColumn("rid", F.coalesce(text.nullify(o["uuid"]), text.nullify(o["id"]))).where("rid is not null")
-    m = F.coalesce(o["metadata"], F.create_map().cast("map<string,array<struct<value:string,language:string>>>"))
+    rows, m = rows.withColumn("_m", metadata_values(F.col("o.metadata"))), F.col("_m")
     spoken = _first(_values(m, "dc.language"))
     prefixes = ("dc.abstract", "dc.description.abstract")
     found = [_longest(_values(m, f"{p}.{k}")) for k in ("en", "pl", "author") for p in prefixes]
-    own = [_longest(F.transform(F.coalesce(F.try_element_at(m, F.concat(F.lit(f"{p}."), F.lower(spoken))), F.array()), lambda v: F.coalesce(v["value"], F.lit("")))) for p in prefixes]
+    own = [_longest(_of(m, F.concat(F.lit(f"{p}."), F.lower(spoken)))) for p in prefixes]
     bare = [_longest(_values(m, p)) for p in prefixes]
     other = F.filter(F.array_sort(F.map_keys(m)), lambda k: F.startswith(k, F.lit(f"{prefixes[0]}.")) | F.startswith(k, F.lit(f"{prefixes[1]}.")))
-    rest = F.get(F.filter(F.transform(other, lambda k: _longest(F.transform(F.coalesce(m[k], F.array()), lambda v: F.coalesce(v["value"], F.lit(""))))), lambda x: x != ""), F.lit(0))
+    rest = F.get(F.filter(F.transform(other, lambda k: _longest(_of(m, k))), lambda x: x != ""), F.lit(0))
     rights = F.array_join(_values(m, "dc.rights"), " ")
     entity = F.trim(F.coalesce(o["entityType"], F.lit("")))
     kind = F.coalesce(_mapped(F.slice(F.filter(_values(m, "dc.type"), lambda x: F.trim(x) != ""), 1, 1), DSPACE_TYPES), _lookup(ENTITY_KINDS, F.lower(entity)), text.nullify(text.slug(entity)), F.lit("other"))
