@@ -54,6 +54,8 @@ STAGE_WORDS, STAGE_PERCENT, STAGE_BANDS = 5, 80, 32
 SLACK = 0.25
 #: Buckets of up to so many classes are compared pair by pair where components differ.
 SMALL_BUCKET = 24
+#: Members of large buckets (about) up to which blocks compare them at once; of more, stars thin them out first.
+FEW_HOT = 16_384
 #: Sets that a task compares with as many others.
 BLOCK = 1024
 #: Counters of the shingle frequencies that order prefixes.
@@ -193,7 +195,7 @@ def _members(docs: DataFrame, classes: DataFrame, reps: DataFrame, n: int, texts
             values = data if texts else [s.tobytes() for s, _ in found]
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array([d for _, d in found], pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "set_hash", "value"])
 
-    read = likely_rows(docs, wanted.select("doc_id").distinct()).mapInArrow(tidied(run), "doc_id long, set_hash binary, value binary")
+    read = likely_rows(docs, wanted.select("doc_id")).mapInArrow(tidied(run), "doc_id long, set_hash binary, value binary")
     return read.join(wanted, ["doc_id", "set_hash"]).select("rep", "value").dropDuplicates(["rep"])
 
 
@@ -203,7 +205,7 @@ KEPT_WORDS = 1 << 21
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, n: int) -> DataFrame:
     """The pairs whose full sets of word shingles reach the threshold."""
-    full = materialize(_members(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), n, True), "candidate-texts")
+    full = materialize(_members(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("rep")), n, True), "candidate-texts")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, set] = {}
@@ -247,7 +249,7 @@ def _block_links(docs: DataFrame, classes: DataFrame, hot: DataFrame, percent: i
     """
     stars = hot.join(hot.groupBy("key").agg(F.min("rep").alias("u")), "key").select("u", F.col("rep").alias("v"))
     cluster = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    members = hot.groupBy("rep", "component").agg(F.min("key").alias("key")).join(cluster, "rep")
+    members = materialize(hot.groupBy("rep", "component").agg(F.min("key").alias("key")).join(cluster, "rep"), "hot-clusters")
     by_key = members.groupBy("cluster", "key").agg(F.count("*").alias("of_key"))
     by_cluster = by_key.groupBy("cluster").agg(F.sum("of_key").alias("of_cluster"))
 
@@ -269,8 +271,8 @@ def _block_links(docs: DataFrame, classes: DataFrame, hot: DataFrame, percent: i
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
 
     often = np.zeros(SLOTS, np.int64)  # of fixed size, whatever the input
-    for r in sets.mapInArrow(tidied(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
-        often[r["slot"]] = r["n"]
+    used = sets.mapInArrow(tidied(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often[used.column("slot").to_numpy()] = used.column("n").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,9 +348,9 @@ def _grouped(docs: DataFrame, percent: int, bands: int, rows: int, n: int) -> Da
             mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
             still = materialize(labelled.join(mixed, "key"), "mixed")
             hot = still.where(F.col("size") > SMALL_BUCKET)
-            n_hot = hot.count()
+            n_hot, members = hot.agg(F.count("*"), F.approx_count_distinct("rep")).first()
             edges = []
-            if n_hot and (before is None or n_hot * 2 < before):
+            if members > FEW_HOT and (before is None or n_hot * 2 < before):
                 centre = hot.groupBy("key").agg(F.min_by(F.struct("rep", "component", "n"), F.xxhash64("rep", F.lit(turn))).alias("h"))
                 pairs = hot.join(centre, "key").where(F.col("component") != F.col("h.component")).select(F.col("h.rep").alias("a"), F.col("rep").alias("b"), F.col("h.n").alias("n_a"), F.col("n").alias("n_b"))
                 turn, before = turn + 1, n_hot
