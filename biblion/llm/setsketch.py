@@ -245,7 +245,8 @@ def _block_links(docs: DataFrame, classes: DataFrame, hot: DataFrame, percent: i
     common order of all shingles, sets with 100 * |A and B| >= percent * |A or B| share
     one of their first n - ceil(n * percent / 100) + 1, and here rare ones come first, so
     a passage that many texts hold brings none of them together. A task holds two blocks
-    and returns, for each set, one link to each component it reaches.
+    and returns links that join all components it can join, none between ones it has joined:
+    less than one per component, however large a group of copies is.
     """
     stars = hot.join(hot.groupBy("key").agg(F.min("rep").alias("u")), "key").select("u", F.col("rep").alias("v"))
     cluster = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
@@ -303,13 +304,15 @@ def _block_links(docs: DataFrame, classes: DataFrame, hot: DataFrame, percent: i
         flat = np.concatenate([values[i] for i in theirs])
         by = np.argsort(flat, kind="stable")
         flat, owner = flat[by], owner[by]
-        links: set[tuple[int, int]] = set()
+        links: list[tuple[int, int]] = []
+        _, part = np.unique(component, return_inverse=True)  # parts become one as links are found
         for i in ours.tolist():
             lo = np.searchsorted(flat, values[i], "left")
             hits = np.bincount(owner[ranges(lo, np.searchsorted(flat, values[i], "right") - lo)], minlength=len(theirs))
-            ok = (100 * hits >= percent * (sizes[i] + sizes[theirs] - hits)) & (component[theirs] != component[i])
-            _, first = np.unique(component[theirs[ok]], return_index=True)
-            links.update((int(rep[i]), int(r)) for r in rep[theirs[ok]][first])
+            reached = theirs[(100 * hits >= percent * (sizes[i] + sizes[theirs] - hits)) & (part[theirs] != part[i])]
+            others, first = np.unique(part[reached], return_index=True)
+            links += [(int(rep[i]), int(r)) for r in rep[reached[first]]]
+            part[np.isin(part, others)] = part[i]
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     columns = ("i", "j", "side", "rep", "component", "shingles")

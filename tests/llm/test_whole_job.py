@@ -110,8 +110,9 @@ def test_stage_links_in_blocks(spark, monkeypatch):
                 if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     least[a] = least[b] = min(least[a], least[b])
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for small in (24, 1):
+    for small, few in ((24, 16_384), (1, 16_384), (1, 0)):
         monkeypatch.setattr(setsketch, "SMALL_BUCKET", small)
+        monkeypatch.setattr(setsketch, "FEW_HOT", few)
         assert sorted(r["doc_id"] for r in setsketch.keep_one(docs).collect()) == sorted(set(least))
 
 
