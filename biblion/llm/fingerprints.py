@@ -101,11 +101,11 @@ def with_next(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFram
     top = F.lit(filled.agg(F.max("_range")).first()[0]).cast("long")
     below = filled.select("_range", F.coalesce(F.lag("_range").over(W.orderBy("_range")), top).alias("_below"))  # numbers of ranges only
     lasts = cut.where("_range is not null").groupBy("_range").agg(F.max_by("text", F.struct("doc_id", "text")).alias("_border"))
-    borders = below.join(lasts.withColumnRenamed("_range", "_below"), "_below").select("_range", "_border")
+    borders = below.join(lasts.withColumnRenamed("_range", "_below"), "_below").select(F.col("_range").alias("_window"), "_border")
     # rows without doc_id are dealt out, so that they do not meet in one window
     window = F.coalesce("_range", -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 16)))
     inside = F.lag(F.struct("text")).over(W.partitionBy("_window").orderBy("doc_id", "text"))
-    found = cut.withColumn("_window", window).withColumn("_inside", inside).join(borders, "_range", "left")
+    found = cut.withColumn("_window", window).withColumn("_inside", inside).join(borders, "_window", "left")  # texts lie by window already
     return found.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.col("text")).when(F.col("_inside").isNull(), F.col("_border")).otherwise(F.col("_inside.text")).alias("next_text"))
 
 
