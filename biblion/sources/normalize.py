@@ -205,9 +205,21 @@ def _xpath(tag: str, part: str = "text()") -> Column:
     return F.xpath("payload", F.lit(f"//*[local-name()='{tag}']/{part}"))
 
 
+def _without_cdata(xml: Column) -> Column:
+    """The same document with CDATA sections as escaped text, so that an element's text is one node."""
+
+    def plain(part: Column, i: Column) -> Column:
+        inner = F.substring_index(part, "]]>", 1)
+        told = F.replace(F.replace(F.replace(inner, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        return F.when(i == 0, part).otherwise(F.concat(told, F.substr(part, F.length(inner) + 4)))
+
+    return F.when(F.contains(xml, F.lit("<![CDATA[")), F.array_join(F.transform(F.split(xml, r"<!\[CDATA\["), plain), "")).otherwise(xml)
+
+
 def safe_xml(rows: DataFrame) -> DataFrame:
     """Payloads over the size limit, or with a document type or entities, go before any parser sees them."""
-    return rows.where((F.octet_length("payload") <= MAX_XML_BYTES) & ~F.upper("payload").rlike("<!DOCTYPE|<!ENTITY"))
+    safe = rows.where((F.octet_length("payload") <= MAX_XML_BYTES) & ~F.upper("payload").rlike("<!DOCTYPE|<!ENTITY"))
+    return safe.withColumn("payload", _without_cdata(F.col("payload")))
 
 
 def oai(raw: DataFrame) -> DataFrame:
