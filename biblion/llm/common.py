@@ -42,21 +42,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Spark then drops a query's shuffle files as soon as the query has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, batch_bytes: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back with the same schema.
 
     The shuffle files behind it go at once: the table, not they, is what later steps read.
+    ``batch_bytes`` bounds the Arrow batches that its Python steps get (a row is never split).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    wanted = {_CLEANUP: "true"} | ({_BATCH_BYTES: str(batch_bytes)} if batch_bytes else {})
+    before = {key: spark.conf.get(key, None) for key in wanted}
     try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     if _scopes:

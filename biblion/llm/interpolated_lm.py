@@ -39,6 +39,8 @@ from .common import SPACED, WordBatch, bytes_of, chunks, materialize, mix64, rec
 
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
+#: Arrow batches of blocks with their answers, some MB a row: a task holds about one block at a time.
+BATCH_BYTES = 4 << 20
 #: Context frequencies have a bucket each up to this, then one for each doubling.
 SINGLE_COUNTS = 8
 CONTEXT_BUCKETS = 40
@@ -273,14 +275,14 @@ def score_documents(docs: DataFrame, training: Column, bucket_bytes: int = BUCKE
             size = blocks.agg(F.count("*").alias("blocks"), *sums).first()
             buckets, parts = max(12, -(-size["n_bytes"] // bucket_bytes)), tally.parts_for(size["blocks"])
             ends = size["n_training"]  # each training text has one end token, and one start
-            answers = materialize(tally.totals(_ask_pairs(blocks, buckets, parts), buckets, parts, 2), "lm-pairs")
+            answers = materialize(tally.totals(_ask_pairs(blocks, buckets, parts), buckets, parts, 2), "lm-pairs", BATCH_BYTES)
             v = answers.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()["v"]
             n = ends + size["n_words"]
-            paired = hold(materialize(_paired(blocks.join(by_block(answers), "block_id"), n, ends, buckets), "lm-paired"))
+            paired = hold(materialize(_paired(blocks.join(by_block(answers), "block_id"), n, ends, buckets), "lm-paired", BATCH_BYTES))
         weights = learn_weights(_grid(paired), 1 / (v + 1))
-        answers = materialize(tally.totals(_ask_trigrams(paired, buckets, parts), buckets, parts, 1), "lm-triples")
+        answers = materialize(tally.totals(_ask_trigrams(paired, buckets, parts), buckets, parts, 1), "lm-triples", BATCH_BYTES)
         joined = paired.drop("cells", "mass").join(by_block(answers), "block_id", "left")
-        counted = keep(materialize(_counted(joined, weights, n, v, ends, buckets), "lm-counted"))
+        counted = keep(materialize(_counted(joined, weights, n, v, ends, buckets), "lm-counted", BATCH_BYTES))
     top = learn_weights(_grid(counted), None)[:, 0]
     floor = n + 0.5 * (v + 1)
 
