@@ -199,8 +199,10 @@ _LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 def hash_ranges(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hashes of the byte ranges of ``flat``, which has eight bytes more than any range needs.
 
-    Eight bytes at a time are mixed into the state, so ranges of up to eight bytes never
-    collide with one of their length; long ranges go through BLAKE2b.
+    Eight bytes at a time are mixed into the state by a step that is one-to-one in them (an
+    odd factor, then ``mix64``), so ranges of up to eight bytes never collide with one of
+    their length, and of longer ones two that differ in one such part never do; ranges over
+    ``LONG_WORD`` go through BLAKE2b.
     """
     words = np.ndarray((len(flat) - 7,), "<u8", flat, strides=(1,))
     key = _KEYS[seed]
@@ -210,7 +212,7 @@ def hash_ranges(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: i
     while len(active):
         left = sizes[active] - done
         part = words[starts[active] + done] & _LOW_BYTES[np.minimum(left, 8)]
-        state[active] = mix64((state[active] ^ part) * key + part)
+        state[active] = mix64((state[active] ^ part) * key)
         active, done = active[left > 8], done + 8
     for i in np.flatnonzero(sizes > LONG_WORD).tolist():
         digest = hashlib.blake2b(flat[starts[i] : starts[i] + sizes[i]].tobytes(), digest_size=8, salt=bytes([seed])).digest()

@@ -2,6 +2,7 @@
 
 import hashlib
 import importlib
+import itertools
 import math
 import random
 import re
@@ -255,3 +256,23 @@ def test_word_hashes_follow_the_words():
     assert batch.hashes[:n].tolist() == batch.hashes[n:][::-1].tolist()
     assert len(set(batch.hashes.tolist())) == len({w.encode().lower() for w in words})
     assert batch.word(38) == words[38].encode().lower()
+
+
+def test_word_hashes_tell_all_words_apart(spark):
+    pairs = ["america. american", "persona, personal", "romania. romanian", "thinkin' thinking", "responsibiliwvcn responsibiliwvc."]
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r["text"]]
+    digits = ["".join(p) for p in itertools.product("0189anz.", repeat=5)]
+    words = sorted({w for t in (*pairs, *texts) for w in t.encode().lower().split()} | {f"abc{d}{t}".encode() for d in digits for t in ("", "longer-tail", ".onger-tail")})
+    batch = common.WordBatch([b" ".join(words)], common.SPACED)
+    for hashes in (batch.hashes, batch.other_hashes()):
+        assert len(np.unique(hashes)) == len(words)
+
+
+def test_words_that_used_to_collide(spark):
+    rows = [(1, "in america. we trust in american we trust"), (2, " ".join(f"responsibiliwvcn w{i}" for i in range(3))), (3, " ".join(f"responsibiliwvc. w{i}" for i in range(3)))]
+    found = {r["doc_id"]: r for r in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1]["n_shingles"] == 6 and all(r["kept"] for r in found.values())
+    train, held = (next(i for i in range(1, 99) if (zlib.crc32(str(i).encode()) % 5 == 1) == out) for out in (False, True))
+    docs = spark.createDataFrame([(train, "the america. thinkin' persona, x"), (held, "the american thinking personal y")], "doc_id long, text string")
+    scored = {r["doc_id"]: r for r in interpolated_lm.score_documents(docs, common.crc_mod("doc_id", 5) != 1).collect()}
+    assert scored[held]["n_known"] == 2 and scored[held]["n_tokens"] == 6
