@@ -14,6 +14,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +65,8 @@ def materialize(df: DataFrame, tag: str, batch_bytes: int | None = None) -> Data
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
-    if _scopes:
-        _scopes[-1].append(table)
+    if scopes := _scopes.get():
+        scopes[-1].append(table)
     return table
 
 
@@ -77,7 +78,8 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-_scopes: list[list[DataFrame]] = []
+#: Open blocks of this thread (a thread that starts within one has none of its own).
+_scopes: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("_scopes", default=())
 
 
 @contextmanager
@@ -91,15 +93,16 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.append(table)
         return table
 
-    _scopes.append(made)
+    outer = _scopes.get()
+    _scopes.set((*outer, made))
     try:
         yield keep
     finally:
-        _scopes.remove(made)
+        _scopes.set(outer)
         stay = {t.written_to for t in kept}
         discard(*(t for t in made if t.written_to not in stay))
-        if _scopes:
-            _scopes[-1].extend(kept)
+        if outer:
+            outer[-1].extend(kept)
 
 
 #: Bits of the filter that ``likely_rows`` broadcasts, and how many one row of it holds.

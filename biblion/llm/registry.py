@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_langid, decontaminate, fingerprints, interpolated_lm, packing, setsketch, sharding, suffix_dedup, toxicity, viterbi_counts
+from . import crf_langid, decontaminate, fill_middle, fingerprints, interpolated_lm, packing, reply_trees, setsketch, sharding, spelling_variants, suffix_dedup, toxicity, viterbi_counts
 from .common import crc_mod
 
 
@@ -61,10 +61,31 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents")))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reply_trees.chains(reply_trees.with_planted(_table(spark, sf_dir, "conversations")))
+    return reply_trees.digest(reply_trees.format_trees(rows, tree="conv_id", score=None))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_token_counts, op3_sharding, op4_near_dedup, op5_toxicity, op6_packing, op7_fingerprints, op8_decontamination, op9_lm_scoring, op10_suffix_dedup)
+    found = (op1_language_id, op2_token_counts, op3_sharding, op4_near_dedup, op5_toxicity, op6_packing, op7_fingerprints, op8_decontamination, op9_lm_scoring, op10_suffix_dedup, op11_fill_middle, op12_chat_format, op13_spelling_variants)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding.oracle_sql(), "op4_near_dedup": setsketch.ORACLE_SQL, "op8_decontamination": decontaminate.ORACLE_SQL, "op10_suffix_dedup": suffix_dedup.ORACLE_SQL}
+    return {
+        "op3_sharding": sharding.oracle_sql(),
+        "op4_near_dedup": setsketch.ORACLE_SQL,
+        "op8_decontamination": decontaminate.ORACLE_SQL,
+        "op10_suffix_dedup": suffix_dedup.ORACLE_SQL,
+        "op11_fill_middle": fill_middle.ORACLE_SQL,
+        "op12_chat_format": reply_trees.ORACLE_SQL,
+        "op13_spelling_variants": spelling_variants.ORACLE_SQL,
+    }
