@@ -1,7 +1,7 @@
 """Fill-in-middle transformation by relational units.
 
 A text's units are its lines, newline included (``[^\\n]*\\n|[^\\n]+``). ``posexplode`` makes a
-row of each (ordinal and length, no text), a window sums the lengths up in order, and two cut
+row of each match (ordinal and length, no text), a window sums the lengths up in order, and two cut
 requests of a document, drawn from a hash of its doc_id, are joined with the sums by
 (document, unit ordinal). The offsets found are aggregated per document and meet the text
 once; prefix, middle and suffix are substrings of it, over code points. All steps are
@@ -30,30 +30,29 @@ PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 SEED, RATE, SPM = 7, 100, 50
 
 
-def _draw(k: int, seed: int) -> Column:
+def _draw(k: int, seed: int, doc_id: str = "doc_id") -> Column:
     """The k-th group (from 1) of eight hex digits of the document's hash, as a number."""
-    named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     return F.conv(F.substring(F.sha2(named, 256), 8 * k - 7, 8), 16, 10).cast("long")
 
 
-def _sized_units(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, ordinal, size) of every unit; rows repeated whole give their units once."""
-    units = rows.select("row", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(UNIT), F.lit(0))).alias("ordinal", "unit"))
-    return units.groupBy("row", "doc_id", "ordinal").agg(F.first(F.char_length("unit")).alias("size"))
-
-
 def _offsets(rows: DataFrame, seed: int) -> DataFrame:
-    """(row, n, prefix_chars, middle_chars) of every text with a unit."""
-    units = _sized_units(rows)
+    """(row, n, prefix_chars, middle_chars) of every text with a unit.
+
+    One exchange, by row, of unit lengths (one struct, so that both uses read the same); rows repeated whole meet before it. Sums and requests
+    both lie by row then, and stay: the ordinals are compared within the join by row.
+    """
+    sizes = F.transform(F.regexp_extract_all("text", F.lit(UNIT), F.lit(0)), F.char_length)
+    units = rows.where(F.col("text") != "").select("row", F.struct("doc_id", sizes.alias("sizes")).alias("of_row")).groupBy("row").agg(F.first("of_row").alias("of_row"))
     so_far = Window.partitionBy("row").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = units.select("row", (F.col("ordinal") + 1).alias("upto"), F.sum("size").over(so_far).alias("end"))
-    counts = units.groupBy("row", "doc_id").agg((F.max("ordinal") + 1).cast("long").alias("n"))
-    cuts = counts.select("row", "n", *[F.pmod(_draw(k, seed), F.col("n") + 1).cast("int").alias(f"cut{k}") for k in (1, 2)])
-    # a cut before the first unit needs no sum: it keeps its request, with no offset to find
-    requests = cuts.select("row", "n", F.posexplode(F.array(F.least("cut1", "cut2"), F.greatest("cut1", "cut2"))).alias("cut", "upto"))
-    found = requests.join(ends, ["row", "upto"], "left").groupBy("row").agg(
-        F.first("n").alias("n"), *[F.coalesce(F.max(F.when(F.col("cut") == k, F.col("end"))), F.lit(0)).alias(f"at{k}") for k in (0, 1)]
-    )
+    # nothing stands before the first unit: a cut there finds the sum 0
+    exploded = units.select("row", F.posexplode(F.concat(F.array(F.lit(0)), "of_row.sizes")).alias("ordinal", "size"))
+    ends = exploded.select("row", "ordinal", F.sum("size").over(so_far).alias("end"))
+    n = F.size("of_row.sizes").cast("long")
+    cuts = [F.pmod(_draw(k, seed, "of_row.doc_id"), n + 1) for k in (1, 2)]
+    requests = units.select(F.col("row").alias("of"), n.alias("n"), F.posexplode(F.array(F.least(*cuts), F.greatest(*cuts))).alias("cut", "upto"))
+    met = requests.join(ends, (F.col("of") == F.col("row")) & (F.col("upto") - F.col("ordinal") == 0))
+    found = met.groupBy("row").agg(F.first("n").alias("n"), *[F.max(F.when(F.col("cut") == k, F.col("end"))).alias(f"at{k}") for k in (0, 1)])
     return found.select("row", "n", F.col("at0").alias("prefix_chars"), (F.col("at1") - F.col("at0")).alias("middle_chars"))
 
 
