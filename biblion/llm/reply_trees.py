@@ -26,6 +26,8 @@ nothing else of a tree does but rows of ids and numbers.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,21 +49,29 @@ def unescaped(text: Column) -> Column:
     return out
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def _ways(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """(one table a round: tree, id, up, the ancestor 2**k steps up), (tree, id, total, steps) of messages with a root.
 
-    ``links`` has tree, id, up (parent or null) and score. The rounds end when none has an
-    ancestor left, or when a round has let no message reach its root: then only circles are left.
+    ``links`` has tree, id, up (parent or null) and score. A round joins only messages whose way
+    goes on. The rounds end when there is none, or when a round has let none of them reach its
+    root: then only circles are left.
     """
-    state = materialize(links.select("tree", "id", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")), "links-0")
-    rounds, left = [], None
-    while (now := state.where("up is not null").count()) and now != left:
-        rounds.append(state.where("up is not null").select("tree", "id", "up"))
+    made = materialize(links.select("tree", "id", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")), "links-0")
+    rounds, rooted, left = [], [made.where("up is null")], None
+    going = made.where("up is not null")
+    while (now := going.count()) and now != left:
         left = now
-        above = state.select("tree", F.col("id").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("steps").alias("further"))
-        joined = state.join(above, ["tree", "up"], "left")
-        state = materialize(joined.select("tree", "id", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps")), f"links-{len(rounds)}")
-    return rounds, state.where("up is null").select("tree", "id", "total", "steps")
+        rounds.append(going.select("tree", "id", "up"))
+        above = _all([*rooted, going]).select("tree", F.col("id").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("steps").alias("further"))
+        joined = going.join(above, ["tree", "up"])
+        made = materialize(joined.select("tree", "id", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("steps") + F.col("further")).alias("steps")), f"links-{len(rounds)}")
+        rooted.append(made.where("up is null"))
+        going = made.where("up is not null")
+    return rounds, _all(rooted).select("tree", "id", "total", "steps")
 
 
 def best_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
@@ -80,11 +90,13 @@ def best_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     chosen = leaves.select("tree", F.col("id").alias("leaf"), F.row_number().over(order).alias("rank"), score.alias("score"), F.col("steps").alias("n_turns"))
     if branches is not None:
         chosen = chosen.where(F.col("rank") <= branches)
-    path = chosen.select("tree", "leaf", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("above"))
+    chosen = materialize(chosen, "chosen")
+    parts = [chosen.select("tree", "leaf", "rank", "score", "n_turns", (F.col("n_turns") - 1).alias("position"), F.col("leaf").alias("id"))]
     for k in reversed(range(len(rounds))):
-        further = F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("id"), (F.col("above") + (1 << k)).alias("above")))
-        path = path.join(rounds[k], ["tree", "id"], "left").select("tree", "leaf", F.inline(F.array_compact(F.array(F.struct("id", "above"), further))))
-    return path.join(chosen, ["tree", "leaf"]).select("tree", "leaf", "rank", "score", "n_turns", (F.col("n_turns") - 1 - F.col("above")).alias("position"), "id")
+        step = F.lit(1 << k)
+        further = _all(parts).where(F.col("position") >= step).join(rounds[k], ["tree", "id"])
+        parts.append(materialize(further.select("tree", "leaf", "rank", "score", "n_turns", (F.col("position") - step).alias("position"), F.col("up").alias("id")), f"paths-{k}"))
+    return _all(parts)
 
 
 def format_trees(messages: DataFrame, branches: int | None = 1, tree: str = "tree_id", id: str = "message_id", parent: str = "parent_id", role: str = "role", text: str = "text", score: str | None = "score") -> DataFrame:
