@@ -24,10 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in the shared folder, made once."""
+def written(df: DataFrame, tag: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` as a table in the shared folder, made once, with a folder for each value of ``by``."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table

@@ -1,9 +1,10 @@
-"""A selection's publications: scan, normalise, merge, newest first, limit. One lazy plan."""
+"""A selection's publications: all sources asked in one job, then normalise, merge, newest first, limit as one lazy plan."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from ..functions import dates, text
-from ..operators import analytics, merge
+from ..operators import analytics, merge, shared
 from ..schemas import SOURCE_FIELDS
 from ..sources import harvest, normalize
-from ..sources.config import Selection, entity_types, works_filters
+from ..sources.config import Selection, Source, entity_types, works_filters
 
+WORKS_LABEL = "OpenAlex"
 WORKS_URL = "https://api.openalex.org/works"
 INSTITUTIONS_URL = "https://api.openalex.org/institutions"
 #: Arrival ordinals of a source lie in a range of its own, in the order of the union.
@@ -54,44 +56,108 @@ def newest_per_source(rows: DataFrame, limit: int | None) -> DataFrame:
     return rows.withColumn("_end", dates.upper_bound(F.col("publication_date"))).orderBy(F.desc_nulls_last("_end"), "_ord").limit(limit).drop("_end")
 
 
-def source_records(spark: SparkSession, chosen: Selection) -> DataFrame:
-    """Source records of the works API, then of each repository, with ordinals in that order."""
+@dataclass(frozen=True)
+class Harvest:
+    """What a selection's sources gave.
+
+    ``records`` are source records in arrival order (``_ord``), none of a failed source; ``asked`` and
+    ``failures`` name sources in the order they were asked; ``raw`` is the table of answers behind
+    them (``shared.discard`` deletes it).
+    """
+
+    records: DataFrame
+    asked: tuple[str, ...]
+    failures: tuple[str, ...]
+    raw: DataFrame | None = None
+
+
+def _scans(spark: SparkSession, chosen: Selection) -> list[tuple[Source | None, DataFrame]]:
+    """(source, None for the works API; its raw answers), in the order of asking."""
     harvest.register(spark)
     common = dict(chosen.options) | ({"useragent": chosen.user_agent} if chosen.user_agent else {})
-    parts: list[DataFrame] = []
 
     def load(kind: str, **options: object) -> DataFrame:
         return spark.read.format(kind).options(**common, **{k: str(v) for k, v in options.items() if v not in (None, "")}).load()
 
+    found: list[tuple[Source | None, DataFrame]] = []
     if chosen.works_api and (filters := works_filters(chosen)):
-        parts.append(normalize.works(load("works_api", url=WORKS_URL, id="openalex", label="OpenAlex", filters=";;".join(filters), rowlimit=chosen.limit)))
+        found.append((None, load("works_api", url=WORKS_URL, id="openalex", label=WORKS_LABEL, filters=";;".join(filters), rowlimit=chosen.limit)))
     for s in chosen.sources:
         if s.kind == "dspace":
-            entities = entity_types(s, chosen.types)
-            if entities:
-                raw = load("repository_search", url=f"{s.base_url}/discover/search/objects", home=s.base_url, id=s.id, label=s.label, configuration=s.configuration, scope=s.scope, entities=",".join(entities), dates=f"[{chosen.from_date or '*'} TO {chosen.to_date or '*'}],equals", isolate="true")
-                rows = of_types(normalize.items(raw), chosen.types)
-                if chosen.limit is not None:  # the limit is per entity type, each a chain with ordinals of its own
-                    chain = W.partitionBy(F.floor(F.col("_ord") / 1_000_000_000)).orderBy("_ord")
-                    rows = rows.withColumn("_n", F.row_number().over(chain)).where(F.col("_n") <= chosen.limit).drop("_n")
-                parts.append(rows)
+            raw = load("repository_search", url=f"{s.base_url}/discover/search/objects", home=s.home, id=s.id, label=s.label, configuration=s.configuration, scope=s.scope, entities=",".join(s.types), types=",".join(chosen.types),
+                       rowlimit=chosen.limit, issuedfrom=chosen.from_date, issuedto=chosen.to_date, isolate="true")
+            found.append((s, raw.where(F.col("entity").isin(entity_types(s, chosen.types)))))
         elif not chosen.types or set(chosen.types) & set(s.types):
-            raw = load("oai_pmh", url=s.base_url, id=s.id, label=s.label, prefix=s.prefix, set=s.set_spec, isolate="true")
-            rows = of_types(normalize.oai(raw), chosen.types)
-            if chosen.from_date or chosen.to_date:
-                begin, end = (F.lit(d).cast("date") for d in (chosen.from_date or "0001-01-01", chosen.to_date or "9999-12-31"))
-                rows = rows.where(dates.overlaps(F.col("publication_date"), begin, end))
-            parts.append(newest_per_source(rows, chosen.limit))
-    numbered = [p.withColumn("_ord", F.col("_ord") + i * SOURCE_SPAN) for i, p in enumerate(parts)]
-    return reduce(DataFrame.unionByName, numbered) if numbered else spark.createDataFrame([], RECORD)
+            found.append((s, load("oai_pmh", url=s.base_url, id=s.id, label=s.label, prefix=s.prefix, set=s.set_spec, isolate="true")))
+    return found
+
+
+def _records(source: Source | None, raw: DataFrame, chosen: Selection) -> DataFrame:
+    """Source records of one source's answers, with the filters and limits that are checked here."""
+    if source is None:
+        return normalize.works(raw)
+    if source.kind == "dspace":
+        rows = of_types(normalize.items(raw), chosen.types)
+        if chosen.limit is None:
+            return rows
+        # the reader has stopped at the limit of each entity type; this holds where an answer has repeated an item
+        chain = W.partitionBy(F.floor(F.col("_ord") / harvest.CHAIN_SPAN)).orderBy("_ord")
+        return rows.withColumn("_n", F.row_number().over(chain)).where(F.col("_n") <= chosen.limit).drop("_n")
+    rows = of_types(normalize.oai(raw), chosen.types)
+    if chosen.from_date or chosen.to_date:
+        begin, end = (F.lit(d).cast("date") for d in (chosen.from_date or "0001-01-01", chosen.to_date or "9999-12-31"))
+        rows = rows.where(dates.overlaps(F.col("publication_date"), begin, end))
+    return newest_per_source(rows, chosen.limit)
+
+
+def harvested(spark: SparkSession, chosen: Selection) -> Harvest:
+    """Ask all sources of a selection at once, in one job, and keep their answers as a table.
+
+    The table has a folder per source, so normalising reads each source's own; it is also what
+    makes a retry of later steps ask nobody again. A source that tells of a failure is left out whole.
+    """
+    scans = _scans(spark, chosen)
+    asked = [(s.label if s else WORKS_LABEL) for s, _ in scans]
+    names = asked[:1] * bool(scans and scans[0][0] is None) + [s.label for s in chosen.sources]  # also those that have none of the types
+    if not scans:
+        return Harvest(spark.createDataFrame([], RECORD), tuple(names), ())
+    columns = ["source", "label", "payload", "home", "_ord", "failure"]
+    raw = reduce(DataFrame.unionByName, [df.select(F.lit(i).alias("place"), *columns) for i, (_, df) in enumerate(scans)])
+    table = shared.written(raw, "answers", by=("place",))
+    told = {r["place"]: r["failure"] for r in table.where("failure is not null").groupBy("place").agg(F.min("failure").alias("failure")).collect()}  # a row for a source at most
+    kept = [_records(s, table.where(F.col("place") == i), chosen).withColumn("_ord", F.col("_ord") + i * SOURCE_SPAN) for i, (s, _) in enumerate(scans) if i not in told]
+    failures = tuple(f"{asked[i]} ({told[i]})" for i in sorted(told))
+    return Harvest(reduce(DataFrame.unionByName, kept) if kept else spark.createDataFrame([], RECORD), tuple(names), failures, table)
 
 
-def publications(spark: SparkSession, chosen: Selection) -> DataFrame:
-    """Canonical publications of a selection, newest first where it has a limit."""
+def source_records(spark: SparkSession, chosen: Selection) -> DataFrame:
+    """Source records of the works API, then of each repository, with ordinals in that order."""
+    return harvested(spark, chosen).records
+
+
+def run(spark: SparkSession, chosen: Selection) -> tuple[DataFrame, DataFrame]:
+    """(canonical publications of a selection, newest first where it has a limit; one row of statistics)."""
     if wrong := chosen.errors():
         raise ValueError("; ".join(wrong))
-    rows = merge.merge_publications(source_records(spark, chosen))
-    return analytics.newest(rows, "publication_date", "publication_key", chosen.limit) if chosen.limit is not None else rows
+    found = harvested(spark, chosen)
+    merged = merge.merge_publications(found.records)
+    rows = analytics.newest(merged, "publication_date", "publication_key", chosen.limit) if chosen.limit is not None else merged
+    return rows, run_statistics(found, merged, chosen.limit)
+
+
+def run_statistics(found: Harvest, merged: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row: sources_queried, source_failures, total_source_records, duplicates_removed (records without a key count as such), total_expected."""
+    records, publications = found.records.agg(F.count("*").alias("r")), merged.agg(F.count("*").alias("p"))
+    named = {"sources_queried": found.asked, "source_failures": found.failures}
+    expected = F.col("p") if limit is None else F.least("p", F.lit(limit).cast("long"))
+    return records.crossJoin(publications).select(  # one row each
+        *[F.array(*[F.lit(x) for x in values]).cast("array<string>").alias(n) for n, values in named.items()],
+        F.col("r").alias("total_source_records"), (F.col("r") - F.col("p")).alias("duplicates_removed"), expected.alias("total_expected"))
+
+
+def publications(spark: SparkSession, chosen: Selection) -> DataFrame:
+    """Canonical publications of a selection, newest first where it has a limit."""
+    return run(spark, chosen)[0]
 
 
 def resolved_labels(institutions: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ tables, and the SQL that must give the same rows."""
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from datetime import date
 from urllib.parse import parse_qs, urlparse
@@ -12,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import access, dates, text
-from ..operators import analytics, cache, classify, enrich, merge
+from ..operators import analytics, cache, classify, enrich, merge, shared
 from ..operators.shared import shared_dir
-from ..sources import config, export, normalize
+from ..sources import config, export, harvest, normalize
 from . import fetch, network
 from .queries import origins
 from .registry import query
@@ -271,6 +272,34 @@ def normalized_works(table):
     return made.select("publication_key", "source_record_key", "title", F.col("is_oa").cast("string").alias("is_oa"), "oa_status", "authors", "institutions", "institution_countries", "abstract")
 
 
+@query("""
+SELECT 'dspace:rep:u' || p_partkey AS source_record_key, 'https://rep.org/handle/20.5/' || p_partkey AS record_url, p_name AS title, CASE WHEN p_size % 3 = 0 THEN 'book-chapter' ELSE 'book' END AS type,
+  CAST(2000 + p_size AS VARCHAR) AS publication_date, 1000000000 + CAST((p_partkey - 2) // 2 AS BIGINT) AS arrival FROM part WHERE p_partkey % 2 = 0""")
+def repository_pages(table):
+    """A search of two entity types, recorded page by page; the filter leaves one to ask for, whose pages are dealt to tasks."""
+    search = "https://rep.org/server/api/discover/search/objects"
+    source = config.Source("dspace", "rep", "Rep", "https://rep.org/server/api", ("Article", "Book"))
+    number = F.col("p_partkey").cast("string")
+    item = F.struct(
+        F.concat(F.lit("u"), number).alias("uuid"), F.col("p_name").alias("name"), F.concat(F.lit("20.5/"), number).alias("handle"), F.col("entity").alias("entityType"),
+        F.struct(F.array(F.struct(F.when(F.col("p_size") % 3 == 0, "Book chapter").otherwise("Monograph").alias("value"))).alias("dc.type"), F.array(F.struct((F.col("p_size") + 2000).cast("string").alias("value"))).alias("dc.date.issued")).alias("metadata"),
+    )
+    part = table("part").withColumn("entity", _every("p_partkey", 2, "Book", "Article")).withColumn("page", F.floor((F.col("p_partkey") - 1) / 200))
+    objects = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.struct(item.alias("indexableObject")).alias("_embedded")))), lambda x: F.struct(x["_embedded"].alias("_embedded")))
+    pages = part.groupBy("entity", "page").agg(objects.alias("objects"))
+    last = part.agg(F.max("page").alias("last"))
+    body = F.struct(F.struct(F.struct(F.struct((F.col("last") + 1).alias("totalPages")).alias("page"), F.struct("objects").alias("_embedded")).alias("searchResult")).alias("_embedded"))
+    asked = {"configuration": "default", "dsoType": "item", "f.entityType": "<e>,equals", "page": "<p>", "size": 100, "sort": "dc.date.issued,DESC"}
+    before, between, after = re.split("%3C[ep]%3E", harvest.with_query(search, **asked))
+    url = F.concat(F.lit(before), F.col("entity"), F.lit(between), F.col("page").cast("string"), F.lit(after))
+    recorded = shared.written(pages.crossJoin(F.broadcast(last)).select(url.alias("url"), F.to_json(body).alias("body")), "pages")  # one row
+    harvest.register(recorded.sparkSession)
+    options = {"url": search, "id": "rep", "label": "Rep", "home": source.home, "configuration": "default", "entities": ",".join(source.types), "pagesperpartition": "3", "transport": "table", "folder": recorded.written_to}
+    raw = shared.written(recorded.sparkSession.read.format("repository_search").options(**options).load().where("entity = 'Book'"), "answers")
+    shared.discard(recorded)
+    return normalize.items(raw).select("source_record_key", "record_url", "title", "type", "publication_date", F.col("_ord").alias("arrival"))
+
+
 @query("""
 SELECT 'doi:10.5555/q' || p_partkey AS publication_key, 'dspace:rep:u' || p_partkey AS source_record_key, p_name AS title, 'article' AS type, CASE WHEN p_partkey % 2 = 0 THEN 'closed' ELSE 'open' END AS oa_status, 'A; B & C' AS authors,
   '2020-05' AS publication_date, CASE WHEN p_partkey % 3 = 0 THEN 'po polsku' ELSE 'on ' || p_type END AS abstract, 'Uni ' || p_brand AS institutions,
@@ -323,20 +352,6 @@ def changed_rows(table):
     return table("customer").select("c_custkey", cache.cache_changed(keys, F.lit("a; b"), _every("c_custkey", 3, "longer", "text"), F.lit("text")).alias("changed"))
 
 
-@query("""
-SELECT n_nationkey, 'institutions.id:I' || n_nationkey || '|I9999,is_paratext:false,from_publication_date:2024-01-01,type:article|book' AS filter, 0 AS n FROM nation
-UNION ALL SELECT n_nationkey, 'institutions.ror:https://ror.org/0' || lpad(CAST(n_nationkey AS VARCHAR), 8, '0') || ',is_paratext:false,from_publication_date:2024-01-01,type:article|book', 1 FROM nation""")
-def works_api_filters(table):
-    """Identifiers in their groups, types that the service has, each once: one filter per group."""
-    nations = table("nation")
-    rows = []
-    for r in nations.select("n_nationkey").collect():  # a table of constants
-        i = r["n_nationkey"]
-        chosen = config.Selection((f"https://openalex.org/I{i}", f"I{i}", f"https://ror.org/0{i:08d}", "I9999", "x"), ("article", "preprint", "book", "article"), "2024-01-01")
-        rows += [(i, f, n) for n, f in enumerate(config.works_filters(chosen))]
-    return nations.sparkSession.createDataFrame(rows, "n_nationkey int, filter string, n int")
-
-
 @query("""
 SELECT 'k' || p_partkey AS publication_key, 'say "' || p_name || '", twice' || chr(10) || 'next' AS title, ' ' || p_type || ' ' AS type, '' AS sdg_note FROM part""")
 def exported_rows(table):

@@ -38,6 +38,11 @@ class Source:
     openalex_institution_id: str | None = None
     ror_id: str | None = None
 
+    @property
+    def home(self) -> str:
+        """The address that people visit: a repository's API lies below it."""
+        return re.sub(r"/server/api/*$", "", self.base_url.rstrip("/"))
+
 
 def slug(value: object) -> str:
     return re.sub(r"[^a-z0-9]+", "-", str(value).lower()).strip("-")

@@ -1,13 +1,24 @@
 """Python Data Sources that page through HTTP APIs, or through recorded pages.
 
-``transport`` names how a URL becomes text: ``http`` or ``files`` (a folder with one file per
-URL, named by the URL's SHA-256), which tests and re-runs use. Each partition is one chain of
-pages, as tokens are sequential; pages that can be addressed get partitions of their own.
+``transport`` names how a URL becomes text: ``http``, ``files`` (a folder with one file per URL,
+named by the URL's SHA-256) or ``table`` (a Parquet folder of url, body), which tests and re-runs use.
+
+* Where pages follow tokens (works by cursor, OAI-PMH), a partition is one chain. Pages that
+  have addresses (repository search) are planned: the first page of each entity type tells how
+  many there are, and ranges of them become partitions, the last one open at its end. Ordinals
+  are those of one chain, whatever the ranges.
+* Filters on ``entity`` or ``type`` and on ``issued`` narrow the request (``pushFilters``) and are
+  handed back for Spark to check, so a service that filters loosely changes no result. An OAI-PMH
+  harvest takes none: its dates are those of metadata changes.
+* With ``isolate``, a source whose answers stay unavailable (a status worth a retry, retries used up)
+  gives a row that names the ``failure`` and no more rows of that partition;
+  ``plans.fetch`` leaves such a source out whole. Other statuses, and connections that fail, raise.
 """
 
 from __future__ import annotations
 
 import hashlib
+import html
 import json
 import random
 import re
@@ -21,9 +32,10 @@ from email.utils import parsedate_to_datetime
 from http.client import HTTPException
 from pathlib import Path
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+import pyarrow.parquet as pq
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from ..schemas import WORK_FIELDS
+from ..schemas import DSPACE_TYPES, ENTITY_KINDS, WORK_FIELDS
 
 # Statuses worth another try, and the limits of waiting.
 RETRYABLE = (429, 500, 502, 503, 504)
@@ -33,7 +45,11 @@ MAX_BYTES = 25 << 20
 # End of the fixed values.
 #: Failures of the connection rather than answers.
 UNREACHABLE = (urllib.error.URLError, TimeoutError, ConnectionError, HTTPException)
-SCHEMA = "source string, label string, payload string, home string, _ord long"
+SCHEMA = "source string, label string, payload string, home string, _ord long, failure string"
+#: Arrival ordinals of a chain lie in a range of its own.
+CHAIN_SPAN = 1_000_000_000
+#: Pages of one partition of a repository search (option ``pagesperpartition``).
+PAGES_PER_PARTITION = 20
 
 
 def backoff(attempt: int, retry_after: str | None = None, draw: Callable[[float, float], float] = random.uniform) -> float:
@@ -77,13 +93,32 @@ def json_object(text: str) -> dict:
     return found
 
 
+def replayed(url: str, body: str) -> str:
+    """A recorded answer; ``HTTP <status>`` by itself stands for an answer of that status."""
+    if m := re.fullmatch(r"HTTP (\d{3})", body):
+        raise urllib.error.HTTPError(url, int(m[1]), "recorded", None, None)
+    return body
+
+
 def recorded(folder: str) -> Callable[[str], str]:
-    return lambda url: (Path(folder) / hashlib.sha256(url.encode()).hexdigest()).read_text(encoding="utf-8")
+    return lambda url: replayed(url, (Path(folder) / hashlib.sha256(url.encode()).hexdigest()).read_text(encoding="utf-8"))
+
+
+def recorded_table(folder: str) -> Callable[[str], str]:
+    def get(url: str) -> str:
+        found = pq.read_table(folder.removeprefix("file:"), columns=["body"], filters=[("url", "=", url)])
+        if not found.num_rows:
+            raise FileNotFoundError(url)
+        return replayed(url, found.column("body")[0].as_py())
+
+    return get
 
 
 def transport(options: dict[str, str]) -> Callable[[str], str]:
     if options.get("transport") == "files":
         return recorded(options["folder"])
+    if options.get("transport") == "table":
+        return recorded_table(options["folder"])
     agent = {"User-Agent": options["useragent"]} if options.get("useragent") else {}
     return lambda url: http(url, agent, attempts=SOURCE_ATTEMPTS)
 
@@ -98,6 +133,8 @@ class Chain(InputPartition):
 
 
 class _Reader(DataSourceReader):
+    """Rows of ``SCHEMA``, then ``extra`` values that a reader tells of each payload."""
+
     def __init__(self, options: dict[str, str]):
         self.options = dict(options)
 
@@ -105,57 +142,172 @@ class _Reader(DataSourceReader):
         return [{}]
 
     def pages(self, get: Callable[[str], str], chain: dict[str, str]) -> Iterator[str]:
+        """Payloads of a chain, in order."""
         raise NotImplementedError
 
+    def numbered(self, get: Callable[[str], str], chain: dict[str, str]) -> Iterator[tuple[int, str]]:
+        """(place in the chain, payload)."""
+        return enumerate(self.pages(get, chain))
+
+    def extra(self, payload: str | None, chain: dict[str, str]) -> tuple:
+        return ()
+
     def partitions(self) -> list[Chain]:
         return [Chain(i, **c) for i, c in enumerate(self.chains())]
 
+    def unavailable(self, error: Exception) -> bool:
+        """The error is an answer that tells of a source that is down for now, and the reader may go on without it."""
+        return self.options.get("isolate") == "true" and isinstance(error, urllib.error.HTTPError) and error.code in RETRYABLE
+
     def read(self, partition: Chain) -> Iterator[tuple]:
         source, label = self.options.get("id", ""), self.options.get("label", self.options.get("id", ""))
-        limit = int(self.options.get("rowlimit", 0))
+        home, base = self.options.get("home", ""), partition.number * CHAIN_SPAN
         try:
-            for i, payload in enumerate(self.pages(transport(self.options), partition.values)):
-                if limit and i >= limit:
-                    break
-                yield source, label, payload, self.options.get("home", ""), partition.number * 1_000_000_000 + i
-        except UNREACHABLE as e:
-            if self.options.get("isolate") != "true" or (isinstance(e, urllib.error.HTTPError) and e.code not in RETRYABLE):
-                raise  # with "isolate", a source that stays unavailable ends here and keeps what it gave
+            for i, payload in self.numbered(transport(self.options), partition.values):
+                yield source, label, payload, home, base + i, None, *self.extra(payload, partition.values)
+        except urllib.error.HTTPError as e:
+            if not self.unavailable(e):
+                raise
+            yield source, label, None, home, base + CHAIN_SPAN - 1, f"HTTP {e.code}", *self.extra(None, partition.values)
+
 
+def _full_date(value: object) -> str | None:
+    """A literal that the services take as a date."""
+    return value if isinstance(value, str) and re.fullmatch(r"\d{4}-\d{2}-\d{2}", value) else None
 
-class _Works(_Reader):
+
+class _Filtered(_Reader):
+    """A reader whose request takes sets of one column's values (``of``) and a range of ``issued``."""
+
+    of = ""
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        self.wanted: frozenset[str] | None = None
+        self.begin, self.end = self.options.get("issuedfrom"), self.options.get("issuedto")
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if f.attribute == (self.of,) and isinstance(f, (EqualTo, In)):
+                values = frozenset(v for v in (f.value if isinstance(f, In) else (f.value,)) if v is not None)
+                self.wanted = values if self.wanted is None else self.wanted & values
+            elif f.attribute == ("issued",) and (day := _full_date(getattr(f, "value", None))):
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.begin = max(self.begin or day, day)
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    self.end = min(self.end or day, day)
+            yield f  # the request is wider than the filter at times: Spark checks it, too
+
+
+class _Works(_Filtered):
     """Works by cursor; one chain per group of identifiers (option ``filters``, separated by ;;)."""
 
+    of = "type"
+
+    def request(self, given: str) -> str:
+        """A chain's filter, with what was pushed and the filter does not name itself."""
+        named = {part.split(":")[0] for part in given.split(",")}
+        told = {"from_publication_date": self.begin, "to_publication_date": self.end, "type": None if self.wanted is None else "|".join(sorted(self.wanted))}
+        return ",".join([given, *(f"{k}:{v}" for k, v in told.items() if v and k not in named)])
+
     def chains(self) -> list[dict[str, str]]:
-        return [{"filter": f} for f in self.options.get("filters", "").split(";;") if f]
+        if self.wanted is not None and not self.wanted:
+            return []
+        return [{"filter": self.request(f)} for f in self.options.get("filters", "").split(";;") if f]
+
+    def extra(self, payload, chain):
+        found = json.loads(payload) if payload else {}
+        return found.get("type"), found.get("publication_date")
 
     def pages(self, get, chain):
-        cursor = "*"
+        cursor, kept, limit = "*", 0, int(self.options.get("rowlimit", 0))
         while cursor:
             page = json_object(get(with_query(self.options["url"], filter=chain["filter"], select=self.options.get("fields", ",".join(WORK_FIELDS)), cursor=cursor, **{"per-page": PAGE_SIZE})))
             for work in page.get("results", []):
                 yield json.dumps(work, ensure_ascii=False)
+                kept += bool(str(work.get("id") or "").strip())
+                if limit and kept >= limit:
+                    return
             cursor = (page.get("meta") or {}).get("next_cursor") if page.get("results") else None
-            if cursor and self.options.get("transport") != "files":
+            if cursor and self.options.get("transport", "http") == "http":
                 time.sleep(PAUSE_S)
 
 
-class _Items(_Reader):
-    """Repository search pages; one chain per entity type, each type asked for once."""
+def metadata_texts(item: dict, key: str) -> list[str]:
+    """Non-empty values of a metadata key of a search object, whatever their shape."""
+    found = ((item.get("metadata") or {}) if isinstance(item.get("metadata"), dict) else {}).get(key)
+    entries = found if isinstance(found, list) else [found] if found else []
+    told = (e.get("value") if isinstance(e, dict) else e for e in entries)
+    return [t for t in (re.sub(r"<[^>]+>", " ", html.unescape("" if v is None else str(v))).strip() for v in told) if t]
 
-    def chains(self) -> list[dict[str, str]]:
-        return [{"entity": e} for e in dict.fromkeys(self.options.get("entities", "").split(",")) if e]
 
-    def pages(self, get, chain):
-        number, total = 0, 1
-        size = min(100, max(1, int(self.options.get("pagesize", 100))))
-        while number < total:
-            q = {"configuration": self.options.get("configuration"), "scope": self.options.get("scope"), "f.entityType": f"{chain['entity']},equals", "f.dateIssued": self.options.get("dates"), "page": number, "size": size, "sort": "dc.date.issued,DESC"}
-            found = (json_object(get(with_query(self.options["url"], **q))).get("_embedded") or {}).get("searchResult") or {}
-            objects = (found.get("_embedded") or {}).get("objects") or []
-            total, number = int((found.get("page") or {}).get("totalPages") or 0) if objects else 0, number + 1
-            for item in objects:
-                yield json.dumps(item, ensure_ascii=False)
+def item_type(item: dict) -> str:
+    """The publication type that normalisation gives a search object."""
+    compact = re.sub("[^a-z0-9]", "", (metadata_texts(item, "dc.type") or [""])[0].lower())
+    entity = str(item.get("entityType") or "").strip().lower()
+    return DSPACE_TYPES.get(compact) or ENTITY_KINDS.get(entity) or re.sub("[^a-z0-9]+", "-", entity).strip("-") or "other"
+
+
+class _Items(_Filtered):
+    """Repository search by page. Without a limit the pages of an entity type are dealt to partitions; with one
+    (``rowlimit``, per entity type, of items of ``types``) each type is one chain that ends once it is met."""
+
+    of = "entity"
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        self.size = min(100, max(1, int(self.options.get("pagesize", 100))))
+        self.limit = int(self.options.get("rowlimit", 0))
+        self.types = frozenset(t for t in self.options.get("types", "").split(",") if t)
+
+    def entities(self) -> list[tuple[int, str]]:
+        """(place, entity type) of those to ask for; a filter moves no place."""
+        listed = [e for e in dict.fromkeys(self.options.get("entities", "").split(",")) if e]
+        return [(i, e) for i, e in enumerate(listed) if self.wanted is None or e in self.wanted]
+
+    def page(self, get: Callable[[str], str], entity: str, number: int) -> tuple[list[dict], int]:
+        """(objects, number of pages that there are)."""
+        dates = f"[{self.begin or '*'} TO {self.end or '*'}],equals" if self.begin or self.end else None
+        q = {"configuration": self.options.get("configuration"), "dsoType": "item", "scope": self.options.get("scope"), "f.entityType": f"{entity},equals", "f.dateIssued": dates, "page": number, "size": self.size, "sort": "dc.date.issued,DESC"}
+        found = (json_object(get(with_query(self.options["url"], **q))).get("_embedded") or {}).get("searchResult") or {}
+        return (found.get("_embedded") or {}).get("objects") or [], int((found.get("page") or {}).get("totalPages") or 0)
+
+    def partitions(self) -> list[Chain]:
+        get, step = transport(self.options), max(1, int(self.options.get("pagesperpartition", PAGES_PER_PARTITION)))
+        planned = []
+        for place, entity in self.entities():
+            total = 1
+            if not self.limit:
+                try:
+                    total = self.page(get, entity, 0)[1]
+                except urllib.error.HTTPError as e:
+                    if not self.unavailable(e):
+                        raise  # else the task asks again, and tells of the failure
+            firsts = range(0, max(1, total), step)
+            planned += [Chain(place, entity=entity, first=str(f), last="" if f == firsts[-1] else str(f + step - 1)) for f in firsts]
+        return planned
+
+    def extra(self, payload, chain):
+        item = ((json.loads(payload).get("_embedded") or {}).get("indexableObject") or {}) if payload else {}
+        return chain["entity"], next(iter(metadata_texts(item, "dc.date.issued")), None)
+
+    def keeps(self, found: dict) -> bool:
+        """The object counts towards the limit: it has an id and a wanted type."""
+        item = (found.get("_embedded") or {}).get("indexableObject") or {}
+        return bool(str(item.get("uuid") or item.get("id") or "").strip()) and (not self.types or item_type(item) in self.types)
+
+    def numbered(self, get, chain):
+        number, last, kept = int(chain["first"]), int(chain["last"] or -1), 0
+        while True:
+            objects, total = self.page(get, chain["entity"], number)
+            for i, found in enumerate(objects):
+                yield number * self.size + i, json.dumps(found, ensure_ascii=False)
+                kept += self.limit > 0 and self.keeps(found)
+                if self.limit and kept >= self.limit:
+                    return
+            if not objects or number == last or (last < 0 and number + 1 >= total):
+                return
+            number += 1
 
 
 class _Oai(_Reader):
@@ -184,16 +336,17 @@ class _Oai(_Reader):
 
 class _Source(DataSource):
     kind: type[_Reader]
+    extra = ""
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + self.extra
 
     def reader(self, schema) -> DataSourceReader:
         return self.kind({k.lower(): v for k, v in self.options.items()})
 
 
 class WorksSource(_Source):
-    kind = _Works
+    kind, extra = _Works, ", type string, issued string"
 
     @classmethod
     def name(cls) -> str:
@@ -201,7 +354,7 @@ class WorksSource(_Source):
 
 
 class ItemsSource(_Source):
-    kind = _Items
+    kind, extra = _Items, ", entity string, issued string"
 
     @classmethod
     def name(cls) -> str:
@@ -247,6 +400,8 @@ class OaiSource(_Source):
 
 
 def register(spark) -> None:
+    """Make the sources known to the session, and let it push filters into them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (WorksSource, ItemsSource, OaiSource):
         spark.dataSource.register(source)
 
