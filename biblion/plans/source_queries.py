@@ -274,7 +274,7 @@ def normalized_works(table):
 
 @query("""
 SELECT 'dspace:rep:u' || p_partkey AS source_record_key, 'https://rep.org/handle/20.5/' || p_partkey AS record_url, p_name AS title, CASE WHEN p_size % 3 = 0 THEN 'book-chapter' ELSE 'book' END AS type,
-  CAST(2000 + p_size AS VARCHAR) AS publication_date, 1000000000 + CAST((p_partkey - 2) // 2 AS BIGINT) AS arrival FROM part WHERE p_partkey % 2 = 0""")
+  CAST(2000 + p_size AS VARCHAR) AS publication_date, 1000000000 + CAST(p_partkey // 2 AS BIGINT) AS arrival FROM part WHERE p_partkey % 2 = 0""")
 def repository_pages(table):
     """A search of two entity types, recorded page by page; the filter leaves one to ask for, whose pages are dealt to tasks."""
     search = "https://rep.org/server/api/discover/search/objects"
@@ -284,7 +284,7 @@ def repository_pages(table):
         F.concat(F.lit("u"), number).alias("uuid"), F.col("p_name").alias("name"), F.concat(F.lit("20.5/"), number).alias("handle"), F.col("entity").alias("entityType"),
         F.struct(F.array(F.struct(F.when(F.col("p_size") % 3 == 0, "Book chapter").otherwise("Monograph").alias("value"))).alias("dc.type"), F.array(F.struct((F.col("p_size") + 2000).cast("string").alias("value"))).alias("dc.date.issued")).alias("metadata"),
     )
-    part = table("part").withColumn("entity", _every("p_partkey", 2, "Book", "Article")).withColumn("page", F.floor((F.col("p_partkey") - 1) / 200))
+    part = table("part").withColumn("entity", _every("p_partkey", 2, "Book", "Article")).withColumn("page", F.floor(F.col("p_partkey") / 200))
     objects = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.struct(item.alias("indexableObject")).alias("_embedded")))), lambda x: F.struct(x["_embedded"].alias("_embedded")))
     pages = part.groupBy("entity", "page").agg(objects.alias("objects"))
     last = part.agg(F.max("page").alias("last"))
