@@ -1,21 +1,16 @@
-"""Snapshot tables that never lose richer data.
+"""How new rows meet those of the cache: merges that never lose richer data, latest rows, provenance, repairs.
 
-Each version is a manifest that names the Parquet folder of every table. It appears last, by a
-rename, and is never changed, so a reader sees one version throughout and a failed job
-leaves the one before. Tables that a publish does not name are carried over.
-"""
+``snapshots`` keeps the tables."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import records as lists
 from ..functions import text
 from ..functions.access import OPEN_STATUSES
+from .snapshots import Snapshots as Snapshots
 
 REPLACED = ("record_url", "openalex_id", "publication_date", "doi", "type", "language")
 LONGEST = ("title", "abstract", "authors")
@@ -107,49 +102,3 @@ def cache_changed(new_keys: Column, old_keys: Column, new_abstract: Column, old_
 
 #: Key of a stored classification result.
 RESULT_KEYS = ["publication_key", "model"]
-
-
-class Snapshots:
-    """Versioned tables below one folder, on any file system that Hadoop reads."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _path(self, name: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-
-    def version(self) -> int:
-        """The greatest number of a manifest, 0 if there is none."""
-        pattern, fs = self._path("manifest-*")
-        return max((int(f.getPath().getName().split("-")[1]) for f in fs.globStatus(pattern) or []), default=0)
-
-    def tables(self, version: int | None = None) -> dict[str, str]:
-        """Folder of each table of a version (the current one)."""
-        n = self.version() if version is None else version
-        return json.loads(self.spark.read.text(f"{self.root}/manifest-{n:08d}", wholetext=True).first()[0]) if n else {}
-
-    def read(self, table: str) -> DataFrame | None:
-        path = self.tables().get(table)
-        return self.spark.read.parquet(f"{self.root}/{path}") if path else None
-
-    def publish(self, tables: dict[str, DataFrame]) -> int:
-        """Write the tables, then the manifest of the next version, which has the others as they were."""
-        n = self.version() + 1
-        paths = self.tables(n - 1)
-        for name, df in tables.items():
-            paths[name] = f"{name}/{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.root}/{paths[name]}")
-        made, fs = self._path(f"_{uuid.uuid4().hex}")
-        out = fs.create(made, False)
-        out.write(bytearray(json.dumps(paths).encode()))
-        out.close()
-        manifest, _ = self._path(f"manifest-{n:08d}")
-        if fs.exists(manifest) or not fs.rename(made, manifest):
-            raise RuntimeError(f"version {n} has been published by someone else")
-        return n
-
-    def publish_results(self, results: DataFrame) -> int:
-        """Classification results (publication_key, model, …) into the table ``results``; equal keys are replaced."""
-        old = self.read("results")
-        return self.publish({"results": results if old is None else upsert_latest(old, results, RESULT_KEYS)})

@@ -66,3 +66,13 @@ OAI_WORK_TYPES = "article book book-chapter proceedings-article report dissertat
 # Fields that the works API is asked for.
 WORK_FIELDS = "id display_name title publication_date doi abstract_inverted_index type language open_access authorships".split()
 # End of the fixed values.
+
+#: The cache's tables as they are declared.
+CACHE_TABLES = {
+    "works": """publication_key string, source string, source_record_id string, source_record_keys string, record_url string, record_urls string, openalex_id string,
+        title string, publication_date string, doi string, type string, language string, is_oa boolean, oa_status string, authors string, institutions string, institution_ids string,
+        institution_countries string, institution_names_raw string, institution_affiliations_json string, abstract string, source_count int, source_provenance_json string, updated_at timestamp""",
+    "records": "source_record_key string, publication_key string, source string, source_label string, source_record_id string, record_url string, raw_json string, fetched_at timestamp",
+    "results": "publication_key string, model string, text_hash string, sdg_response string, sdg_formatted string, sdg_note string, classified_at timestamp",
+    "meta": "key string, value string",
+}

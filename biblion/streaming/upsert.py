@@ -1,8 +1,8 @@
 """Continuous harvest: an OAI-PMH stream of changed records, merged into the snapshot cache batch by batch.
 
 An extension beyond one-off harvests. The stream's offset is the day of metadata change; every batch is
-normalised, merged by publication and written as one snapshot version, which never loses richer data,
-so that a batch that runs twice after a failure leaves the same tables.
+normalised, merged by publication and written as the deltas of one snapshot version, which never loses
+richer data, so that a batch that runs twice after a failure leaves the same rows.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import cache, merge
+from ..operators.shared import discard, written
 from ..sources import harvest, normalize
 
 RECORD_FIELDS = ["source_record_key", "publication_key", "source", "source_label", "source_record_id", "record_url"]
@@ -21,20 +22,25 @@ def upsert(store: cache.Snapshots, source_records: DataFrame) -> int:
     """Merge source records into the store's ``works`` and ``records``; returns the new version.
 
     A source record that moves to another publication is re-pointed, and the provenance of all
-    publications is derived anew from the stored records.
+    publications that gain or lose one is derived anew from the stored records. Only these
+    publications and records are written.
     """
-    works, kept = store.read("works"), store.read("records")
-    new = merge.merge_publications(source_records)
     fresh = source_records.where("source_record_key <> '' and source_record_id <> ''")
     records = fresh.groupBy("source_record_key").agg(F.max_by(F.struct(*RECORD_FIELDS[1:]), "_ord").alias("_r")).select("source_record_key", "_r.*").select(*RECORD_FIELDS)
-    if kept is not None:
-        records = cache.upsert_latest(kept, records, ["source_record_key"])
-    merged = cache.merge_canonical(works, new) if works is not None else new
+    records = written(records.withColumn("fetched_at", F.current_timestamp()), "records")
+    new = written(merge.merge_publications(source_records), "publications")
+    stored, ours = (store.declared("records") if x is None else x for x in (store.read("records"), store.current("records", records.select("source_record_key"))))
+    touched = written(new.select("publication_key").union(ours.select("publication_key")).distinct(), "touched")
+    works = store.current("works", touched)
+    merged = cache.merge_canonical(store.declared("works") if works is None else works, new.withColumn("updated_at", F.current_timestamp()))
     told = [c for c in ("source", "source_record_id", "source_record_keys", "record_urls", "source_count") if c in merged.columns]
-    origin = cache.provenance(records).select("publication_key", *[F.col(c).alias(f"_{c}") for c in told])
+    own = cache.upsert_latest(stored.join(touched, "publication_key", "left_semi").select(*RECORD_FIELDS), records.select(*RECORD_FIELDS), ["source_record_key"])
+    origin = cache.provenance(own).select("publication_key", *[F.col(c).alias(f"_{c}") for c in told])
     synced = merged.join(origin, "publication_key", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in told}).drop(*[f"_{c}" for c in told])
-    columns = works.columns if works is not None else [c for c in synced.columns if c != "source_label"]  # labels stay with the records
-    return store.publish({"works": synced.select(*columns), "records": records})
+    synced = synced.withColumn("updated_at", F.current_timestamp())
+    version = store.upsert({"works": synced, "records": records}, declared=True)
+    discard(records, new, touched)
+    return max(version, store.compact())
 
 
 def harvest_stream(spark: SparkSession, options: dict[str, str], store: cache.Snapshots, checkpoint: str, once: bool = False) -> StreamingQuery:
