@@ -16,6 +16,7 @@ from ..functions import access, dates, text
 from ..operators import analytics, cache, classify, enrich, merge, shared
 from ..operators.shared import shared_dir
 from ..sources import config, export, harvest, normalize
+from ..streaming import upsert
 from . import fetch, network
 from .queries import origins
 from .registry import query
@@ -195,6 +196,52 @@ def snapshot_tables(table):
     return store.read("works").select("publication_key", "title").join(store.read("results").drop("model"), "publication_key", "left")
 
 
+@query("""
+SELECT 'k' || c_custkey AS publication_key, 'm' || c_custkey % 3 AS model, CASE WHEN c_custkey % 7 = 0 THEN 'second' WHEN c_custkey % 10 = 0 THEN 'first' ELSE 'base' END AS sdg_note FROM customer
+UNION ALL SELECT 'n' || c_custkey, 'm', 'new' FROM customer WHERE c_custkey % 50 = 0""")
+def snapshot_upserts(table):
+    """A base and three deltas, some of their buckets compacted."""
+    return _results_store(table).read("results")
+
+
+@query("""
+SELECT 'k' || c_custkey AS publication_key, 'm' || c_custkey % 3 AS model, CASE WHEN c_custkey % 7 = 0 THEN 'second' WHEN c_custkey % 10 = 0 THEN 'first' ELSE 'base' END AS sdg_note FROM customer WHERE c_custkey % 13 = 0""")
+def stored_for_keys(table):
+    """The stored results of given keys, some of which the table does not hold."""
+    keys = table("customer").where("c_custkey % 13 = 0").select(_key("c_custkey").alias("publication_key"), F.concat(F.lit("m"), (F.col("c_custkey") % 3).cast("string")).alias("model"))
+    return _results_store(table).current("results", keys.union(keys.select(F.concat("publication_key", F.lit("-")), "model")))
+
+
+def _results_store(table) -> cache.Snapshots:
+    customer = table("customer")
+    spark = customer.sparkSession
+    store = cache.Snapshots(spark, f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}", buckets=16)
+
+    def results(rows: DataFrame, note: str, prefix: str = "k") -> DataFrame:
+        return rows.select(_key("c_custkey", prefix).alias("publication_key"), (F.concat(F.lit("m"), (F.col("c_custkey") % 3).cast("string")) if prefix == "k" else F.lit("m")).alias("model"), F.lit(note).alias("sdg_note"))
+
+    store.publish({"results": results(customer, "base")})
+    store.publish_results(results(customer.where("c_custkey % 10 = 0"), "first"))
+    store.publish_results(results(customer.where("c_custkey % 7 = 0"), "second"))
+    store.publish_results(results(customer.where("c_custkey % 50 = 0"), "new", "n"))
+    store.compact(2)
+    return store
+
+
+@query(f"""
+WITH {_RECORDS}
+SELECT publication_key, repeat('t', CAST(max(length(title)) AS INTEGER)) AS title, CAST(bool_or(flag) AS VARCHAR) AS is_oa, CAST(count(DISTINCT source) AS INTEGER) AS source_count,
+  string_agg('r' || ord, '; ' ORDER BY 'r' || ord) AS source_record_keys FROM r GROUP BY publication_key""")
+def harvested_snapshots(table):
+    """Source records that come in two batches, each merged into the stored works."""
+    records = _source_records(table)
+    spark = records.sparkSession
+    store = cache.Snapshots(spark, f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}", buckets=16)
+    for batch in (records.where("_ord % 3 <> 0"), records.where("_ord % 3 = 0")):
+        upsert.upsert(store, batch)
+    return store.read("works").select("publication_key", "title", F.col("is_oa").cast("string").alias("is_oa"), "source_count", "source_record_keys")
+
+
 def provider(url: str, headers: dict | None = None) -> str:
     """A stand-in for the abstract and search services."""
     if "/DOI:" in url:
