@@ -2,27 +2,27 @@
 
 Calls go out only for the rows that need them, at most ``PARALLEL`` tasks at a time, and their
 answers are written once in the shared folder, so no later action calls again. Clients are
-injected: a client maker gives each task one function of a row. Rows are asked for in growing
-waves, the first of about one row; a refusal ends the asking for the run.
+injected: a client maker gives each task one function of a row. All tasks of a run share one
+clock for the classifier's starts and a breaker per provider (``pacing``): once a provider has
+refused, no task asks it again.
 """
 
 from __future__ import annotations
 
 import json
-import time
 import urllib.error
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import quote, urlencode
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, goals, text
-from . import cache, classify
-from .shared import discard, written
+from . import cache, classify, pacing
+from .pacing import Spaced
+from .shared import written
 
 # Provider addresses, pacing.
 ABSTRACT_URL = "https://api.semanticscholar.org/graph/v1/paper/DOI:{doi}?fields=abstract"
@@ -33,55 +33,39 @@ SHORT_NOTE = "skipped: {model} requires >={least} words"
 # End of the fixed values.
 CANDIDATE = "array<struct<title:string,doi:string,link:string,snippet:string,year:string,publication_year:string,publication_info:struct<doi:string,year:string,summary:string>,resources:array<struct<doi:string,link:string>>>>"
 Ask = Callable[[dict], str | None]
-#: Each wave of rows is larger than the one before by this factor.
-WAVE = 64
-_TASKS = "biblion.calling.tasks"
+#: Providers as the lease service knows them, and their intervals.
+ABSTRACTS, CLASSIFIER = "abstracts", "classifier"
+INTERVALS = {CLASSIFIER: INTERVAL_S}
 
 
 def tasks(rows: DataFrame) -> int:
-    """Calling tasks that can run at once; the tasks themselves read it to share the rate."""
-    n = max(1, min(PARALLEL, rows.sparkSession.sparkContext.defaultParallelism))
-    rows.sparkSession.sparkContext.setLocalProperty(_TASKS, str(n))
-    return n
+    """Calling tasks that can run at once."""
+    return max(1, min(PARALLEL, rows.sparkSession.sparkContext.defaultParallelism))
 
 
-def _share() -> int:
-    context = TaskContext.get()
-    return int((context and context.getLocalProperty(_TASKS)) or PARALLEL)
-
-
-class Spaced:
-    """Starts of calls at least ``interval`` seconds apart within a process; ``share`` processes (the calling
-    tasks, if not told) split the rate."""
-
-    def __init__(self, interval: float = INTERVAL_S, share: int | None = None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.gap, self.next, self.clock, self.sleep = interval * (share or _share()), 0.0, clock, sleep
-
-    def wait(self) -> None:
-        now = self.clock()
-        if now < self.next:
-            self.sleep(self.next - now)
-        self.next = max(now, self.next) + self.gap
-
-
-def abstract_client(get: Callable[..., str], api_key: str | None = None) -> Callable[[], Ask]:
-    """Abstract by DOI. A refusal (401, 403) ends the asking; other failures give nothing."""
+def abstract_client(get: Callable[..., str], api_key: str | None = None, gated: Callable[[], pacing.Gate | Spaced] = lambda: pacing.gate(ABSTRACTS)) -> Callable[[], Ask]:
+    """Abstract by DOI. A refusal (401, 403) ends the asking of all tasks; other failures give nothing."""
 
     def client() -> Ask:
+        gate = gated()
+
         def ask(row: dict) -> str | None:
-            if ask.refused or not row["doi"]:
+            if not row["doi"]:
                 return None
             try:
+                gate.wait()
                 body = get(ABSTRACT_URL.format(doi=quote(row["doi"].replace("https://doi.org/", ""), safe="/")), {"Accept": "application/json"} | ({"x-api-key": api_key} if api_key else {}))
                 found = json.loads(body)
                 return found.get("abstract") if isinstance(found, dict) else None
             except urllib.error.HTTPError as e:
-                ask.refused = e.code in (401, 403)
-            except (OSError, ValueError):
+                if e.code in (401, 403):
+                    gate.refuse()
+            except pacing.Lost:
+                raise
+            except (pacing.Refused, OSError, ValueError):
                 pass
             return None
 
-        ask.refused = False
         return ask
 
     return client
@@ -101,7 +85,7 @@ def search_client(get: Callable[..., str], api_key: str) -> Callable[[], Ask]:
     return lambda: ask
 
 
-def classifier_client(post: Callable[..., str], base_url: str | None, model: str, agent: str = "", spaced: Callable[[], Spaced] = Spaced) -> Callable[[], Callable[[str], tuple[str | None, str]]]:
+def classifier_client(post: Callable[..., str], base_url: str | None, model: str, agent: str = "", spaced: Callable[[], pacing.Gate | Spaced] = lambda: pacing.gate(CLASSIFIER, INTERVAL_S)) -> Callable[[], Callable[[str], tuple[str | None, str]]]:
     """(response, note) of a text; starts are spaced, retries included."""
 
     def client():
@@ -117,6 +101,8 @@ def classifier_client(post: Callable[..., str], base_url: str | None, model: str
                 return (body, "") if json.loads(body) else (None, "empty json")
             except urllib.error.HTTPError as e:
                 return None, f"http_error:{e.code}"
+            except pacing.Lost:
+                raise
             except (OSError, ValueError):
                 return None, "http_error:None"
 
@@ -126,26 +112,16 @@ def classifier_client(post: Callable[..., str], base_url: str | None, model: str
 
 
 def answers(rows: DataFrame, client: Callable[[], Ask], columns: list[str], tag: str) -> DataFrame:
-    """publication_key, answer of the rows (a table), asked once each; after a refusal no wave follows."""
+    """publication_key, answer of the rows, asked once each (a written table)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = client()
         for f in frames:
             got = [ask(r) for r in f[columns].fillna("").to_dict("records")]
-            yield pd.DataFrame({"publication_key": f["publication_key"], "answer": got, "refused": bool(getattr(ask, "refused", False))})
-
-    rows = written(rows.select("publication_key", *columns).withColumn("_at", F.pmod(F.xxhash64("publication_key"), F.lit(1 << 40))), f"{tag}-rows")
-    n, lo, size, found = rows.count(), 0, 1, None
-    while lo < 1 << 40:
-        hi = (1 << 40) if size >= n else max(lo + 1, min(1 << 40, (1 << 40) * size // n))
-        wave = rows.where((F.col("_at") >= lo) & (F.col("_at") < hi)).select("publication_key", *columns)
-        asked = written(wave.repartition(tasks(rows)).mapInPandas(run, "publication_key string, answer string, refused boolean"), tag)
-        found = asked if found is None else found.unionByName(asked)
-        if not asked.where("refused").isEmpty():
-            break
-        lo, size = hi, size * WAVE
-    discard(rows)
-    return found.select("publication_key", "answer")
+            yield pd.DataFrame({"publication_key": f["publication_key"], "answer": got})
+
+    asked = rows.select("publication_key", *columns).repartition(tasks(rows)).mapInPandas(run, "publication_key string, answer string")
+    return written(asked, tag)
 
 
 def matching_snippet(rows: DataFrame) -> DataFrame:
@@ -229,7 +205,8 @@ def classified(rows: DataFrame, stored: DataFrame, model: str, client: Callable[
 
 def enrich(pubs: DataFrame, cached: DataFrame, stored: DataFrame, model: str, client=None, by_doi=None, by_title=None) -> Enriched:
     """The whole step for canonical publications (unique publication_key)."""
-    full = written(classified(fill_abstracts(pubs, cached, by_doi, by_title), stored, model, client), "enriched")
+    with pacing.leased(pubs.sparkSession, INTERVALS):
+        full = written(classified(fill_abstracts(pubs, cached, by_doi, by_title), stored, model, client), "enriched")
     called = F.col("decision") == "call"
     flags = {"source_abstract_missing": "source_missing", "openalex_abstract_missing": "api_missing", "ss_abstract_retrieved": "by_doi", "gs_abstract_retrieved": "by_title"}
     stats = full.agg(F.count("*").alias("rows"), *[F.count_if(c).alias(n) for n, c in flags.items()], F.count_if(F.col("abstract") != "").alias("total_abstracts_available"))
