@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, MapType, StringType, StructField, StructType
 
 from ..functions import access, records, text
 from ..operators.merge import publication_key
@@ -201,8 +202,72 @@ def items(raw: DataFrame) -> DataFrame:
     })
 
 
-def _xpath(tag: str, part: str = "text()") -> Column:
-    return F.xpath("payload", F.lit(f"//*[local-name()='{tag}']/{part}"))
+DUBLIN_CORE = StructType([
+    StructField("id", StringType()), StructField("deleted", BooleanType()), StructField("sets", ArrayType(StringType())),
+    *[StructField(n, ArrayType(StringType())) for n in ("names", "texts", "languages")],
+])
+
+
+class _Record:
+    """One pass over a record's XML: header, and the cleaned elements of its Dublin Core container.
+
+    Names are compared without their prefixes, so fragments of a page need no declarations.
+    """
+
+    def __init__(self):
+        self.path: list[str] = []
+        self.id, self.deleted, self.sets = "", False, []
+        self.containers: list[tuple[str, list[tuple[str, str, str]]]] = []
+        self.words: list[str] | None = None
+        self.language = ""
+
+    def parse(self, payload: str) -> _Record:
+        parser = expat.ParserCreate()
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = self.start, self.end, self.data
+        parser.buffer_text = True
+        try:
+            parser.Parse(payload, True)
+        except expat.ExpatError as e:
+            raise ValueError(f"the record is not XML: {e}") from e
+        return self
+
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
+        self.path.append(tag.rpartition(":")[2])
+        where = self.path[1:]
+        if where == ["header"]:
+            self.deleted = attributes.get("status") == "deleted"
+        elif len(where) == 2 and where[0] == "metadata":
+            self.containers.append((where[1], []))
+        elif (len(where) == 2 and where[0] == "header") or (len(where) == 3 and where[0] == "metadata"):
+            self.words, self.language = [], attributes.get("xml:lang", "").lower()
+
+    def data(self, words: str) -> None:
+        if self.words is not None:
+            self.words.append(words)
+
+    def end(self, tag: str) -> None:
+        where = self.path[1:]
+        if self.words is not None and len(where) == (2 if where[0] == "header" else 3):
+            told, self.words = text.cleaned("".join(self.words)), None
+            if where[0] == "metadata":
+                if told:
+                    self.containers[-1][1].append((where[2].lower(), told, self.language))
+            elif where[1] == "identifier":
+                self.id = self.id or told
+            elif where[1] == "setSpec" and told:
+                self.sets.append(told)
+        self.path.pop()
+
+    def row(self) -> tuple:
+        found = next((e for name, e in self.containers if name == "dc"), self.containers[0][1] if self.containers else [])
+        names, texts, languages = ([e[k] for e in found] for k in range(3))
+        return self.id, self.deleted, self.sets, names, texts, languages
+
+
+@F.pandas_udf(DUBLIN_CORE)
+def dublin_core(s: pd.Series) -> pd.DataFrame:
+    """Each record's XML, parsed once."""
+    return pd.DataFrame([_Record().parse(x).row() for x in s], columns=DUBLIN_CORE.names)
 
 
 def _without_cdata(xml: Column) -> Column:
@@ -216,44 +281,46 @@ def _without_cdata(xml: Column) -> Column:
     return F.when(F.contains(xml, F.lit("<![CDATA[")), F.array_join(F.transform(F.split(xml, r"<!\[CDATA\["), plain), "")).otherwise(xml)
 
 
-def safe_xml(rows: DataFrame) -> DataFrame:
+def guarded(rows: DataFrame) -> DataFrame:
     """Payloads over the size limit, or with a document type or entities, go before any parser sees them."""
-    safe = rows.where((F.octet_length("payload") <= MAX_XML_BYTES) & ~F.upper("payload").rlike("<!DOCTYPE|<!ENTITY"))
-    return safe.withColumn("payload", _without_cdata(F.col("payload")))
+    return rows.where((F.octet_length("payload") <= MAX_XML_BYTES) & ~F.upper("payload").rlike("<!DOCTYPE|<!ENTITY"))
 
 
 def oai(raw: DataFrame) -> DataFrame:
     """raw (source, label, payload, _ord) of single OAI-PMH records as XML; deleted ones and those without an id go."""
-    header = F.get(F.xpath("payload", F.lit("//*[local-name()='header']/*[local-name()='identifier']/text()")), F.lit(0))
-    gone = F.coalesce(F.get(F.xpath("payload", F.lit("//*[local-name()='header']/@status")), F.lit(0)), F.lit("")) == "deleted"
-    rows = safe_xml(raw).withColumn("rid", F.trim(header)).where((F.col("rid") != "") & ~gone)
-    ids = _xpath("identifier", "text()[not(ancestor::*[local-name()='header'])]")
-    sets, rights = F.transform(_xpath("setSpec"), lambda x: F.trim(x)), F.array_join(_xpath("rights"), " ")
+    # not deterministic, as Spark takes it: else the filter below would have every record parsed twice
+    rows = guarded(raw).withColumn("r", dublin_core.asNondeterministic()("payload")).withColumn("rid", F.col("r.id")).where("rid <> '' and not r.deleted")
+    entries = F.arrays_zip(F.col("r.names").alias("name"), F.col("r.texts").alias("text"), F.col("r.languages").alias("language"))
+
+    def values(key: str, *languages: str) -> Column:
+        kept = F.filter(entries, lambda e: (e["name"] == key) & (e["language"].isin(*languages) if languages else F.lit(True)))
+        return F.transform(kept, lambda e: e["text"])
+
+    ids, sets, rights = values("identifier"), F.col("r.sets"), F.array_join(values("rights"), " ")
     links = F.filter(ids, lambda x: x.rlike("(?i)^https?://"))
     plain = F.filter(links, lambda x: ~x.rlike("(?i)doi\\.org/|nbn-resolving\\.org/|/files/"))
     url = F.coalesce(F.get(F.filter(links, lambda x: F.contains(F.lower(x), F.lit("/frontdoor/"))), F.lit(0)), F.get(plain, F.lit(0)), F.get(links, F.lit(0)), F.lit(""))
-    english = F.xpath("payload", F.lit("//*[local-name()='description'][@*[local-name()='lang' and (.='en' or .='eng' or .='EN' or .='ENG' or .='En' or .='Eng')]]/text()"))
-    abstract = F.when(F.size(english) > 0, _longest(english)).otherwise(_longest(_xpath("description")))
-    kinds = F.concat(_xpath("type"), F.transform(F.filter(sets, lambda x: x.startswith("doc-type:")), lambda x: F.regexp_replace(x, "^doc-type:", "")))
+    english = values("description", "en", "eng")
+    kinds = F.concat(values("type"), F.transform(F.filter(sets, lambda x: x.startswith("doc-type:")), lambda x: F.regexp_replace(x, "^doc-type:", "")))
     return _records(rows, {
         "source_record_id": F.col("rid"),
         "source_record_key": F.concat(F.lit("oai:"), F.col("source"), F.lit(":"), F.col("rid")),
         "record_url": url,
-        "title": text.clean_html(_first(_xpath("title"))),
-        "publication_date": _first(_xpath("date")),
+        "title": _first(values("title")),
+        "publication_date": _first(values("date")),
         "doi": _doi_link(text.first_doi(ids)),
         "type": F.coalesce(_mapped(F.transform(kinds, lambda x: F.regexp_replace(F.lower(x), "^doc-type:", "")), OAI_TYPES), F.lit("other")),
-        "language": _first(_xpath("language")),
+        "language": _first(values("language")),
         "is_oa": access.oai_rights(rights, sets),
-        "authors": _words(F.transform(_xpath("creator"), text.without_orcid)),
+        "authors": _words(F.transform(values("creator"), text.without_orcid)),
         "institution_affiliations_json": F.lit("[]"),
-        "abstract": text.clean_html(abstract),
+        "abstract": F.when(F.size(english) > 0, _longest(english)).otherwise(_longest(values("description"))),
     })
 
 
 def split_records(pages: DataFrame) -> DataFrame:
     """OAI-PMH response pages (source, label, payload, _ord) -> one row per record, by pattern (no parser state crosses pages)."""
-    one = safe_xml(pages).select("source", "label", "_ord", F.posexplode(F.regexp_extract_all("payload", F.lit(r"(?s)(<record[ >].*?</record>)"), F.lit(1))).alias("_i", "payload"))
+    one = guarded(pages).withColumn("payload", _without_cdata(F.col("payload"))).select("source", "label", "_ord", F.posexplode(F.regexp_extract_all("payload", F.lit(r"(?s)(<record[ >].*?</record>)"), F.lit(1))).alias("_i", "payload"))
     return one.select("source", "label", "payload", (F.col("_ord") * 1_000_000 + F.col("_i")).alias("_ord"))
 
 

@@ -208,3 +208,22 @@ def test_over_http(spark):
         assert not isinstance(e.value, urllib.error.HTTPError) and re.search("refused", str(e.value), re.I)
     finally:
         harvest.time.sleep = harvest_sleep
+
+
+def test_records_are_parsed_as_they_are(spark):
+    header = '<header{}><identifier> oai:x:{} </identifier><identifier>second</identifier><setSpec>open_access</setSpec><setSpec> </setSpec></header>'
+    odd = [
+        ("1", "", '<oai_dc:dc xmlns:dc="u"><dc:title>A <b>bold</b> &amp;amp; <![CDATA[<i>plain</i>]]></dc:title><dc:description xml:lang="EN">short</dc:description><dc:description>much longer text</dc:description><dc:Creator>B, C</dc:Creator><dc:creator/></oai_dc:dc>'),
+        ("2", "", "<other:first><title>of the first container</title></other:first><more><title>no</title></more>"),
+        ("3", "", "<x><title>no</title></x><dc><title>of dc</title><nested><title>deeper</title></nested></dc>"),
+        ("4", ' status="deleted"', "<dc><title>gone</title></dc>"),
+        ("5", "", ""),
+    ]
+    rows = [("s", "S", f"<record>{header.format(status, i)}<metadata>{dc}</metadata><about><identifier>9</identifier></about></record>", int(i)) for i, status, dc in odd]
+    rows += [("s", "S", "<record><header><identifier> </identifier></header></record>", 6), ("s", "S", None, 7), ("s", "S", "<!doctype x><record/>", 8)]
+    raw_ = spark.createDataFrame(rows, "source string, label string, payload string, _ord long")
+    got = {r["_ord"]: r for r in normalize.oai(raw_).collect()}
+    assert {i: r["title"] for i, r in got.items()} == {1: "A bold & plain", 2: "of the first container", 3: "of dc", 5: ""}
+    assert (got[1]["abstract"], got[1]["authors"], got[1]["source_record_id"], got[1]["is_oa"]) == ("short", "B, C", "oai:x:1", True)
+    with pytest.raises(Exception, match="not XML"):
+        normalize.oai(spark.createDataFrame([("s", "S", "<record><open></record>", 1)], raw_.schema)).collect()
