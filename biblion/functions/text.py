@@ -44,7 +44,11 @@ def unescape(s: pd.Series) -> pd.Series:
 
 def cleaned(text: str) -> str:
     """``clean_html`` of one Python text."""
-    return re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", html.unescape(text))).strip()
+    if "&" in text:
+        text = html.unescape(text)
+    if "<" in text:
+        text = re.sub(r"<[^>]+>", " ", text)
+    return " ".join(text.split())
 
 
 def clean_html(c: Column) -> Column:
@@ -53,7 +57,7 @@ def clean_html(c: Column) -> Column:
 
 
 def _fold(text: str) -> str:
-    return "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
+    return text if text.isascii() else "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
 
 
 def fold_key(text: str) -> str:

@@ -57,12 +57,28 @@ def author_access(rows: DataFrame, authors: Column, flag: Column, k: int = TOP_A
     return counts.join(F.broadcast(top.select("author")), "author", "left_semi")  # k rows
 
 
+#: Ids from which a row's pairs are dealt to tasks, and ids of a block of such a row.
+HEAVY_IDS, BLOCK_IDS = 512, 256
+
+
 def pairs(rows: DataFrame, ids: str) -> DataFrame:
-    """a, b: the unordered pairs a < b of each row's distinct ids. Two generators in turn, so a row's pairs
-    stream out and are never held as one array."""
+    """a, b: the unordered pairs a < b of each row's distinct ids. Generators in turn, so a row's pairs stream
+    out and are never held as one array. The ids of a heavy row are cut into blocks; pairs of blocks,
+    a few hundred ids each, are dealt to as many tasks as a shuffle has."""
     several = rows.select(F.array_sort(F.array_distinct(ids)).alias("_s")).where(F.size("_s") >= 2)
-    left = several.select("_s", F.posexplode(F.slice("_s", F.lit(1), F.size("_s") - 1)).alias("_i", "a"))
-    return left.select("a", F.explode(F.slice("_s", F.col("_i") + 2, F.size("_s") - F.col("_i") - 1)).alias("b"))
+    left = several.where(F.size("_s") < HEAVY_IDS).select("_s", F.posexplode(F.slice("_s", F.lit(1), F.size("_s") - 1)).alias("_i", "a"))
+    light = left.select("a", F.explode(F.slice("_s", F.col("_i") + 2, F.size("_s") - F.col("_i") - 1)).alias("b"))
+
+    def block(i: str) -> Column:
+        return F.slice("_s", F.col(i) * BLOCK_IDS + 1, F.lit(BLOCK_IDS))
+
+    last = F.ceil(F.size("_s") / BLOCK_IDS).cast("int") - 1
+    one = several.where(F.size("_s") >= HEAVY_IDS).select("_s", last.alias("_last"), F.explode(F.sequence(F.lit(0), last)).alias("_i"))
+    both = one.select(block("_i").alias("_x"), "_s", F.explode(F.sequence("_i", "_last")).alias("_j")).select("_x", block("_j").alias("_y"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.repartition(tasks, F.xxhash64(F.col("_x")[0], F.col("_y")[0], F.element_at("_x", -1), F.element_at("_y", -1)))
+    heavy = dealt.select("_y", F.explode("_x").alias("a")).select("a", F.explode("_y").alias("b")).where("a < b")
+    return light.unionByName(heavy)
 
 
 def edges(rows: DataFrame, ids: str) -> DataFrame:

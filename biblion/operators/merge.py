@@ -49,36 +49,97 @@ def ordered(c: Column, order: str = "_ord") -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), c.alias("v")))), lambda x: x["v"])
 
 
-def merge_publications(source_records: DataFrame) -> DataFrame:
+#: Fields of a record that its publication's provenance tells.
+TOLD = ("source", "source_label", "source_record_id", "source_record_key", "record_url")
+#: Columns whose distinct values a publication lists, and under which name.
+LISTED = {"source": "source", "source_record_id": "source_record_id", "source_record_key": "source_record_keys", "record_url": "record_urls"}
+#: Records from which a key counts as hot, and ordinals of one run of it.
+HOT_RECORDS, RUN_BITS = 100_000, 12
+
+
+def _best(order: str) -> list[Column]:
+    """What a group keeps of single values: of equals the earlier."""
+    return [
+        *[longest(c, order) for c in ("title", "publication_date", "language", "abstract")],
+        F.max_by("authors", F.struct(F.size(text.parts(F.col("authors"))), -F.col(order))).alias("authors"),
+        F.max_by("type", F.struct(type_score(F.col("type")), -F.col(order))).alias("type"),
+        *[first_filled(c, order) for c in ("doi", "openalex_id", "record_url")],
+        F.min_by(F.coalesce("source_label", F.lit("")), order).alias("source_label"),
+        F.bool_or("_flag").alias("_flag"),
+        F.min_by("_named", F.when(F.col("_named").isNotNull(), F.col(order))).alias("_named"),
+    ]
+
+
+def _distinct(arrays: Column) -> Column:
+    return F.array_distinct(F.flatten(arrays))
+
+
+def _folded(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Records (with _flag and _named) of each group as one partial result."""
+    named = F.coalesce(F.col("institution_affiliations_json"), F.lit("[]"))
+    return rows.groupBy(*by).agg(
+        *_best("_ord"),
+        F.count("*").alias("_n"),
+        *[F.first(F.coalesce(c, F.lit(""))).alias(c) for c in LISTS],
+        *[_distinct(ordered(text.parts(F.col(c)))).alias(f"_{c}") for c in LISTS],
+        ordered(named).alias("_aff"),
+        *[F.array_distinct(F.filter(ordered(F.coalesce(F.col(c), F.lit(""))), lambda x: x != "")).alias(f"_{n}") for c, n in LISTED.items()],
+        F.array_distinct(F.filter(ordered(F.col("source")), lambda x: x.isNotNull())).alias("_sources"),
+        F.to_json(ordered(F.struct(*TOLD))).alias("_told"),
+    )
+
+
+def _refolded(runs: DataFrame) -> DataFrame:
+    """Partial results of a key's runs, which follow each other in arrival order, as one."""
+    inner = F.transform(ordered(F.col("_told"), "_run"), lambda x: F.substr(x, F.lit(2), F.length(x) - 2))
+    united = runs.withColumn("_aff", records.united_affiliations("_aff"))
+    return united.groupBy("publication_key").agg(
+        *_best("_run"),
+        F.sum("_n").alias("_n"),
+        *[F.first(c).alias(c) for c in LISTS],
+        *[_distinct(ordered(F.col(c), "_run")).alias(c) for c in (*[f"_{c}" for c in LISTS], *[f"_{n}" for n in LISTED.values()], "_sources")],
+        ordered(F.col("_aff"), "_run").alias("_aff"),
+        F.concat(F.lit("["), F.array_join(inner, ","), F.lit("]")).alias("_told"),
+    )
+
+
+def _finished(folded: DataFrame) -> DataFrame:
+    status = F.when(F.col("_flag"), F.coalesce("_named", F.lit("open"))).when(~F.col("_flag"), "closed").otherwise("unknown")
+    return folded.select(
+        "publication_key", "title", "publication_date", "language", "abstract", "authors", "type", "doi", "openalex_id", "record_url",
+        F.col("_flag").alias("is_oa"),
+        *[F.when(F.col("_n") > 1, F.array_join(f"_{c}", "; ")).otherwise(F.col(c)).alias(c) for c in LISTS],
+        "source_label",
+        *[F.array_join(f"_{n}", "; ").alias(n) for n in LISTED.values()],
+        F.size("_sources").alias("source_count"),
+        F.col("_told").alias("source_provenance_json"),
+        status.alias("oa_status"),
+        records.united_affiliations("_aff").alias("institution_affiliations_json"),
+    )
+
+
+def hot_keys(source_records: DataFrame, least: int = HOT_RECORDS) -> DataFrame:
+    """publication_key of publications with at least so many source records; reads the keys alone."""
+    return source_records.groupBy("publication_key").agg(F.count("*").alias("n")).where((F.col("n") >= least) & (F.coalesce("publication_key", F.lit("")) != "")).select("publication_key")
+
+
+def merge_publications(source_records: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Source records with ``publication_key`` and arrival ordinal ``_ord`` -> canonical rows.
 
     Records without a key go. Repeated records count once per occurrence in the provenance.
+    Keys in ``hot`` (``hot_keys`` of the same records) are folded in two levels: runs of ordinals,
+    dealt to tasks by (key, run) and each of bounded size, become partial results, and these, in order,
+    one row. What meets in one task then is what the row itself holds.
     """
     pair = reconciled(F.col("is_oa"), F.col("oa_status"))
     rows = source_records.where(F.coalesce("publication_key", F.lit("")) != "").withColumns({"_flag": pair["is_oa"], "_status": pair["oa_status"]})
     named = (F.col("_status").isin([s for s in OPEN_STATUSES if s != "open"])) & F.col("_flag")
-    fields = ["source", "source_label", "source_record_id", "source_record_key", "record_url"]
-    out = rows.groupBy("publication_key").agg(
-        longest("title"),
-        longest("publication_date"),
-        longest("language"),
-        longest("abstract"),
-        F.max_by("authors", F.struct(F.size(text.parts(F.col("authors"))), -F.col("_ord"))).alias("authors"),
-        F.max_by("type", F.struct(type_score(F.col("type")), -F.col("_ord"))).alias("type"),
-        first_filled("doi"),
-        first_filled("openalex_id"),
-        first_filled("record_url"),
-        F.bool_or("_flag").alias("is_oa"),
-        F.min_by(F.when(named, F.col("_status")), F.when(named, F.col("_ord"))).alias("_named"),
-        *[F.when(F.count("*") > 1, F.array_join(F.array_distinct(F.flatten(ordered(text.parts(F.col(c))))), "; ")).otherwise(F.first(F.coalesce(c, F.lit("")))).alias(c) for c in LISTS],
-        F.min_by(F.coalesce("source_label", F.lit("")), "_ord").alias("source_label"),
-        ordered(F.coalesce("institution_affiliations_json", F.lit("[]"))).alias("_aff"),
-        *[F.array_join(F.array_distinct(F.filter(ordered(F.coalesce(F.col(c), F.lit(""))), lambda x: x != "")), "; ").alias(n) for c, n in (("source", "source"), ("source_record_id", "source_record_id"), ("source_record_key", "source_record_keys"), ("record_url", "record_urls"))],
-        F.count_distinct("source").cast("int").alias("source_count"),
-        F.to_json(ordered(F.struct(*fields))).alias("source_provenance_json"),
-    )
-    status = F.when(F.col("is_oa"), F.coalesce("_named", F.lit("open"))).when(~F.col("is_oa"), "closed").otherwise("unknown")
-    return out.withColumns({"oa_status": status, "institution_affiliations_json": records.united_affiliations("_aff")}).drop("_named", "_aff")
+    rows = rows.withColumn("_named", F.when(named, F.col("_status")))
+    if hot is None:
+        return _finished(_folded(rows, ["publication_key"]))
+    runs = rows.join(hot, "publication_key", "left_semi").withColumn("_run", F.shiftright("_ord", RUN_BITS))
+    apart = _refolded(_folded(runs, ["publication_key", "_run"]))
+    return _finished(_folded(rows.join(hot, "publication_key", "left_anti"), ["publication_key"])).unionByName(_finished(apart))
 
 
 def duplicates_removed(source_records: DataFrame) -> DataFrame:

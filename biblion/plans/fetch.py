@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -140,7 +140,12 @@ def run(spark: SparkSession, chosen: Selection) -> tuple[DataFrame, DataFrame]:
     if wrong := chosen.errors():
         raise ValueError("; ".join(wrong))
     found = harvested(spark, chosen)
-    merged = merge.merge_publications(found.records)
+    records = shared.written(found.records, "records")  # three steps read them: hot keys, the merge, the counts
+    if found.raw is not None:
+        shared.discard(found.raw)
+    found = replace(found, records=records, raw=None)
+    hot = merge.hot_keys(records)
+    merged = merge.merge_publications(records, None if hot.isEmpty() else hot)
     rows = analytics.newest(merged, "publication_date", "publication_key", chosen.limit) if chosen.limit is not None else merged
     return rows, run_statistics(found, merged, chosen.limit)
 
