@@ -10,10 +10,11 @@ meet before the parts answer.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,15 @@ def from_planes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1)
 
 
+def packed(arrays: Iterable[np.ndarray]) -> bytes:
+    """The arrays' planes, compressed by entropy, which the shuffle's own codec does not do."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes(x) for x in arrays))
+
+
+def unpacked(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
 class Keys:
     """Distinct keys ordered by bucket, each key's place among them, and where each bucket lies."""
 
@@ -62,7 +72,7 @@ class Keys:
         rows = []
         for b, lo, hi in zip(self.own.tolist(), self.bounds, self.bounds[1:], strict=False):
             gaps = np.diff(self.values[lo:hi] // np.uint64(self.buckets), prepend=np.uint64(0))
-            rows.append((b, part, block_id, planes(gaps), b"".join(planes(c[lo:hi]) for c in counts)))
+            rows.append((b, part, block_id, packed([gaps]), packed(c[lo:hi] for c in counts)))
         return rows
 
     def totals(self, answers: list[dict], width: int) -> np.ndarray:
@@ -80,13 +90,18 @@ def request_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _counts(blob: bytes, width: int) -> np.ndarray:
+    blob = unpacked(blob)
     size = len(blob) // width
     return np.stack([from_planes(blob[k * size : (k + 1) * size]).view(np.int64) for k in range(width)])
 
 
+def _keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(unpacked(blob)), dtype=np.uint64)
+
+
 def _read(table: pa.Table, width: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Keys (divided by the bucket count) of each row, and all rows' counts."""
-    keys = [np.cumsum(from_planes(x), dtype=np.uint64) for x in table.column("keys").to_pylist()]
+    keys = [_keys(x) for x in table.column("keys").to_pylist()]
     return keys, np.concatenate([_counts(x, width) for x in table.column("counts").to_pylist()], axis=1)
 
 
@@ -112,7 +127,7 @@ def _answers(buckets: int, width: int) -> Callable[[pa.Table], pa.Table]:
         keys, counts = _read(table, width)
         distinct, totals, place = _add(keys, counts)
         ends = np.cumsum([len(k) for k in keys]).tolist()
-        found = [b"".join(planes(t[place[e - len(k) : e]]) for t in totals) for k, e in zip(keys, ends, strict=True)]
+        found = [packed(t[place[e - len(k) : e]] for t in totals) for k, e in zip(keys, ends, strict=True)]
         types = [_types(distinct, totals, table.column("bucket")[0].as_py(), buckets), *[0] * (len(keys) - 1)]
         return pa.table({"block_id": table.column("block_id"), "bucket": table.column("bucket"), "totals": pa.array(found, pa.binary()), "types": pa.array(types, pa.int64())})
 
@@ -122,7 +137,7 @@ def _answers(buckets: int, width: int) -> Callable[[pa.Table], pa.Table]:
 def _fold(width: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         distinct, totals, _ = _add(*_read(table, width))
-        return pa.table({"bucket": table.column("bucket")[:1], "part": table.column("part")[:1], "keys": pa.array([planes(np.diff(distinct, prepend=np.uint64(0)))], pa.binary()), "counts": pa.array([b"".join(planes(t) for t in totals)], pa.binary())})
+        return pa.table({"bucket": table.column("bucket")[:1], "part": table.column("part")[:1], "keys": pa.array([packed([np.diff(distinct, prepend=np.uint64(0))])], pa.binary()), "counts": pa.array([packed(totals)], pa.binary())})
 
     return run
 
@@ -135,7 +150,7 @@ def _look_up(width: int) -> Callable[[pa.Table], pa.Table]:
         out = []
         for i, k in enumerate(table.column("keys").to_pylist()):
             if not whole[i]:
-                out.append(b"".join(planes(t) for t in counts[:, np.searchsorted(keys[0], np.cumsum(from_planes(k), dtype=np.uint64))]))
+                out.append(packed(counts[:, np.searchsorted(keys[0], _keys(k))]))
         rest = table.filter(pa.array([not w for w in whole]))
         types = [table.column("types")[at].as_py(), *[0] * (len(out) - 1)]
         return pa.table({"block_id": rest.column("block_id"), "bucket": rest.column("bucket"), "totals": pa.array(out, pa.binary()), "types": pa.array(types, pa.int64())})
