@@ -50,7 +50,7 @@ CELLS_2, CELLS_1 = 42, 66
 
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _FOLD = np.uint64(0xA0761D6478BD642F)
-_codec = pa.Codec("zstd", compression_level=1)
+_codec = pa.Codec("zstd", compression_level=5)
 
 
 def _squeeze(raw: bytes) -> bytes:
