@@ -8,7 +8,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
@@ -82,18 +82,34 @@ def word_fold(s: pd.Series) -> pd.Series:
     return s.fillna("").map(lambda x: re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", _fold(x)).lower()))
 
 
-@F.pandas_udf(BooleanType())
-def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Equal compact forms, or a matching-blocks ratio of 0.9; the length bound comes first."""
+#: Least ratio of matching blocks of texts that count as alike.
+ALIKE = 0.9
+
 
-    def one(x: str, y: str) -> bool:
-        if not x or not y:
-            return False
-        if x == y:
-            return True
-        return 2 * min(len(x), len(y)) >= 0.9 * (len(x) + len(y)) and difflib.SequenceMatcher(None, x, y).ratio() >= 0.9
+def ratio_bound(a: Column, b: Column) -> Column:
+    """No less than the matching-blocks ratio of two texts: twice the characters that they share, in any order,
+    over all characters. ``a`` and ``b`` are columns without Python functions."""
+    n = lambda x, c: F.length(x) - F.length(F.replace(x, c, F.lit("")))
+    letters = F.array_distinct(F.regexp_extract_all(a, F.lit("(?s)."), F.lit(0)))
+    shared = F.aggregate(letters, F.lit(0), lambda total, c: total + F.least(n(a, c), n(b, c)))
+    return F.lit(2.0) * shared / F.greatest(F.length(a) + F.length(b), F.lit(1))
 
-    return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)])
+
+@F.pandas_udf(BooleanType())
+def _matched(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([x is not None and y is not None and difflib.SequenceMatcher(None, x, y).ratio() >= ALIKE for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
+def with_similar(rows: DataFrame, name: str, a: Column, b: Column) -> DataFrame:
+    """rows and a column ``name``: equal compact forms, or a matching-blocks ratio of ``ALIKE`` or more; never if
+    one is empty or null. Lengths, then shared characters bound the ratio, so that the
+    matcher sees only pairs that may reach it."""
+    x, y = F.col("_x"), F.col("_y")
+    sizes = F.lit(2.0) * F.least(F.length(x), F.length(y)) / F.greatest(F.length(x) + F.length(y), F.lit(1))
+    full = (x != "") & (y != "")
+    rows = rows.withColumns({"_x": F.coalesce(a, F.lit("")), "_y": F.coalesce(b, F.lit(""))})
+    rows = rows.withColumn("_open", F.when(full & (x != y) & (sizes >= ALIKE), ratio_bound(x, y) >= ALIKE).otherwise(F.lit(False)))
+    return rows.withColumn(name, (full & (x == y)) | _matched(F.when(F.col("_open"), x), F.when(F.col("_open"), y))).drop("_x", "_y", "_open")
 
 
 def doi(c: Column) -> Column:

@@ -137,7 +137,7 @@ def matching_snippet(rows: DataFrame) -> DataFrame:
     years = F.transform(F.array(c["year"], c["publication_year"], c["publication_info"]["year"], c["publication_info"]["summary"]), dates.year_anywhere)
     year = F.coalesce(F.get(F.filter(years, lambda x: x != ""), F.lit(0)), F.lit(""))
     free = ((doi == "") | (doi == text.strict_doi(F.col("doi")))) & ((year == "") | (year == dates.year_anywhere(F.col("publication_date")))) & (F.coalesce(c["snippet"], F.lit("")) != "")
-    near = one.where(free).where(text.similar(text.compact_key(F.col("title")), text.compact_key(F.col("c.title"))))
+    near = text.with_similar(one.where(free), "_near", text.compact_key(F.col("title")), text.compact_key(F.col("c.title"))).where("_near")
     return near.groupBy("publication_key").agg(F.min_by("c.snippet", "_i").alias("snippet"))
 
 

@@ -45,10 +45,10 @@ def text_columns(table):
     segment, number = F.col("c_mktsegment"), F.col("c_custkey").cast("string")
     things, other = F.concat(segment, F.lit(" of things")), _every("c_custkey", 2, "Zq 99", F.concat(segment, F.lit(": of thing")))
     author = _every("c_custkey", 2, F.concat(segment, F.lit(", Łuk Jan")), F.concat(F.lit("Jan Łuk "), segment))
-    return table("customer").select(
+    return text.with_similar(table("customer"), "alike", text.compact_key(things), text.compact_key(other)).select(
         "c_custkey",
         text.compact_key(F.concat(F.lit("Éł-"), "c_name", F.lit(" "), segment)).alias("compact"),
-        text.similar(text.compact_key(things), text.compact_key(other)).alias("alike"),
+        "alike",
         text.author_token(author).alias("token"),
         text.without_orcid(F.concat("c_name", F.lit(" ; https://orcid.org/0000-0001-2345-678X "))).alias("bare"),
         text.is_ror(F.concat(_every("c_custkey", 2, "https://ror.org/x", " HTTPS://ror.org/"), F.lpad(number, 9, "0"))).alias("ror"),

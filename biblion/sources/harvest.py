@@ -30,10 +30,11 @@ from collections.abc import Callable, Iterator
 from datetime import date, datetime, timedelta, timezone
 from email.utils import parsedate_to_datetime
 from http.client import HTTPException
+from itertools import islice
 from pathlib import Path
 
 import pyarrow.parquet as pq
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, SimpleDataSourceStreamReader
 
 from ..schemas import DSPACE_TYPES, ENTITY_KINDS, WORK_FIELDS
 
@@ -50,6 +51,8 @@ SCHEMA = "source string, label string, payload string, home string, _ord long, f
 CHAIN_SPAN = 1_000_000_000
 #: Pages of one partition of a repository search (option ``pagesperpartition``).
 PAGES_PER_PARTITION = 20
+#: Pages of one batch of a harvest stream (option ``pagesperbatch``).
+PAGES_PER_BATCH = 10
 
 
 def backoff(attempt: int, retry_after: str | None = None, draw: Callable[[float, float], float] = random.uniform) -> float:
@@ -310,28 +313,40 @@ class _Items(_Filtered):
             number += 1
 
 
+class TokenExpired(ValueError):
+    """The repository does not know a resumption token any more."""
+
+
 class _Oai(_Reader):
     """OAI-PMH records by resumption token. Dates mean changes of metadata there, so a query of
     publication dates sends none; a stream's chain has those of its batch."""
 
+    def address(self, token: str = "", **dates: str) -> str:
+        if token:
+            return with_query(self.options["url"], verb="ListRecords", resumptionToken=token)
+        return with_query(self.options["url"], verb="ListRecords", metadataPrefix=self.options.get("prefix", "oai_dc"), set=self.options.get("set"), **dates)
+
+    def page(self, get: Callable[[str], str], at: str) -> tuple[list[str], str]:
+        """Records of a page and the token of the one after it, empty after the last."""
+        body = get(at)
+        if len(body.encode()) > MAX_BYTES or re.search("<!DOCTYPE|<!ENTITY", body, re.I):
+            raise ValueError("response too large, or with a document type")
+        if m := re.search(r'<error[^>]*code="(\w+)"', body):
+            if m[1] == "noRecordsMatch":
+                return [], ""
+            raise (TokenExpired if m[1] == "badResumptionToken" else ValueError)(f"harvest error {m[1]}")
+        token = re.search(r"<resumptionToken[^>]*>([^<]*)</resumptionToken>", body)
+        return re.findall(r"(?s)<record[ >].*?</record>", body), html.unescape(token[1]).strip() if token else ""
+
     def pages(self, get, chain):
-        url, seen = self.options["url"], set()
-        at = with_query(url, verb="ListRecords", metadataPrefix=self.options.get("prefix", "oai_dc"), set=self.options.get("set"), **{k: chain[k] for k in ("from", "until") if k in chain})
+        at, seen = self.address(**{k: chain[k] for k in ("from", "until") if k in chain}), set()
         while at:
-            body = get(at)
-            if len(body.encode()) > MAX_BYTES or re.search("<!DOCTYPE|<!ENTITY", body, re.I):
-                raise ValueError("response too large, or with a document type")
-            if m := re.search(r'<error[^>]*code="(\w+)"', body):
-                if m[1] == "noRecordsMatch":
-                    return
-                raise ValueError(f"harvest error {m[1]}")
-            yield from re.findall(r"(?s)<record[ >].*?</record>", body)
-            token = re.search(r"<resumptionToken[^>]*>([^<]*)</resumptionToken>", body)
-            word = token[1].strip() if token else ""
-            if word in seen:
+            records, token = self.page(get, at)
+            yield from records
+            if token in seen:
                 raise ValueError("resumption token repeats")
-            seen.add(word)
-            at = with_query(url, verb="ListRecords", resumptionToken=word) if word else None
+            seen.add(token)
+            at = self.address(token) if token else None
 
 
 class _Source(DataSource):
@@ -361,37 +376,84 @@ class ItemsSource(_Source):
         return "repository_search"
 
 
-class _OaiStream(DataSourceStreamReader):
-    """Offsets are days of metadata change; a batch is all records changed from one to another.
+class _OaiStream(SimpleDataSourceStreamReader):
+    """Offsets are days of metadata change and, within the harvest of some days, the token of the page to ask next.
 
-    The repository's granularity is a day, so a batch ends with yesterday: a day is read once it is over.
-    Records that change again come again, and the sink's upsert makes that harmless.
+    A harvest covers the days from the offset's to yesterday (the granularity is a day: a day is read once
+    it is over). A batch is at most ``pagesperbatch`` pages of it, as tokens make one chain and no page can be
+    asked before the one ahead of it; they are what the driver holds. A stream that ends in mid-harvest
+    goes on at its page. If its token has expired by then, the harvest's pages are asked from the first
+    one again and those before it are left out. Records that change again come again, and the sink's
+    upsert makes that harmless.
     """
 
     def __init__(self, options: dict[str, str]):
-        self.inner = _Oai(options)
-        self.first = date.fromisoformat(options.get("start", "1970-01-01"))
-        self.today = lambda: date.fromisoformat(options["today"]) if "today" in options else datetime.now(timezone.utc).date()
+        self.inner, self.options = _Oai(options), options
+        self.batch = int(options.get("pagesperbatch", PAGES_PER_BATCH))
+        if self.batch < 1:
+            raise ValueError("at least one page per batch")
 
-    def initialOffset(self) -> dict:
-        return {"day": self.first.isoformat()}
-
-    def latestOffset(self) -> dict:
-        return {"day": max(self.today(), self.first).isoformat()}
+    def today(self) -> str:
+        return self.options.get("today") or datetime.now(timezone.utc).date().isoformat()
 
-    def partitions(self, start: dict, end: dict) -> list[Chain]:
-        if start["day"] >= end["day"]:
-            return []
-        return [Chain(0, **{"from": start["day"], "until": (date.fromisoformat(end["day"]) - timedelta(days=1)).isoformat()})]
+    def initialOffset(self) -> dict:
+        return {"day": date.fromisoformat(self.options.get("start", "1970-01-01")).isoformat()}
 
-    def read(self, partition: Chain) -> Iterator[tuple]:
-        return self.inner.read(partition)
+    def steps(self, get: Callable[[str], str], at: dict, until: str) -> Iterator[tuple[list[tuple], dict]]:
+        """(rows, offset behind them) of each page from ``at`` on. ``mark`` is the token of a page whose number is
+        a power of two; a chain of tokens that runs in a circle comes back to one of them."""
+        source, label, home = self.options.get("id", ""), self.options.get("label", self.options.get("id", "")), self.options.get("home", "")
+        while True:
+            number, seen, token = at.get("page", 0), at.get("seen", 0), at.get("token", "")
+            last = (date.fromisoformat(until) - timedelta(days=1)).isoformat()
+            records, following = self.inner.page(get, self.inner.address(token, **{"from": at["day"], "until": last}))
+            rows = [(source, label, payload, home, seen + i, None) for i, payload in enumerate(records)]
+            if not following:
+                yield rows, {"day": until}
+                return
+            if following == at.get("mark") or following == token:
+                raise ValueError("resumption token repeats")
+            mark = following if number & (number + 1) == 0 else at.get("mark")
+            at = {"day": at["day"], "until": until, "token": following, "page": number + 1, "seen": seen + len(records), "mark": mark}
+            yield rows, at
+
+    def onward(self, start: dict, until: str) -> Iterator[tuple[list[tuple], dict]]:
+        """``steps`` from a stored offset, whose token may have expired since."""
+        get = transport(self.options)
+        steps = self.steps(get, start, until)
+        try:
+            head = next(steps)
+        except TokenExpired:
+            if "token" not in start:
+                raise
+            steps = (x for x in self.steps(get, {"day": start["day"]}, until) if x[1].get("page", start["page"] + 1) > start["page"])
+            head = next(steps)
+        yield head
+        yield from steps
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        until = start.get("until") or self.today()
+        if start["day"] >= until:
+            return iter(()), start
+        rows, at = [], start
+        for found, at in islice(self.onward(start, until), self.batch):
+            rows += found
+        return iter(rows), at
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        """The rows of a batch that was planned before a failure."""
+        if start == end:
+            return
+        for rows, at in self.onward(start, end.get("until") or end["day"]):
+            yield from rows
+            if at == end or at.get("page", 0) >= end.get("page", float("inf")):
+                return
 
 
 class OaiSource(_Source):
     kind = _Oai
 
-    def streamReader(self, schema) -> DataSourceStreamReader:
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
         return _OaiStream({k.lower(): v for k, v in self.options.items()})
 
     @classmethod

@@ -1,6 +1,7 @@
 """Continuous harvest: an OAI-PMH stream of changed records, merged into the snapshot cache batch by batch.
 
-An extension beyond one-off harvests. The stream's offset is the day of metadata change; every batch is
+An extension beyond one-off harvests. The stream's offset is the day of metadata change and, in
+mid-harvest, the token of the next page, so that a restart goes on there. Every batch (some pages) is
 normalised, merged by publication and written as the deltas of one snapshot version, which never loses
 richer data, so that a batch that runs twice after a failure leaves the same rows.
 """
@@ -44,7 +45,7 @@ def upsert(store: cache.Snapshots, source_records: DataFrame) -> int:
 
 
 def harvest_stream(spark: SparkSession, options: dict[str, str], store: cache.Snapshots, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Start the stream of one repository into ``store``; ``once`` takes what there is and ends."""
+    """Start the stream of one repository into ``store``; ``once`` takes what there is, batch after batch, and ends."""
     harvest.register(spark)
     raw = spark.readStream.format("oai_pmh").options(**options).load()
 
@@ -54,4 +55,11 @@ def harvest_stream(spark: SparkSession, options: dict[str, str], store: cache.Sn
             upsert(store, found)
 
     writer = raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 hour")).start()
+    if not once:
+        return writer.trigger(processingTime="1 hour").start()
+    query = writer.trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return query

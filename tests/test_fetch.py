@@ -1,15 +1,24 @@
 """Settings, enrichment, fetching, the stream, network geometry and XLSX on small literal inputs."""
 
+import difflib
 import json
+import math
+import os
+import random
 import urllib.error
 import zipfile
+import zlib
+from pathlib import Path
+from xml.etree import ElementTree
 
+import numpy as np
 import pytest
-from biblion.functions import network, records
+from biblion.functions import network, records, text
 from biblion.operators import analytics, cache, enrich, merge
 from biblion.plans import fetch
 from biblion.sources import config, export, harvest, normalize
 from biblion.streaming import upsert
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from test_publications import RECORD, WORK, record_page
 
@@ -146,6 +155,48 @@ def test_stream_into_snapshots(spark, tmp_path):
     assert [r["publication_key"] for r in store.read("records").collect()] == ["doi:10.5555/cd"]
 
 
+def test_stream_resumes_in_mid_harvest(spark, tmp_path):
+    """A harvest of five pages that breaks on page 3 goes on there; a token that has expired by then does not matter."""
+    oai, folder = "https://o.org/oai", tmp_path / "pages"
+    folder.mkdir()
+    store = cache.Snapshots(spark, str(tmp_path / "s"))
+    options = {"url": oai, "id": "o", "transport": "files", "folder": str(folder), "start": "2024-01-01", "today": "2024-01-03", "pagesperbatch": "1"}
+    first = f"{oai}?verb=ListRecords&metadataPrefix=oai_dc&from=2024-01-01&until=2024-01-02"
+    asked = lambda n: first if n == 1 else f"{oai}?verb=ListRecords&resumptionToken=t%26{n}"
+    following = lambda n: f"<resumptionToken>{'t&amp;' + str(n + 1) if n < 5 else ''}</resumptionToken>"
+    body = lambda n: f"<OAI-PMH><ListRecords>{RECORD.replace('oai:x:1', f'oai:x:{n}').replace('10.5555/AB', f'10.5555/{n}')}{following(n)}</ListRecords></OAI-PMH>"
+    for n in (1, 2, 4, 5):
+        record_page(folder, asked(n), body(n))
+    record_page(folder, asked(3), "HTTP 503")
+    with pytest.raises(StreamingQueryException):
+        upsert.harvest_stream(spark, options, store, str(tmp_path / "c"), once=True)
+    keys = lambda: sorted(r["source_record_id"] for r in store.read("records").collect())
+    assert keys() == ["oai:x:1", "oai:x:2"]
+    record_page(folder, asked(3), body(3))
+    record_page(folder, first, "HTTP 503")  # nothing of the first pages is asked again
+    record_page(folder, asked(2), "HTTP 503")
+    upsert.harvest_stream(spark, options, store, str(tmp_path / "c"), once=True)
+    assert keys() == [f"oai:x:{n}" for n in range(1, 6)]
+    # offsets by themselves: rows once, expiry, replay of a batch, circles
+    for n in (1, 2):
+        record_page(folder, asked(n), body(n))
+    reader = harvest._OaiStream(options | {"pagesperbatch": "2"})
+    rows, at = reader.read(reader.initialOffset())
+    assert [r[4] for r in rows] == [0, 1] and (at["page"], at["token"], at["until"]) == (2, "t&3", "2024-01-03")
+    record_page(folder, asked(3), '<OAI-PMH><error code="badResumptionToken">gone</error></OAI-PMH>')
+    record_page(folder, asked(2), body(2).replace("t&amp;3", "u"))
+    record_page(folder, f"{oai}?verb=ListRecords&resumptionToken=u", body(3))
+    rows, then = reader.read(at)
+    assert [r[4] for r in rows] == [2, 3] and then["page"] == 4
+    assert [r[4] for r in reader.readBetweenOffsets(at, then)] == [2, 3]
+    rows, end = reader.read(then)
+    assert [r[4] for r in rows] == [4] and end == {"day": "2024-01-03"} and reader.read(end)[1] == end
+    record_page(folder, asked(4), body(2).replace("t&amp;3", "t&amp;2"))
+    record_page(folder, asked(2), body(2).replace("t&amp;3", "t&amp;4"))
+    with pytest.raises(ValueError, match="repeats"):
+        harvest._OaiStream(options | {"pagesperbatch": "99"}).read(reader.initialOffset())
+
+
 def test_cache_keeps_json_lists(spark):
     a = merge.merge_publications(normalize.works(spark.createDataFrame([("s", "S", json.dumps(WORK), 0)], "source string, label string, payload string, _ord long")))
     b = merge.merge_publications(normalize.works(spark.createDataFrame([("t", "T", json.dumps(WORK | {"id": "https://api.org/W2"}), 0)], "source string, label string, payload string, _ord long")))
@@ -161,6 +212,11 @@ def test_network(spark):
     weights = {("a", "b"): 8, ("b", "c"): 1, ("c", "d"): 1}
     places = network.spring_layout("abcd", weights, ["a"])
     assert places == network.spring_layout("dcba", weights, ["a"]) and places["a"] == (0, 0, 0) and network.spring_layout([], {}) == {}
+    assert network.spring_layout(["a"], {}) == {"a": (0, 0, 0)}
+    start = network.spring_layout("abcd", weights, rounds=0)  # first numbers of seed 42, moved to the middle and scaled
+    drawn = np.array([0.3745401188, 0.9507143064, 0.7319939418, 0.5986584842, 0.1560186404, 0.1559945203, 0.0580836122, 0.8661761458, 0.6011150117, 0.7080725778, 0.0205844943, 0.9699098522]).reshape(4, 3)
+    drawn -= drawn.mean(0)
+    assert np.abs(np.array([start[v] for v in "abcd"]) - drawn / np.abs(drawn).max()).max() < 1e-8
     radii = network.node_radii(places, {"a": 8, "b": 9, "c": 2, "d": 1}, list(weights))
     assert all(0 < r <= 0.105 for r in radii.values())
     assert network.clipped((0, 0, 0), (1, 0, 0), 0.5, 0.1) == ((0.35, 0, 0), (0.9, 0, 0)) and network.clipped((1, 1, 1), (1, 1, 1), 1, 1) == ((1, 1, 1), (1, 1, 1))
@@ -170,6 +226,86 @@ def test_network(spark):
     assert analytics.coverage(rows, "ids").first()[:] == (1, 3)
 
 
+def plain_layout(names, weights, rounds=50):
+    """The layout step by step, with Python floats."""
+    n, draw = len(names), np.random.RandomState(42)
+    at = [[draw.random_sample() for _ in range(3)] for _ in names]
+    k = n ** -0.5
+    t = 0.1 * max(max(p[d] for p in at) - min(p[d] for p in at) for d in (0, 1))
+    cool = t / (rounds + 1)
+    for _ in range(rounds):
+        steps = []
+        for i in range(n):
+            force = [0.0] * 3
+            for j in range(n):
+                gap = [at[i][d] - at[j][d] for d in range(3)]
+                far = max(math.hypot(*gap), 0.01)
+                w = weights.get((names[i], names[j]), weights.get((names[j], names[i]), 0))
+                force = [f + g * (k * k / far**2 - w * far / k) for f, g in zip(force, gap, strict=True)]
+            steps.append([f * t / max(math.hypot(*force), 0.01) for f in force])
+        at = [[p + s for p, s in zip(a, b, strict=True)] for a, b in zip(at, steps, strict=True)]
+        t -= cool
+        if math.sqrt(sum(s * s for step in steps for s in step)) / n < 1e-4:
+            break
+    mean = [sum(p[d] for p in at) / n for d in range(3)]
+    at = [[p[d] - mean[d] for d in range(3)] for p in at]
+    size = max(abs(c) for p in at for c in p)
+    return {v: [c / size for c in p] for v, p in zip(names, at, strict=True)}
+
+
+def test_layout_by_plain_steps():
+    names = [f"n{i:02}" for i in range(12)]
+    weights = {(names[i], names[j]): 1 + (i * j) % 5 for i in range(12) for j in range(i + 1, 12) if (i + j) % 3 == 0}
+    got, expected = network.spring_layout(names[::-1], weights), plain_layout(names, weights)
+    assert all(abs(g - e) < 1e-6 for v in names for g, e in zip(got[v], expected[v], strict=True))
+
+
+def test_similarity_bound(spark):
+    """The bound never says less than the matcher, and the matcher runs only above it."""
+    draw = random.Random(5)
+    words = ["", None, "a", "\U0001d538bc", "a.*\\\n(b", "łódź"] + ["".join(draw.choice("abcdeł\U0001d538") for _ in range(draw.randrange(1, 40))) for _ in range(30)]
+    pairs = [(x, y) for x in words for y in words] + [(w, w[:-1] + "q") for w in words if w and len(w) > 10] + [("ab" * 150, "ab" * 149 + "ba")]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, x string, y string")
+    got = {r["i"]: r for r in text.with_similar(rows.withColumn("bound", text.ratio_bound(F.col("x"), F.col("y"))), "alike", F.col("x"), F.col("y")).collect()}
+    for i, (x, y) in enumerate(pairs):
+        ratio = difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+        assert got[i]["alike"] == bool(x and y and (x == y or ratio >= 0.9)) and (not (x and y) or got[i]["bound"] >= ratio), (x, y)
+    assert got[0].asDict().keys() == {"i", "x", "y", "bound", "alike"}
+
+
+def test_sheet_by_tasks(spark, tmp_path):
+    """Rows of many partitions in their order, a long text in further columns; what fails leaves nothing."""
+    rows = spark.range(0, 5000, 1, 7).select(F.col("id").cast("string").alias("title"), F.when(F.col("id") == 4321, F.repeat(F.lit("é&"), 20_000)).alias("abstract"))
+    at = str(tmp_path / "t.xlsx")
+    assert export.write_xlsx(rows, at, ["title", "abstract"]) == 5000 and os.listdir(tmp_path) == ["t.xlsx"]
+    with zipfile.ZipFile(at) as z:
+        assert z.testzip() is None
+        tree = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    cells = [["".join(t.text or "" for t in c.iter(f"{space}t")) for c in r] for r in tree.iter(f"{space}row")]
+    assert cells[0] == ["title", "abstract", "abstract 2"] and [c[0] for c in cells[1:]] == [str(i) for i in range(5000)]
+    assert "".join(cells[4322][1:]) == "é&" * 20_000
+    # an empty table is a sheet of its header; a second run replaces the sheet
+    assert export.write_xlsx(rows.where("false"), at, ["title"]) == 0
+    with zipfile.ZipFile(at) as z:
+        assert z.read("xl/worksheets/sheet1.xml").count(b"<row>") == 1
+    broken = rows.withColumn("title", F.when(F.col("title") == "4000", F.raise_error(F.lit("broken"))).otherwise(F.col("title")))
+    spark.dataSource.register(export.SheetSink)
+    with pytest.raises(Exception, match="broken"):
+        broken.write.format("sheet").mode("append").save(str(tmp_path / "b.xlsx"))
+    assert os.listdir(tmp_path) == ["t.xlsx"]
+    # a fragment of an attempt that does not count is not in the sheet, and too many rows are none
+    writer = export.SheetWriter(str(tmp_path / "w.xlsx"), ["a"])
+    for name, body in (("0-1", b"<row>no</row>"), ("0-2", b"<row>yes</row>")):
+        Path(writer.parts, name).write_bytes(zlib.compress(body))
+    writer.commit([export.Fragment(0, f"{writer.parts}/0-2", 1), None])
+    with zipfile.ZipFile(tmp_path / "w.xlsx") as z:
+        assert z.read("xl/worksheets/sheet1.xml").endswith(b"<row>yes</row></sheetData></worksheet>")
+    with pytest.raises(ValueError, match="too many"):
+        export.SheetWriter(str(tmp_path / "x.xlsx"), ["a"]).commit([export.Fragment(0, "", export.SHEET_ROWS)])
+    assert sorted(os.listdir(tmp_path)) == ["t.xlsx", "w.xlsx"]
+
+
 def test_xlsx_and_csv(spark, tmp_path):
     rows = spark.createDataFrame([("k", "=1+1 <b>\x01", "line\nbreak")], "publication_key string, title string, abstract string")
     assert export.write_xlsx(rows, str(tmp_path / "t.xlsx"), ["title"]) == 1
