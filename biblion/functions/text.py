@@ -96,20 +96,26 @@ def ratio_bound(a: Column, b: Column) -> Column:
 
 
 @F.pandas_udf(BooleanType())
-def _matched(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([x is not None and y is not None and difflib.SequenceMatcher(None, x, y).ratio() >= ALIKE for x, y in zip(a, b, strict=True)], dtype=bool)
+def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Equal compact forms, or a matching-blocks ratio of ``ALIKE``; the length bound comes first."""
+
+    def one(x: str | None, y: str | None) -> bool:
+        if not x or not y:
+            return False
+        return x == y or (2 * min(len(x), len(y)) >= ALIKE * (len(x) + len(y)) and difflib.SequenceMatcher(None, x, y).ratio() >= ALIKE)
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
 def with_similar(rows: DataFrame, name: str, a: Column, b: Column) -> DataFrame:
-    """rows and a column ``name``: equal compact forms, or a matching-blocks ratio of ``ALIKE`` or more; never if
-    one is empty or null. Lengths, then shared characters bound the ratio, so that the
+    """rows and a column ``name``, which is ``similar`` of both (never if one is empty or null). Lengths, then shared characters bound the ratio, so that the
     matcher sees only pairs that may reach it."""
     x, y = F.col("_x"), F.col("_y")
     sizes = F.lit(2.0) * F.least(F.length(x), F.length(y)) / F.greatest(F.length(x) + F.length(y), F.lit(1))
     full = (x != "") & (y != "")
     rows = rows.withColumns({"_x": F.coalesce(a, F.lit("")), "_y": F.coalesce(b, F.lit(""))})
     rows = rows.withColumn("_open", F.when(full & (x != y) & (sizes >= ALIKE), ratio_bound(x, y) >= ALIKE).otherwise(F.lit(False)))
-    return rows.withColumn(name, (full & (x == y)) | _matched(F.when(F.col("_open"), x), F.when(F.col("_open"), y))).drop("_x", "_y", "_open")
+    return rows.withColumn(name, (full & (x == y)) | similar(F.when(F.col("_open"), x), F.when(F.col("_open"), y))).drop("_x", "_y", "_open")
 
 
 def doi(c: Column) -> Column:
