@@ -14,8 +14,9 @@ learned from). The other classes are fixed values. Scoring reads whole texts; th
 automata run on the clauses that hold an insult or a threat only, as others score zero.
 
 Defined cases: null and empty texts get the score of a text without matches; without
-labelled rows of both kinds the score is 0 for all; rows without doc_id are never learned from,
-and count as held out; repeated rows get equal scores; extra columns are ignored.
+labelled rows of both kinds the score is 0 for all; a doc_id with both labels is toxic; rows
+without doc_id are never learned from, and count as held out; repeated rows get equal scores;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ class Insult(Transducer):
 
 
 class Threat(Transducer):
-    """A threat emits when a target comes within four words, before or after."""
+    """A threat and a target emit where at most two words stand between them, in either order."""
 
     start = (0, 0)
 
@@ -83,7 +84,7 @@ class Threat(Transducer):
 
 
 class Target(Transducer):
-    """An insult within three words of a target weighs a quarter more."""
+    """An insult after a target, with at most one word between, weighs a quarter more."""
 
     def step(self, state, symbol, value):
         near = max(0, state - 1)
@@ -91,7 +92,7 @@ class Target(Transducer):
 
 
 class Negation(Transducer):
-    """What comes within three words of a negation weighs a third."""
+    """What follows a negation, with at most one word between, weighs a third."""
 
     def step(self, state, symbol, value):
         near = max(0, state - 1)
@@ -268,7 +269,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
 def sample(docs: DataFrame, labels: DataFrame, limit: int) -> list[tuple[str, int]]:
     """At most ``limit`` labelled texts of each label, by a hash of doc_id."""
     spread = F.xxhash64(F.col("doc_id"), F.lit(5))
-    marked = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = None
     for toxic in (0, 1):
         part = marked.where(F.col("toxic") == toxic).withColumn("h", spread).orderBy("h", "doc_id").limit(limit)
