@@ -45,6 +45,12 @@ def abstract_of_index(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+def dealt(raw: DataFrame) -> DataFrame:
+    """Payloads dealt to as many tasks as a shuffle has. They cost far more to parse than to read: a file
+    small enough for one task may hold millions of them."""
+    return raw.repartition(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_ord")
+
+
 def _words(a: Column) -> Column:
     """Cleaned, non-empty, first-seen-distinct texts of an array, packed."""
     cleaned = F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: text.collapse(F.coalesce(x, F.lit(""))))
@@ -84,7 +90,7 @@ def _records(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
 
 def works(raw: DataFrame) -> DataFrame:
     """raw (source, label, payload, _ord) of works as JSON; those without an id go."""
-    rows = raw.withColumn("w", F.from_json("payload", WORK)).where("trim(w.id) <> ''")
+    rows = dealt(raw).withColumn("w", F.from_json("payload", WORK)).where("trim(w.id) <> ''")
     w = F.col("w")
     tail = F.element_at(F.split(F.regexp_replace(F.trim(w["id"]), "/+$", ""), "/"), -1)
     places = F.flatten(F.transform(F.coalesce(w["authorships"], F.array()), lambda a: F.coalesce(a["institutions"], F.array())))
@@ -165,8 +171,9 @@ def stable_affiliations(source: pd.Series, names: pd.Series) -> pd.Series:
 def items(raw: DataFrame) -> DataFrame:
     """raw (source, label, payload, _ord) of repository search objects as JSON; those without an id go."""
     o = F.col("o")
-    rows = raw.withColumn("o", F.from_json("payload", ITEM)["_embedded"]["indexableObject"]).withColumn("rid", F.coalesce(text.nullify(o["uuid"]), text.nullify(o["id"]))).where("rid is not null")
-    rows, m = rows.withColumn("_m", metadata_values(F.col("o.metadata"))), F.col("_m")
+    rows = dealt(raw).withColumn("o", F.from_json("payload", ITEM)["_embedded"]["indexableObject"]).withColumn("rid", F.coalesce(text.nullify(o["uuid"]), text.nullify(o["id"])))
+    # not deterministic, as Spark takes it: else the filter would go below and parse every payload anew for each field it names
+    rows, m = rows.withColumn("_m", metadata_values.asNondeterministic()(F.col("o.metadata"))).where("rid is not null"), F.col("_m")
     spoken = _first(_values(m, "dc.language"))
     prefixes = ("dc.abstract", "dc.description.abstract")
     found = [_longest(_values(m, f"{p}.{k}")) for k in ("en", "pl", "author") for p in prefixes]
@@ -289,7 +296,7 @@ def guarded(rows: DataFrame) -> DataFrame:
 def oai(raw: DataFrame) -> DataFrame:
     """raw (source, label, payload, _ord) of single OAI-PMH records as XML; deleted ones and those without an id go."""
     # not deterministic, as Spark takes it: else the filter below would have every record parsed twice
-    rows = guarded(raw).withColumn("r", dublin_core.asNondeterministic()("payload")).withColumn("rid", F.col("r.id")).where("rid <> '' and not r.deleted")
+    rows = dealt(guarded(raw)).withColumn("r", dublin_core.asNondeterministic()("payload")).withColumn("rid", F.col("r.id")).where("rid <> '' and not r.deleted")
     entries = F.arrays_zip(F.col("r.names").alias("name"), F.col("r.texts").alias("text"), F.col("r.languages").alias("language"))
 
     def values(key: str, *languages: str) -> Column:
