@@ -339,7 +339,7 @@ def repository_pages(table):
     asked = {"configuration": "default", "dsoType": "item", "f.entityType": "<e>,equals", "page": "<p>", "size": 100, "sort": "dc.date.issued,DESC"}
     before, between, after = re.split("%3C[ep]%3E", harvest.with_query(search, **asked))
     url = F.concat(F.lit(before), F.col("entity"), F.lit(between), F.col("page").cast("string"), F.lit(after))
-    recorded = shared.written(pages.crossJoin(F.broadcast(last)).select(url.alias("url"), F.to_json(body).alias("body")), "pages")  # one row
+    recorded = harvest.record(pages.crossJoin(F.broadcast(last)).select(url.alias("url"), F.to_json(body).alias("body")))  # last: one row
     harvest.register(recorded.sparkSession)
     options = {"url": search, "id": "rep", "label": "Rep", "home": source.home, "configuration": "default", "entities": ",".join(source.types), "pagesperpartition": "3", "transport": "table", "folder": recorded.written_to}
     raw = shared.written(recorded.sparkSession.read.format("repository_search").options(**options).load().where("entity = 'Book'"), "answers")

@@ -1,7 +1,8 @@
 """Python Data Sources that page through HTTP APIs, or through recorded pages.
 
 ``transport`` names how a URL becomes text: ``http``, ``files`` (a folder with one file per URL,
-named by the URL's SHA-256) or ``table`` (a Parquet folder of url, body), which tests and re-runs use.
+named by the URL's SHA-256) or ``table`` (a Parquet folder of url, body, best one that ``record`` wrote), which
+tests and re-runs use.
 
 * Where pages follow tokens (works by cursor, OAI-PMH), a partition is one chain. Pages that
   have addresses (repository search) are planned: the first page of each entity type tells how
@@ -26,6 +27,7 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import zlib
 from collections.abc import Callable, Iterator
 from datetime import date, datetime, timedelta, timezone
 from email.utils import parsedate_to_datetime
@@ -34,8 +36,11 @@ from itertools import islice
 from pathlib import Path
 
 import pyarrow.parquet as pq
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, SimpleDataSourceStreamReader
 
+from ..operators.shared import written
 from ..schemas import DSPACE_TYPES, ENTITY_KINDS, WORK_FIELDS
 
 # Statuses worth another try, and the limits of waiting.
@@ -53,6 +58,8 @@ CHAIN_SPAN = 1_000_000_000
 PAGES_PER_PARTITION = 20
 #: Pages of one batch of a harvest stream (option ``pagesperbatch``).
 PAGES_PER_BATCH = 10
+#: Pages of one folder of a recorded table, about.
+PAGES_PER_FOLDER = 64
 
 
 def backoff(attempt: int, retry_after: str | None = None, draw: Callable[[float, float], float] = random.uniform) -> float:
@@ -107,9 +114,25 @@ def recorded(folder: str) -> Callable[[str], str]:
     return lambda url: replayed(url, (Path(folder) / hashlib.sha256(url.encode()).hexdigest()).read_text(encoding="utf-8"))
 
 
+def record(pages: DataFrame) -> DataFrame:
+    """Pages (url, body) written to be asked for: dealt by a hash of the URL to as many folders as there are pages
+    for, so that an answer reads some ``PAGES_PER_FOLDER`` of them, however many there are."""
+    folders = -(-pages.count() // PAGES_PER_FOLDER)
+    if not folders:
+        return written(pages.select("url", "body"), "pages")
+    dealt = pages.select("url", "body", F.lit(folders).alias("folders"), F.pmod(F.crc32(F.encode("url", "utf-8")), F.lit(folders)).alias("folder"))
+    return written(dealt.repartition("folder"), "pages", ("folders", "folder"))
+
+
 def recorded_table(folder: str) -> Callable[[str], str]:
+    root = Path(folder.removeprefix("file:"))
+    dealt = next(root.glob("folders=*"), None)
+
     def get(url: str) -> str:
-        found = pq.read_table(folder.removeprefix("file:"), columns=["body"], filters=[("url", "=", url)])
+        where = dealt / f"folder={zlib.crc32(url.encode()) % int(dealt.name.partition('=')[2])}" if dealt else root
+        if not where.exists():
+            raise FileNotFoundError(url)
+        found = pq.read_table(where, columns=["body"], filters=[("url", "=", url)], partitioning=None)
         if not found.num_rows:
             raise FileNotFoundError(url)
         return replayed(url, found.column("body")[0].as_py())
