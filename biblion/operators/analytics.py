@@ -57,6 +57,22 @@ def author_access(rows: DataFrame, authors: Column, flag: Column, k: int = TOP_A
     return counts.join(F.broadcast(top.select("author")), "author", "left_semi")  # k rows
 
 
+#: Rows of a table that one task groups, about.
+ROWS_PER_TASK = 250_000
+
+
+def spread(rows: DataFrame, *by: str, size: int | None = None) -> DataFrame:
+    """Rows (``size`` of them; counted if not told) dealt by ``by`` to as many tasks as they need, no fewer than a shuffle
+    has. What a grouping by these columns holds in one task then does not grow with the table."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(tasks, -(-(rows.count() if size is None else size) // ROWS_PER_TASK)), *by)
+
+
+def gathered(members: DataFrame, row: str, member: str) -> DataFrame:
+    """row, ids: the distinct members of each row."""
+    return spread(members.select(row, member), row).groupBy(row).agg(F.collect_set(member).alias("ids"))
+
+
 #: Ids from which a row's pairs are dealt to tasks, and ids of a block of such a row.
 HEAVY_IDS, BLOCK_IDS = 512, 256
 
@@ -82,8 +98,33 @@ def pairs(rows: DataFrame, ids: str) -> DataFrame:
 
 
 def edges(rows: DataFrame, ids: str) -> DataFrame:
-    """a, b, w: in how many rows both ids occur."""
-    return pairs(rows, ids).groupBy("a", "b").agg(F.count("*").alias("w"))
+    """a, b, w: in how many rows both ids occur. The pairs are counted first, so that they can be dealt to as many tasks as they need."""
+    n = F.size(F.array_distinct(ids)).cast("long")
+    made = rows.agg(F.sum(F.when(n > 1, n * (n - 1) / 2)).cast("long")).first()[0] or 0
+    return spread(pairs(rows, ids), "a", "b", size=made).groupBy("a", "b").agg(F.count("*").alias("w"))
+
+
+def _known(labels: DataFrame) -> DataFrame:
+    """id, label, and how often the id has it (m)."""
+    return labels.where("label is not null").groupBy("id", "label").agg(F.count("*").alias("m"))
+
+
+def label_edges(members: DataFrame, row: str, labels: DataFrame) -> DataFrame:
+    """``relabelled`` of ``edges`` of members (row, id), made the other way round: ids get their labels before the pairs of a
+    row are made, so that a task counts pairs of labels and none of ids."""
+    ends = spread(members.select(row, "id").join(_known(labels), "id"), row, size=members.count()).groupBy(row).agg(F.collect_set(F.struct("id", "label", "m")).alias("ends"))
+    met = pairs(ends, "ends").where("a.id <> b.id and a.label <> b.label")
+    return met.groupBy(F.least("a.label", "b.label").alias("a"), F.greatest("a.label", "b.label").alias("b")).agg(F.sum(F.col("a.m") * F.col("b.m")).alias("w"))
+
+
+def label_degrees(members: DataFrame, row: str, labels: DataFrame) -> DataFrame:
+    """``weighted_degree`` of ``label_edges``, without a pair: of a row's n labelled ids, the k of one label meet n - k others
+    each. Pairs of an id with itself, under another label, do not count."""
+    known = _known(labels).withColumn("own", F.col("m") * (F.sum("m").over(W.partitionBy("id")) - F.col("m")))
+    ends = spread(members.select(row, "id").join(known, "id"), row, size=members.count()).distinct()
+    one = ends.groupBy(row, "label").agg(F.sum("m").alias("k"), F.sum("own").alias("own"))
+    met = F.col("k") * (F.sum("k").over(W.partitionBy(row)) - F.col("k")) - F.col("own")
+    return one.select("label", met.alias("met")).where("met > 0").groupBy("label").agg(F.sum("met").alias("degree"))
 
 
 def relabelled(edge: DataFrame, labels: DataFrame) -> DataFrame:
@@ -98,7 +139,11 @@ def weighted_degree(edge: DataFrame) -> DataFrame:
 
 def top_nodes(edge: DataFrame, k: int = TOP_NODES, query: str = "", origins: list[str] | None = None) -> DataFrame:
     """The ``k`` labels of greatest degree among those that match ``query``, and the origins in any case."""
-    degree = weighted_degree(edge)
+    return top_degrees(weighted_degree(edge), k, query, origins)
+
+
+def top_degrees(degree: DataFrame, k: int = TOP_NODES, query: str = "", origins: list[str] | None = None) -> DataFrame:
+    """``top_nodes`` of degrees (label, degree)."""
     kept = F.col("label").isin(origins or [])
     top = degree.where(labels_matching(F.col("label"), query) | (kept if query.strip() else F.lit(False))).orderBy(F.desc("degree"), "label").limit(k)
     return top.unionByName(degree.where(kept)).distinct() if origins else top

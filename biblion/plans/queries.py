@@ -28,7 +28,7 @@ def oa_status_monthly(table):
 WITH s AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS id FROM lineitem)
 SELECT x.id AS a, y.id AS b, count(*) AS w FROM s x JOIN s y ON x.k = y.k AND x.id < y.id GROUP BY 1, 2""")
 def coaffiliation_edges(table):
-    return analytics.edges(table("lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("ids")), "ids")
+    return analytics.edges(analytics.gathered(table("lineitem"), "l_orderkey", "l_suppkey"), "ids")
 
 
 _LABEL_SQL = """
@@ -47,7 +47,12 @@ def origins(table, *suppliers: int) -> list[str]:
 
 def _label_edges(table) -> DataFrame:
     names = table("supplier").join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.col("n_name").alias("label"))
-    return analytics.relabelled(coaffiliation_edges(table), names)
+    return analytics.label_edges(_suppliers(table), "l_orderkey", names)
+
+
+def _suppliers(table) -> DataFrame:
+    """Orders as rows, their suppliers as ids."""
+    return table("lineitem").select("l_orderkey", F.col("l_suppkey").alias("id"))
 
 
 @query(f"WITH {_LABEL_SQL} SELECT a, b, w FROM g")
@@ -62,7 +67,7 @@ g AS (SELECT least(p.s_name, q.s_name) AS a, greatest(p.s_name, q.s_name) AS b,
 SELECT label, CAST(sum(w) AS BIGINT) AS degree FROM (SELECT a AS label, w FROM g UNION ALL SELECT b, w FROM g) GROUP BY 1 ORDER BY degree DESC, label LIMIT 30""")
 def weighted_degree_top30(table):
     names = table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"))
-    return analytics.top_nodes(analytics.relabelled(coaffiliation_edges(table), names))
+    return analytics.top_degrees(analytics.label_degrees(_suppliers(table), "l_orderkey", names))
 
 
 @query(f"""WITH {_LABEL_SQL},
@@ -269,7 +274,7 @@ def additive_migration(table):
 WITH s AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1)
 SELECT count(*) FILTER (n >= 2) AS eligible, count(*) AS total FROM s""")
 def coaffiliation_coverage(table):
-    return analytics.coverage(table("lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("ids")), "ids")
+    return analytics.coverage(analytics.gathered(table("lineitem"), "l_orderkey", "l_suppkey"), "ids")
 
 
 @query(f"""WITH {_LABEL_SQL}
