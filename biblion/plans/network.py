@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, network, text
 from ..operators import analytics
-from ..operators.shared import written
+from ..operators.shared import discard, written
 from .fetch import zipped_affiliations
 
 _AFFILIATIONS = "array<struct<id:string,name:string,country:string>>"
@@ -30,13 +30,15 @@ def institution_network(rows: DataFrame, begin: date, end: date, origins: list[s
     """
     origins = origins or []
     dated = rows.where(dates.day_in(dates.lower_bound(F.col("publication_date")), F.lit(begin), F.lit(end))).withColumn("_aff", affiliations())
-    one = dated.select("publication_key", F.posexplode("_aff").alias("_i", "x"))
+    # names and edges both read the affiliations, and those of a row are told by its number: they are made once
+    one = written(dated.withColumn("_row", F.monotonically_increasing_id()).select("_row", "publication_key", F.posexplode("_aff").alias("_i", "x")), "affiliations")
     order = F.struct("publication_key", "_i")
     told = lambda c: F.min_by(F.when(F.trim(F.coalesce(c, F.lit(""))) != "", c), F.when(F.trim(F.coalesce(c, F.lit(""))) != "", order))
     names = one.groupBy(F.col("x.id").alias("id")).agg(told(F.col("x.name")).alias("name"), told(F.col("x.country")).alias("country"))
     # degrees, groups and both ends of the shown edges all read the labelled edges: they are made once
     labels = names.select("id", text.institution_label(F.col("name"), F.col("id"), F.col("country")).alias("label"))
-    edge = written(analytics.relabelled(analytics.edges(dated.select(F.transform("_aff", lambda x: x["id"]).alias("ids")), "ids"), labels), "labelled-edges")
+    edge = written(analytics.label_edges(one.select("_row", F.col("x.id").alias("id")), "_row", labels), "labelled-edges")
+    discard(one)
     if origins:
         edge = analytics.edge_groups(edge, origins, least)
         edge = edge if secondary else edge.where("kind = 'primary'")

@@ -424,7 +424,8 @@ def raw_day_window(table):
 def _shipments(table) -> DataFrame:
     """Orders as publications of their suppliers' nations."""
     places = table("supplier").join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.struct(_key("s_suppkey", "I").alias("id"), F.col("n_name").alias("name"), F.lit("").alias("country")).alias("x"))
-    rows = table("lineitem").join(places, "l_suppkey").groupBy("l_orderkey").agg(F.collect_list("x").alias("xs"), F.min("l_shipdate").cast("date").cast("string").alias("publication_date"))
+    items = table("lineitem").select("l_orderkey", "l_suppkey", "l_shipdate")
+    rows = analytics.spread(items.join(places, "l_suppkey"), "l_orderkey", size=items.count()).groupBy("l_orderkey").agg(F.collect_list("x").alias("xs"), F.min("l_shipdate").cast("date").cast("string").alias("publication_date"))
     packed = [text.joined(F.col(f"xs.{f}")).alias(c) for f, c in (("id", "institution_ids"), ("name", "institution_names_raw"), ("country", "institution_countries"))]
     return rows.select(_key("l_orderkey").alias("publication_key"), "publication_date", F.when(F.col("l_orderkey") % 2 == 0, F.to_json("xs")).otherwise("").alias("institution_affiliations_json"), *packed)
 
