@@ -8,6 +8,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
@@ -64,10 +65,16 @@ def fold_key(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", _fold(text).lower()).strip()
 
 
-@F.pandas_udf(StringType())
-def match_key(s: pd.Series) -> pd.Series:
-    """Comparison form: accents off, lower case, other than a-z and 0-9 one space."""
-    return s.fillna("").map(fold_key)
+#: Texts of a batch that are Python objects at once.
+FOLDED_AT_ONCE = 64
+
+
+@F.arrow_udf(StringType())
+def match_key(s: pa.Array) -> pa.Array:
+    """Comparison form: accents off, lower case, other than a-z and 0-9 one space. Texts may be long and a batch has thousands:
+    some at a time leave Arrow."""
+    slices = (s.slice(i, FOLDED_AT_ONCE).to_pylist() for i in range(0, len(s), FOLDED_AT_ONCE))
+    return pa.chunked_array([pa.array([fold_key(x or "") for x in some], pa.string()) for some in slices], pa.string()).combine_chunks()
 
 
 @F.pandas_udf(StringType())
