@@ -15,6 +15,8 @@ from .text import fold_key
 
 def objects(raw: str | None) -> list[dict]:
     """The objects of a JSON list; anything else gives none."""
+    if raw == "[]":
+        return []
     try:
         found = json.loads(raw or "[]")
     except ValueError:
@@ -45,8 +47,7 @@ def affiliation_key(x: dict) -> str:
     return str(x.get("id") or "").strip() or fold_key(str(x.get("name") or ""))
 
 
-def _text(found: list[dict]) -> str:
-    return json.dumps(found, ensure_ascii=False)
+_text: Callable[[list[dict]], str] = json.JSONEncoder(ensure_ascii=False).encode
 
 
 @F.pandas_udf(StringType())

@@ -144,7 +144,7 @@ def first_doi(candidates: Column) -> Column:
 
 def parts(c: Column) -> Column:
     """Trimmed, non-empty, first-seen-distinct parts of a semicolon list."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.array_except(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), F.array(F.lit("")))
 
 
 def joined(a: Column) -> Column:
@@ -153,7 +153,7 @@ def joined(a: Column) -> Column:
 
 def merged(*lists: Column) -> Column:
     """Ordered union of semicolon lists, as one."""
-    return joined(F.array_distinct(F.flatten(F.array(*[parts(x) for x in lists]))))
+    return joined(parts(F.concat_ws(";", *lists)))
 
 
 def first_author(authors: Column) -> Column:

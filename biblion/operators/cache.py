@@ -65,11 +65,11 @@ def upsert_latest(current: DataFrame, incoming: DataFrame, keys: list[str], orde
 
 def provenance(records: DataFrame) -> DataFrame:
     """Source columns of each canonical row, from all its stored source records in key order."""
-    own = F.array_sort(F.collect_list(F.struct("source_record_key", "source", "source_record_id", "record_url")))
+    own = F.sort_array(F.collect_list(F.struct("source_record_key", "source", "source_record_id", "record_url")))
     r = records.groupBy("publication_key").agg(own.alias("r"))
 
     def distinct(c: str) -> Column:
-        return F.array_distinct(F.filter(F.transform("r", lambda x: F.coalesce(x[c], F.lit(""))), lambda x: x != ""))
+        return F.array_except(F.col("r")[c], F.array(F.lit(""), F.lit(None).cast("string")))
 
     return r.select(
         "publication_key",

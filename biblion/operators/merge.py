@@ -46,7 +46,7 @@ def first_filled(c: str, order: str = "_ord") -> Column:
 
 def ordered(c: Column, order: str = "_ord") -> Column:
     """Values of a group in arrival order."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), c.alias("v")))), lambda x: x["v"])
+    return F.sort_array(F.collect_list(F.struct(F.col(order), c.alias("v"))))["v"]
 
 
 #: Fields of a record that its publication's provenance tells.
@@ -61,11 +61,17 @@ def _best(order: str) -> list[Column]:
     """What a group keeps of single values: of equals the earlier."""
     return [
         *[longest(c, order) for c in ("title", "publication_date", "language", "abstract")],
-        F.max_by("authors", F.struct(F.size(text.parts(F.col("authors"))), -F.col(order))).alias("authors"),
-        F.max_by("type", F.struct(type_score(F.col("type")), -F.col(order))).alias("type"),
+        F.max_by("authors", F.struct("_authors", -F.col(order))).alias("authors"),
+        F.max_by("type", F.struct("_score", -F.col(order))).alias("type"),
+        F.bool_or("_flag").alias("_flag"),
+    ]
+
+
+def _first(order: str) -> list[Column]:
+    """What a group of partial results keeps of values that the first record to have one tells."""
+    return [
         *[first_filled(c, order) for c in ("doi", "openalex_id", "record_url")],
         F.min_by(F.coalesce("source_label", F.lit("")), order).alias("source_label"),
-        F.bool_or("_flag").alias("_flag"),
         F.min_by("_named", F.when(F.col("_named").isNotNull(), F.col(order))).alias("_named"),
     ]
 
@@ -74,27 +80,44 @@ def _distinct(arrays: Column) -> Column:
     return F.array_distinct(F.flatten(arrays))
 
 
+def _measured(rows: DataFrame) -> DataFrame:
+    """With what authors and types are chosen by, told once for a row."""
+    return rows.withColumns({"_authors": F.size(text.parts(F.col("authors"))), "_score": type_score(F.col("type"))})
+
+
 def _folded(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Records (with _flag and _named) of each group as one partial result."""
-    named = F.coalesce(F.col("institution_affiliations_json"), F.lit("[]"))
-    return rows.groupBy(*by).agg(
-        *_best("_ord"),
-        F.count("*").alias("_n"),
-        *[F.first(F.coalesce(c, F.lit(""))).alias(c) for c in LISTS],
-        *[_distinct(ordered(text.parts(F.col(c)))).alias(f"_{c}") for c in LISTS],
-        ordered(named).alias("_aff"),
-        *[F.array_distinct(F.filter(ordered(F.coalesce(F.col(c), F.lit(""))), lambda x: x != "")).alias(f"_{n}") for c, n in LISTED.items()],
-        F.array_distinct(F.filter(ordered(F.col("source")), lambda x: x.isNotNull())).alias("_sources"),
-        F.to_json(ordered(F.struct(*TOLD))).alias("_told"),
-    )
+    """Records (with _flag and _named) of each group as one partial result. What a group lists comes from one
+    list of its records, put in order once. Records are dealt before any are grouped: a group has few of one file, so
+    that grouping them there first costs much and saves little."""
+    records = F.collect_list(F.struct("_ord", F.struct(*TOLD).alias("told"), *LISTS, F.col("institution_affiliations_json").alias("aff"), "doi", "openalex_id", "_named"))
+    dealt = _measured(rows).repartition(*by).sortWithinPartitions(*by)
+    folded = dealt.groupBy(*by).agg(*_best("_ord"), F.sort_array(records).alias("_all"))
+    told, missing = F.col("_all")["told"], F.lit(None).cast("string")
+
+    def filled(c: Column) -> Column:
+        return F.array_except(c, F.array(F.lit(""), missing))
+
+    return folded.withColumns({
+        "_n": F.size("_all").cast("long"),
+        **{c: F.coalesce(F.col("_all")[c][0], F.lit("")) for c in LISTS},
+        **{f"_{c}": text.parts(F.array_join(F.array_distinct(F.col("_all")[c]), ";")) for c in LISTS},
+        "_aff": F.array_except(F.col("_all")["aff"], F.array(F.lit("[]"), missing)),
+        **{f"_{n}": filled(told[c]) for c, n in LISTED.items()},
+        **{c: F.coalesce(F.get(filled(x), F.lit(0)), F.lit("")) for c, x in (("doi", F.col("_all")["doi"]), ("openalex_id", F.col("_all")["openalex_id"]), ("record_url", told["record_url"]))},
+        "source_label": F.coalesce(told["source_label"][0], F.lit("")),
+        "_named": F.get(F.array_except(F.col("_all")["_named"], F.array(missing)), F.lit(0)),
+        "_sources": F.array_except(told["source"], F.array(missing)),
+        "_told": F.to_json(told),
+    }).drop("_all")
 
 
 def _refolded(runs: DataFrame) -> DataFrame:
     """Partial results of a key's runs, which follow each other in arrival order, as one."""
     inner = F.transform(ordered(F.col("_told"), "_run"), lambda x: F.substr(x, F.lit(2), F.length(x) - 2))
-    united = runs.withColumn("_aff", records.united_affiliations("_aff"))
+    united = _measured(runs.withColumn("_aff", records.united_affiliations("_aff")))
     return united.groupBy("publication_key").agg(
         *_best("_run"),
+        *_first("_run"),
         F.sum("_n").alias("_n"),
         *[F.first(c).alias(c) for c in LISTS],
         *[_distinct(ordered(F.col(c), "_run")).alias(c) for c in (*[f"_{c}" for c in LISTS], *[f"_{n}" for n in LISTED.values()], "_sources")],

@@ -4,8 +4,8 @@ A table with keys is dealt to buckets by a hash of its keys. A version is a mani
 names, for each bucket of each table, a base folder and the deltas since; it is created with
 overwriting off, never changed, and readers use the newest whole one, so a failed job leaves the
 version before and of two writers one fails. An upsert writes its own rows only, as one delta in
-the buckets they fall in; reading takes, of rows of one key, those of the newest folder, and only
-in buckets that have deltas. ``compact`` makes one base of buckets with many deltas.
+the buckets they fall in; reading takes, of rows of one key, those of the newest folder: rows of a
+bucket's last folder as they are, of those before it the rows whose keys no later one has. ``compact`` makes one base of buckets with many deltas.
 
 Rows carry the hash of their keys and lie in its order. For each file an index row has the
 least and greatest hash and a Bloom filter of the hashes: ``look_up`` opens only files that may
@@ -18,6 +18,7 @@ import json
 import time
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from ..schemas import CACHE_TABLES
 #: Keys of the tables that have some; their buckets, the deltas of a bucket before it is compacted.
 KEYS = {"works": ("publication_key",), "records": ("source_record_key",), "results": ("publication_key", "model"), "meta": ("key",)}
 BUCKETS, DELTAS, ROWS_PER_FILE = 64, 8, 1_000_000
+#: Parts of a bucket that tasks may write apart, where there are enough rows for it.
+SLICES = 8
 #: Bits a key and probes of the Bloom filters, and the most bits that one has.
 KEY_BITS, PROBES, MOST_BITS = 12, 4, 1 << 24
 #: Seconds that a half-written manifest may take before its writer counts as dead.
@@ -116,7 +119,8 @@ class Snapshots:
             rows.withColumn("bucket_no", F.lit(0)).write.partitionBy("bucket_no").parquet(f"{self.root}/{folder}/rows")
         else:
             dealt = rows.withColumn("key_hash", _hash(keys)).withColumn("bucket_no", F.pmod("key_hash", F.lit(buckets)).cast("int"))
-            dealt.repartition("bucket_no").sortWithinPartitions("bucket_no", "key_hash").write.option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("bucket_no").parquet(f"{self.root}/{folder}/rows")
+            dealt = dealt.withColumn("slice_no", F.pmod(F.shiftright("key_hash", 32), F.lit(SLICES))).hint("rebalance", "bucket_no", "slice_no").drop("slice_no")
+            dealt.sortWithinPartitions("bucket_no", "key_hash").write.option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("bucket_no").parquet(f"{self.root}/{folder}/rows")
         pattern, fs = self._path(f"{folder}/rows/bucket_no=*")
         used = sorted(int(f.getPath().getName().split("=")[1]) for f in fs.globStatus(pattern) or [])
         if keys and used:
@@ -124,20 +128,30 @@ class Snapshots:
         return folder, used
 
     def _index(self, folder: str) -> None:
-        """An index row for each file of a folder; a file's keys are read in batches, never as one group."""
+        """An index row for each file of a folder; a file's keys are read in batches, never as one group, and a task gives
+        one filter for the rows of a file that it reads."""
         files = self.spark.read.parquet(f"{self.root}/{folder}/rows").select(F.col("bucket_no").alias("bucket"), F.col("_metadata.file_path").alias("file"), "key_hash")
         known = files.groupBy("bucket", "file").agg(F.min("key_hash").alias("lo"), F.max("key_hash").alias("hi"), F.count("*").alias("n"))
         most = known.agg(F.max("n")).first()[0]
         size = min(MOST_BITS, max(1 << 10, 1 << (KEY_BITS * most - 1).bit_length()))
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, on = None, np.zeros(size, bool)
+
+            def told() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], names=["file", "bits"])
+
             for rb in batches:
                 names, hashes = rb.column("file").dictionary_encode(), rb.column("key_hash").to_numpy()
                 number = names.indices.to_numpy()
                 for i, file in enumerate(names.dictionary.to_pylist()):
-                    on = np.zeros(size, bool)
+                    if at not in (None, file):
+                        yield told()
+                        on[:] = False
+                    at = file
                     on[_places(hashes[number == i], size).reshape(-1).astype(np.int64)] = True
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], names=["file", "bits"])
+            if at is not None:
+                yield told()
 
         def united(table: pa.Table) -> pa.Table:
             bits = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")])
@@ -196,7 +210,11 @@ class Snapshots:
 
     def declared(self, name: str) -> DataFrame:
         """A declared table without rows."""
-        return self.spark.createDataFrame([], CACHE_TABLES[name])
+        return self._empty(StructType.fromDDL(CACHE_TABLES[name]))
+
+    def _empty(self, schema: StructType) -> DataFrame:
+        """No rows, and no task to make them."""
+        return self.spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema]).where(F.lit(False))
 
     def bootstrap(self) -> int:
         """The declared tables, empty, where they are not there yet."""
@@ -221,15 +239,21 @@ class Snapshots:
             return rows.select(*columns).distinct()
         return rows.groupBy(*table["keys"]).agg(F.max_by(F.struct(*rest), "_of").alias("_r")).select(*table["keys"], "_r.*").select(*columns)
 
+    def _uncovered(self, table: dict, older: list[str], newer: list[str]) -> DataFrame:
+        """Rows of older folders whose keys no folder after theirs has. Only keys of newer rows meet them, and only columns in use are read."""
+        o, n = self._rows(table, older).alias("o"), self._rows(table, newer).select(*table["keys"], "_of").alias("n")
+        same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in table["keys"]]
+        return o.join(n, reduce(Column.__and__, same, F.col("o._of") < F.col("n._of")), "left_anti").select(*StructType.fromJson(table["schema"]).names)
+
     def _read(self, table: dict, buckets: list[int] | None = None) -> DataFrame:
         wanted = {b: f for b, f in table["folders"].items() if buckets is None or int(b) in set(buckets)}
         columns = StructType.fromJson(table["schema"]).names
-        plain = [f"{self.root}/{f[0]}/rows/bucket_no={b}" for b, f in wanted.items() if len(f) == 1]
-        layered = [f"{self.root}/{x}/rows/bucket_no={b}" for b, f in wanted.items() if len(f) > 1 for x in f]
-        parts = ([self._rows(table, plain).select(*columns)] if plain else []) + ([self._newest(table, self._rows(table, layered))] if layered else [])
-        if not parts:
-            return self.spark.createDataFrame([], StructType.fromJson(table["schema"]))
-        return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+        paths = {b: [f"{self.root}/{x}/rows/bucket_no={b}" for x in f] for b, f in wanted.items()}
+        if not paths:
+            return self._empty(StructType.fromJson(table["schema"]))
+        last = self._rows(table, [p[-1] for p in paths.values()]).select(*columns)
+        older, newer = ([x for p in paths.values() for x in p[part]] for part in (slice(None, -1), slice(1, None)))
+        return last.unionByName(self._uncovered(table, older, newer)) if older else last
 
     def read(self, table: str) -> DataFrame | None:
         """All rows of a table, None if there is none of the name."""
@@ -265,7 +289,7 @@ class Snapshots:
             return None
         files = self.files_for(table, *key)
         if not files:
-            return self.spark.createDataFrame([], StructType.fromJson(told["schema"]))
+            return self._empty(StructType.fromJson(told["schema"]))
         same = [F.col(k).cast("string") == F.lit(v).cast("string") for k, v in zip(told["keys"], key, strict=True)]
         rows = self._rows(told, files).where(F.col("key_hash") == F.xxhash64(*[F.lit(v).cast("string") for v in key]))
         for x in same:

@@ -19,6 +19,15 @@ from ..sources import harvest, normalize
 RECORD_FIELDS = ["source_record_key", "publication_key", "source", "source_label", "source_record_id", "record_url"]
 
 
+def last_of_each(records: DataFrame) -> DataFrame:
+    """Of records (``RECORD_FIELDS``, _ord) of one key the last. Most keys come once: only keys that come again are grouped with all their fields."""
+    again = records.groupBy("source_record_key").agg(F.count("*").alias("n")).where("n > 1").select("source_record_key")
+    if again.isEmpty():
+        return records.select(*RECORD_FIELDS)
+    last = records.join(again, "source_record_key", "left_semi").groupBy("source_record_key").agg(F.max_by(F.struct(*RECORD_FIELDS[1:]), "_ord").alias("_r"))
+    return records.join(again, "source_record_key", "left_anti").select(*RECORD_FIELDS).unionByName(last.select("source_record_key", "_r.*"))
+
+
 def upsert(store: cache.Snapshots, source_records: DataFrame) -> int:
     """Merge source records into the store's ``works`` and ``records``; returns the new version.
 
@@ -27,8 +36,8 @@ def upsert(store: cache.Snapshots, source_records: DataFrame) -> int:
     publications and records are written.
     """
     fresh = source_records.where("source_record_key <> '' and source_record_id <> ''")
-    records = fresh.groupBy("source_record_key").agg(F.max_by(F.struct(*RECORD_FIELDS[1:]), "_ord").alias("_r")).select("source_record_key", "_r.*").select(*RECORD_FIELDS)
-    records = written(records.withColumn("fetched_at", F.current_timestamp()), "records")
+    given = written(fresh.select(*RECORD_FIELDS, "_ord"), "records")
+    records = last_of_each(given).withColumn("fetched_at", F.current_timestamp())
     new = written(merge.merge_publications(source_records), "publications")
     stored, ours = (store.declared("records") if x is None else x for x in (store.read("records"), store.current("records", records.select("source_record_key"))))
     touched = written(new.select("publication_key").union(ours.select("publication_key")).distinct(), "touched")
@@ -40,7 +49,7 @@ def upsert(store: cache.Snapshots, source_records: DataFrame) -> int:
     synced = merged.join(origin, "publication_key", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in told}).drop(*[f"_{c}" for c in told])
     synced = synced.withColumn("updated_at", F.current_timestamp())
     version = store.upsert({"works": synced, "records": records}, declared=True)
-    discard(records, new, touched)
+    discard(given, new, touched)
     return max(version, store.compact())
 
 
